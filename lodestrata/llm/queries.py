@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import lines
+from . import decontam, fingerprint, lines
 
-QUERIES = {"op6_line_dedup": lines.op6_line_dedup}
-ORACLE_SQL = {"op6_line_dedup": lines.OP6_SQL}
+QUERIES = {
+    "op1_fingerprints": fingerprint.op1_fingerprints,
+    "op2_decontaminate": decontam.op2_decontaminate,
+    "op6_line_dedup": lines.op6_line_dedup,
+}
+ORACLE_SQL = {"op2_decontaminate": decontam.OP2_SQL, "op6_line_dedup": lines.OP6_SQL}
