@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprint, lines, packing
+from . import decontam, fingerprint, lines, packing, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprint.op1_fingerprints,
     "op2_decontaminate": decontam.op2_decontaminate,
+    "op3_warc": warc.op3_warc,
     "op6_line_dedup": lines.op6_line_dedup,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
 }
-ORACLE_SQL = {"op2_decontaminate": decontam.OP2_SQL, "op6_line_dedup": lines.OP6_SQL}
+ORACLE_SQL = {"op2_decontaminate": decontam.OP2_SQL, "op3_warc": warc.OP3_SQL, "op6_line_dedup": lines.OP6_SQL}
