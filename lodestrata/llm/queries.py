@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprint, html, langid, lines, packing, warc
+from . import decontam, fingerprint, html, langid, lines, neardup, packing, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprint.op1_fingerprints,
     "op2_decontaminate": decontam.op2_decontaminate,
     "op3_warc": warc.op3_warc,
+    "op4_minhash_near_dedup": neardup.op4_minhash_near_dedup,
     "op6_line_dedup": lines.op6_line_dedup,
     "op7_language_id": langid.op7_language_id,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_html_extraction": html.op9_html_extraction,
 }
-ORACLE_SQL = {"op2_decontaminate": decontam.OP2_SQL, "op3_warc": warc.OP3_SQL, "op6_line_dedup": lines.OP6_SQL}
+ORACLE_SQL = {"op2_decontaminate": decontam.OP2_SQL, "op3_warc": warc.OP3_SQL, "op4_minhash_near_dedup": neardup.OP4_SQL, "op6_line_dedup": lines.OP6_SQL}
