@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprint, html, langid, lines, neardup, packing, warc
+from . import decontam, fingerprint, html, langid, lines, lm, neardup, packing, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprint.op1_fingerprints,
@@ -13,5 +13,6 @@ QUERIES = {
     "op7_language_id": langid.op7_language_id,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_html_extraction": html.op9_html_extraction,
+    "op10_lm_scoring": lm.op10_lm_scoring,
 }
 ORACLE_SQL = {"op2_decontaminate": decontam.OP2_SQL, "op3_warc": warc.OP3_SQL, "op4_minhash_near_dedup": neardup.OP4_SQL, "op6_line_dedup": lines.OP6_SQL}
