@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprint, html, langid, lines, lm, neardup, packing, warc
+from . import decontam, fingerprint, html, langid, lines, lm, neardup, packing, suffix, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprint.op1_fingerprints,
     "op2_decontaminate": decontam.op2_decontaminate,
     "op3_warc": warc.op3_warc,
     "op4_minhash_near_dedup": neardup.op4_minhash_near_dedup,
+    "op5_suffix_array_dedup": suffix.op5_suffix_array_dedup,
     "op6_line_dedup": lines.op6_line_dedup,
     "op7_language_id": langid.op7_language_id,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
