@@ -1,0 +1 @@
+"""Density-based subspace clustering on Spark DataFrames."""
