@@ -16,13 +16,16 @@ an empty table.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +33,18 @@ from .common import map_arrow, parts, slabs, stage, strings
 
 CAPACITY = 2048
 #: Entries of a worker's cache of words.
-CACHE = 200_000
+CACHE = 300_000
+# How word_bpe_49k.json cuts words.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_CUTS = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+_PARTS = regex.compile(_PATTERN).findall
+_SIMPLE = regex.compile(r"[!-~\u00A1-\u012F\u0131-\u024F]+").fullmatch
 
 
 @cache
@@ -41,24 +55,62 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _byte_characters() -> list[str]:
+    """The characters that byte-level BPE gives to bytes: printable ones keep their own, the others follow from 256."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b if b in own else next(rest)) for b in range(256)]
+
+
 class _Encoder:
-    """Ids of texts as bytes. The tokenizer never joins what a space or newline parts, so each such word is encoded once."""
+    """Ids of texts as bytes. The tokenizer never joins what a space or newline parts, so each such word is encoded once.
+
+    Words of characters up to U+024F have one normal form, so they are cut as the tokenizer cuts them and the parts go to
+    its model at once; all other words, and any tokenizer that cuts otherwise, take the tokenizer's whole way.
+    """
 
     def __init__(self, path: str) -> None:
-        self.path, self.known = path, {"": b""}
+        tokenizer = _tokenizer(path)
+        self.whole, self.model = tokenizer.encode_batch_fast, tokenizer.model
+        self.known, self.parts = {"": b""}, {}
+        self.chars = _byte_characters()
+        self.plain = json.loads(tokenizer.to_str())["pre_tokenizer"] == _CUTS
+
+    def _part(self, part: str) -> bytes:
+        got = self.parts.get(part)
+        if got is None:
+            marks = part if part.isascii() else "".join(map(self.chars.__getitem__, part.encode()))
+            got = self.parts[part] = array("I", [x.id for x in self.model.tokenize(marks)]).tobytes()
+        return got
+
+    def _words(self, new: list[str]) -> None:
+        known, part, hard = self.known, self._part, []
+        for w in new:
+            if not self.plain or "<|" in w or not _SIMPLE(w):
+                hard.append(w)
+                continue
+            low = w.lower()
+            if low.isalpha():
+                known[w] = part(low)
+            elif low[:-1].isalpha() and low[-1] in ".,;:!?":
+                known[w] = part(low[:-1]) + part(low[-1])
+            else:
+                known[w] = b"".join(map(part, _PARTS(low)))
+        if hard:
+            for w, e in zip(hard, self.whole(hard, add_special_tokens=False), strict=True):
+                known[w] = array("I", e.ids).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > CACHE:
             self.known = {"": b""}
-        known, new = self.known, set()
+        if len(self.parts) > CACHE:
+            self.parts = {}
+        new: set[str] = set()
         for ws in split:
             new.update(ws)
-        new = [w for w in new if w not in known]
-        if new:
-            for w, e in zip(new, _tokenizer(self.path).encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        get = known.__getitem__
+        self._words([w for w in new if w not in self.known])
+        get = self.known.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
 
