@@ -21,8 +21,8 @@ def connected_components(vertices: DataFrame, edges: DataFrame, key: str = "mask
     while True:
         from_q = labels.select(F.col(key), F.col("p").alias("q"), F.col("label").alias("near"))
         near = edges.join(from_q, [key, "q"]).groupBy(key, "p").agg(F.min("near").alias("near"))
-        hooked = cut(labels.join(near, [key, "p"], "left").select(key, "p", F.col("label").alias("was"), F.least("label", "near").alias("label")))
-        up = hooked.select(F.col(key), F.col("p").alias("label"), F.col("label").alias("top"))
+        hooked = labels.join(near, [key, "p"], "left").select(key, "p", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        up = labels.select(F.col(key), F.col("p").alias("label"), F.col("label").alias("top"))
         jumped = cut(hooked.join(up, [key, "label"], "left").select(key, "p", "was", F.least("label", "top").alias("label")))
         labels = jumped.select(key, "p", "label")
         if not jumped.filter("label <> was").limit(1).count():

@@ -90,7 +90,6 @@ class Clustering:
         alive = cut(self._sizable(dense(kids, near, self.eps, self.rectangular, F.lit(self.least[self.d]))))
         if not alive.limit(1).count():
             return None
-        near = cut(near.join(alive.select("mask", "p"), ["mask", "p"], "left_semi"))
         left = None
         if markers is not None:
             regions = alive.select("above", "dim", "run", "mask", "region", "last").distinct()
