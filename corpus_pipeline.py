@@ -17,36 +17,50 @@ from lodestrata.llm import decontam, langid, lines, neardup, packing
 from lodestrata.llm.common import stage as staged
 
 
+def _wrapped(docs: DataFrame) -> DataFrame:
+    """Each document as one struct, beside the columns that operators read: no other column can clash with theirs."""
+    read = [c for c in ("doc_id", "text", "lang") if c in docs.columns]
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__document"), *read)
+
+
+def _unwrapped(found: DataFrame, docs: DataFrame, **changed) -> DataFrame:
+    """The columns of docs again; changed: expressions for some of them."""
+    return found.select(*(changed.get(c, F.col(f"__document.`{c}`")).alias(c) for c in docs.columns))
+
+
 def language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a learned language; those without a letter go."""
-    found = langid.identify(docs, langid.train(docs))
-    return found.filter(F.col("__lang") != "und").select(docs.columns)
+    found = langid.identify(_wrapped(docs), langid.train(docs.select("doc_id", "text", "lang")), keep=["__document"])
+    return _unwrapped(found.filter(F.col("__lang") != "und"), docs)
 
 
 def line_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that others repeat; n_chars follows the text. Those that lose all text go."""
-    out = lines.line_dedup(docs)
+    out = lines.line_dedup(_wrapped(docs)).filter((F.col("__n_dropped") == 0) | F.col("text").rlike(r"\S"))
+    same = F.col("__n_dropped") == 0
+    changed = {"text": F.when(same, F.col("__document.text")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.filter((F.col("__n_dropped") == 0) | F.col("text").rlike(r"\S")).select(docs.columns)
+        changed["n_chars"] = F.when(same, F.col("__document.n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return _unwrapped(out, docs, **changed)
 
 
 def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of the smallest doc_id; of repeated rows, one."""
-    kept = neardup.near_duplicates(docs, shingle=5, num=80, den=100).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.filter("doc_id IS NULL")).select(docs.columns)
+    kept = neardup.near_duplicates(docs.select("doc_id", "text"), shingle=5, num=80, den=100).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept")).distinct()
+    rows = _wrapped(docs)
+    named = rows.join(kept, rows["doc_id"] == kept["__kept"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return _unwrapped(named.unionByName(rows.filter("doc_id IS NULL")), docs)
 
 
 def decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark's passages do not contaminate."""
-    found = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.filter(~F.col("__contaminated")).select(docs.columns)
+    found = decontam.decontaminate(_wrapped(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["__document"])
+    return _unwrapped(found.filter(~F.col("__contaminated")), docs)
 
 
 def best_fit_packing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens."""
-    pieces = staged(packing.tokenise(docs, packing.default_tokenizer()), "pieces")
+    pieces = staged(packing.tokenise(docs.select("doc_id", "text"), packing.default_tokenizer()), "pieces")
     return packing.pack(pieces).select(F.col("__doc").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
