@@ -191,7 +191,8 @@ class _File(InputPartition):
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path = options["path"]
-        self.payloads = str(options.get("payload", "true")).lower() != "false"
+        how = str(options.get("payload", "true")).lower()
+        self.payloads, self.verify = how != "false", how == "verify"
         self.filters: list[tuple[str, str, object]] = []
 
     def pushFilters(self, filters):  # noqa: N802
@@ -219,15 +220,13 @@ class WarcReader(DataSourceReader):
         from pyarrow import fs
 
         store, path = files(self.path)
-        try:
+        if store.get_file_info(path).type == fs.FileType.File:
+            return [_File(self.path)]
+        if store.get_file_info(f"{path}/{MANIFEST}").type == fs.FileType.File:
             with store.open_input_stream(f"{path}/{MANIFEST}") as f:
                 return [_File(f"{self.path}/{x}") for x in json.loads(f.read())]
-        except FileNotFoundError:
-            info = store.get_file_info(path)
-            if info.type == fs.FileType.File:
-                return [_File(self.path)]
-            found = store.get_file_info(fs.FileSelector(path, recursive=True))
-            return [_File(self.path + x.path[len(path) :]) for x in sorted(found, key=lambda x: x.path) if x.path.endswith((".warc", ".warc.gz"))]
+        found = store.get_file_info(fs.FileSelector(path, recursive=True))
+        return [_File(self.path + x.path[len(path) :]) for x in sorted(found, key=lambda x: x.path) if x.path.endswith((".warc", ".warc.gz"))]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         if partition is None:
@@ -252,6 +251,11 @@ class WarcReader(DataSourceReader):
             length = int(http["content-length"]) if "content-length" in http else len(payload)
         if h.get("warc-type") == "revisit" or not self.payloads:
             payload = None
+        elif self.verify:
+            length, digest = len(payload), h.get("warc-payload-digest")
+            if digest is not None and digest != f"sha1:{base32_sha1(payload)}":
+                raise ValueError(f"the payload of {h.get('warc-record-id')} differs from its digest")
+            payload = None
         return (*(_clean(x, h.get(x)) for x in _COLUMNS.values()), length, list(h.items()), payload)
 
 
@@ -314,7 +318,8 @@ class WarcWriter(DataSourceWriter):
 
 
 class WarcSource(DataSource):
-    """format("warc"): options path, payload ("true" or "false"), max_bytes."""
+    """format("warc"): options path, max_bytes, and payload: "true", "false" or "verify" (read and held against its digest,
+    of its own length, but not returned)."""
 
     @classmethod
     def name(cls) -> str:
@@ -335,9 +340,9 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcSource)
 
 
-def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, payload: str = "true") -> DataFrame:
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    return spark.read.format("warc").option("payload", payload).load(path)
 
 
 def write_warc(df: DataFrame, path: str) -> None:
@@ -369,25 +374,13 @@ def _page(column: str):
     return F.when(found != "", found.cast("long"))
 
 
-def _proved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Length and digest from the payload that was read."""
-    for batch in batches:
-        payloads = [x or b"" for x in batch.column("payload").to_pylist()]
-        got = [base32_sha1(x) for x in payloads]
-        if got != batch.column("payload_digest").to_pylist():
-            raise ValueError("a payload differs from its digest")
-        yield pa.RecordBatch.from_arrays([batch.column("record_id"), pa.array([len(x) for x in payloads], pa.int64()), pa.array(got)], ["record_id", "payload_length", "payload_digest"])
-
-
 def op3_warc(spark, sf_dir: str) -> DataFrame:
     path = staged_path(spark, "warc")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     write_warc(with_revisits(pages), path)
-    responses = read_warc(spark, path).filter("warc_type = 'response'").select("record_id", "payload_digest", "payload")
-    full = responses.mapInArrow(_proved, "record_id string, payload_length bigint, payload_digest string")
-    full = full.withColumns({"warc_type": F.lit("response"), "refers_to": F.lit(None).cast("string")})
-    brief = read_warc(spark, path, payload=False).filter("warc_type = 'revisit'").select(*full.columns)
-    return full.unionByName(brief).select(
+    responses = read_warc(spark, path, "verify").filter("warc_type = 'response'")
+    revisits = read_warc(spark, path, "false").filter("warc_type = 'revisit'")
+    return responses.drop("payload", "headers").unionByName(revisits.drop("payload", "headers")).select(
         _page("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", F.col("warc_type").alias("record_type"), _page("refers_to").alias("refers_to")
     )
 
