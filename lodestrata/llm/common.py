@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -34,6 +35,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver collect its garbage, upon which Spark deletes the shuffle files, broadcasts and checkpoints of tables
+    that are no longer used; loops call it once a round."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def staged_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when Python ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import buffers, cut, map_arrow, parts, slabs, stage
+from .common import buffers, cut, map_arrow, parts, release, slabs, stage
 from .tokens import LOWER, SPACED, doc_shingles, hashes, words
 
 #: Most members of a cell; most ids that are broadcast (8 MB) instead of joined by a shuffle; pivot rounds; how far under
 #: the threshold an estimate may be (four standard errors) for a pair to be verified.
-CELL, BROADCAST_IDS, ROUNDS, SLACK = 256, 250_000, 4, 0.13
+CELL, BROADCAST_IDS, ROUNDS, SLACK = 256, 250_000, 1, 0.13
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -78,20 +78,12 @@ def _registers(column: pa.Array) -> np.ndarray:
     return np.frombuffer(buffers(column)[0].tobytes(), np.int16).reshape(-1, sketch.M)
 
 
-def _likely(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            na, nb = batch.column("__na").to_numpy(), batch.column("__nb").to_numpy()
-            good = sketch.jaccard(_registers(batch.column("__sa")), _registers(batch.column("__sb")), na, nb) >= least
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("__a", "__b")], ["__a", "__b"])
-
-    return run
-
+def _confirmed(size: int, num: int, den: int, likely: bool):
+    """Pairs whose registers make the threshold likely, if that is still to be asked, and whose full sets reach it."""
 
-def _exact(size: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
-        known: dict[tuple, np.ndarray] = {}
+        known: dict[bytes, np.ndarray] = {}
 
         def of(z: bytes) -> np.ndarray:
             key = xxhash.xxh3_128_digest(z)
@@ -103,12 +95,16 @@ def _exact(size: int, num: int, den: int):
             return known[key]
 
         for batch in batches:
-            good = []
+            if not likely:
+                na, nb = batch.column("__na").to_numpy(), batch.column("__nb").to_numpy()
+                good = sketch.jaccard(_registers(batch.column("__sa")), _registers(batch.column("__sb")), na, nb) >= num / den - SLACK
+                batch = batch.filter(pa.array(good, pa.bool_()))
+            linked = []
             for za, zb in zip(batch.column("__za").to_pylist(), batch.column("__zb").to_pylist(), strict=True):
                 a, b = of(za), of(zb)
                 both = len(np.intersect1d(a, b, assume_unique=True))
-                good.append(both > 0 and den * both >= num * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good, pa.bool_())) for c in ("__a", "__b")], ["__a", "__b"])
+                linked.append(both > 0 and den * both >= num * (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(linked, pa.bool_())) for c in ("__a", "__b")], ["__a", "__b"])
 
     return run
 
@@ -125,17 +121,13 @@ class _Verifier:
         self.reps, self.size, self.num, self.den = reps, size, num, den
 
     def __call__(self, pairs: DataFrame, likely: bool = False) -> DataFrame:
-        """The links among distinct pairs (__a < __b)."""
-        if not likely:
-            ids = cut(pairs.select(F.explode(F.array("__a", "__b")).alias("__id")).distinct())
-            few = _only(self.reps.select("__doc", "__n", "__sketch"), "__doc", ids)
-            left, right = (few.select(F.col("__doc").alias(f"__{x}"), F.col("__n").alias(f"__n{x}"), F.col("__sketch").alias(f"__s{x}")) for x in "ab")
-            fits = self.den * F.least("__na", "__nb") >= self.num * F.greatest("__na", "__nb")
-            pairs = cut(map_arrow(pairs.join(left, "__a").join(right, "__b").filter(fits), _likely(self.num / self.den - SLACK), "__a bigint, __b bigint").distinct())
+        """The links among distinct pairs (__a < __b, cut)."""
         ids = cut(pairs.select(F.explode(F.array("__a", "__b")).alias("__id")).distinct())
-        few = stage(_only(self.reps.select("__doc", "__z"), "__doc", ids), "texts")
-        left, right = (few.select(F.col("__doc").alias(f"__{x}"), F.col("__z").alias(f"__z{x}")) for x in "ab")
-        return cut(map_arrow(pairs.join(left, "__a").join(right, "__b"), _exact(self.size, self.num, self.den), "__a bigint, __b bigint").distinct())
+        few = stage(_only(self.reps.select("__doc", "__n", "__sketch", "__z"), "__doc", ids), "texts")
+        left, right = (few.select(F.col("__doc").alias(f"__{x}"), F.col("__n").alias(f"__n{x}"), F.col("__sketch").alias(f"__s{x}"), F.col("__z").alias(f"__z{x}")) for x in "ab")
+        fits = self.den * F.least("__na", "__nb") >= self.num * F.greatest("__na", "__nb")
+        both = pairs.join(left, "__a").join(right, "__b").filter(fits)
+        return cut(map_arrow(both, _confirmed(self.size, self.num, self.den, likely), "__a bigint, __b bigint").distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -148,8 +140,8 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = edges.join(labels, edges["__b"] == labels["__id"]).groupBy("__a").agg(F.min("__comp").alias("__near"))
         own = labels.withColumnsRenamed({"__comp": "__was"})
-        hooked = cut(own.join(near, own["__id"] == near["__a"]).select("__id", "__was", F.least("__was", "__near").alias("__hook")))
-        up = hooked.select(F.col("__id").alias("__hook"), F.col("__hook").alias("__top"))
+        hooked = own.join(near, own["__id"] == near["__a"]).select("__id", "__was", F.least("__was", "__near").alias("__hook"))
+        up = labels.select(F.col("__id").alias("__hook"), F.col("__comp").alias("__top"))
         labels = cut(hooked.join(up, "__hook").select("__id", "__was", F.least("__hook", "__top").alias("__comp")))
         if not labels.filter("__comp <> __was").limit(1).count():
             return labels.select("__id", "__comp")
@@ -208,6 +200,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc: str = "doc_id", shin
     comps = components(links)
     members = members.filter("__size > 2")
     for round_ in range(ROUNDS + 1):
+        release(df.sparkSession)
         named = members.join(comps, members["__node"] == comps["__id"], "left").select("__band", "__node", "__pivot", "__size", F.coalesce("__comp", "__node").alias("__comp"))
         state = named.groupBy("__band").agg(
             F.min("__comp").alias("__low"), F.max("__comp").alias("__high"), F.min_by("__comp", F.xxhash64("__comp", F.col("__node"), F.lit(round_))).alias("__main"),
@@ -216,11 +209,12 @@ def near_duplicates(df: DataFrame, text: str = "text", doc: str = "doc_id", shin
         if round_ == ROUNDS or not still.filter(f"__size > {CELL}").limit(1).count():
             break
         large = still.filter(f"__size > {CELL}")
-        inner = large.filter("__comp = __main").groupBy("__band").agg(*(F.min_by("__node", F.xxhash64("__node", F.lit(8 * round_ + i + 1))).alias(f"__p{i}") for i in range(4)))
-        pivots = cut(inner.select("__band", F.explode(F.array_distinct(F.array(*(f"__p{i}" for i in range(4))))).alias("__new")))
+        inner = large.filter("__comp = __main").groupBy("__band").agg(*(F.min_by("__node", F.xxhash64("__node", F.lit(12 * round_ + i + 1))).alias(f"__p{i}") for i in range(12)))
+        pivots = cut(inner.select("__band", F.explode(F.array_distinct(F.array(*(f"__p{i}" for i in range(12))))).alias("__new")))
         more = verify(cut(_ordered(large.filter("__comp <> __main").join(pivots, "__band").select(F.col("__node").alias("__x"), F.col("__new").alias("__y")))))
-        links = cut(links.union(more).distinct())
+        links = links.union(more)
         comps = components(links)
+    release(df.sparkSession)
     outside = F.col("__comp") != F.col("__main")
     counts = cut(still.groupBy("__band").agg(F.count_if(outside).alias("__out")))
     grid = still.join(counts, "__band").withColumns({"__r": F.ceil(F.col("__out") / CELL).cast("int"), "__i": F.ceil(F.col("__size") / CELL).cast("int")})
@@ -236,10 +230,10 @@ def near_duplicates(df: DataFrame, text: str = "text", doc: str = "doc_id", shin
     likely = cut(map_arrow(dealt, _cells(num / den - SLACK, num, den), "__a bigint, __b bigint").distinct())
     rest = verify(likely, likely=True)
     if rest.limit(1).count():
-        comps = components(cut(links.union(rest).distinct()))
+        comps = components(links.union(rest))
     nodes = every.select("__doc", "__k1", "__k2", "__n").join(classes, ["__k1", "__k2"], "left")
-    own = F.when(F.col("__n") > 0, F.col("__node"))
-    found = nodes.join(comps, nodes["__node"] == comps["__id"], "left").select("__doc", "__n", F.coalesce(F.when(F.col("__n") > 0, F.col("__comp")), own, F.col("__doc")).alias("__comp"))
+    linked = (F.col("__n") > 0) & F.col("__doc").isNotNull()
+    found = nodes.join(comps, nodes["__node"] == comps["__id"], "left").select("__doc", "__n", F.when(linked, F.coalesce("__comp", "__node")).otherwise(F.col("__doc")).alias("__comp"))
     return found.select(F.col("__doc").alias("doc_id"), F.col("__n").alias("n_shingles"), F.col("__comp").alias("component_id"), F.col("__doc").eqNullSafe(F.col("__comp")).alias("kept"))
 
 
