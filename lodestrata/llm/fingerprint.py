@@ -26,9 +26,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, parts, slabs, strings
+from .common import cut, map_arrow, parts, slabs, strings
 
 LEVEL = 6
+#: Most digests that are broadcast, about 10 MB.
+BROADCAST_DIGESTS = 100_000
 
 
 def canonical(text: str) -> bytes:
@@ -43,39 +45,47 @@ def digest(canon: bytes) -> str:
     return xxhash.xxh3_128_hexdigest(canon)
 
 
+def _second(canon: bytes) -> int:
+    """64 more bits, signed."""
+    return xxhash.xxh3_64_intdigest(canon, 1) - (1 << 63)
+
+
 def likeness(a: str, b: str) -> float:
     """Of two exact fingerprints."""
     return 1.0 if a == b else 0.0
 
 
-def _squeeze(columns: list[str]):
+def _marks(with_bytes: bool):
+    """Digests of canonical texts, and their compressed bytes if asked for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True)
         for batch in slabs(batches, "__text"):
             canons = [canonical(x) for x in strings(batch.column("__text"))]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("__doc"),
-                    pa.array([digest(x) for x in canons]),
-                    pa.array([xxhash.xxh3_64_intdigest(x, 1) - (1 << 63) for x in canons], pa.int64()),
-                    pa.array([zip_.compress(x) for x in canons], pa.binary()),
-                ],
-                columns,
-            )
+            columns = [pa.array([digest(x) for x in canons], pa.string()), pa.array([_second(x) for x in canons], pa.int64())]
+            if with_bytes:
+                columns += [batch.column("__doc"), pa.array([zip_.compress(x) for x in canons], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["fingerprint", "__check", "__doc", "__bytes"][: len(columns)])
 
     return run
 
 
-def exact_groups(df: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
-    """A row for each distinct canonical text: fingerprint, __check, group_id (smallest doc), group_size."""
-    kind = df.schema[doc].dataType.simpleString()
+def exact_groups(df: DataFrame, text: str = "text", doc: str = "doc_id", copies_only: bool = False) -> DataFrame:
+    """A row for each distinct canonical text: fingerprint, __check, group_id (smallest doc), group_size.
+
+    For copies only, buckets of one text are told by a count of digests first, so that the bytes of few texts travel; where
+    there are too many buckets of several texts to broadcast, all texts do.
+    """
     rows = df.select(F.col(doc).alias("__doc"), F.col(text).cast("string").alias("__text"))
-    canon = map_arrow(rows, _squeeze(["__doc", "fingerprint", "__check", "__bytes"]), f"__doc {kind}, fingerprint string, __check bigint, __bytes binary")
-    return (
-        canon.groupBy("fingerprint", "__check", "__bytes")
-        .agg(F.min("__doc").alias("group_id"), F.count(F.lit(1)).alias("group_size"))
-        .drop("__bytes")
-    )
+    kind = df.schema[doc].dataType.simpleString()
+    canon = map_arrow(rows, _marks(True), f"fingerprint string, __check bigint, __doc {kind}, __bytes binary")
+    if copies_only:
+        marks = map_arrow(rows.select("__text"), _marks(False), "fingerprint string, __check bigint")
+        many = cut(marks.groupBy("fingerprint", "__check").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n"))
+        if many.count() <= BROADCAST_DIGESTS:
+            canon = canon.join(F.broadcast(many), ["fingerprint", "__check"], "left_semi")
+    groups = canon.groupBy("fingerprint", "__check", "__bytes").agg(F.min("__doc").alias("group_id"), F.count(F.lit(1)).alias("group_size")).drop("__bytes")
+    return groups.filter("group_size > 1") if copies_only else groups
 
 
 def _spread(bounds: np.ndarray, first: int | None):
@@ -118,7 +128,7 @@ def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 mark1 = digest(canonical(edit))
                 sha = hashlib.sha256(edit.encode("utf-8", "surrogatepass")).hexdigest()
                 out.append((doc0, len(text0), sha, mark0, mark1, likeness(mark0, mark1), likeness(mark0, mark), check0))
-            held = None if tail else (at, doc, text, mark, xxhash.xxh3_64_intdigest(canon, 1) - (1 << 63))
+            held = None if tail else (at, doc, text, mark, _second(canon))
         columns = list(zip(*out, strict=True)) if out else [[]] * 8
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "__check"])
@@ -150,7 +160,7 @@ def with_next(df: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFra
 
 def op1_fingerprints(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    copies = exact_groups(docs).filter("group_size > 1")
+    copies = exact_groups(docs, copies_only=True)
     return (
         with_next(docs).join(copies, ["fingerprint", "__check"], "left")
         .select(
