@@ -104,36 +104,37 @@ class Model:
 
 def _automaton(codes: list[int]) -> np.ndarray:
     """The suffix automaton's transitions, flat and premultiplied by CODES; a missing one is ~(where the root leads)."""
-    nexts: list[dict[int, int]] = [{}]
-    link, length, last = [-1], [0], 0
+    most = max(2, 2 * len(codes))
+    nexts = np.full((most, CODES), -1, np.int32)
+    link, length = [-1] + [0] * (most - 1), [0] * most
+    size, last = 1, 0
     for c in codes:
-        new = len(nexts)
-        nexts.append({}), link.append(0), length.append(length[last] + 1)
+        new = size
+        size += 1
+        length[new] = length[last] + 1
         p = last
-        while p >= 0 and c not in nexts[p]:
-            nexts[p][c] = new
+        while p >= 0 and nexts[p, c] < 0:
+            nexts[p, c] = new
             p = link[p]
         if p >= 0:
-            q = nexts[p][c]
+            q = int(nexts[p, c])
             if length[q] == length[p] + 1:
                 link[new] = q
             else:
-                twin = len(nexts)
-                nexts.append(dict(nexts[q])), link.append(link[q]), length.append(length[p] + 1)
-                while p >= 0 and nexts[p].get(c) == q:
-                    nexts[p][c] = twin
+                twin = size
+                size += 1
+                nexts[twin] = nexts[q]
+                link[twin], length[twin] = link[q], length[p] + 1
+                while p >= 0 and nexts[p, c] == q:
+                    nexts[p, c] = twin
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    table = np.empty((len(nexts), CODES), np.int32)
-    root = np.full(CODES, ~0, np.int32)
-    for c, s in nexts[0].items():
-        root[c] = ~(s * CODES)
-    table[:] = root
-    rows = np.repeat(np.arange(len(nexts)), [len(x) for x in nexts])
-    table[rows, [c for x in nexts for c in x]] = np.array([s for x in nexts for s in x.values()], np.int32) * CODES
-    table[:, _PAD] = np.arange(len(nexts), dtype=np.int32) * CODES
-    return table.ravel()
+    nexts = nexts[:size]
+    root = ~np.where(nexts[0] >= 0, nexts[0] * CODES, 0).astype(np.int32)
+    table = np.where(nexts >= 0, nexts * CODES, root)
+    table[:, _PAD] = np.arange(size, dtype=np.int32) * CODES
+    return table.astype(np.int32).ravel()
 
 
 def sample(df: DataFrame, text: str, lang: str, doc: str, docs: int = SAMPLE_DOCS) -> dict[str, list[str]]:
