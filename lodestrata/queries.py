@@ -228,8 +228,8 @@ def _flagship(**options):
 
 def planted_recovery(spark, sf_dir):
     """Clusters found in generated data, by their number of columns and size."""
-    coords = generators.generate_gaussian(spark, 5, 1200, 2, 0.5, 3, seed=7).select("p", "dim", "x")
-    found = subspace_clusters(coords, 5, 0.02, 0.1, 4, 100, cells=4, rectangular=True)
+    coords = generators.generate_gaussian(spark, 4, 600, 2, 0.5, 2, seed=7).select("p", "dim", "x")
+    found = subspace_clusters(coords, 4, 0.02, 0.1, 4, 100, cells=4, rectangular=True)
     return found.groupBy(F.array_join("dims", ",").alias("dims"), "label").agg(F.count(F.lit(1)).alias("n_points"))
 
 
