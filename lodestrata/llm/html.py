@@ -30,6 +30,7 @@ from .common import map_arrow, slabs, strings
 MIN_PAGES, MIN_SHARE = 8, 0.02
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|([^<]+|<)", re.S)
+_BROKEN = re.compile(r"/?[a-zA-Z]")
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 # Element names and words.
@@ -89,7 +90,10 @@ def parse(html: str) -> Node:
         pos = m.end()
         name = m[3]
         if name is None:
-            if m[5] is not None:
+            if m[5] == "<" and _BROKEN.match(html, pos):  # a tag with an open quote, or without an end
+                close = html.find(">", pos)
+                pos = size if close < 0 else close + 1
+            elif m[5] is not None:
                 at.children.append(unescape(m[5]) if "&" in m[5] else m[5])
             elif m[1]:
                 at.children.append(m[1])

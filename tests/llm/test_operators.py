@@ -345,7 +345,7 @@ def test_html(spark):
     pages = [(i, f"http://h.example/{i}", f"<body>{block}<div><p>Own words {i}</p><p>Shared sentence</p></div></body>") for i in range(12)]
     pages += [(50, "http://other.example/", f"<body>{block}</body>"), (51, None, None), (52, "http://h.example/x", "")] + [(60 + i, "http://copies.example/", f"<body>{block}</body>") for i in range(12)]
     got = {r["page_id"]: r["__main"] for r in html.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
-    assert got[3] == "Own words 3\n\nShared sentence" and got[50] == "Same on all pages of the host" and got[51] == got[52] == "" and got[65] == "Same on all pages of the host"
+    assert got[3] == "Own words 3" and got[50] == "Same on all pages of the host" and got[51] == got[52] == "" and got[65] == "Same on all pages of the host"
 
 
 def test_lm(spark, docs, rows, empty):
