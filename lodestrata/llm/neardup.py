@@ -5,7 +5,7 @@ each task. Classes meet in buckets of equal bands. No bucket's pairs are enumera
 bucket's first, by likelihood from the registers and then on full shingle sets, and components are formed. Buckets that
 still hold more than one component are open. Large open buckets get more pivots from their main component; then, exactly,
 all members outside it meet all members of the bucket in a grid of cells of at most CELL by CELL, whose tasks compare
-registers and let only likely pairs of different components go on to verification. So each pair of different components
+registers, confirm likely pairs of different components, and tell fewer links than a cell has members. So each pair of different components
 that shares a band is either compared or already in one component; nothing is capped.
 
 A pair at the threshold shares no band with a probability of (1 - t^ROWS)^BANDS: under 1e-6 at 0.85, 5e-5 at 0.8.
@@ -78,8 +78,8 @@ def _registers(column: pa.Array) -> np.ndarray:
     return np.frombuffer(buffers(column)[0].tobytes(), np.int16).reshape(-1, sketch.M)
 
 
-def _confirmed(size: int, num: int, den: int, likely: bool):
-    """Pairs whose registers make the threshold likely, if that is still to be asked, and whose full sets reach it."""
+def _confirmed(size: int, num: int, den: int):
+    """Pairs whose registers make the threshold likely and whose full sets reach it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
@@ -95,10 +95,9 @@ def _confirmed(size: int, num: int, den: int, likely: bool):
             return known[key]
 
         for batch in batches:
-            if not likely:
-                na, nb = batch.column("__na").to_numpy(), batch.column("__nb").to_numpy()
-                good = sketch.jaccard(_registers(batch.column("__sa")), _registers(batch.column("__sb")), na, nb) >= num / den - SLACK
-                batch = batch.filter(pa.array(good, pa.bool_()))
+            na, nb = batch.column("__na").to_numpy(), batch.column("__nb").to_numpy()
+            good = sketch.jaccard(_registers(batch.column("__sa")), _registers(batch.column("__sb")), na, nb) >= num / den - SLACK
+            batch = batch.filter(pa.array(good, pa.bool_()))
             linked = []
             for za, zb in zip(batch.column("__za").to_pylist(), batch.column("__zb").to_pylist(), strict=True):
                 a, b = of(za), of(zb)
@@ -120,14 +119,14 @@ class _Verifier:
     def __init__(self, reps: DataFrame, size: int, num: int, den: int) -> None:
         self.reps, self.size, self.num, self.den = reps, size, num, den
 
-    def __call__(self, pairs: DataFrame, likely: bool = False) -> DataFrame:
+    def __call__(self, pairs: DataFrame) -> DataFrame:
         """The links among distinct pairs (__a < __b, cut)."""
         ids = cut(pairs.select(F.explode(F.array("__a", "__b")).alias("__id")).distinct())
         few = stage(_only(self.reps.select("__doc", "__n", "__sketch", "__z"), "__doc", ids), "texts")
         left, right = (few.select(F.col("__doc").alias(f"__{x}"), F.col("__n").alias(f"__n{x}"), F.col("__sketch").alias(f"__s{x}"), F.col("__z").alias(f"__z{x}")) for x in "ab")
         fits = self.den * F.least("__na", "__nb") >= self.num * F.greatest("__na", "__nb")
         both = pairs.join(left, "__a").join(right, "__b").filter(fits)
-        return cut(map_arrow(both, _confirmed(self.size, self.num, self.den, likely), "__a bigint, __b bigint").distinct())
+        return cut(map_arrow(both, _confirmed(self.size, self.num, self.den), "__a bigint, __b bigint").distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -148,36 +147,56 @@ def components(links: DataFrame) -> DataFrame:
         labels = labels.select("__id", "__comp")
 
 
-def _cells(least: float, num: int, den: int):
-    """Likely pairs of different components in each cell; rows come sorted by cell, side 0 first."""
+def _cells(size: int, num: int, den: int):
+    """Links between different components in each cell; rows come sorted by cell, side 0 first.
 
-    def pairs(rows: list[tuple]) -> tuple[list, list]:
+    Pairs that the registers make likely are confirmed on full sets here, unless links found before in the cell join their
+    components already: a cell tells fewer links than it has members.
+    """
+
+    def links(rows: list[tuple]) -> list[tuple[int, int]]:
+        unzip = zstandard.ZstdDecompressor()
         side, doc, comp, n = (np.array([r[i] for r in rows], np.int64) for i in range(1, 5))
         k = np.frombuffer(b"".join(r[5] for r in rows), np.int16).reshape(-1, sketch.M)
-        out_a, out_b = [], []
-        all_ = np.flatnonzero(side == 1)
-        for i in np.flatnonzero(side == 0):
-            ok = all_[(comp[all_] != comp[i]) & (den * np.minimum(n[all_], n[i]) >= num * np.maximum(n[all_], n[i]))]
-            ok = ok[sketch.jaccard(np.broadcast_to(k[i], (len(ok), sketch.M)), k[ok], np.full(len(ok), n[i]), n[ok]) >= least]
-            out_a += np.minimum(doc[ok], doc[i]).tolist()
-            out_b += np.maximum(doc[ok], doc[i]).tolist()
-        return out_a, out_b
+        sets: dict[int, np.ndarray] = {}
+        top = np.unique(comp, return_inverse=True)[1]
+
+        def of(i: int) -> np.ndarray:
+            if i not in sets:
+                data = np.frombuffer(unzip.decompress(rows[i][6]), np.uint8)
+                sets[i] = _sets(data, np.array([0, len(data)]), size)[0]
+            return sets[i]
+
+        out: list[tuple[int, int]] = []
+        every = np.flatnonzero(side == 1)
+        for i in np.flatnonzero(side == 0).tolist():
+            ok = every[(top[every] != top[i]) & (den * np.minimum(n[every], n[i]) >= num * np.maximum(n[every], n[i]))]
+            ok = ok[sketch.jaccard(np.broadcast_to(k[i], (len(ok), sketch.M)), k[ok], np.full(len(ok), n[i]), n[ok]) >= num / den - SLACK]
+            for j in ok.tolist():
+                if top[i] == top[j]:
+                    continue
+                a, b = of(i), of(j)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if both > 0 and den * both >= num * (len(a) + len(b) - both):
+                    out.append((int(min(doc[i], doc[j])), int(max(doc[i], doc[j]))))
+                    top[top == top[j]] = top[i]
+        return out
+
+    def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["__a", "__b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            out_a, out_b = [], []
-            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            found = []
+            for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 if held and held[-1][0] != row[0]:
-                    a, b = pairs(held)
-                    out_a += a
-                    out_b += b
+                    found += links(held)
                     held = []
                 held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["__a", "__b"])
+            yield batch_of(found)
         if held:
-            a, b = pairs(held)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["__a", "__b"])
+            yield batch_of(links(held))
 
     return run
 
@@ -222,13 +241,12 @@ def near_duplicates(df: DataFrame, text: str = "text", doc: str = "doc_id", shin
     one = grid.filter(outside).select("*", F.lit(0).alias("__side"), spot("__r").alias("__row"), F.explode(F.sequence(F.lit(0), F.col("__i") - 1)).alias("__col"))
     two = grid.select("*", F.lit(1).alias("__side"), F.explode(F.sequence(F.lit(0), F.col("__r") - 1)).alias("__row"), spot("__i").alias("__col"))
     cells = cut(one.unionByName(two.select(*one.columns)).select(F.xxhash64("__band", "__row", "__col").alias("__cell"), "__side", "__node", "__comp"))
-    few = _only(full.select("__doc", "__n", "__sketch"), "__doc", cut(cells.select(F.col("__node").alias("__id")).distinct())).dropDuplicates(["__doc", "__sketch"])
+    few = _only(full.select("__doc", "__n", "__sketch", "__z"), "__doc", cut(cells.select(F.col("__node").alias("__id")).distinct())).dropDuplicates(["__doc", "__sketch", "__n"])
     dealt = (
-        cells.join(few, cells["__node"] == few["__doc"]).select("__cell", "__side", "__node", "__comp", "__n", "__sketch")
+        cells.join(few, cells["__node"] == few["__doc"]).select("__cell", "__side", "__node", "__comp", "__n", "__sketch", "__z")
         .repartition(parts(df), "__cell").sortWithinPartitions("__cell", "__side")
     )
-    likely = cut(map_arrow(dealt, _cells(num / den - SLACK, num, den), "__a bigint, __b bigint").distinct())
-    rest = verify(likely, likely=True)
+    rest = cut(map_arrow(dealt, _cells(shingle, num, den), "__a bigint, __b bigint").distinct())
     if rest.limit(1).count():
         comps = components(links.union(rest))
     nodes = every.select("__doc", "__k1", "__k2", "__n").join(classes, ["__k1", "__k2"], "left")
