@@ -8,7 +8,7 @@ each group. Nothing is renamed or sorted recursively.
 A corpus is too large for one array, and only repeats of LENGTH bytes matter. Every string of LENGTH bytes has an anchor:
 its GRAM bytes of least hash, the same in equal strings. Chunks of documents send their anchors' hashes, packed, to shards
 that tell which occur again; the strings around each such anchor (those that it is the anchor of) meet by its hash, equal
-ones are put together, and a suffix array of the different ones finds all strings of LENGTH bytes that occur again, of
+ones are put together, different ones are cut to what others share, and a suffix array of those finds all strings of LENGTH bytes that occur again, of
 which only the first place stays. Anchors with over HOT places are exchanged as packed hashes of the strings themselves,
 cut by hash range, so that no task holds them all. Whole texts that repeat are settled before, by digest.
 
@@ -35,7 +35,9 @@ from .tokens import mix
 
 LENGTH, GRAM = 100, 32
 HOT = 2000
-CHUNK = 8 << 20
+CHUNK = 4 << 20
+#: Starts that are hashed at a time; bits for a place among them.
+STRETCH, _PLACE = 1 << 19, 20
 _FIRST = -(1 << 63)
 
 
@@ -161,15 +163,26 @@ def window_hashes(data: np.ndarray, length: int) -> np.ndarray:
         power, n = power * power & 0xFFFFFFFFFFFFFFFF, 2 * n
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each anchor: hash, place, and the first and last start of the strings whose anchor it is."""
+def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each anchor: hash, place, and the first and last start of the strings whose anchor it is. Strings are taken by
+    ranges of STRETCH starts, so that memory is bounded whatever a text's length; a range's end may part an anchor's."""
+    out = []
+    for at in range(0, max(1, len(data) - LENGTH + 1), STRETCH):
+        a, b = np.searchsorted(offsets, [at, at + STRETCH + LENGTH - 1], "right")
+        inner = np.concatenate(([at], offsets[a:b], [min(len(data), at + STRETCH + LENGTH - 1)])) - at
+        h, p, x, y = _anchors(data[at : at + STRETCH + LENGTH - 1], np.unique(inner))
+        out.append((h, p + at, x + at, y + at))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
         return none.view(np.uint64), none, none, none
     h = _gram_hashes(data, GRAM)
     w = LENGTH - GRAM + 1
-    bits = np.uint64(max(1, int(len(h)).bit_length()))
-    key = h >> bits << bits | np.arange(len(h), dtype=np.uint64)
+    low = np.uint64(_PLACE)
+    key = (h >> low << low) | np.arange(len(h), dtype=np.uint64)
     n = len(key) - w + 1
     rows = -(-len(key) // w)
     grid = np.full(rows * w, np.uint64(0xFFFFFFFFFFFFFFFF))
@@ -178,10 +191,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     ahead = np.minimum.accumulate(grid, 1).ravel()
     back = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
     least = np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
-    place = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    place = (least & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
     good = np.zeros(n + 1, np.int64)
-    lengths = np.diff(offsets)
-    fits = lengths >= LENGTH
+    fits = np.diff(offsets) >= LENGTH
     np.add.at(good, offsets[:-1][fits], 1)
     np.add.at(good, np.minimum(offsets[1:][fits] - LENGTH + 1, n), -1)
     starts = np.flatnonzero(np.cumsum(good[:n]) > 0)
@@ -266,6 +278,7 @@ def _found(row: dict) -> tuple:
     """Texts and anchors of a chunk, with the marks of its anchors."""
     data, offsets = _texts(row)
     h, p, a, b = anchors(data, offsets)
+    place = p - a
     replies = sorted(row["__r"], key=lambda x: x["__shard"])
     again, hot = (np.frombuffer(b"".join(x[k] for x in replies), np.uint64) for k in ("__again", "__hot"))
 
@@ -273,63 +286,98 @@ def _found(row: dict) -> tuple:
         at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
         return keys[at] == h if len(keys) else np.zeros(len(h), bool)
 
-    return data, offsets, h, a, b, of(again), of(hot)
+    return data, offsets, h, a, b, place, of(again), of(hot)
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for row in _each(batches):
-        data, offsets, h, a, b, again, _ = _found(row)
-        h, a, b = h[again], a[again], b[again]
+        data, offsets, h, a, b, off, again, _ = _found(row)
+        h, a, b, off = h[again], a[again], b[again], off[again]
         doc = np.searchsorted(offsets, a, "right") - 1
         docs = np.array([_FIRST if x is None else x for x in row["__docs"]], np.int64)
         raw = data.tobytes()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(h.view(np.int64)), pa.array(docs[doc]), pa.array(np.full(len(h), row["__chunk"])), pa.array(doc.astype(np.int32)), pa.array(a - offsets[doc]),
+            [pa.array(h.view(np.int64)), pa.array(docs[doc]), pa.array(np.full(len(h), row["__chunk"])), pa.array(doc.astype(np.int32)), pa.array(a - offsets[doc]), pa.array(off),
              pa.array([raw[x : y + LENGTH] for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())],
-            ["__h", "__doc", "__chunk", "__i", "__start", "__bytes"],
+            ["__h", "__doc", "__chunk", "__i", "__start", "__off", "__bytes"],
         )
 
 
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    x = int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])
+    return n - (x.bit_length() + 7) // 8
+
+
+def _trimmed(same: dict[tuple, list[tuple]]) -> dict[tuple, list[tuple]]:
+    """Different strings around one anchor, cut to what any two have in common on either side of the anchor's start; those
+    that are then too short hold no repeat. Neighbours in order share the most."""
+    kinds = list(same)
+    reach = [[0] * len(kinds), [0] * len(kinds)]
+    for side in (0, 1):
+        order = sorted((x[off:] if side else x[:off][::-1], k) for k, (off, x) in enumerate(kinds))
+        for (a, i), (b, j) in zip(order, order[1:], strict=False):
+            n = _common(a, b)
+            reach[side][i], reach[side][j] = max(reach[side][i], n), max(reach[side][j], n)
+    out: dict[tuple, list[tuple]] = {}
+    for k, (off, x) in enumerate(kinds):
+        if len(same[(off, x)]) > 1:  # its copies share all of it
+            reach[0][k], reach[1][k] = off, len(x) - off
+        a, b = off - reach[0][k], off + reach[1][k]
+        if b - a >= LENGTH:
+            out.setdefault((reach[0][k], x[a:b]), []).extend((*r[:4], r[4] + a, r[5], r[6]) for r in same[(off, x)])
+    return out
+
+
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ranges of starts of repeated strings that are not their first; rows come sorted by anchor."""
 
     def settle(rows: list[tuple], out: list[tuple]) -> None:
-        same: dict[bytes, list[tuple]] = {}
+        same: dict[tuple, list[tuple]] = {}
         for r in rows:
-            same.setdefault(r[5], []).append(r)
-        kinds = list(same)
-        if len(kinds) == 1:
-            least = min((r[1], r[4]) for r in rows)
-            out += [(r[2], r[3], r[4], r[4] + len(r[5]) - LENGTH) for r in rows if (r[1], r[4]) != least]
+            same.setdefault((r[5], r[6]), []).append(r)
+        if len(same) > 1:
+            same = _trimmed(same)
+        places = {x: min((r[1], r[4]) for r in rs) for (_, x), rs in same.items()}
+        if not same:
+            return
+        if len(same) == 1:
+            ((_, x),) = same
+            out += [(r[2], r[3], r[4], r[4] + len(x) - LENGTH) for rs in same.values() for r in rs if (r[1], r[4]) != places[x]]
             return
+        merged: dict[bytes, list[tuple]] = {}
+        for (_, x), rs in same.items():
+            merged.setdefault(x, []).extend(rs)
+        kinds = list(merged)
         first = {}
         for k, x in enumerate(kinds):
-            low = min((r[1], r[4]) for r in same[x])
+            doc, start = min((r[1], r[4]) for r in merged[x])
             for t in range(len(x) - LENGTH + 1):
-                first[(k, t)] = (low[0], low[1] + t)
+                first[(k, t)] = (doc, start + t)
         for run in repeated(kinds):
             low = min(first[x] for x in run)
             for x in run:
                 first[x] = low
         for k, x in enumerate(kinds):
             n = len(x) - LENGTH + 1
-            for _, doc, chunk, i, start, _ in same[x]:
+            for r in merged[x]:
                 begin = None
                 for t in range(n):
-                    gone = first[(k, t)] < (doc, start + t)
+                    gone = first[(k, t)] < (r[1], r[4] + t)
                     if gone and begin is None:
                         begin = t
                     elif not gone and begin is not None:
-                        out.append((chunk, i, start + begin, start + t - 1))
+                        out.append((r[2], r[3], r[4] + begin, r[4] + t - 1))
                         begin = None
                 if begin is not None:
-                    out.append((chunk, i, start + begin, start + n - 1))
+                    out.append((r[2], r[3], r[4] + begin, r[4] + n - 1))
 
     kinds, names = [pa.int64(), pa.int32(), pa.int64(), pa.int64()], ["__chunk", "__i", "__from", "__to"]
     held: list[tuple] = []
     for batch in batches:
         out: list[tuple] = []
-        for r in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+        for r in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
             if held and held[0][0] != r[0]:
                 settle(held, out)
                 held = []
@@ -344,7 +392,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _hot_ask(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
-            data, offsets, _, a, b, _, hot = _found(row)
+            data, offsets, _, a, b, _, _, hot = _found(row)
             if not hot.any():
                 continue
             n = (b - a + 1)[hot]
@@ -433,7 +481,7 @@ def remove_repeats(df: DataFrame, text: str = "text", doc: str = "doc_id") -> Da
     replies = _few(asked.repartition(n, "__shard").sortWithinPartitions("__shard"), _answer, "__shard int, __chunk bigint, __again binary, __hot binary")
     told = stage(replies.groupBy("__chunk").agg(F.collect_list(F.struct("__shard", "__again", "__hot")).alias("__r")), "anchors")
     known = chunks.join(told, "__chunk")
-    segments = _few(known, _segments, "__h bigint, __doc bigint, __chunk bigint, __i int, __start bigint, __bytes binary")
+    segments = _few(known, _segments, "__h bigint, __doc bigint, __chunk bigint, __i int, __start bigint, __off bigint, __bytes binary")
     ranges = map_arrow(segments.repartition(2 * n, "__h").sortWithinPartitions("__h"), _settle, "__chunk bigint, __i int, __from bigint, __to bigint")
     hot = _few(known.filter(F.exists("__r", lambda x: F.octet_length(x["__hot"]) > 0)), _hot_ask(bits), "__shard int, __chunk bigint, __h binary, __h2 binary, __d binary, __di binary, __p binary")
     hots = _few(hot.repartition(n, "__shard").sortWithinPartitions("__shard"), _hot_answer, "__chunk bigint, __packed binary")
