@@ -3,16 +3,22 @@
 P(word | history) = P(class | history) P(word | class). Classes: one for words that training has not seen or seen once,
 one for the end of a text, one for each of the TOP most frequent words, and the rest by a hash of how words end. The
 class softmax has a bias, the classes' training shares, n-gram features (the classes of the last two words, together and each), and hashed identities of the
-last word and, as a skip feature, of the one before it. Within a class words have their discounted training share; an
-unseen word has UNSEEN of the mass of its class, all words seen once share the rest.
+last word and, as a skip feature, of the one before it. Within a class hashed by ending, P(word | class, history) is a
+product of logistic decisions down a binary tree of the class's words, so that it adds up to 1. A decision's bias is the
+discounted training shares of its two sides; its features, hashed with the node, are the last word and, as a skip feature,
+the one before it, in a table of at least as many weights as there are words seen twice. Words seen equally often are a run;
+the tree splits runs by mass, then a run's words by rank. An unseen word has UNSEEN of the mass of its class, all words
+seen once share the rest, whatever the history.
 
 Data flow. Documents are tokenised once, in chunks, to a staged table. Each chunk sends its distinct words' hashes and
 training counts, cut by hash range, to shards that add them up and send the totals back: every distinct word crosses the
 network once for each chunk, as packed arrays, and both messages and shards are bounded by the chunk size and the number
-of shards, with no word's rows ever meeting in one place but as one number for each chunk. Training: in each of ROUNDS
-rounds, tasks start from the broadcast weights, take AdaGrad steps over their chunks (a token trains in one round) and
-send changes, which are averaged by how often each weight row was met. Scoring reads the chunks again. The weights'
-size is fixed by the parameters; the counts, and what is exchanged, grow with the corpus.
+of shards, with no word's rows ever meeting in one place but as two numbers for each chunk (total, and rank among the
+shard's words of its class and total; how many those are is broadcast). Training: in each of ROUNDS rounds, as many tasks as
+there are cores start from the broadcast weights, take AdaGrad steps over their chunks (a token trains in one round) and
+send changes, which are averaged by how often each class row was met, and by the root of the squared gradients of each word
+weight. Scoring reads the chunks again. The class weights' size is fixed by the parameters; word weights, counts, and what
+is exchanged, grow with the corpus.
 
 Defined cases: a null or empty text is the end token alone; repeated rows count and are scored each; a null doc_id
 counts as not held out; words beyond ASCII are bytes like others; a word is identified by a 64-bit hash; other columns
@@ -131,18 +137,28 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(unique), np.int64)
         np.add.at(total, inverse, np.concatenate([x[3] for x in held]))
         tail = np.concatenate([x[2] for x in held])[index]
+        end, rare = unique == _END, total == 1
+        known = (total > 1) & ~end
+        words_ = np.flatnonzero(known)
+        key = _run_key(tail[words_], total[words_])
+        order = np.argsort(key, kind="stable")
+        _, first, many = np.unique(key[order], return_index=True, return_counts=True)
+        rank = np.zeros(len(unique), np.int64)
+        rank[words_[order]] = np.arange(len(order)) - np.repeat(first, many)
+        lead = words_[order][first]
+        runs = [_pack(tail[lead]), _pack(total[lead]), _pack(many.astype(np.int64))]
         rows, at = [], 0
         for chunk, own, _, _ in held:
-            rows.append((shard, chunk, _pack(total[inverse[at : at + len(own)]]), None))
+            mine = inverse[at : at + len(own)]
+            rows.append((shard, chunk, _pack(total[mine]), _pack(rank[mine]), None, None))
             at += len(own)
-        end, rare = unique == _END, total == 1
-        known = (total > 1) & ~end
         mass = np.bincount(tail[known], total[known] - DISCOUNT, _ENDS)
         best = np.flatnonzero(~end)[np.argsort(-total[~end], kind="stable")[: 4 * TOP]]
         stats = [float(total.sum()), float((total > 0).sum()), float((rare & ~end).sum()), float(total[end].sum()), *mass.tolist()]
         top = [x for i in best if total[i] > 1 for x in (float(unique[i] >> np.uint64(32)), float(unique[i] & np.uint64(0xFFFFFFFF)), float(total[i]), float(tail[i]))]
-        rows.append((shard, -1, b"", [*stats, *top]))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.float64())), strict=True)], ["__shard", "__chunk", "__totals", "__stats"])
+        rows.append((shard, -1, b"", b"", [*stats, *top], runs))
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.binary()))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["__shard", "__chunk", "__totals", "__ranks", "__stats", "__runs"])
 
     at, held = None, []
     for batch in batches:
@@ -156,13 +172,97 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(at, held)
 
 
+def _run_key(tails: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Orders by class, then the most frequent first; leaves room for a shard."""
+    return (np.asarray(tails, np.int64) << 56) | (((1 << 40) - 1 - np.asarray(totals, np.int64)) << 16)
+
+
+class Tree:
+    """Binary trees over the words of all classes: runs: for each shard its number, and classes, totals and words of its runs.
+
+    Words stand in the order of class, total (falling), shard and hash. A node is named by the first word of its right side.
+    The words that have classes of their own (top) are the first of their run, and left out.
+    """
+
+    def __init__(self, runs: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], top: list[tuple[int, float, int]], bits: int) -> None:
+        self.bits = bits
+        none = [np.zeros(0, np.int64)]
+        key = np.concatenate([_run_key(t, c) | s for s, t, c, _ in runs] or none)
+        order = np.argsort(key)
+        self.key, many = key[order], np.concatenate([n for *_, n in runs] or none)[order]
+        self.less = np.zeros(len(key), np.int64)
+        for w, c, t in top:
+            self.less[np.searchsorted(self.key, _run_key(t, int(c)) | self.shards(np.array([w], np.uint64))[0])] += 1
+        many = many - self.less
+        first = np.cumsum(many) - many
+        run, at, self.run = np.unique(self.key >> 16, return_index=True, return_inverse=True)
+        self.first, self.many = first[at], np.add.reduceat(many, at) if len(at) else many
+        self.offset = first - self.first[self.run]
+        self.size = int(many.sum())
+        mass = np.concatenate(([0], np.cumsum(self.many * (2 * ((1 << 40) - 1 - (run & ((1 << 40) - 1))) - 1))))
+        used = np.flatnonzero(self.many)
+        whole = np.append(mass[used], mass[-1])  # of the runs before each
+        kind = run[used] >> 40
+        lo, hi = np.searchsorted(kind, kind), np.searchsorted(kind, kind, "right")
+        levels, self.depth = [], np.zeros(len(self.many), np.int64)
+        active = np.flatnonzero(hi - lo > 1)
+        while len(active):
+            a, b = lo[active], hi[active]
+            half = (whole[a] + whole[b]) // 2
+            m = np.searchsorted(whole, half)
+            m = np.clip(m - (half - whole[m - 1] < whole[m] - half), a + 1, b - 1)
+            right = active >= m
+            levels.append((used[active], self.first[used[m]], np.log((whole[b] - whole[m]) / (whole[m] - whole[a])), right))
+            lo[active], hi[active] = np.where(right, m, a), np.where(right, b, m)
+            self.depth[used[active]] += 1
+            active = active[hi[active] - lo[active] > 1]
+        self.start = np.cumsum(self.depth) - self.depth
+        self.path = _laid(self.start, levels, int(self.depth.sum()))
+
+    def shards(self, w: np.ndarray) -> np.ndarray:
+        return (w >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(w), np.int64)
+
+    def paths(self, w: np.ndarray, tails: np.ndarray, totals: np.ndarray, ranks: np.ndarray) -> tuple:
+        """Place of the first decision and number of decisions of each word; nodes, biases and sides of all decisions."""
+        entry = np.searchsorted(self.key, _run_key(tails, totals) | self.shards(w))
+        run = self.run[entry]
+        rank = self.offset[entry] + ranks - self.less[entry]
+        lo, hi, upper, levels = np.zeros(len(w), np.int64), self.many[run], self.depth[run], []
+        depth = upper.copy()
+        active = np.flatnonzero(hi > 1)
+        while len(active):
+            a, b = lo[active], hi[active]
+            m = (a + b) // 2
+            right = rank[active] >= m
+            levels.append((active, self.first[run[active]] + m, np.log((b - m) / (m - a)), right))
+            lo[active], hi[active] = np.where(right, m, a), np.where(right, b, m)
+            depth[active] += 1
+            active = active[hi[active] - lo[active] > 1]
+        start = np.cumsum(depth) - depth
+        out = _laid(start + upper, levels, int(depth.sum()))
+        to = np.repeat(start - (np.cumsum(upper) - upper), upper) + np.arange(int(upper.sum()))
+        of = np.repeat(self.start[run] - (np.cumsum(upper) - upper), upper) + np.arange(int(upper.sum()))
+        for x, y in zip(out, self.path, strict=True):
+            x[to] = y[of]
+        return start, depth, *out
+
+
+def _laid(start: np.ndarray, levels: list[tuple], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes, biases and sides of decisions, those of one word together."""
+    node, bias, right = np.zeros(size, np.uint32), np.zeros(size, np.float32), np.zeros(size, bool)
+    for k, (who, n, b, r) in enumerate(levels):
+        at = start[who] + k
+        node[at], bias[at], right[at] = n, b, r
+    return node, bias, right
+
+
 class Stats:
     """Corpus totals and classes of words."""
 
     def __init__(self, total: np.ndarray, top: list[tuple[int, float, int]]) -> None:
         self.n, self.v, self.once, self.ends = (int(x) for x in total[:4])
         self.mass = total[4 : 4 + _ENDS].copy()
-        top = sorted(top, key=lambda x: (-x[1], x[0]))[:TOP]
+        top = self.best = sorted(top, key=lambda x: (-x[1], x[0]))[:TOP]
         for _, c, t in top:
             self.mass[t] -= c - DISCOUNT
         self.top = np.array([x[0] for x in sorted(top)], np.uint64)
@@ -191,11 +291,17 @@ class Stats:
 class Chunk:
     """One chunk's tokens with their classes and features."""
 
-    def __init__(self, row: dict, stats: Stats) -> None:
+    def __init__(self, row: dict, stats: Stats, tree: Tree, slots: int) -> None:
         self.ids, self.len = _unpack(row["__ids"], np.int32), _unpack(row["__len"], np.int64)
         self.train = np.frombuffer(row["__held"], np.uint8).astype(bool)
-        w, self.totals = np.frombuffer(row["__words"], np.uint64), _totals(row["__replies"])
-        kind, self.inner = stats.classes(w, np.frombuffer(row["__tails"], np.uint8), self.totals)
+        w, self.totals = np.frombuffer(row["__words"], np.uint64), _numbers(row["__replies"], 1)
+        tails = np.frombuffer(row["__tails"], np.uint8)
+        kind, self.inner = stats.classes(w, tails, self.totals)
+        tree_words = np.flatnonzero(kind >= 2 + TOP)
+        self.inner[tree_words] = 0.0
+        self.start, self.depth = np.zeros(len(w), np.int64), np.zeros(len(w), np.int64)
+        self.start[tree_words], self.depth[tree_words], self.node, self.bias, self.right = tree.paths(w[tree_words], tails[tree_words], self.totals[tree_words], _numbers(row["__replies"], 2)[tree_words])
+        self.shift = np.uint32(32 - (slots - 1).bit_length())
         self.kind = kind[self.ids]
         self.at = np.concatenate(([0], np.cumsum(self.len)))
         one, two = np.empty_like(self.ids), np.empty_like(self.ids)
@@ -207,10 +313,47 @@ class Chunk:
         names = ((mix(w + np.uint64(1)) >> np.uint64(20)) % np.uint64(IDS)).astype(np.int32)
         skips = ((mix(w + np.uint64(2)) >> np.uint64(20)) % np.uint64(IDS)).astype(np.int32)
         self.features = (kind[two] * CLASSES + kind[one], names[one], skips[two])
-
-
-def _totals(replies: list[tuple]) -> np.ndarray:
-    return np.concatenate([_unpack(z, np.int64) for _, z in sorted(replies, key=lambda x: x[0])])
+        self.history = [(mix(w + np.uint64(k)) >> np.uint64(32)).astype(np.uint32)[x] for k, x in ((3, one), (4, two))]
+
+    def decisions(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Token (its place in `at`), bias, side and weight slots of each decision of the tokens `at`."""
+        ids = self.ids[at]
+        n = self.depth[ids]
+        token = np.repeat(np.arange(len(at)), n)
+        spot = np.repeat(self.start[ids] - (np.cumsum(n) - n), n) + np.arange(len(token))
+        own = self.node[spot] * np.uint32(0x9E3779B1)
+        slots = []
+        for h in self.history:
+            x = own ^ h[at][token]
+            x ^= x >> np.uint32(15)
+            x *= np.uint32(0x85EBCA6B)
+            slots.append((x >> self.shift).astype(np.int64))
+        return token, self.bias[spot], self.right[spot], slots
+
+
+def _numbers(replies: list[tuple], i: int) -> np.ndarray:
+    return np.concatenate([_unpack(x[i], np.int64) for x in sorted(replies, key=lambda x: x[0])])
+
+
+def _word_step(w: np.ndarray, squares: np.ndarray, sums: np.ndarray, chunk: Chunk, at: np.ndarray) -> None:
+    """One AdaGrad step on a batch's decisions within classes; sums: zeros."""
+    _, bias, right, slots = chunk.decisions(at)
+    z = bias + w[slots[0]] + w[slots[1]]
+    g = 1 / (1 + np.exp(-z)) - right
+    for x in slots:
+        np.add.at(sums, x, g)
+    for x in slots:
+        d = sums[x]
+        s = squares[x] + d * d
+        step = w[x] - RATE * d / np.sqrt(s)
+        squares[x], w[x], sums[x] = np.where(d != 0, s, squares[x]), np.where(d != 0, step, w[x]), 0
+
+
+def _word_logs(w: np.ndarray, chunk: Chunk, at: np.ndarray) -> np.ndarray:
+    """log P(word | class, history) by the tree, of each token."""
+    token, bias, right, slots = chunk.decisions(at)
+    z = (bias + w[slots[0]] + w[slots[1]]).astype(np.float64)
+    return np.bincount(token, -np.logaddexp(0, np.where(right, -z, z)), len(at))
 
 
 def _softmax(weights: list[np.ndarray], features: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
@@ -241,17 +384,24 @@ def _train(weights, stats, round_: int, blocks: int):
         start, own = weights.value, None
         for batch in batches:
             for row in batch.to_pylist():
-                c = Chunk(row, stats.value)
+                c = Chunk(row, *stats.value, len(start[-1]))
                 if own is None:
                     own = [w.copy() for w in start]
-                    squares, met = [np.ones_like(w) for w in start], [np.zeros(len(w), np.float64) for w in start]
+                    squares, met = [np.ones_like(w) for w in start], [np.zeros(len(w), np.float64) for w in start[:-1]]
+                    sums = np.zeros_like(start[-1])
                 use = np.flatnonzero(np.repeat(c.train, c.len))
                 for k in range(0, len(use), BATCH):
                     if (k // BATCH) % ROUNDS == round_:
                         at = use[k : k + BATCH]
-                        _step(own, squares, met, [f[at] for f in c.features], c.kind[at], stats.value.bias)
+                        _step(own[:-1], squares[:-1], met, [f[at] for f in c.features], c.kind[at], stats.value[0].bias)
+                        _word_step(own[-1], squares[-1], sums, c, at)
         if own is not None:
-            change = np.concatenate([(a - b) * m[:, None].astype(np.float32) for a, b, m in zip(own, start, met, strict=True)])
+            del sums
+            for i in range(blocks):
+                at = slice(i * len(own[-1]) // blocks, (i + 1) * len(own[-1]) // blocks)
+                change, root = (own[-1][at] - start[-1][at]).astype(np.float16), np.minimum(np.sqrt(squares[-1][at] - 1), 6e4).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([pa.array([blocks + i], pa.int32()), pa.array([_pack(change)], pa.binary()), pa.array([_pack(root)], pa.binary())], ["__block", "__change", "__met"])
+            change = np.concatenate([(a - b) * m[:, None].astype(np.float32) for a, b, m in zip(own[:-1], start[:-1], met, strict=True)])
             many = np.concatenate(met)
             edge = np.linspace(0, len(many), blocks + 1).astype(int)
             rows = [(i, _pack(change[a:b].ravel().astype(np.float32)), _pack(many[a:b])) for i, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True))]
@@ -260,27 +410,35 @@ def _train(weights, stats, round_: int, blocks: int):
     return run
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, list] = {}
-    for batch in batches:
-        for block, change, met in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            got = _unpack(change, np.float32).astype(np.float64), _unpack(met, np.float64)
-            total[block] = [a + b for a, b in zip(total[block], got, strict=True)] if block in total else list(got)
-    for block, (change, met) in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([change.tobytes()]), pa.array([met.tobytes()])], ["__block", "__change", "__met"])
+def _summed(blocks: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, list] = {}
+        for batch in batches:
+            for block, change, met in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if block < blocks:
+                    got = [_unpack(change, np.float32).astype(np.float64), _unpack(met, np.float64)]
+                else:
+                    root = _unpack(met, np.float16).astype(np.float32)
+                    got = [_unpack(change, np.float16).astype(np.float32) * root, root]
+                total[block] = [a + b for a, b in zip(total[block], got, strict=True)] if block in total else got
+        for block, (change, met) in total.items():
+            mean = change.reshape(len(met), -1) / np.where(met > 0, met, 1)[:, None]
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([mean.astype(np.float32).tobytes()], pa.binary())], ["__block", "__mean"])
+
+    return run
 
 
 def _score(weights, stats):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, s = weights.value, stats.value
+        w, (s, tree) = weights.value, stats.value
         for batch in batches:
             for row in batch.to_pylist():
-                c = Chunk(row, s)
+                c = Chunk(row, s, tree, len(w[-1]))
                 outer = np.empty(len(c.ids))
                 for k in range(0, len(c.ids), BATCH):
                     at = slice(k, k + BATCH)
-                    p = _softmax(w, [f[at] for f in c.features], s.bias)
-                    outer[at] = np.log(np.maximum(p[np.arange(len(p)), c.kind[at]], 1e-30))
+                    p = _softmax(w[:-1], [f[at] for f in c.features], s.bias)
+                    outer[at] = np.log(np.maximum(p[np.arange(len(p)), c.kind[at]], 1e-30)) + _word_logs(w[-1], c, np.arange(k, min(k + BATCH, len(c.ids))))
                 base = np.log10((c.totals + 1) / (s.n + s.v + 1))
                 add = lambda x: np.add.reduceat(x, c.at[:-1])  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
@@ -300,7 +458,7 @@ def score(df: DataFrame, train, text: str = "text", doc: str = "doc_id") -> Data
     n = parts(df)
     bits = max(0, (n - 1).bit_length())
     asked = _few(chunks.select("__chunk", "__words", "__tails", "__counts"), _ask(bits), "__shard int, __chunk bigint, __words binary, __tails binary, __counts binary")
-    replies = stage(_few(asked.repartition(n, "__shard").sortWithinPartitions("__shard"), _answer, "__shard int, __chunk bigint, __totals binary, __stats array<double>"), "replies")
+    replies = stage(_few(asked.repartition(n, "__shard").sortWithinPartitions("__shard"), _answer, "__shard int, __chunk bigint, __totals binary, __ranks binary, __stats array<double>, __runs array<binary>"), "replies")
     lines = replies.filter("__chunk = -1")
     total = np.zeros(4 + _ENDS)
     for r in lines.select(F.posexplode(F.slice("__stats", 1, 4 + _ENDS)).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect():
@@ -308,7 +466,9 @@ def score(df: DataFrame, train, text: str = "text", doc: str = "doc_id") -> Data
     four = F.transform(F.sequence(F.lit(4 + _ENDS), F.size("__stats") - 4, F.lit(4)), lambda i: F.struct(*(F.get("__stats", i + k).alias(f"x{k}") for k in range(4))))
     best = lines.filter(F.size("__stats") > 4 + _ENDS).select(F.inline(four)).orderBy(F.desc("x2"), "x0", "x1").limit(TOP).collect()
     stats = Stats(total, [((int(r["x0"]) << 32) | int(r["x1"]), r["x2"], int(r["x3"])) for r in best])
-    back = replies.filter("__chunk >= 0").groupBy("__chunk").agg(F.collect_list(F.struct("__shard", "__totals")).alias("__r"))
+    runs = [(r["__shard"], _unpack(r["__runs"][0], np.uint8), *(_unpack(x, np.int64) for x in r["__runs"][1:])) for r in lines.select("__shard", "__runs").collect()]
+    tree = Tree(runs, stats.best, bits)
+    back = replies.filter("__chunk >= 0").groupBy("__chunk").agg(F.collect_list(F.struct("__shard", "__totals", "__ranks")).alias("__r"))
     whole = chunks.drop("__counts").join(back, "__chunk")
     ready = stage(whole.withColumn("__replies", F.col("__r")).drop("__r"), "counted")
 
@@ -320,18 +480,17 @@ def score(df: DataFrame, train, text: str = "text", doc: str = "doc_id") -> Data
 
         return run
 
-    weights = [np.zeros((k, CLASSES), np.float32) for k in _ROWS]
+    slots = 1 << max(10, tree.size.bit_length())
+    weights = [*(np.zeros((k, CLASSES), np.float32) for k in _ROWS), np.zeros(slots, np.float32)]
     blocks = max(16, min(n, 512))
-    shared_stats = spark.sparkContext.broadcast(stats)
+    shared_stats = spark.sparkContext.broadcast((stats, tree))
+    few = ready.coalesce(max(1, spark.sparkContext.defaultParallelism))  # each training task sends all weights once
     for round_ in range(ROUNDS):
-        sent = _few(ready, rowed(_train(spark.sparkContext.broadcast(weights), shared_stats, round_, blocks)), "__block int, __change binary, __met binary")
-        parts_ = map_arrow(sent.repartition(blocks, "__block"), _summed, "__block int, __change binary, __met binary").collect()  # as large as the weights
+        sent = _few(few, rowed(_train(spark.sparkContext.broadcast(weights), shared_stats, round_, blocks)), "__block int, __change binary, __met binary")
+        parts_ = map_arrow(sent.repartition(blocks, "__block"), _summed(blocks), "__block int, __mean binary").collect()  # as large as the weights
         if parts_:
-            got = sorted(parts_, key=lambda r: r["__block"])
-            met = np.concatenate([np.frombuffer(r["__met"], np.float64) for r in got])
-            change = np.concatenate([np.frombuffer(r["__change"], np.float64) for r in got]).reshape(len(met), CLASSES) / np.maximum(met, 1)[:, None]
-            cut_ = np.cumsum(_ROWS)[:-1]
-            weights = [w + d.astype(np.float32) for w, d in zip(weights, np.split(change, cut_), strict=True)]
+            mean = np.concatenate([np.frombuffer(r["__mean"], np.float32) for r in sorted(parts_, key=lambda r: r["__block"])])
+            weights = [w + d.reshape(w.shape) for w, d in zip(weights, np.split(mean, np.cumsum([w.size for w in weights])[:-1]), strict=True)]
     return _few(ready, rowed(_score(spark.sparkContext.broadcast(weights), shared_stats)), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
@@ -346,7 +505,7 @@ def _rows(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[_Row]
     for batch in batches:
         for i in range(batch.num_rows):
             row = {c: batch.column(c)[i].as_py() for c in names}
-            row["__replies"] = [(x["__shard"], x["__totals"]) for x in row["__replies"]]
+            row["__replies"] = [(x["__shard"], x["__totals"], x["__ranks"]) for x in row["__replies"]]
             yield _Row([row])
 
 

@@ -375,3 +375,39 @@ def test_lm_is_a_distribution():
     per_class = np.bincount(kind, np.exp(inner), lm.CLASSES)
     used = np.bincount(kind, minlength=lm.CLASSES) > 0
     assert np.allclose(per_class[used], 1)
+
+
+def test_lm_words_follow_history(spark):
+    """Two words that are seen equally often and end alike (one class) are told apart by the word before them."""
+    common = " ".join(f"c{i}" * 2 for i in range(12))
+    train = [(i, f"{common} {common} left stone {common} right phone {common}") for i in range(60)]
+    asked = [(100 + i, f"{common} {x} {common}") for i, x in enumerate(("left stone", "left phone", "right phone", "right stone"))]
+    df = spark.createDataFrame(train + asked, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm.score(df, lm.F.col("doc_id") < 100).collect()}
+    assert got[100] > got[101] + 0.01 and got[102] > got[103] + 0.01
+
+
+def test_lm_tree_is_a_distribution():
+    """By the tree, words of each class add up to 1 with any weights, and have their count shares with none."""
+    r = np.random.default_rng(5)
+    w = np.sort(np.unique(r.integers(1, 1 << 64, 400, dtype=np.uint64)))
+    tails, counts = r.integers(0, 3, len(w)).astype(np.uint8), r.integers(2, 9, len(w)).astype(np.int64)
+    shard, runs, ranks = (w >> np.uint64(62)).astype(np.int64), [], np.zeros(len(w), np.int64)
+    for s in range(4):
+        groups = defaultdict(list)
+        for i in np.flatnonzero(shard == s).tolist():
+            groups[int(tails[i]), int(counts[i])].append(i)
+        for many in groups.values():
+            ranks[many] = range(len(many))
+        runs.append((s, *(np.array(x, np.int64) for x in zip(*((t, c, len(x)) for (t, c), x in groups.items()), strict=True))))
+    best = sorted(range(len(w)), key=lambda i: (-counts[i], w[i]))[: lm.TOP]
+    tree = lm.Tree(runs, [(int(w[i]), float(counts[i]), int(tails[i])) for i in best], 2)
+    rest = np.setdiff1d(np.arange(len(w)), best)
+    start, depth, node, bias, right = tree.paths(w[rest], tails[rest], counts[rest], ranks[rest])
+    of = np.repeat(np.arange(len(rest)), depth)
+    own = r.normal(size=tree.size)
+    mass = np.bincount(tails[rest], counts[rest] - lm.DISCOUNT)
+    for z, trained in ((bias.astype(float), False), (bias + own[node], True)):
+        p = np.exp(np.bincount(of, -np.logaddexp(0, np.where(right, -z, z)), len(rest)))
+        assert np.allclose(np.bincount(tails[rest], p), 1)
+        assert np.allclose(p, (counts[rest] - lm.DISCOUNT) / mass[tails[rest]], rtol=1e-4) != trained
