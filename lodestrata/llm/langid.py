@@ -6,7 +6,10 @@ language with the least wins. The automata are complete transition tables: a mis
 phrase begins and is marked by its sign, so that a batch of texts is parsed by numpy, one gather for each character and
 language. Texts are parsed whole, in lanes of `LANE` characters; a phrase ends with its lane.
 
-Letters are lower-cased, other characters are spaces. Sample: of documents that are not held out and have a language and
+Letters are lower-cased, other characters are spaces. All letters of the samples are told apart, whatever the scripts: if
+there are more than symbols, the frequent ones (by their shares in each language) have a symbol of their own and the others
+are spelled in a fixed number of digits, so that the tables stay narrow. Only letters that are in no sample, which end a
+phrase in every language, share a symbol. Sample: of documents that are not held out and have a language and
 a letter, for each language the `SAMPLE_DOCS` of least hash, of which the first `SAMPLE_CHARS` characters train it, less
 if there are so many languages that all would exceed `TOTAL_CHARS`. These bound the model whatever the corpus.
 
@@ -19,6 +22,7 @@ empty table.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,6 +37,7 @@ from .common import map_arrow, slabs, strings
 SAMPLE_DOCS, SAMPLE_CHARS, TOTAL_CHARS = 64, 32_000, 400_000
 LANE, CODES = 256, 64
 _OTHER, _PAD = CODES - 2, CODES - 1
+DIGITS = 32  # symbols that spell letters, if there are too many
 
 
 def held_out(doc: str, folds: int, fold: int):
@@ -43,29 +48,56 @@ def _fold(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def _cut(text: str, chars: int) -> str:
+    """The first letters of a text in lower case, with one space for each run of other characters."""
+    return re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in text.lower()))[:chars]
+
+
 class Model:
     """Transition tables of all languages over one alphabet."""
 
     def __init__(self, samples: dict[str, list[str]], chars: int = SAMPLE_CHARS, total: int = TOTAL_CHARS) -> None:
         self.names = sorted(samples)
         chars = min(chars, total // max(1, len(samples)))
-        seen = Counter(c for k in self.names for t in samples[k] for c in t.lower() if c.isalpha())
-        letters = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: CODES - 3]]
-        self.codes = np.zeros(0x110000, np.uint8)  # 0: a space
+        texts = {k: _cut(" ".join(samples[k]), chars) for k in self.names}
+        seen: Counter = Counter()
+        for k in self.names:
+            own = Counter(c for c in texts[k] if c != " ")
+            seen.update({c: n / own.total() for c, n in own.items()})
+        letters = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))]
+        other = len(letters) + 1
+        self.codes = np.zeros(0x110000, np.uint16 if other < 1 << 16 else np.uint32)  # 0: a space
         for block in range(0, 0x110000, 0x1000):
-            self.codes[block : block + 0x1000] = [_OTHER if chr(i).isalpha() else 0 for i in range(block, block + 0x1000)]
+            self.codes[block : block + 0x1000] = [other if chr(i).isalpha() else 0 for i in range(block, block + 0x1000)]
         for i, c in enumerate(letters):
             self.codes[ord(c)] = i + 1
+        single = len(letters) if len(letters) < _OTHER else _OTHER - 1 - DIGITS
+        width = 1
+        while DIGITS**width < len(letters) - single:
+            width += 1
+        rest = np.arange(len(letters) - single)
+        #: The symbols of each letter, and how many they are.
+        self.symbols = np.zeros((other + 1, width), np.uint8)
+        self.symbols[: single + 1, 0], self.symbols[other, 0] = np.arange(single + 1), _OTHER
+        for i in range(width):
+            self.symbols[single + 1 : other, i] = _OTHER - DIGITS + rest // DIGITS ** (width - 1 - i) % DIGITS
+        self.widths = np.ones(other + 1, np.int64)
+        self.widths[single + 1 : other] = width
         self.tables, self.weights = [], []
         for k in self.names:
-            codes = self.encode(" ".join(samples[k]))[:chars]
+            codes = self.encode(texts[k])
             self.tables.append(_automaton(codes.tolist()))
             self.weights.append(math.log2(len(codes) + 2))
 
     def encode(self, text: str) -> np.ndarray:
-        """Codes of a text, with one space for each run of other characters."""
+        """Symbols of a text, with one space for each run of other characters."""
         codes = self.codes[_fold(text)]
-        return codes[np.append(True, (codes[1:] != 0) | (codes[:-1] != 0))] if len(codes) else codes
+        codes = codes[np.append(True, (codes[1:] != 0) | (codes[:-1] != 0))] if len(codes) else codes
+        if self.symbols.shape[1] == 1:
+            return self.symbols[codes, 0]
+        n = self.widths[codes]
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        return self.symbols[np.repeat(codes, n), at]
 
     def entropies(self, codes: list[np.ndarray]) -> np.ndarray:
         """Bits a character, for each text and language."""

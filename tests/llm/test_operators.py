@@ -282,6 +282,18 @@ def test_language_id(spark, empty):
     assert langid.identify(df, none).filter("__lang <> 'und'").count() == 0 and langid.identify(empty, model).count() == 0
 
 
+def test_language_id_of_many_scripts():
+    """Languages are told apart by letters that are rare beside those of other scripts and larger alphabets."""
+    r = random.Random(6)
+    alphabets = {"big": [chr(0x4E00 + i) for i in range(900)], "ja": [chr(0x3041 + i) for i in range(0, 80, 2)], "jb": [chr(0x30A1 + i) for i in range(0, 80, 2)]}
+    said = lambda k, n: " ".join("".join(r.choice(alphabets[k]) for _ in range(5)) for _ in range(n))
+    model = langid.Model({"big": [said("big", 4000)], "ja": [said("ja", 60)], "jb": [said("jb", 60)]})
+    texts = {k: said(k, 40) for k in alphabets}
+    assert model.predict(list(texts.values()))[0] == list(texts)
+    spelled = [tuple(model.encode(c)) for k in ("ja", "jb") for c in alphabets[k]]
+    assert len(set(spelled)) == len(spelled)
+
+
 def test_packing(spark, docs, rows, empty):
     from tokenizers import Tokenizer
 
