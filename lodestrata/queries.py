@@ -1,6 +1,7 @@
 """Registered queries of the clustering operators on the driver's tables, each with DuckDB SQL where SQL can express it.
 
-Main input: the first DIMS columns of `embeddings`; `lineitem` for operators that scan.
+Main input: the first DIMS columns of `embeddings`; `lineitem` for operators that scan. Queries named ..._all are those of one
+and two columns over all columns of `embeddings` (WHOLE), or, where masks name subspaces, the first MASKED, as many as a mask has.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from .plans.cutting import cut
 from .sources import generators, points
 
 DIMS, EPS, CELLS, FACTOR, NUM_OBJ, MIN_SIZE = 4, 0.1, 4, 1.0, 4, 25
+WHOLE, MASKED = 64, 63
 FINE_CELLS, FINE_EPS = 8, 0.002
 LINE_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -39,16 +41,16 @@ def column_bounds(spark, sf_dir):
     return scaling.column_bounds(_lines(spark, sf_dir))
 
 
-def normalize_minmax(spark, sf_dir):
-    return _scaled(spark, sf_dir)
+def normalize_minmax(spark, sf_dir, dims=DIMS):
+    return _scaled(spark, sf_dir, dims)
 
 
 def normalize_lineitem(spark, sf_dir):
     return scaling.normalize(_lines(spark, sf_dir)).groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"), F.count_if(F.col("x") < 0.5).alias("low"))
 
 
-def grid_cells(spark, sf_dir):
-    return grid.cells(_scaled(spark, sf_dir), CELLS, EPS).select("p", "dim", "cell")
+def grid_cells(spark, sf_dir, dims=DIMS):
+    return grid.cells(_scaled(spark, sf_dir, dims), CELLS, EPS).select("p", "dim", "cell")
 
 
 def cell_counts(spark, sf_dir):
@@ -56,12 +58,12 @@ def cell_counts(spark, sf_dir):
     return table.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n_points"))
 
 
-def border_flags(spark, sf_dir):
-    return grid.cells(_scaled(spark, sf_dir), FINE_CELLS, FINE_EPS).select("p", "dim", "cell", "is_border")
+def border_flags(spark, sf_dir, dims=DIMS):
+    return grid.cells(_scaled(spark, sf_dir, dims), FINE_CELLS, FINE_EPS).select("p", "dim", "cell", "is_border")
 
 
-def merge_runs(spark, sf_dir):
-    flags = grid.cell_flags(grid.cells(_scaled(spark, sf_dir), FINE_CELLS, FINE_EPS), ["dim"])
+def merge_runs(spark, sf_dir, dims=DIMS):
+    flags = grid.cell_flags(grid.cells(_scaled(spark, sf_dir, dims), FINE_CELLS, FINE_EPS), ["dim"])
     return grid.runs(flags, ["dim"]).select("dim", "cell", "n_points", "flag", "run")
 
 
@@ -148,15 +150,15 @@ def _named_runs(table: DataFrame, keys: list[str]) -> DataFrame:
     return table.join(grid.runs(grid.cell_flags(table, keys), keys).select(*keys, "cell", "run"), [*keys, "cell"])
 
 
-def restrict_regions(spark, sf_dir):
+def restrict_regions(spark, sf_dir, dims=DIMS):
     """Regions of one column: its points by runs of cells, those of at least MIN_SIZE."""
-    table = _named_runs(grid.cells(_scaled(spark, sf_dir), FINE_CELLS, FINE_EPS), ["dim"])
+    table = _named_runs(grid.cells(_scaled(spark, sf_dir, dims), FINE_CELLS, FINE_EPS), ["dim"])
     return table.groupBy("dim", "run").agg(F.count(F.lit(1)).alias("n_points")).filter(F.col("n_points") >= MIN_SIZE)
 
 
-def level2_regions(spark, sf_dir):
+def level2_regions(spark, sf_dir, dims=DIMS):
     """Regions of two columns: regions of one, restricted by every later column."""
-    cells = grid.cells(_scaled(spark, sf_dir), FINE_CELLS, FINE_EPS)
+    cells = grid.cells(_scaled(spark, sf_dir, dims), FINE_CELLS, FINE_EPS)
     one = _named_runs(cells, ["dim"]).select("p", F.col("dim").alias("dim_a"), F.col("run").alias("run_a"))
     two = one.join(cells, "p").filter("dim > dim_a")
     table = _named_runs(two, ["dim_a", "run_a", "dim"])
@@ -182,22 +184,22 @@ def subspace_order(spark, sf_dir):
 
 
 #: Small clusterings from event tables: label by user, one subspace for each event type.
-def _labels(spark, sf_dir):
+def _labels(spark, sf_dir, dims=DIMS):
     """labels(mask, p, label) that SQL can state: cells of columns as clusters of their subspaces."""
-    cells = grid.cells(_scaled(spark, sf_dir), CELLS, EPS)
+    cells = grid.cells(_scaled(spark, sf_dir, dims), CELLS, EPS)
     ones = cells.select(bit(F.col("dim")).alias("mask"), "p", F.col("cell").cast("long").alias("label"))
     a, b = cells.select("p", F.col("dim").alias("i"), F.col("cell").alias("ci")), cells.select("p", F.col("dim").alias("j"), F.col("cell").alias("cj"))
     twos = a.join(b, "p").filter("i < j").select(bit(F.col("i")).bitwiseOR(bit(F.col("j"))).alias("mask"), "p", (F.col("ci") * CELLS + F.col("cj")).cast("long").alias("label"))
     return ones, twos
 
 
-def cluster_sizes(spark, sf_dir):
-    ones, twos = _labels(spark, sf_dir)
+def cluster_sizes(spark, sf_dir, dims=DIMS):
+    ones, twos = _labels(spark, sf_dir, dims)
     return redundancy.cluster_sizes(ones.unionByName(twos))
 
 
-def min_size_filter(spark, sf_dir):
-    return redundancy.min_size_filter(_labels(spark, sf_dir)[1], 2 * MIN_SIZE)
+def min_size_filter(spark, sf_dir, dims=DIMS):
+    return redundancy.min_size_filter(_labels(spark, sf_dir, dims)[1], 2 * MIN_SIZE)
 
 
 def region_redundancy(spark, sf_dir):
@@ -262,8 +264,22 @@ QUERIES = {
     "subspace_clusters_keep_all": _flagship(rectangular=True, r=1e9),
 }
 
-_E = f"""e AS (SELECT vec_id AS p, unnest(range({DIMS}))::INT AS dim, unnest(embedding[1:{DIMS}])::DOUBLE AS x FROM embeddings),
+
+def _over(query, dims: int):
+    return lambda spark, sf_dir: query(spark, sf_dir, dims)
+
+
+#: Queries that also run over all columns, and how many those are.
+_ALL = {"normalize_minmax": WHOLE, "grid_cells": WHOLE, "border_flags": WHOLE, "merge_runs": WHOLE, "restrict_regions": WHOLE, "level2_regions": WHOLE, "cluster_sizes": MASKED, "min_size_filter": MASKED}
+QUERIES |= {f"{name}_all": _over(QUERIES[name], dims) for name, dims in _ALL.items()}
+
+
+def _e_sql(dims: int) -> str:
+    return f"""e AS (SELECT vec_id AS p, unnest(range({dims}))::INT AS dim, unnest(embedding[1:{dims}])::DOUBLE AS x FROM embeddings),
 s AS (SELECT p, dim, CASE WHEN mx <> mn THEN (x - mn) / (mx - mn) ELSE 0 END AS x FROM e JOIN (SELECT dim, min(x) AS mn, max(x) AS mx FROM e GROUP BY dim) USING (dim))"""
+
+
+_E = _e_sql(DIMS)
 _L = "l AS (SELECT unnest(range(4))::INT AS dim, unnest([l_quantity, l_extendedprice, l_discount, l_tax])::DOUBLE AS x FROM lineitem)"
 _LS = _L + ", ls AS (SELECT dim, CASE WHEN mx <> mn THEN (x - mn) / (mx - mn) ELSE 0 END AS x FROM l JOIN (SELECT dim, min(x) AS mn, max(x) AS mx FROM l GROUP BY dim) USING (dim))"
 
@@ -355,3 +371,4 @@ SELECT * FROM (SELECT dims, p, label, count(*) OVER (PARTITION BY dims, label) A
 
 
 ORACLE_SQL["subspace_clusters_keep_all"] = _plain_sql()
+ORACLE_SQL |= {f"{name}_all": ORACLE_SQL[name].replace(_E, _e_sql(dims)).replace("(1 <<", "(1::BIGINT <<") for name, dims in _ALL.items()}

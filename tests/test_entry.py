@@ -36,3 +36,11 @@ def test_queries_equal_sql(spark, name):
     names = sorted(got.columns)
     rows = lambda t: sorted(tuple(r[c] for c in names) for r in t)
     assert rows(r.asDict() for r in got.collect()) == rows(want)
+
+
+@pytest.mark.skipif(not SMALL.exists(), reason="no tables here")
+@pytest.mark.parametrize("name", ["normalize_minmax_all", "merge_runs_all", "level2_regions_all", "cluster_sizes_all"])
+def test_queries_over_all_columns_equal_sql(spark, name):
+    test_queries_equal_sql(spark, name)
+    if "dim" in (got := entry.queries()[name](spark, str(SMALL))).columns:
+        assert {r["dim"] for r in got.select("dim").distinct().collect()} == set(range(64))
