@@ -8,7 +8,9 @@ all members outside it meet all members of the bucket in a grid of cells of at m
 registers, confirm likely pairs of different components, and tell fewer links than a cell has members. So each pair of different components
 that shares a band is either compared or already in one component; nothing is capped.
 
-A pair at the threshold shares no band with a probability of (1 - t^ROWS)^BANDS: under 1e-6 at 0.85, 5e-5 at 0.8.
+A pair at the threshold shares no band with a probability of (1 - t^ROWS)^BANDS: under 1e-6 at 0.85, 5e-5 at 0.8. One
+that shares a band is dropped by its estimate with a probability under 1e-8 at 0.85, 4e-7 at 0.8 (sets of equal size,
+registers taken as independent).
 
 Defined cases: a text without words, empty or null has an empty set and is linked with nothing; one with fewer words than
 a shingle has the whole sequence as its only shingle; rows with one doc_id are one document with the links of all its
@@ -32,8 +34,8 @@ from .common import buffers, cut, map_arrow, parts, release, slabs, stage
 from .tokens import LOWER, SPACED, doc_shingles, hashes, words
 
 #: Most members of a cell; most ids that are broadcast (8 MB) instead of joined by a shuffle; pivot rounds; how far under
-#: the threshold an estimate may be (four standard errors) for a pair to be verified.
-CELL, BROADCAST_IDS, ROUNDS, SLACK = 256, 250_000, 1, 0.13
+#: the threshold an estimate may be (about six standard errors) for a pair to be verified.
+CELL, BROADCAST_IDS, ROUNDS, SLACK = 256, 250_000, 1, 0.20
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:

@@ -208,6 +208,21 @@ def test_sketch_estimates():
         assert (both[0] == np.maximum(k[0], k[1])).all()
 
 
+def test_estimates_drop_fewer_links_than_bands():
+    """Registers of sets of equal size as independent draws: below, equal, above."""
+    m = sketch.M
+    ways = np.array([(u, d) for u in range(m + 1) for d in range(m + 1 - u)])
+    a, b = np.zeros((2, len(ways), m), np.int16)
+    for i, (u, d) in enumerate(ways):
+        a[i, :u] = b[i, u : u + d] = 1
+    found = sketch.jaccard(a, b, np.full(len(ways), 100), np.full(len(ways), 100))
+    logs = np.array([math.lgamma(i + 1) for i in range(m + 1)])
+    for t in (0.85, 0.8):
+        p, unequal = float(sketch._p(np.array((1 - t) / 2))), ways.sum(1)
+        chance = np.exp(logs[m] - logs[ways[:, 0]] - logs[ways[:, 1]] - logs[m - unequal] + unequal * np.log(p) + (m - unequal) * np.log(1 - 2 * p))
+        assert math.isclose(chance.sum(), 1) and chance[found < t - neardup.SLACK].sum() < (1 - t**sketch.ROWS) ** sketch.BANDS
+
+
 def test_suffix_array():
     r = random.Random(2)
     for _ in range(500):
