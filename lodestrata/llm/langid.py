@@ -10,8 +10,9 @@ Letters are lower-cased, other characters are spaces. All letters of the samples
 there are more than symbols, the frequent ones (by their shares in each language) have a symbol of their own and the others
 are spelled in a fixed number of digits, so that the tables stay narrow. Only letters that are in no sample, which end a
 phrase in every language, share a symbol. Sample: of documents that are not held out and have a language and
-a letter, for each language the `SAMPLE_DOCS` of least hash, of which the first `SAMPLE_CHARS` characters train it, less
-if there are so many languages that all would exceed `TOTAL_CHARS`. These bound the model whatever the corpus.
+a letter, for each language the `SAMPLE_DOCS` distinct texts of least hash, whose first characters train it: `SAMPLE_CHARS` in
+all, less if there are so many languages that all would exceed `TOTAL_CHARS`, evenly from all texts, where short texts leave
+their rest to others. These bound the model whatever the corpus.
 
 Defined cases: a null text and one without letters are `und` with score 0; ties go to the first language in order; the
 score is the runner-up's share of both entropies (1 if there is one language); repeated rows are predicted each; a null
@@ -48,9 +49,14 @@ def _fold(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _cut(text: str, chars: int) -> str:
-    """The first letters of a text in lower case, with one space for each run of other characters."""
-    return re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in text.lower()))[:chars]
+def _shared(texts: list[str], chars: int) -> str:
+    """Letters of all texts in lower case, with one space for each run of other characters, cut to even shares of `chars`."""
+    plain = [re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in t.lower())).strip() for t in texts]
+    left, share = chars, {}
+    for k, i in enumerate(sorted(range(len(plain)), key=lambda i: len(plain[i]))):
+        share[i] = min(len(plain[i]) + 1, left // (len(plain) - k))
+        left -= share[i]
+    return " ".join(plain[i][: max(0, share[i] - 1)] for i in range(len(plain)))
 
 
 class Model:
@@ -59,7 +65,7 @@ class Model:
     def __init__(self, samples: dict[str, list[str]], chars: int = SAMPLE_CHARS, total: int = TOTAL_CHARS) -> None:
         self.names = sorted(samples)
         chars = min(chars, total // max(1, len(samples)))
-        texts = {k: _cut(" ".join(samples[k]), chars) for k in self.names}
+        texts = {k: _shared(samples[k], chars) for k in self.names}
         seen: Counter = Counter()
         for k in self.names:
             own = Counter(c for c in texts[k] if c != " ")
@@ -169,11 +175,11 @@ def _automaton(codes: list[int]) -> np.ndarray:
     return table.astype(np.int32).ravel()
 
 
-def sample(df: DataFrame, text: str, lang: str, doc: str, docs: int = SAMPLE_DOCS) -> dict[str, list[str]]:
-    """For each language the texts of the `docs` documents of least hash; df has the documents that may be learned from."""
-    rows = df.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).cast("string").alias("__lang"), F.xxhash64(doc, text).alias("__h"), F.col(text).alias("__text"))
+def sample(df: DataFrame, text: str, lang: str, docs: int = SAMPLE_DOCS) -> dict[str, list[str]]:
+    """For each language the `docs` distinct texts of least hash; df has the documents that may be learned from."""
+    rows = df.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).cast("string").alias("__lang"), F.xxhash64(F.col(text).cast("string")).alias("__h"), F.col(text).alias("__text"))
     first = Window.partitionBy("__lang").orderBy("__h")
-    few = rows.select("__lang", "__h").withColumn("__r", F.row_number().over(first)).filter(F.col("__r") <= docs).select("__lang", "__h").distinct().collect()
+    few = rows.select("__lang", "__h").withColumn("__r", F.dense_rank().over(first)).filter(F.col("__r") <= docs).select("__lang", "__h").distinct().collect()
     if not few:
         return {}
     out: dict[str, dict[int, str]] = {}
@@ -199,7 +205,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: list[str] |
 
 
 def train(df: DataFrame, text: str = "text", lang: str = "lang", doc: str = "doc_id", folds: int = 5, fold: int = 0) -> Model:
-    return Model(sample(df.filter(~held_out(doc, folds, fold)), text, lang, doc))
+    return Model(sample(df.filter(~held_out(doc, folds, fold)), text, lang))
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:

@@ -309,6 +309,16 @@ def test_language_id_of_many_scripts():
     assert len(set(spelled)) == len(spelled)
 
 
+def test_language_id_learns_from_all_sampled_texts(spark):
+    """A long text of junk does not fill the sample, nor do copies of one text."""
+    long, short = "junk " * 20_000, [f"word{'abcdefghij'[i]} lorem ipsum" for i in range(10)]
+    said = langid._shared([long, *short], 2000)
+    assert len(said) <= 2000 and all(t in said for t in short)
+    table = [(i, "one and the same", "aa") for i in range(100)] + [(200 + i, t, "aa") for i, t in enumerate(short)]
+    got = langid.sample(spark.createDataFrame(table, "doc_id long, text string, lang string"), "text", "lang", docs=11)
+    assert sorted(got["aa"]) == sorted(["one and the same", *short])
+
+
 def test_packing(spark, docs, rows, empty):
     from tokenizers import Tokenizer
 
