@@ -7,7 +7,7 @@ header (the "sl" extra field that the WARC standard describes), so that the read
 it are inflated, and plain .warc files are skipped by Content-Length.
 
 Writing: each task writes files of its own under a name that no other attempt uses, rolled at "max_bytes"; the driver lists
-those of the attempts that succeeded in a manifest, which is what readers go by, so that a lost executor leaves no record
+those of the attempts that succeeded in a manifest of each write, which is what readers go by, so that a lost executor leaves no record
 twice. Files are reached through pyarrow's file systems (file:, hdfs:, s3a:, gs:).
 
 Defined cases: a null payload is empty; a null url leaves the target header out; a null page_id comes below all others
@@ -33,7 +33,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 from .common import cut, staged_path, text_or_empty
 
-MANIFEST = "_MANIFEST.json"
+MANIFEST = "_MANIFEST"  # and a name of its own for each write
 READ = "warc_type string, record_id string, target_uri string, warc_date string, refers_to string, payload_digest string, payload_length bigint, headers map<string,string>, payload binary"
 WRITE = "record_type string, record_id string, target_uri string, warc_date string, refers_to string, payload binary"
 _COLUMNS = {"warc_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "warc_date": "warc-date", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest"}
@@ -222,9 +222,13 @@ class WarcReader(DataSourceReader):
         store, path = files(self.path)
         if store.get_file_info(path).type == fs.FileType.File:
             return [_File(self.path)]
-        if store.get_file_info(f"{path}/{MANIFEST}").type == fs.FileType.File:
-            with store.open_input_stream(f"{path}/{MANIFEST}") as f:
-                return [_File(f"{self.path}/{x}") for x in json.loads(f.read())]
+        lists = [x for x in store.get_file_info(fs.FileSelector(path)) if x.base_name.startswith(MANIFEST) and x.base_name.endswith(".json")]
+        if lists:
+            names: set[str] = set()
+            for x in lists:
+                with store.open_input_stream(x.path) as f:
+                    names.update(json.loads(f.read()))
+            return [_File(f"{self.path}/{x}") for x in sorted(names)]
         found = store.get_file_info(fs.FileSelector(path, recursive=True))
         return [_File(self.path + x.path[len(path) :]) for x in sorted(found, key=lambda x: x.path) if x.path.endswith((".warc", ".warc.gz"))]
 
@@ -307,7 +311,7 @@ class WarcWriter(DataSourceWriter):
 
     def commit(self, messages) -> None:
         store, path = files(self.path)
-        with store.open_output_stream(f"{path}/{MANIFEST}") as f:
+        with store.open_output_stream(f"{path}/{MANIFEST}-{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps(sorted(x for m in messages if m is not None for x in m.names)).encode())
 
     def abort(self, messages) -> None:

@@ -150,6 +150,14 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_warc(spark, none).count() == 0
 
 
+def test_warc_writes_add_up(spark, tmp_path):
+    """A second write to a folder leaves the first one's records readable."""
+    for i in range(2):
+        pages = spark.createDataFrame([(i, f"http://h.example/{i}", f"<p>{i}</p>")], "page_id long, url string, html string")
+        warc.write_warc(warc.with_revisits(pages), f"file://{tmp_path}/two")
+    assert sorted(r["record_id"] for r in warc.read_warc(spark, f"file://{tmp_path}/two").collect()) == ["urn:page:0", "urn:page:1"]
+
+
 def brute_components(rows: list[tuple], size: int, num: int, den: int) -> dict:
     sets = {}
     for doc, t, *_ in rows:
