@@ -218,6 +218,10 @@ def near_duplicates(df: DataFrame, text: str = "text", doc: str = "doc_id", shin
     members = cut(rows.join(buckets, "__band").select("__band", "__node", "__pivot", "__size"))
     verify = _Verifier(full, shingle, num, den)
     links = verify(cut(_ordered(members.select(F.col("__node").alias("__x"), F.col("__pivot").alias("__y")))))
+    again = full.groupBy("__doc").count().filter("count > 1").select(F.col("__doc").alias("__id"))
+    texts = _only(full.select("__doc", "__k1", "__k2"), "__doc", cut(again)).join(classes, ["__k1", "__k2"])
+    firsts = texts.groupBy("__doc").agg(F.collect_set("__node").alias("__nodes")).select(F.array_min("__nodes").alias("__x"), F.explode("__nodes").alias("__y"))
+    links = cut(links.union(_ordered(firsts)).distinct())  # the classes of one doc_id are one document
     comps = components(links)
     members = members.filter("__size > 2")
     for round_ in range(ROUNDS + 1):

@@ -202,6 +202,14 @@ def test_near_duplicates_edges(spark, empty):
     assert got == [(-1, -1, True), (2, 2, True), (2, 2, True), (3, 3, True), (4, 4, True), (9, 2, False)]
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows with one doc_id are one document, with the links of all its texts."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    df = spark.createDataFrame([(3, a), (5, a), (5, b), (7, b), (9, "something else")], "doc_id long, text string")
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect()]
+    assert sorted(got) == [(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False), (9, 9, True)]
+
+
 def test_sketch_estimates():
     r = np.random.default_rng(1)
     for share in (0.5, 0.8, 0.95):
