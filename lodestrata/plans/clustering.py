@@ -4,10 +4,14 @@ Forward, from one column to more: each region (a subspace and a run of cells in
 later column, connected cells merge into runs, and points that are not weakly dense go; regions under min_size end.
 Backward, from many columns to one: regions that clusters of supersets do not make redundant are clustered, small and
 redundant clusters go, the rest joins the result. A level is one set of joins for all its regions. A point is in at most
-one region of a subspace, so that (mask, p) is the key of all tables.
+one region of a subspace, so that (mask, p) is the key of all tables. Densities are kept with the members, so that
+clustering meets dense points only.
 
-Strategies: `incremental` takes a level's neighbours from the level before; `recompute` joins on the grid for each
-subspace anew; `batched` is incremental with dim_step columns at a time in each expansion.
+One column needs no pairs: densities come from sorted buckets, components from gaps. Pairs within eps in more columns are
+streamed from a join on the grid into densities and forests, and are not written, except by the strategy that refines them.
+
+Strategies: `recompute` joins each level on the grid anew; `incremental` keeps the pairs of two columns and refines them level
+by level; `batched` is recompute with dim_step columns at a time in each expansion. All give the same result.
 """
 
 from __future__ import annotations
@@ -20,11 +24,12 @@ from pyspark.sql import functions as F
 
 from ..functions.subspaces import dims_of, result_order
 from ..functions.volumes import PI, threshold
-from ..operators import grid, neighbors, redundancy
+from ..operators import density, grid, line, neighbors, redundancy
 from ..operators.components import connected_components
-from ..operators.density import dense
 from ..operators.scaling import normalize
-from .cutting import cut
+from .cutting import stage
+
+STRATEGIES = ("recompute", "incremental", "batched")
 
 
 def bit(dim):
@@ -32,102 +37,127 @@ def bit(dim):
 
 
 class Clustering:
-    """One run over coords(p, dim, x) with d columns numbered from 0."""
+    """One run over coords(p, dim, x) with d columns numbered from 0; volume: of the region that expected densities are for."""
 
-    def __init__(self, coords: DataFrame, d: int, eps: float, factor: float, num_obj: float, min_size: int, r: float = 1.0, cells: int = 3, rectangular: bool = False, strategy: str = "incremental", dim_step: int = 2, ghost_markers: bool = True, scaled: bool = False, pi: float = PI) -> None:
-        if strategy not in ("incremental", "recompute", "batched"):
+    def __init__(
+        self, coords: DataFrame, d: int, eps: float, factor: float, num_obj: float, min_size: int, r: float = 1.0, cells: int = 3, rectangular: bool = False,
+        strategy: str = "recompute", dim_step: int = 2, ghost_markers: bool = True, scaled: bool = False, volume: float = 1.0, pi: float = PI,
+    ) -> None:
+        if strategy not in STRATEGIES:
             raise ValueError(strategy)
         if not 0 < d <= 63:
             raise ValueError("from 1 to 63 columns")
         if eps > 1 / cells:
             warnings.warn("eps exceeds a cell: regions may split clusters", stacklevel=2)
-        self.d, self.eps, self.rectangular, self.min_size, self.r, self.cells_ = d, eps, rectangular, min_size, r, cells
+        self.d, self.eps, self.rectangular, self.min_size, self.r = d, eps, rectangular, min_size, r
         self.strategy, self.dim_step, self.ghosts = strategy, dim_step, ghost_markers
-        self.coords = cut((coords if scaled else normalize(coords)).select("p", "dim", "x"))
-        self.cells = cut(grid.cells(self.coords, cells, eps))
-        self.n = self.coords.select("p").distinct().count()
-        self.least = {k: threshold(k, eps, self.n, factor, num_obj, rectangular, 1.0, pi) for k in range(1, d + 1)}
-        self.levels: list[tuple[DataFrame, DataFrame]] = []
+        self.cells = stage(grid.cells((coords if scaled else normalize(coords)).select("p", F.col("dim").cast("int").alias("dim"), "x"), cells, eps), "cells")
+        if scaled and not self.cells.filter("x < 0 OR x > 1").isEmpty():
+            raise ValueError("scaled coordinates lie in [0, 1]")
+        by_dim = lambda c: F.map_from_entries(F.collect_list(F.struct("dim", c)))
+        in_order = lambda m: F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.try_element_at(m, i))
+        wide = self.cells.groupBy("p").agg(by_dim(F.col("x").cast("double")).alias("__x"), by_dim("cell").alias("__c"))
+        self.points = stage(wide.select("p", in_order(F.col("__x")).alias("xs"), in_order(F.col("__c")).alias("path")), "points")
+        self.n = self.points.count()
+        self.least = {k: threshold(k, eps, self.n, factor, num_obj, rectangular, volume, pi) for k in range(1, d + 1)}
+        self.levels: list[DataFrame] = []
+        self.calls = 1
 
     def forward(self) -> None:
-        everyone = self.coords.select("p").distinct().select(F.lit(0).cast("long").alias("mask"), F.lit(0).cast("long").alias("region"), "p", F.lit(-1).alias("last"))
-        members, edges, markers = everyone, None, None
-        paths = None
+        none = F.array().cast("array<double>").alias("v")
+        members = self.points.select(F.lit(0).cast("long").alias("mask"), F.lit(0).cast("long").alias("region"), "p", F.lit(-1).alias("last"), none)
+        edges, markers = None, None
         if self.ghosts:
-            paths = cut(self.cells.groupBy("p").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "cell"))), lambda s: s["cell"]).alias("path")))
-            markers = everyone.join(self.cells.filter("is_border").select("p", F.col("dim").alias("j"), F.col("cell").alias("cell_j")), "p")
+            borders = self.cells.filter("is_border").select("p", F.col("dim").alias("j"), F.col("cell").alias("cell_j"))
+            markers = borders.select(F.lit(0).cast("long").alias("mask"), F.lit(0).cast("long").alias("region"), "p", F.lit(-1).alias("last"), "j", "cell_j")
         for k in range(1, self.d + 1):
             steps = range(0, self.d, self.dim_step) if self.strategy == "batched" else [0]
             width = self.dim_step if self.strategy == "batched" else self.d
-            found = [x for s in steps if (x := self._expand(k, members, edges, markers, paths, s, s + width)) is not None]
+            found = [x for s in steps if (x := self._expand(k, members, edges, markers, s, s + width)) is not None]
             if not found:
                 return
-            members, edges = (reduce(DataFrame.unionByName, [f[i] for f in found]) for i in (0, 1))
+            members = reduce(DataFrame.unionByName, [f[0] for f in found])
+            edges = reduce(DataFrame.unionByName, [f[1] for f in found]) if self.strategy == "incremental" and k > 1 else None
             markers = reduce(DataFrame.unionByName, [f[2] for f in found]) if self.ghosts else None
-            self.levels.append((members, edges))
+            self.levels.append(members)
 
-    def _expand(self, k: int, members: DataFrame, edges: DataFrame | None, markers: DataFrame | None, paths: DataFrame | None, lo: int, hi: int):
-        spread = members.join(self.cells, "p").filter((F.col("dim") > F.col("last")) & (F.col("dim") >= lo) & (F.col("dim") < hi))
+    def _expand(self, k: int, members: DataFrame, edges: DataFrame | None, markers: DataFrame | None, lo: int, hi: int):
+        """Members (with density), pairs and markers of the regions that columns from lo to hi - 1 restrict."""
+        spread = members.drop("density").join(self.cells, "p").filter((F.col("dim") > F.col("last")) & (F.col("dim") >= lo) & (F.col("dim") < hi))
         flags = grid.cell_flags(spread, ["region", "dim"])
         if markers is not None:
-            marked = markers.filter((F.col("j") >= lo) & (F.col("j") < hi)).select("region", F.col("j").alias("dim"), F.col("cell_j").alias("cell")).distinct().withColumn("marked", F.lit(True))
-            flags = flags.join(marked, ["region", "dim", "cell"], "left").withColumn("flag", F.col("flag") | F.coalesce("marked", F.lit(False))).drop("marked")
-        named = cut(grid.runs(flags, ["region", "dim"]).select("region", "dim", "cell", "run"))
-        sub = F.xxhash64("region", "dim", "run")
-        kids = spread.join(named, ["region", "dim", "cell"]).select(
-            F.col("mask").bitwiseOR(bit(F.col("dim"))).alias("mask"), sub.alias("region"), "p", F.col("dim").alias("last"), F.col("mask").alias("parent"), "dim", "x", F.col("region").alias("above"), "run"
-        )
-        kids = cut(self._sizable(kids))
-        if not kids.limit(1).count():
+            marked = markers.filter((F.col("j") >= lo) & (F.col("j") < hi)).select("region", F.col("j").alias("dim"), F.col("cell_j").alias("cell")).distinct()
+            flags = flags.join(marked.withColumn("marked", F.lit(True)), ["region", "dim", "cell"], "left")
+            flags = flags.withColumn("flag", F.col("flag") | F.coalesce("marked", F.lit(False))).drop("marked")
+        named = stage(grid.runs(flags, ["region", "dim"]).select("region", "dim", "cell", "n_points", "run"), "runs")
+        large = named.groupBy("region", "dim", "run").agg(F.sum("n_points").alias("n")).filter(F.col("n") >= self.min_size)
+        named = named.join(large, ["region", "dim", "run"]).select("region", "dim", "cell", "run")
+        kids = stage(spread.join(named, ["region", "dim", "cell"]).select(
+            F.col("mask").bitwiseOR(bit(F.col("dim"))).alias("mask"), F.xxhash64("region", "dim", "run").alias("region"), "p", F.col("dim").alias("last"),
+            F.concat("v", F.array(F.col("x").cast("double"))).alias("v"), F.col("mask").alias("parent"), "dim", "x", F.col("region").alias("above"), "run",
+        ), "members")
+        if kids.isEmpty():
             return None
+        near = None
         if k == 1:
-            near = neighbors.level_one(kids, self.coords, self.eps)
-        elif self.strategy == "recompute":
-            near = self._anew(kids)
+            held = line.with_line_density(kids, self.cells, self.eps, self.rectangular, self.n)
         else:
-            near = neighbors.refine(edges, kids, self.coords, self.eps)
-        near = cut(near)
-        alive = cut(self._sizable(dense(kids, near, self.eps, self.rectangular, F.lit(self.least[self.d]))))
-        if not alive.limit(1).count():
+            if edges is not None:
+                near = neighbors.refine(edges, kids, self.cells, self.eps)
+            else:
+                near = neighbors.pairs(kids, self._all(kids), k, self.eps)
+            if self.strategy == "incremental":
+                near = stage(near, "pairs")
+            held = kids.join(density.density(near, self.eps, self.rectangular), ["mask", "p"], "left").withColumn("density", F.coalesce("density", F.lit(0.0)))
+        alive = stage(self._sizable(held.filter(F.col("density") >= self.least[self.d])), "dense")
+        regions = alive.select("above", "dim", "run", "mask", "region", "last").distinct()
+        many = regions.count()
+        if not many:
             return None
+        self.calls += many
         left = None
-        if markers is not None:
-            regions = alive.select("above", "dim", "run", "mask", "region", "last").distinct()
-            inside = markers.select(F.col("region").alias("above"), "p", "j", "cell_j").join(self.cells.select("p", "dim", "cell"), "p").join(named.withColumnRenamed("region", "above"), ["above", "dim", "cell"])
-            inside = inside.filter("j > dim").join(regions, ["above", "dim", "run"]).select("mask", "region", "p", "last", "j", "cell_j")
-            key = lambda: F.xxhash64(F.transform(F.slice("path", F.lit(1), F.col("j") + 1), lambda c, i: F.when(F.col("mask").bitwiseAND(bit(i)) == 0, c).otherwise(-1)))
-            there = alive.select("mask", "region", "p").join(paths, "p").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(self.d - 1)))).select("region", "j", key().alias("key")).distinct()
-            left = cut(inside.join(paths, "p").withColumn("key", key()).join(there, ["region", "j", "key"], "left_semi").select("mask", "region", "p", "last", "j", "cell_j"))
-        return alive.select("mask", "region", "p", "last"), near, left
+        if markers is not None and k < self.d:
+            inside = markers.select(F.col("region").alias("above"), "p", "j", "cell_j").join(self.cells.select("p", "dim", "cell"), "p")
+            inside = inside.filter("j > dim").join(named.withColumnRenamed("region", "above"), ["above", "dim", "cell"])
+            inside = inside.join(regions, ["above", "dim", "run"]).select("mask", "region", "p", "last", "j", "cell_j")
+            free = lambda c, i: F.when(F.col("mask").bitwiseAND(bit(i)) == 0, c).otherwise(-1)
+            key = lambda: F.xxhash64(F.transform(F.slice("path", F.lit(1), F.col("j") + 1), free))
+            paths = self.points.select("p", "path")
+            there = alive.select("mask", "region", "p").join(paths, "p").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(self.d - 1))))
+            there = there.select("region", "j", key().alias("key")).distinct()
+            marked = inside.join(paths, "p").withColumn("key", key()).join(there, ["region", "j", "key"], "left_semi")
+            left = stage(marked.select("mask", "region", "p", "last", "j", "cell_j"), "markers")
+        elif markers is not None:
+            left = markers.limit(0)
+        return alive.select("mask", "region", "p", "last", "v", "density"), near, left
 
     def _sizable(self, members: DataFrame) -> DataFrame:
         enough = members.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= self.min_size)
         return members.join(enough, "region", "left_semi")
 
-    def _anew(self, kids: DataFrame) -> DataFrame:
-        """A grid join for each subspace of the level."""
-        out = []
-        for mask in sorted(r["mask"] for r in kids.select("mask").distinct().collect()):  # subspaces, not points
-            dims = [i for i in range(self.d) if mask >> i & 1]
-            table = neighbors.wide(self.coords, dims)
-            mine = table.join(kids.filter(F.col("mask") == mask).select("p"), "p", "left_semi")
-            out.append(neighbors.eps_join(mine, table, dims, self.eps).withColumn("mask", F.lit(mask).cast("long")))
-        return reduce(DataFrame.unionByName, out).select("mask", "p", "q", "d2")
+    def _all(self, kids: DataFrame) -> DataFrame:
+        """All points in the subspaces of the level."""
+        masks = sorted(r["mask"] for r in kids.select("mask").distinct().collect())  # subspaces, not points
+        return neighbors.within_columns(self.points, [(m, [i for i in range(self.d) if m >> i & 1]) for m in masks])
 
     def backward(self) -> DataFrame:
         result = None
         for k in range(len(self.levels), 0, -1):
-            members, edges = self.levels[k - 1]
+            members = self.levels[k - 1].select("mask", "region", "p", "v", "density")
             if result is not None:
-                members = cut(members.join(redundancy.region_redundancy(members, result, self.r), ["region", "mask"], "left_semi"))
-            core = cut(dense(members, edges, self.eps, self.rectangular, F.lit(self.least[k])).select("mask", "region", "p"))
-            a, b = core.select("mask", "p", "region"), core.select("mask", F.col("p").alias("q"), F.col("region").alias("region_q"))
-            links = edges.select("mask", "p", "q").join(a, ["mask", "p"]).join(b, ["mask", "q"]).filter("region = region_q").select("mask", "p", "q")
-            labels = redundancy.min_size_filter(connected_components(core, links), self.min_size)
+                members = members.join(redundancy.region_redundancy(members, result, self.r), ["region", "mask"], "left_semi")
+            core = members.filter(F.col("density") >= self.least[k])
+            if k == 1:
+                x = core.select("mask", "region", "p", F.get("v", F.lit(0)).alias("x"))
+                labels = line.line_components(x, self.eps, ["mask", "region"]).select("mask", "p", "label")
+            else:
+                core = stage(core.select("mask", "region", "p", "v"), "core")
+                labels = connected_components(core, neighbors.pairs(core, core, k, self.eps, ("mask", "region"), ordered=True))
+            labels = redundancy.min_size_filter(labels, self.min_size)
             if result is not None:
-                labels = redundancy.cluster_redundancy(labels, result, self.r)
-            result = cut(redundancy.merge_result(result, labels))
-        return result if result is not None else self.coords.sparkSession.createDataFrame([], "mask long, p long, label long, size long")
+                labels = redundancy.cluster_redundancy(stage(labels, "labels"), result, self.r)
+            result = redundancy.merge_result(result, stage(labels, "result"))
+        return result if result is not None else self.points.sparkSession.createDataFrame([], "mask long, p long, label long, size long")
 
     def run(self) -> DataFrame:
         """dims, p, label, size: a row for each point of each cluster."""

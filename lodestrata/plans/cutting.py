@@ -1,16 +1,54 @@
-"""Plan cuts for iterative operators."""
+"""Tables in the folder that driver and executors share: plan cuts that survive lost executors."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_staged: list[tuple[SparkSession, str]] = []
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir; in a temporary folder only where the session names none."""
-    spark = df.sparkSession
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a new temporary folder only where that is unset and all runs on this machine."""
     sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='lodestrata-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestrata-"))
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(found)
+    return found
+
+
+def staged_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when Python ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _staged:
+        atexit.register(_forget)
+    _staged.append((spark, path))
+    return path
+
+
+def _forget() -> None:
+    for spark, path in _staged:
+        try:
+            sc = spark.sparkContext
+            if sc._jsc is None:
+                continue
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001  the session is gone; what is left is in the folder for such files
+            return
+    _staged.clear()
+
+
+def stage(df: DataFrame, name: str = "table") -> DataFrame:
+    """Writes a table to the shared folder and reads it back. Unlike a checkpoint its columns are pruned and its size is known."""
+    path = staged_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -15,7 +15,7 @@ from .functions import subspaces, volumes
 from .operators import density, grid, neighbors, redundancy, scaling
 from .operators.components import connected_components
 from .plans.clustering import Clustering, bit, subspace_clusters
-from .plans.cutting import cut
+from .plans.cutting import stage, staged_path
 from .sources import generators, points
 
 DIMS, EPS, CELLS, FACTOR, NUM_OBJ, MIN_SIZE = 4, 0.1, 4, 1.0, 4, 25
@@ -132,7 +132,7 @@ def weak_dense_points(spark, sf_dir):
 def core_components(spark, sf_dir):
     """One subspace from end to end."""
     core, edges = _dense(spark, sf_dir, (0, 1), True, 2)
-    core = cut(core)
+    core = stage(core, "core")
     both = edges.join(core, ["mask", "p"]).join(core.select("mask", F.col("p").alias("q")), ["mask", "q"]).select("mask", "p", "q")
     return connected_components(core, both).select("p", "label")
 
@@ -140,8 +140,8 @@ def core_components(spark, sf_dir):
 def refine_neighbors(spark, sf_dir):
     """Neighbours in columns 0 and 1 from those in column 0."""
     coords = _scaled(spark, sf_dir)
-    first = coords.filter("dim = 0").select(F.lit(1).cast("long").alias("mask"), "p", "dim", "x")
-    edges = neighbors.level_one(first, coords, EPS)
+    table = neighbors.wide(coords, [0])
+    edges = neighbors.eps_join(table, table, [0], EPS).select(F.lit(1).cast("long").alias("mask"), "p", "q", "d2")
     kids = coords.filter("dim = 1").select(F.lit(3).cast("long").alias("mask"), F.lit(1).cast("long").alias("parent"), "p", "dim", "x")
     return neighbors.refine(edges, kids, coords, EPS).select("p", "q")
 
