@@ -228,36 +228,115 @@ def _flagship(**options):
     return run
 
 
+PLANTED = {"d": 5, "n": 1200, "clusters": 2, "std": 0.5, "dims": 3, "noise": 0.01, "seed": 7}
+RECOVERY = {"eps": 0.02, "factor": 0.1, "num_obj": 4, "min_size": 100, "cells": 4}
+
+
 def planted_recovery(spark, sf_dir):
-    """Clusters found in generated data, by their number of columns and size."""
-    coords = generators.generate_gaussian(spark, 4, 600, 2, 0.5, 2, seed=7).select("p", "dim", "x")
-    found = subspace_clusters(coords, 4, 0.02, 0.1, 4, 100, cells=4, rectangular=True)
+    """Clusters found in generated data, by their columns and size: those that were planted."""
+    coords = generators.generate_gaussian(spark, **PLANTED).select("p", "dim", "x")
+    found = subspace_clusters(coords, PLANTED["d"], rectangular=True, **RECOVERY)
     return found.groupBy(F.array_join("dims", ",").alias("dims"), "label").agg(F.count(F.lit(1)).alias("n_points"))
 
 
+_UNIFORM = {"d": 5, "n": 1000, "clusters": 2, "dims": 3, "seed": 5}
+
+
+def _drawn(coords: DataFrame) -> DataFrame:
+    return coords.select("p", "dim", F.round("x", 6).alias("x"), "cluster")
+
+
 def generate_uniform(spark, sf_dir):
-    return generators.generate_uniform(spark, 5, 1000, 2, 3, seed=5)
+    return _drawn(generators.generate_uniform(spark, **_UNIFORM))
 
 
 def generate_blobs(spark, sf_dir):
-    return generators.planted(spark, 1000, 5, generators.random_blobs(1000, 5, 3, seed=9), seed=9)
+    return _drawn(generators.planted(spark, 1000, 5, generators.random_blobs(1000, 5, 3, seed=9), seed=9))
+
+
+def generate_gaussian(spark, sf_dir):
+    return _drawn(generators.generate_gaussian(spark, **PLANTED))
+
+
+_OVERLAID = (1000, 6, [(400, 2, 1.0), (500, 3, 0.5), (300, 2, 0.3)], 3)
+
+
+def generate_overlaid(spark, sf_dir):
+    """Blobs in leading columns, the last one over the points of the others."""
+    return _drawn(generators.planted(spark, 1000, 6, generators.leading_blobs(*_OVERLAID, overlay=True), seed=3))
 
 
 def label_histogram(spark, sf_dir):
     """Points of each cluster of the subspaces with two columns."""
-    run = Clustering(_coords(spark, sf_dir), DIMS, EPS, FACTOR, NUM_OBJ, MIN_SIZE, r=0.0, cells=CELLS, rectangular=True).run()
+    run = Clustering(_coords(spark, sf_dir), DIMS, EPS, FACTOR, NUM_OBJ, MIN_SIZE, r=3.0, cells=CELLS, rectangular=True).run()
     return run.filter(F.size("dims") == 2).groupBy(F.array_join("dims", ",").alias("dims"), "label").agg(F.count(F.lit(1)).alias("n_points"))
 
 
+def region_calls(spark, sf_dir):
+    """How many regions a run visits, the whole table included."""
+    run = Clustering(_coords(spark, sf_dir), DIMS, EPS, FACTOR, NUM_OBJ, MIN_SIZE, cells=CELLS, rectangular=True)
+    run.forward()
+    return spark.createDataFrame([(run.calls,)], "calls long")
+
+
+def cached_run(spark, sf_dir):
+    """A run's table, written the first time and read the second."""
+    from .plans.clustering import cached_run as cached
+
+    path = f"{staged_path(spark, 'cached')}/run"
+    for _ in range(2):
+        found = cached(spark, path, lambda: _flagship(rectangular=True)(spark, sf_dir))
+    return found
+
+
+def _written(spark, sf_dir, columns, **options):
+    """A delimited file with one line for each embedding, in order of vec_id."""
+    path = staged_path(spark, "lines")
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", *columns)
+    table.repartition(1).sortWithinPartitions("vec_id").drop("vec_id").write.options(**options).csv(path)
+    return path
+
+
+def _entries(lo, hi):
+    return [F.get("embedding", F.lit(i)).alias(f"c{i}") for i in range(lo, hi)]
+
+
+def load_glass(spark, sf_dir):
+    """A line: an id, nine numbers and a class."""
+    return points.read_glass(spark, _written(spark, sf_dir, [F.col("vec_id").alias("id"), *_entries(0, 9), "label"]))
+
+
+def load_pendigits(spark, sf_dir):
+    """A line: sixteen padded integers and a class."""
+    padded = [F.lpad(F.floor((F.get("embedding", F.lit(i)) + 1) * 50).cast("string"), 4, " ").alias(f"c{i}") for i in range(16)]
+    return points.read_pendigits(spark, _written(spark, sf_dir, [*padded, "label"], ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false"))
+
+
+def load_vowel(spark, sf_dir):
+    """A line: numbers that all count."""
+    return points.read_vowel(spark, _written(spark, sf_dir, _entries(0, 10)), 10)
+
+
+def load_iris(spark, sf_dir):
+    return scaling.normalize(points.read_vowel(spark, _written(spark, sf_dir, _entries(0, 4)), 4))
+
+
+def load_generated(spark, sf_dir):
+    """Numbers and single spaces, under a header."""
+    return points.read_generated(spark, _written(spark, sf_dir, _entries(0, 5), sep=" ", header="true"), 5)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         column_bounds, normalize_minmax, normalize_lineitem, grid_cells, cell_counts, border_flags, merge_runs, prefix_sum, eps_join_1d, eps_join_nd, neighbor_counts,
         expected_density, phi_density, dense_points_rect, dense_points_kernel, weak_dense_points, core_components, refine_neighbors, restrict_regions, level2_regions,
-        subset_pairs, subspace_order, cluster_sizes, min_size_filter, region_redundancy, cluster_redundancy, merge_result, planted_recovery, generate_uniform, generate_blobs, label_histogram,
+        subset_pairs, subspace_order, cluster_sizes, min_size_filter, region_redundancy, cluster_redundancy, merge_result, planted_recovery, generate_uniform, generate_blobs,
+        generate_gaussian, generate_overlaid, label_histogram, region_calls, cached_run, load_glass, load_pendigits, load_vowel, load_iris, load_generated,
     )
 } | {
     "subspace_clusters": _flagship(rectangular=True),
+    "subspace_clusters_incremental": _flagship(rectangular=True, strategy="incremental"),
     "subspace_clusters_recompute": _flagship(rectangular=True, strategy="recompute"),
     "subspace_clusters_batched": _flagship(rectangular=True, strategy="batched"),
     "subspace_clusters_kernel": _flagship(),
@@ -304,12 +383,18 @@ def _edges_sql(dims: tuple[int, ...], eps: float) -> str:
     return f"{_wide_sql(dims)}, n AS (SELECT a.p, b.p AS q, {d2} AS d2 FROM w a JOIN w b ON a.p <> b.p AND abs(a.x{dims[0]} - b.x{dims[0]}) <= {eps * 1.001!r} WHERE sqrt({d2}) <= {eps!r}::DOUBLE)"
 
 
-_BALL = "power(3.14, k / 2.0) / (gamma(k / 2.0 + 1) * CASE WHEN k % 2 = 1 THEN sqrt(3.14 / pi()) ELSE 1 END)"
+def _ball_sql(k: str) -> str:
+    """Volume of the unit ball in k columns, pi being 3.14: Gamma of a half is that of pi, scaled."""
+    return f"power(3.14, {k} / 2.0) / (gamma({k} / 2.0 + 1) * CASE WHEN {k} % 2 = 1 THEN sqrt(3.14 / pi()) ELSE 1 END)"
+
+
+def _threshold_sql(k: int, n: str, eps: float, factor: float, num_obj: float, rectangular: bool) -> str:
+    den = f"{factor!r}::DOUBLE * {n} * {_ball_sql(str(k))} * power({eps!r}::DOUBLE, {k})"
+    return f"greatest({den}, {num_obj})" if rectangular else f"(greatest({den}, {num_obj}) * 2.0::DOUBLE / {k + 2})"
 
 
 def _least_sql(k: int, rectangular: bool) -> str:
-    den = f"{FACTOR!r} * (SELECT count(*) FROM embeddings) * {volumes.unit_ball(k)!r} * {EPS ** k!r}"
-    return f"greatest({den}, {NUM_OBJ})" if rectangular else f"greatest({den} * {volumes.kernel_share(k)!r}, {NUM_OBJ * volumes.kernel_share(k)!r})"
+    return _threshold_sql(k, "(SELECT count(*) FROM embeddings)", EPS, FACTOR, NUM_OBJ, rectangular)
 
 
 _N2 = f"WITH {_E}, {_edges_sql((0, 1), EPS)}"
@@ -334,7 +419,7 @@ ORACLE_SQL = {
     "eps_join_1d": f"WITH {_E}, {_edges_sql((0,), EPS / 4)} SELECT p, q FROM n",
     "eps_join_nd": f"WITH {_E}, {_edges_sql((0, 1, 2), EPS)} SELECT p, q FROM n",
     "neighbor_counts": f"{_N2} SELECT p, count(*) AS n_neigh FROM n GROUP BY p",
-    "expected_density": f"WITH t AS (SELECT k::INT AS k, (SELECT count(*) FROM embeddings) * {_BALL} * power({EPS!r}, k) AS den, 2.0::DOUBLE / (k + 2) AS w FROM range(1, 9) r(k)) SELECT k, round(den, 6) AS exp_den, round(den * w, 6) AS alpha, round(w, 6) AS omega FROM t",
+    "expected_density": f"WITH t AS (SELECT k::INT AS k, (SELECT count(*) FROM embeddings) * {_ball_sql('k')} * power({EPS!r}, k) AS den, 2.0::DOUBLE / (k + 2) AS w FROM range(1, 9) r(k)) SELECT k, round(den, 6) AS exp_den, round(den * w, 6) AS alpha, round(w, 6) AS omega FROM t",
     "phi_density": f"{_N2} SELECT p, round(sum(1 - power(sqrt(d2) / {EPS!r}, 2)), 5) AS phi FROM n GROUP BY p",
     "dense_points_rect": f"{_D2} SELECT p FROM d",
     "dense_points_kernel": f"{_N2} SELECT p FROM n GROUP BY p HAVING sum(1 - power(sqrt(d2) / {EPS!r}, 2)) >= {_least_sql(2, False)}",
@@ -370,5 +455,114 @@ lab AS (SELECT dims, p, min(c) AS label FROM reach GROUP BY dims, p)
 SELECT * FROM (SELECT dims, p, label, count(*) OVER (PARTITION BY dims, label) AS size FROM lab) WHERE size >= {MIN_SIZE}"""
 
 
+def _clusters_sql(source: str, d: int, eps: float, factor: float, num_obj: int, min_size: int, cells: int, r: float = 1.0, rectangular: bool = True) -> str:
+    """The whole run, subspace by subspace, as CTEs: res(dims, p, label, size). source defines s(p, dim, x), scaled.
+
+    reg: the run of each column of a region. m_S: points of the regions of S; k_S: border points (p, column j, cell) that still
+    connect cells of their regions; e_S: pairs within eps, of any point.
+    """
+    n = "(SELECT count(DISTINCT p) FROM s)"
+    least = lambda k: _threshold_sql(k, n, eps, factor, num_obj, rectangular)
+    out = [source, _cells_sql(cells, eps), _wide_sql(tuple(range(d))), "pc AS MATERIALIZED (SELECT p, " + ", ".join(f"max(CASE WHEN dim = {i} THEN cell END) AS c{i}" for i in range(d)) + " FROM c GROUP BY p)"]
+    out += ["m_ AS (SELECT p, '' AS reg FROM w)", "k_ AS (SELECT p, '' AS reg, dim AS j, cell FROM c WHERE is_border)"]
+    spaces = [x for k in range(1, d + 1) for x in combinations(range(d), k)]
+    name = lambda x: "".join(map(str, x))
+    for x in spaces:
+        me, up, j = name(x), name(x[:-1]), x[-1]
+        d2 = " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in x)
+        value = "count(*)" if rectangular else f"sum(1 - power(sqrt(d2) / {eps!r}::DOUBLE, 2))"
+        out += [
+            f"g_{me} AS (SELECT p, reg, cell, is_border FROM m_{up} JOIN c USING (p) WHERE dim = {j})",
+            f"""f_{me} AS (SELECT reg, cell, bool_or(is_border) OR EXISTS (SELECT 1 FROM k_{up} k WHERE k.reg = g.reg AND k.j = {j} AND k.cell = g.cell) AS flag
+FROM g_{me} g GROUP BY reg, cell)""",
+            f"""r_{me} AS MATERIALIZED (SELECT reg, cell, max(CASE WHEN fresh THEN cell END) OVER (PARTITION BY reg ORDER BY cell ROWS UNBOUNDED PRECEDING) AS run FROM
+(SELECT *, NOT coalesce(lag(cell) OVER v = cell - 1 AND lag(flag) OVER v, false) AS fresh FROM f_{me} WINDOW v AS (PARTITION BY reg ORDER BY cell)))""",
+            f"a_{me} AS (SELECT p, g.reg || '-' || run AS reg FROM g_{me} g JOIN r_{me} r ON g.reg = r.reg AND g.cell = r.cell)",
+            f"b_{me} AS MATERIALIZED (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY reg) AS n FROM a_{me}) WHERE n >= {min_size})",
+            f"""e_{me} AS MATERIALIZED (SELECT a.p, b.p AS q, {d2} AS d2 FROM w a JOIN w b ON a.p <> b.p AND abs(a.x{x[0]} - b.x{x[0]}) <= {eps * 1.001!r} AND abs(a.x{j} - b.x{j}) <= {eps * 1.001!r}
+WHERE sqrt({d2}) <= {eps!r}::DOUBLE)""",
+            f"h_{me} AS MATERIALIZED (SELECT b.p, reg, coalesce(den, 0) AS den FROM b_{me} b LEFT JOIN (SELECT p, {value} AS den FROM e_{me} GROUP BY p) USING (p))",
+            f"m_{me} AS MATERIALIZED (SELECT p, reg, den FROM (SELECT *, count(*) OVER (PARTITION BY reg) AS n FROM h_{me} WHERE den >= {least(d)}) WHERE n >= {min_size})",
+        ]
+        if j < d - 1:
+            there = []
+            for i in range(j + 1, d):
+                free = [t for t in range(i + 1) if t not in x]
+                same = " AND ".join(f"y.c{t} = z.c{t}" for t in free)
+                there.append(f"SELECT k.p, k.reg || '-' || r.run AS reg, k.j, k.cell FROM k_{up} k JOIN pc y ON y.p = k.p JOIN r_{me} r ON r.reg = k.reg AND r.cell = y.c{j} WHERE k.j = {i} AND EXISTS (SELECT 1 FROM m_{me} m JOIN pc z ON z.p = m.p WHERE m.reg = k.reg || '-' || r.run AND {same})")
+            out.append(f"k_{me} AS MATERIALIZED (" + " UNION ALL ".join(there) + ")")
+    done = "SELECT NULL::BIGINT AS mask, NULL::BIGINT AS p, NULL::BIGINT AS label, NULL::BIGINT AS size WHERE false"
+    for k in range(d, 0, -1):
+        mine = [x for x in spaces if len(x) == k]
+        bits = lambda x: sum(1 << i for i in x)
+        out += [
+            f"res{k} AS MATERIALIZED ({done})",
+            f"all{k} AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {bits(x)}::BIGINT AS mask, p, reg, den FROM m_{name(x)}" for x in mine) + ")",
+            f"""skip{k} AS (SELECT mask, reg FROM (SELECT a.mask, a.reg, t.mask AS other, min(t.size) AS least FROM all{k} a JOIN res{k} t ON t.p = a.p AND (a.mask & t.mask) = a.mask GROUP BY ALL)
+JOIN (SELECT mask, reg, count(*) AS n FROM all{k} GROUP BY mask, reg) USING (mask, reg) GROUP BY mask, reg, n HAVING n * {r!r}::DOUBLE <= max(least))""",
+            f"core{k} AS MATERIALIZED (SELECT mask, p, reg FROM all{k} ANTI JOIN skip{k} USING (mask, reg) WHERE den >= {least(k)})",
+            f"""link{k} AS MATERIALIZED (SELECT e.mask, e.p, e.q FROM (""" + " UNION ALL ".join(f"SELECT {bits(x)}::BIGINT AS mask, p, q FROM e_{name(x)}" for x in mine) + f""") e
+JOIN core{k} a ON a.mask = e.mask AND a.p = e.p JOIN core{k} b ON b.mask = e.mask AND b.p = e.q WHERE a.reg = b.reg)""",
+            f"reach{k} AS (SELECT mask, p, p AS c FROM core{k} UNION SELECT l.mask, l.q, t.c FROM reach{k} t JOIN link{k} l ON l.mask = t.mask AND l.p = t.p AND t.c < l.q)",
+            f"""own{k} AS MATERIALIZED (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY mask, label) AS size FROM (SELECT mask, p, min(c) AS label FROM reach{k} GROUP BY mask, p))
+WHERE size >= {min_size})""",
+            f"gone{k} AS (SELECT DISTINCT o.mask, o.label FROM own{k} o JOIN res{k} t ON t.p = o.p AND (o.mask & t.mask) = o.mask WHERE o.size * {r!r}::DOUBLE < t.size)",
+        ]
+        done = f"SELECT * FROM res{k} UNION ALL SELECT mask, p, label, size FROM own{k} ANTI JOIN gone{k} USING (mask, label)"
+    out.append(f"res AS (SELECT array_to_string(list_filter(range({d}), lambda i: (mask >> i) & 1 = 1), ',') AS dims, p, label, size FROM ({done}))")
+    return "WITH RECURSIVE " + ",\n".join(out)
+
+
+def _uniform_sql(seed: int, stream: str) -> str:
+    return f"((('0x' || substr(md5('{seed}:{stream}:' || p || ':' || dim), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496)"
+
+
+def _planted_sql(n: int, d: int, blobs: list, seed: int) -> str:
+    """drawn(p, dim, x, cluster)."""
+    normal = f"(sqrt(-2 * ln({_uniform_sql(seed, 'r')})) * cos(2 * pi() * {_uniform_sql(seed, 'a')}))"
+    x, cluster = "", ""
+    for lo, hi, k, dim, centre, std, width in reversed(generators.spans(blobs, n)):
+        near = f"{centre!r}::DOUBLE + {normal} * {std!r}::DOUBLE" if width is None else f"{centre!r}::DOUBLE + ({_uniform_sql(seed, 'w')} - 0.5) * {width!r}::DOUBLE"
+        here = f"WHEN dim = {dim} AND p >= {lo} AND p < {hi}"
+        x, cluster = f"{x}{here} THEN {near} ", f"{cluster}{here} THEN {k} "
+    return f"""drawn AS MATERIALIZED (SELECT p, dim, CASE {x}ELSE {_uniform_sql(seed, 'u')} * 200 - 100 END AS x, (CASE {cluster}ELSE 0 END)::INT AS cluster
+FROM (SELECT a::BIGINT AS p, b::INT AS dim FROM range({n}) u(a), range({d}) v(b)))"""
+
+
+def _drawn_sql(n: int, d: int, blobs: list, seed: int) -> str:
+    return f"WITH {_planted_sql(n, d, blobs, seed)} SELECT p, dim, round(x, 6) AS x, cluster FROM drawn"
+
+
+def _histogram_sql(clusters: str, where: str = "true") -> str:
+    return f"{clusters} SELECT dims, label, count(*) AS n_points FROM res WHERE {where} GROUP BY dims, label"
+
+
+def _lines_sql(columns: list[str]) -> str:
+    """coords of the expressions, as floats, in order of vec_id."""
+    return f"""SELECT p, unnest(range({len(columns)}))::INT AS dim, unnest([{', '.join(columns)}]::FLOAT[]) AS x
+FROM (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS p FROM embeddings)"""
+
+
 ORACLE_SQL["subspace_clusters_keep_all"] = _plain_sql()
+_RUN = {"d": DIMS, "eps": EPS, "factor": FACTOR, "num_obj": NUM_OBJ, "min_size": MIN_SIZE, "cells": CELLS}
+_BLOBS = generators.gaussian_blobs(PLANTED["d"], PLANTED["n"], PLANTED["clusters"], PLANTED["std"], PLANTED["dims"], PLANTED["noise"], PLANTED["seed"])
+_SCALE = "s AS MATERIALIZED (SELECT p, dim, (x - mn) / (mx - mn) AS x FROM drawn JOIN (SELECT dim, min(x) AS mn, max(x) AS mx FROM drawn GROUP BY dim) USING (dim))"
+_FOUND = _clusters_sql(_E, **_RUN)
+ORACLE_SQL |= {name: f"{_FOUND} SELECT * FROM res" for name in ("subspace_clusters", "subspace_clusters_incremental", "subspace_clusters_recompute", "subspace_clusters_batched", "cached_run")}
+ORACLE_SQL |= {
+    "subspace_clusters_kernel": f"{_clusters_sql(_E, **_RUN, rectangular=False)} SELECT * FROM res",
+    "label_histogram": _histogram_sql(_clusters_sql(_E, **_RUN, r=3.0), "length(dims) = 3"),
+    "region_calls": f"{_FOUND} SELECT (1 + (SELECT count(*) FROM (" + " UNION ALL ".join(f"SELECT DISTINCT '{''.join(map(str, x))}', reg FROM m_{''.join(map(str, x))}" for k in range(1, DIMS + 1) for x in combinations(range(DIMS), k)) + ")))::BIGINT AS calls",
+    "planted_recovery": _histogram_sql(_clusters_sql(f"{_planted_sql(PLANTED['n'], PLANTED['d'], _BLOBS, PLANTED['seed'])}, {_SCALE}", PLANTED["d"], **RECOVERY)),
+    "generate_gaussian": _drawn_sql(PLANTED["n"], PLANTED["d"], _BLOBS, PLANTED["seed"]),
+    "generate_uniform": _drawn_sql(1000, 5, generators.box_blobs(5, 1000, 2, 3, 0.99, 2.0, 5), 5),
+    "generate_blobs": _drawn_sql(1000, 5, generators.random_blobs(1000, 5, 3, seed=9), 9),
+    "generate_overlaid": _drawn_sql(1000, 6, generators.leading_blobs(*_OVERLAID, overlay=True), 3),
+    "load_glass": _lines_sql([f"embedding[{i}]" for i in range(1, 10)]),
+    "load_pendigits": _lines_sql([f"floor((embedding[{i}] + 1) * 50)" for i in range(1, 17)]),
+    "load_vowel": _lines_sql([f"embedding[{i}]" for i in range(1, 11)]),
+    "load_iris": f"""WITH t AS ({_lines_sql([f"embedding[{i}]" for i in range(1, 5)])})
+SELECT p, dim, ((x - mn)::DOUBLE / (mx - mn)::DOUBLE)::FLOAT AS x FROM t JOIN (SELECT dim, min(x) AS mn, max(x) AS mx FROM t GROUP BY dim) USING (dim)""",
+    "load_generated": _lines_sql([f"embedding[{i}]" for i in range(1, 6)]),
+}
 ORACLE_SQL |= {f"{name}_all": ORACLE_SQL[name].replace(_E, _e_sql(dims)).replace("(1 <<", "(1::BIGINT <<") for name, dims in _ALL.items()}

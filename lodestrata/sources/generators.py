@@ -1,13 +1,15 @@
 """Synthetic point tables with planted clusters, drawn on the executors from a seed.
 
 A blob is (points, columns, centre, std): its points lie around the centre in those columns; all other coordinates are
-uniform in (-100, 100). Each returns coords(p, dim, x, cluster), cluster 0 for noise.
+uniform in (-100, 100). Each returns coords(p, dim, x, cluster), cluster 0 for noise. Every draw is a hash of seed, point and
+column, so that a seed gives the same table however it is partitioned.
 """
 
 from __future__ import annotations
 
+import math
 import random
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,26 +19,44 @@ LOW, HIGH = -100.0, 100.0
 
 @dataclass(frozen=True)
 class Blob:
+    """start: its first point; by default, behind the blobs before it. width: uniform within it instead of normal."""
+
     points: int
     dims: tuple[int, ...]
     centre: tuple[float, ...]
     std: float
+    width: float | None = None
+    start: int | None = None
+
+
+def uniform(seed: int, stream: str):
+    """A uniform draw in (0, 1) for each p and dim: 52 bits of the md5 of seed, stream, p and dim."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(stream), F.col("p").cast("string"), F.col("dim").cast("string")))
+    return (F.conv(F.substring(h, 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
 
 
 def planted(spark: SparkSession, n: int, d: int, blobs: list[Blob], seed: int) -> DataFrame:
-    """Blobs take the first points, one after the other; the rest is noise."""
-    edges, at = [], 0
-    for k, b in enumerate(blobs):
-        edges.append((k, at, min(n, at + b.points)))
-        at += b.points
-    rows = [(lo, hi, k + 1, dim, c, blobs[k].std) for k, lo, hi in edges for dim, c in zip(blobs[k].dims, blobs[k].centre, strict=True)]
-    spots = spark.createDataFrame(rows or [(0, 0, 0, 0, 0.0, 0.0)], "lo long, hi long, cluster int, dim int, centre double, std double")
+    """Points 0 to n - 1, with the blobs that have no start one after the other; the rest is noise. Of blobs that meet in a
+    coordinate, the last holds it."""
+    rows = spans(blobs, n)
     cells = spark.range(n).select(F.col("id").alias("p"), F.explode(F.array(*(F.lit(i) for i in range(d)))).alias("dim"))
-    drawn = cells.select("p", "dim", F.rand(seed).alias("u"), F.randn(seed + 1).alias("z"))
-    near = (drawn["dim"] == spots["dim"]) & (drawn["p"] >= spots["lo"]) & (drawn["p"] < spots["hi"])
-    both = drawn.join(F.broadcast(spots), near, "left")  # as many rows as the call lists
-    x = F.when(F.col("cluster").isNull(), F.col("u") * (HIGH - LOW) + LOW).otherwise(F.col("centre") + F.col("z") * F.col("std"))
-    return both.select("p", drawn["dim"], x.alias("x"), F.coalesce("cluster", F.lit(0)).alias("cluster"))
+    normal = F.sqrt(-2 * F.log(uniform(seed, "r"))) * F.cos(2 * math.pi * uniform(seed, "a"))
+    x, cluster = uniform(seed, "u") * (HIGH - LOW) + LOW, F.lit(0)
+    for lo, hi, k, dim, centre, std, width in rows:
+        here = (F.col("dim") == dim) & (F.col("p") >= lo) & (F.col("p") < hi)
+        near = centre + normal * std if width is None else centre + (uniform(seed, "w") - 0.5) * width
+        x, cluster = F.when(here, near).otherwise(x), F.when(here, F.lit(k)).otherwise(cluster)
+    return cells.select("p", "dim", x.alias("x"), cluster.alias("cluster"))
+
+
+def spans(blobs: list[Blob], n: int) -> list[tuple]:
+    """(first point, end, cluster, dim, centre, std, width) of each column of each blob."""
+    out, at = [], 0
+    for k, b in enumerate(blobs):
+        lo = at if b.start is None else b.start
+        at = lo + b.points if b.start is None else at
+        out += [(lo, min(n, lo + b.points), k + 1, dim, c, b.std, b.width) for dim, c in zip(b.dims, b.centre, strict=True)]
+    return out
 
 
 def gaussian_blobs(d: int, n: int, clusters: int, std: float, dims: int, noise: float, seed: int) -> list[Blob]:
@@ -50,10 +70,24 @@ def generate_gaussian(spark: SparkSession, d: int, n: int, clusters: int, std: f
     return planted(spark, n, d, gaussian_blobs(d, n, clusters, std, dims, noise, seed), seed)
 
 
-def leading_blobs(sizes: list[tuple[int, int, float]], seed: int) -> list[Blob]:
-    """Blobs of (points, dims, std) in the leading columns."""
+def leading_blobs(n: int, d: int, sizes: list[tuple[int, int, float]], seed: int, overlay: bool = False) -> list[Blob]:
+    """Blobs of (points, dims, std) in the leading columns, one behind the other. A blob of more points than are left has no
+    place, unless overlay: then the first points hold it too, in the columns behind those that any point with room uses, if
+    enough points have room."""
     draw = random.Random(seed)
-    return [Blob(n, tuple(range(k)), tuple(draw.uniform(LOW, HIGH) for _ in range(k)), std) for n, k, std in sizes]
+    used, out = [], []
+    for points, k, std in sizes:
+        centre = tuple(draw.uniform(LOW, HIGH) for _ in range(k))
+        if k > d:
+            continue
+        if points <= n - len(used):
+            out.append(Blob(points, tuple(range(k)), centre, std, start=len(used)))
+            used += [k] * points
+        elif overlay:
+            room = [u for u in used + [0] * (n - len(used)) if d - u >= k]
+            if len(room) >= points:
+                out.append(Blob(points, tuple(range(max(room), max(room) + k)), centre, std, start=0))
+    return out
 
 
 def random_blobs(n: int, d: int, clusters: int, seed: int) -> list[Blob]:
@@ -62,14 +96,15 @@ def random_blobs(n: int, d: int, clusters: int, seed: int) -> list[Blob]:
     out = []
     for _ in range(clusters):
         k = draw.randint(1, d)
-        out.append(Blob(draw.randint(1, max(1, n // clusters)), tuple(sorted(draw.sample(range(d), k))), tuple(draw.uniform(LOW, HIGH) for _ in range(k)), draw.uniform(0.1, 5)))
+        points, dims = draw.randint(1, max(1, n // clusters)), tuple(sorted(draw.sample(range(d), k)))
+        out.append(Blob(points, dims, tuple(draw.uniform(LOW, HIGH) for _ in range(k)), draw.uniform(0.1, 5)))
     return out
 
 
 def generate_uniform(spark: SparkSession, d: int, n: int, clusters: int, dims: int, share: float = 0.99, width: float = 2.0, seed: int = 0) -> DataFrame:
     """Box clusters: uniform within `width` in their columns."""
-    blobs = gaussian_blobs(d, n, clusters, 0.0, dims, 1 - share, seed)
-    table = planted(spark, n, d, blobs, seed)
-    spread = (F.rand(seed + 2) - 0.5) * width
-    boxed = F.when((F.col("cluster") > 0), F.col("x") + spread).otherwise(F.col("x"))
-    return table.withColumn("x", boxed)
+    return planted(spark, n, d, box_blobs(d, n, clusters, dims, share, width, seed), seed)
+
+
+def box_blobs(d: int, n: int, clusters: int, dims: int, share: float, width: float, seed: int) -> list[Blob]:
+    return [replace(b, width=width) for b in gaussian_blobs(d, n, clusters, 0.0, dims, 1 - share, seed)]

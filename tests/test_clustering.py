@@ -8,9 +8,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrata import queries
 from lodestrata.functions import subspaces, volumes
-from lodestrata.operators import grid, neighbors, redundancy, scaling
+from lodestrata.operators import grid, line, neighbors, redundancy, scaling
 from lodestrata.operators.components import connected_components
+from lodestrata.plans import cutting
 from lodestrata.plans.clustering import Clustering, subspace_clusters, to_lists
 from lodestrata.sources import generators, points
 
@@ -60,6 +62,58 @@ def test_neighbours(spark):
     assert neighbors.eps_join(edge, edge, [0], abs((0.3 + 0.1) - 0.3)).count() == 2
 
 
+@pytest.mark.parametrize(("rectangular", "split"), [(True, 1), (True, 3), (False, 1), (False, 4)])
+def test_densities_in_one_column(spark, rectangular, split):
+    r = random.Random(5)
+    xs = [[round(r.random(), 2), r.gauss(0, 30)] for _ in range(150)] + [[0.5, 0.0]] * 40 + [[0.3, -0.1], [0.3 + 0.1, 0.0]]
+    coords = table(spark, xs)
+    for eps in (0.1, abs((0.3 + 0.1) - 0.3)):
+        want = {}
+        for p, row in enumerate(xs):
+            for i, x in enumerate(row):
+                near = [abs(other[i] - x) for q, other in enumerate(xs) if q != p and abs(other[i] - x) <= eps]
+                want[p, i] = len(near) if rectangular else sum(1 - (g / eps) ** 2 for g in near)
+        got = {(g["p"], g["dim"]): g["density"] for g in line.with_line_density(coords, coords, eps, rectangular, 0, split).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-6) for k in want)
+
+
+def test_components_in_one_column(spark):
+    r = random.Random(6)
+    rows = [(g, p, x) for p in range(200) for g, x in [(p % 2, r.uniform(-1, 1) ** 3)]]
+    got = {(x["g"], x["p"]): x["label"] for x in line.line_components(spark.createDataFrame(rows, "g long, p long, x double"), 0.01, ["g"]).collect()}
+    for g in (0, 1):
+        mine, label, last = sorted((x, p) for h, p, x in rows if h == g), {}, None
+        groups: list[list[int]] = []
+        for x, p in mine:
+            if last is None or x - last > 0.01:
+                groups.append([])
+            groups[-1].append(p)
+            last = x
+        label = {p: min(group) for group in groups for p in group}
+        assert {p: got[g, p] for p in label} == label and len(groups) > 3
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components_of_random_graphs(spark, few):
+    r = random.Random(few)
+    pairs = [(r.choice((3, 4)), r.randrange(120), r.randrange(120)) for _ in range(110)]
+    vertices = spark.range(120).selectExpr("explode(array(3L, 4L)) AS mask", "id AS p")
+    got = {(x["mask"], x["p"]): x["label"] for x in connected_components(vertices, spark.createDataFrame(pairs, "mask long, p long, q long"), few=few).collect()}
+    label = {(m, p): p for m in (3, 4) for p in range(120)}
+    for _ in range(120):
+        for m, a, b in pairs:
+            label[m, a] = label[m, b] = min(label[m, a], label[m, b])
+    assert got == label
+
+
+def test_scaled_and_calls(spark):
+    with pytest.raises(ValueError):
+        Clustering(table(spark, [(0.0,), (2.0,)]), 1, 0.1, 1, 1, 1, scaled=True)
+    run = Clustering(table(spark, [(x / 100, 0.5) for x in range(40)] + [(1.0, 0.0)]), 2, 0.05, 0.0, 1, 5, cells=4)
+    found = run.run()
+    assert run.calls == 1 + 3 and {tuple(r["dims"]) for r in found.collect()} == {(0, 1)}
+
+
 def test_components(spark):
     vertices = spark.createDataFrame([(m, p) for m in (1, 2) for p in (0, 1, 2, 5, 6, 9)], "mask long, p long")
     pairs = [(1, 0, 1), (1, 1, 2), (1, 5, 6), (2, 6, 9), (2, 9, 0)]
@@ -199,4 +253,29 @@ def test_sources(spark, tmp_path):
     made = generators.generate_gaussian(spark, 4, 200, 2, 0.5, 2, seed=1)
     assert made.count() == 800 and made.filter("cluster = 1").groupBy("dim").count().count() == 2
     assert made.filter("cluster > 0").groupBy("cluster", "dim").agg(F.stddev("x").alias("s")).filter("s > 1").count() == 0
+    again = generators.generate_gaussian(spark, 4, 200, 2, 0.5, 2, seed=1).repartition(7)
+    assert made.exceptAll(again).isEmpty() and not made.exceptAll(generators.generate_gaussian(spark, 4, 200, 2, 0.5, 2, seed=2)).isEmpty()
     assert generators.generate_uniform(spark, 3, 50, 2, 2).count() == 150
+    laid = generators.leading_blobs(100, 5, [(60, 2, 1.0), (40, 3, 1.0), (50, 2, 1.0), (200, 1, 1.0), (10, 6, 1.0)], 1, overlay=True)
+    assert [(b.start, b.dims) for b in laid] == [(0, (0, 1)), (60, (0, 1, 2)), (0, (3, 4))]
+    assert len(generators.leading_blobs(100, 5, [(60, 2, 1.0), (50, 3, 1.0)], 1)) == 1
+
+
+def test_planted_clusters_are_found(spark):
+    blobs = generators.gaussian_blobs(*(queries.PLANTED[k] for k in ("d", "n", "clusters", "std", "dims", "noise", "seed")))
+    found = {r["dims"]: r["n_points"] for r in queries.planted_recovery(spark, "").collect()}
+    assert all(found.get(",".join(map(str, b.dims)), 0) > 0.9 * b.points for b in blobs)
+
+
+def test_shared_folder_is_required(monkeypatch):
+    class Away:
+        master = "spark://somewhere:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext, conf = Away(), {}
+
+    with pytest.raises(ValueError):
+        cutting.shared_dir(Session())
