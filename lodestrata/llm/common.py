@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,20 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch on its way to Python; texts are long, and a batch must fit beside the heap.
-BATCH_ROWS = 1000
-_staged: list[tuple[SparkSession, str]] = []
+from ..plans.cutting import shared_dir, stage, staged_path
 
+__all__ = ["shared_dir", "stage", "staged_path"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a new temporary one only where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='lodestrata-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+#: Rows of one Arrow batch on its way to Python; texts are long, and a batch must fit beside the heap.
+BATCH_ROWS = 1000
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -42,35 +31,6 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def staged_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when Python ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if not _staged:
-        atexit.register(_forget)
-    _staged.append((spark, path))
-    return path
-
-
-def _forget() -> None:
-    for spark, path in _staged:
-        try:
-            sc = spark.sparkContext
-            if sc._jsc is None:
-                continue
-            at = sc._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001  the session is gone; what is left is in the folder for such files
-            return
-    _staged.clear()
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: a plan cut that survives lost executors and prunes columns."""
-    path = staged_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def arrow_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches small unless the session already asks for small ones."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

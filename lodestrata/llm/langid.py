@@ -4,7 +4,11 @@ Each language's sample becomes a suffix automaton. A text is cut greedily into t
 sample; phrases times the sample's log length, by text length, estimates the cross entropy (Ziv and Merhav), and the
 language with the least wins. The automata are complete transition tables: a missing transition leads to where the next
 phrase begins and is marked by its sign, so that a batch of texts is parsed by numpy, one gather for each character and
-language. Texts are parsed whole, in lanes of `LANE` characters; a phrase ends with its lane.
+language. Texts are parsed whole, in lanes of `LANE` characters side by side: each lane is parsed from the root first, then again
+from the state in which the lane before it ends, up to the place where both parses are in one state, from where they agree;
+this is repeated while a lane's last state changes, so that the phrases are those of the text read from end to end.
+
+Only the samples are broadcast; each worker builds the automata from them once.
 
 Letters are lower-cased, other characters are spaces. All letters of the samples are told apart, whatever the scripts: if
 there are more than symbols, the frequent ones (by their shares in each language) have a symbol of their own and the others
@@ -60,15 +64,29 @@ def _shared(texts: list[str], chars: int) -> str:
 
 
 class Model:
-    """Transition tables of all languages over one alphabet."""
+    """Transition tables of all languages over one alphabet, built where they are first used."""
 
     def __init__(self, samples: dict[str, list[str]], chars: int = SAMPLE_CHARS, total: int = TOTAL_CHARS) -> None:
         self.names = sorted(samples)
         chars = min(chars, total // max(1, len(samples)))
-        texts = {k: _shared(samples[k], chars) for k in self.names}
+        self.texts = [_shared(samples[k], chars) for k in self.names]
+
+    def __getstate__(self) -> tuple:
+        return self.names, self.texts
+
+    def __setstate__(self, state: tuple) -> None:
+        self.names, self.texts = state
+
+    def __getattr__(self, name: str):
+        if name not in ("codes", "symbols", "widths", "tables", "weights"):
+            raise AttributeError(name)
+        self._build()
+        return self.__dict__[name]
+
+    def _build(self) -> None:
         seen: Counter = Counter()
-        for k in self.names:
-            own = Counter(c for c in texts[k] if c != " ")
+        for text in self.texts:
+            own = Counter(c for c in text if c != " ")
             seen.update({c: n / own.total() for c, n in own.items()})
         letters = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))]
         other = len(letters) + 1
@@ -90,8 +108,8 @@ class Model:
         self.widths = np.ones(other + 1, np.int64)
         self.widths[single + 1 : other] = width
         self.tables, self.weights = [], []
-        for k in self.names:
-            codes = self.encode(texts[k])
+        for text in self.texts:
+            codes = self.encode(text)
             self.tables.append(_automaton(codes.tolist()))
             self.weights.append(math.log2(len(codes) + 2))
 
@@ -116,15 +134,11 @@ class Model:
             flat[at] = np.concatenate(codes)
         steps = np.ascontiguousarray(flat.reshape(n, LANE).T).astype(np.int32)
         of = np.repeat(np.arange(len(codes)), lanes)
+        after = np.flatnonzero(of[1:] == of[:-1]) + 1  # lanes that go on from the one before
         out = np.zeros((len(codes), len(self.names)))
         for k, table in enumerate(self.tables):
-            state, count = np.zeros(n, np.int32), np.ones(n, np.int32)
-            for step in steps:
-                state = table[state + step]
-                broke = state >> 31
-                state ^= broke
-                count -= broke
-            out[:, k] = np.bincount(of, count, len(codes)) * self.weights[k] / np.maximum(lengths, 1)
+            breaks = _breaks(table, steps, after)
+            out[:, k] = (1 + np.bincount(of, breaks, len(codes))) * self.weights[k] / np.maximum(lengths, 1)
         return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
@@ -140,6 +154,41 @@ class Model:
         return names, scores
 
 
+def _breaks(table: np.ndarray, steps: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Phrases that end in each lane (a column of steps), where the lanes `after` go on in the state in which the lane before ends."""
+    n = steps.shape[1]
+    seen, ended = np.empty(steps.shape, np.int32), np.empty(steps.shape, np.int16)
+    state, count = np.zeros(n, np.int32), np.zeros(n, np.int16)
+    for t, step in enumerate(steps):
+        state = table[state + step]
+        broke = state >> 31
+        state ^= broke
+        count -= broke.astype(np.int16)
+        seen[t], ended[t] = state, count
+    last, total = state.copy(), count.astype(np.int64)
+    lane, again = after, False
+    while len(lane):
+        at, state, count = lane, last[lane - 1], np.zeros(len(lane), np.int64)
+        was = last[lane]
+        for t in range(len(steps)):
+            state = table[state + steps[t, at]]
+            broke = state >> 31
+            state ^= broke
+            count -= broke
+            if not again:  # the first parse is known to the end from where both are in one state
+                same = state == seen[t, at]
+                if same.any():
+                    met = at[same]
+                    total[met] = count[same] + ended[-1, met] - ended[t, met]
+                    at, state, count = at[~same], state[~same], count[~same]
+                    if not len(at):
+                        break
+        total[at], last[at] = count, state
+        moved = lane[last[lane] != was]
+        lane, again = np.intersect1d(moved + 1, after, assume_unique=True), True
+    return total
+
+
 def _automaton(codes: list[int]) -> np.ndarray:
     """The suffix automaton's transitions, flat and premultiplied by CODES; a missing one is ~(where the root leads)."""
     most = max(2, 2 * len(codes))
@@ -177,7 +226,9 @@ def _automaton(codes: list[int]) -> np.ndarray:
 
 def sample(df: DataFrame, text: str, lang: str, docs: int = SAMPLE_DOCS) -> dict[str, list[str]]:
     """For each language the `docs` distinct texts of least hash; df has the documents that may be learned from."""
-    rows = df.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).cast("string").alias("__lang"), F.xxhash64(F.col(text).cast("string")).alias("__h"), F.col(text).alias("__text"))
+    start = F.substring(F.regexp_replace(F.col(text).cast("string"), r"\P{L}+", " "), 1, SAMPLE_CHARS + 1)  # more is never used
+    rows = df.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    rows = rows.select(F.col(lang).cast("string").alias("__lang"), F.xxhash64(F.col(text).cast("string")).alias("__h"), start.alias("__text"))
     first = Window.partitionBy("__lang").orderBy("__h")
     few = rows.select("__lang", "__h").withColumn("__r", F.dense_rank().over(first)).filter(F.col("__r") <= docs).select("__lang", "__h").distinct().collect()
     if not few:
