@@ -1,20 +1,24 @@
 """Main text of web pages by site template removal.
 
-Pages are parsed into element trees. The hash of each container's subtree is counted for each host in Spark, over pages
-of different bodies, so that copies of a page count once; subtrees that recur across many pages of a host are its
-template and go, as do elements whose tag, role, class or id says that they are no article. The article is then the
-largest `article`, else `main`, else a container named for content, else the body. Counting is by (host, subtree), never
-by host, and each page meets only the template subtrees that it holds itself.
+Pages are parsed into element trees, once to count and once to extract. The hash of each container's subtree is counted for
+each host in Spark, over pages of different bodies, so that copies of a page count once; subtrees that recur across pages of
+a host are its template and go: containers outside of articles on MIN_PAGES pages, paragraphs there and containers within
+articles on MIN_INNER. Counting is by (host, subtree), never by host, and each page meets only the template subtrees that it
+holds itself. Then, as a second line, elements go whose tag, role, class or id says that they are no article. What is left of
+the `article` is the text: of all of them in page order, if there are several, but for those that are mostly links; else
+`main`, else the body.
 
 Within an article, paragraphs, headings and list items never count as template: a passage that many articles quote stays.
 
 Defined cases: null html gives an empty text; a null url has the empty host, on which nothing is template; repeated rows
-are extracted each; broken markup is read as far as it goes; other columns are not read; empty tables stay empty.
+are extracted each; broken markup is read as far as it goes; time is linear in a page's length, however deep its elements
+are; other columns pass through, whatever their names, if they do not begin with two underscores; empty tables stay empty.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -24,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, slabs, strings
+from .common import map_arrow, slabs, stage, strings
 
-#: A subtree is template on at least so many different pages of a host, and this share of them.
-MIN_PAGES, MIN_SHARE = 8, 0.02
+#: A subtree is template on at least so many different pages of a host (outside of articles; paragraphs, or within), and this
+#: share of them.
+MIN_PAGES, MIN_INNER, MIN_SHARE = 3, 8, 0.02
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|([^<]+|<)", re.S)
 _BROKEN = re.compile(r"/?[a-zA-Z]")
@@ -45,16 +50,24 @@ NAMES = frozenset(
     "modal overlay newsletter subscribe subscription signup sidebar sidebars widget widgets related recommended recommendations share sharing social breadcrumb breadcrumbs pagination pager "
     "menu menus nav navbar navigation comment comments commentlist reply replies respond disqus footer masthead toolbar skip login search tracking".split()
 )
-CONTENT = frozenset("article content story post entry main body text".split())
+NO_ARTICLE = frozenset("comment comments related sponsored ad promo".split())
 _CLOSES_P = BLOCKS - {"body", "html"}
-_ENDS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
+_ENDS = {
+    "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)),
+    "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",)),
+}
+_HIDDEN = re.compile(r"(display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 
 
 class Node:
-    __slots__ = ("attrs", "children", "hash", "parent", "tag")
+    """holds: an article, main or first heading is below it; frames: an article or main is; inside: it or an element above is one."""
 
-    def __init__(self, tag: str, attrs: str = "", parent: Node | None = None) -> None:
-        self.tag, self.attrs, self.parent, self.children, self.hash = tag, attrs, parent, [], None
+    __slots__ = ("attrs", "children", "frames", "hash", "holds", "inside", "size", "tag")
+
+    def __init__(self, tag: str, attrs: str = "") -> None:
+        self.tag, self.attrs, self.children, self.hash = tag, attrs, [], None
+        self.holds = self.frames = self.inside = False
+        self.size = 0
 
     def walk(self) -> Iterator[Node]:
         stack = [self]
@@ -63,26 +76,49 @@ class Node:
             yield node
             stack.extend(x for x in reversed(node.children) if type(x) is not str)
 
-    def text(self) -> str:
-        out, stack = [], [self]
-        while stack:
-            node = stack.pop()
-            if type(node) is str:
-                out.append(node)
-            else:
-                stack.extend(reversed(node.children))
-        return " ".join(out)
-
     def get(self) -> dict[str, str]:
         return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(self.attrs)} if self.attrs.strip() else {}
 
 
+class _Open:
+    """The elements that are open, the innermost last, and how many of each tag."""
+
+    def __init__(self, top: Node) -> None:
+        self.nodes, self.many = [top], Counter()
+
+    def push(self, node: Node) -> None:
+        self.nodes.append(node)
+        self.many[node.tag] += 1
+
+    def cut(self, at: int) -> None:
+        while len(self.nodes) > at:
+            self.many[self.nodes.pop().tag] -= 1
+
+    def find(self, tags: tuple[str, ...], until: tuple[str, ...], last: bool = False) -> int:
+        """Place of the innermost (or, if last, outermost) element of the tags within the innermost of `until`; 0 for none."""
+        found, left = 0, sum(self.many[t] for t in tags)
+        for i in range(len(self.nodes) - 1, 0, -1) if left else ():
+            tag = self.nodes[i].tag
+            if tag in tags:
+                found, left = i, left - 1
+                if not last or not left:
+                    break
+            elif tag in until:
+                break
+        return found
+
+
+_HOLDS_P = ("table", "td", "th", "button", "li", "div", "article", "section")
+
+
 def parse(html: str) -> Node:
     """The element tree, with ends that the markup leaves out."""
-    at = top = Node("#root")
+    top = Node("#root")
+    opened = _Open(top)
     pos, size = 0, len(html)
     lower = None
     while pos < size:
+        at = opened.nodes[-1]
         m = _TOKEN.match(html, pos)
         if m is None:  # a tag without its end
             at.children.append(unescape(html[pos:]) if html[pos] != "<" else "")
@@ -100,29 +136,17 @@ def parse(html: str) -> Node:
             continue
         name = name.lower()
         if m[2]:
-            node = at
-            while node is not top and node.tag != name:
-                node = node.parent
-            if node is not top:
-                at = node.parent
+            if opened.many[name]:
+                opened.cut(opened.find((name,), ()))
             elif name == "br":
-                at.children.append(Node("br", "", at))
+                at.children.append(Node("br"))
             continue
-        if name in _CLOSES_P:
-            node = at
-            while node is not top and node.tag not in ("p", "table", "td", "th", "button", "li", "div", "article", "section"):
-                node = node.parent
-            if node.tag == "p":
-                at = node.parent
-        if name in _ENDS:
-            ends, within = _ENDS[name]
-            node = at
-            while node is not top and node.tag not in within:
-                if node.tag in ends.split():
-                    at = node.parent
-                node = node.parent
-        child = Node(name, m[4], at)
-        at.children.append(child)
+        if name in _CLOSES_P and (k := opened.find(("p",), _HOLDS_P)):
+            opened.cut(k)
+        if name in _ENDS and (k := opened.find(*_ENDS[name], last=True)):
+            opened.cut(k)
+        child = Node(name, m[4])
+        opened.nodes[-1].children.append(child)
         if name in RAW:
             lower = html.lower() if lower is None else lower
             if len(lower) != size:  # a character's lower case is longer
@@ -136,7 +160,18 @@ def parse(html: str) -> Node:
             close = html.find(">", stop)
             pos = size if close < 0 else close + 1
         elif name not in VOID and not m[4].endswith("/"):
-            at = child
+            opened.push(child)
+    order = list(top.walk())
+    for node in order:
+        node.inside = node.inside or node.tag in ("article", "main")
+        for x in node.children:
+            if type(x) is not str:
+                x.inside = node.inside
+    for node in reversed(order):
+        for x in node.children:
+            if type(x) is not str:
+                node.frames |= x.frames or x.tag in ("article", "main")
+                node.holds |= x.holds or x.tag in ("article", "main", "h1")
     return top
 
 
@@ -156,30 +191,19 @@ def _hashes(top: Node) -> None:
         node.hash = h.intdigest()
 
 
-def _inside(node: Node) -> bool:
-    while node is not None:
-        if node.tag in ("article", "main"):
-            return True
-        node = node.parent
-    return False
-
-
-def _holds(node: Node) -> bool:
-    return any(x.tag in ("article", "main", "h1") for x in node.walk() if x is not node)
-
-
-def _candidates(top: Node) -> Iterator[Node]:
+def _candidates(top: Node) -> Iterator[tuple[Node, int]]:
+    """Elements that may be template, with their key: the hash, whose last bit says that many pages are asked for; signed."""
     for node in top.walk():
-        if (node.tag in CONTAINERS or node.tag == "p" and not _inside(node)) and not _holds(node):
-            yield node
+        if (node.tag in CONTAINERS or node.tag == "p" and not node.inside) and not node.holds:
+            key = node.hash & ~1 | (node.inside or node.tag == "p")
+            yield node, key - (1 << 64) if key >> 63 else key
 
 
 def subtrees(html: str) -> tuple[int, list[int]]:
-    """The body's hash, and those of containers that may be template; signed 64-bit."""
+    """The body's hash, and the keys of what may be template; signed 64-bit."""
     top = parse(html)
     _hashes(top)
-    sign = lambda x: x - (1 << 64) if x >> 63 else x
-    return sign(top.hash), sorted({sign(x.hash) for x in _candidates(top)})
+    return top.hash - (1 << 64) if top.hash >> 63 else top.hash, sorted({k for _, k in _candidates(top)})
 
 
 def _named(attrs: dict[str, str], names: frozenset) -> bool:
@@ -189,44 +213,60 @@ def _named(attrs: dict[str, str], names: frozenset) -> bool:
 def _boilerplate(node: Node) -> bool:
     tag = node.tag
     if tag in NEVER:
-        return not (tag in ("form", "label") and _holds(node))
+        return not (tag in ("form", "label") and node.holds)
     if tag == "header":
-        return not _inside(node) and not any(x.tag in ("article", "main") for x in node.walk())
+        return not node.inside and not node.frames
     if not node.attrs.strip():
         return False
     attrs = node.get()
-    if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or re.search(r"(display\s*:\s*none|visibility\s*:\s*hidden)", attrs.get("style", ""), re.I):
+    if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(attrs.get("style", "")):
         return True
-    if tag in ("html", "body", "main"):
+    if tag in ("html", "body", "main") or node.holds:
         return False
-    return (attrs.get("role", "").lower() in ROLES or _named(attrs, NAMES)) and not any(x.tag in ("article", "main", "h1") for x in node.walk() if x is not node) and not (tag == "article" and not _named(attrs, frozenset(("comment", "comments", "related", "sponsored", "ad", "promo"))))
+    if tag == "article":
+        return _named(attrs, NO_ARTICLE)
+    return attrs.get("role", "").lower() in ROLES or _named(attrs, NAMES)
+
+
+def _sizes(top: Node) -> None:
+    """Sets each element's number of characters that are not white space."""
+    for node in reversed(list(top.walk())):
+        node.size = sum(sum(map(len, x.split())) if type(x) is str else x.size for x in node.children)
+
+
+def _outermost(top: Node, wanted) -> list[Node]:
+    out, stack = [], [top]
+    while stack:
+        node = stack.pop()
+        if wanted(node):
+            out.append(node)
+        else:
+            stack.extend(x for x in reversed(node.children) if type(x) is not str)
+    return out
 
 
-def _largest(found: list[Node]) -> Node | None:
-    return max(found, key=lambda x: len(x.text()), default=None)
+def _roots(top: Node) -> list[Node]:
+    """The elements that make up the article, in page order."""
+    _sizes(top)
+    articles = [x for x in _outermost(top, lambda x: x.tag == "article") if x.size]
+    if articles:
+        linked = [sum(a.size for a in _outermost(x, lambda y: y.tag == "a")) for x in articles]
+        return [x for x, n in zip(articles, linked, strict=True) if 2 * n <= x.size] or articles
+    return [x for x in _outermost(top, lambda x: x.tag == "main" or x.get().get("role") == "main") if x.size] or _outermost(top, lambda x: x.tag == "body") or [top]
 
 
 def extract(html: str, template: frozenset[int] = frozenset()) -> str:
     """The article's blocks, joined by an empty line."""
     top = parse(html)
+    gone: set[int] = set()
     if template:
         _hashes(top)
-        gone = {id(x) for x in _candidates(top) if (x.hash - (1 << 64) if x.hash >> 63 else x.hash) in template}
-    else:
-        gone = set()
+        gone = {id(x) for x, k in _candidates(top) if k in template}
     stack = [top]
     while stack:
         node = stack.pop()
         node.children = [x for x in node.children if type(x) is str or not (id(x) in gone or _boilerplate(x))]
         stack.extend(x for x in node.children if type(x) is not str)
-    every = list(top.walk())
-    root = _largest([x for x in every if x.tag == "article"]) or _largest([x for x in every if x.tag == "main" or x.get().get("role") == "main"])
-    if root is None:
-        body = _largest([x for x in every if x.tag == "body"]) or top
-        root = body
-        inner = _largest([x for x in body.walk() if x.tag in ("div", "section", "td") and x is not body and _named(x.get(), CONTENT)])
-        if inner is not None and 2 * len(inner.text()) > len(body.text()):
-            root = inner
     blocks: list[str] = []
     line: list[str] = []
 
@@ -236,7 +276,7 @@ def extract(html: str, template: frozenset[int] = frozenset()) -> str:
         if block:
             blocks.append(block)
 
-    todo: list = [root]
+    todo: list = [y for x in reversed(_roots(top)) for y in (None, x)]
     while todo:
         x = todo.pop()
         if x is None:
@@ -269,17 +309,19 @@ def host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def extract_main_text(df: DataFrame, html: str = "html", url: str = "url", page: str = "page_id", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract_main_text(df: DataFrame, html: str = "html", url: str = "url", page: str = "page_id", min_pages: int = MIN_PAGES, min_inner: int = MIN_INNER, min_share: float = MIN_SHARE) -> DataFrame:
     """df without `html`, with __main."""
     keep = [c for c in df.columns if c != html]
     rows = df.withColumns({"__page": F.col(page), "__html": F.coalesce(F.col(html).cast("string"), F.lit("")), "__host": host(F.col(url))})
     rows = rows.withColumn("__at", F.xxhash64("__html", "__host"))
     kind = df.schema[page].dataType.simpleString()
-    trees = map_arrow(rows.select("__page", "__at", "__host", "__html"), _list, f"__page {kind}, __at bigint, __host string, __body bigint, __trees array<bigint>").filter("__host <> ''")
+    listed = map_arrow(rows.select("__page", "__at", "__host", "__html"), _list, f"__page {kind}, __at bigint, __host string, __body bigint, __trees array<bigint>")
+    trees = stage(listed.filter("__host <> ''"), "trees")
     each = trees.select("__page", "__at", "__host", "__body", F.explode("__trees").alias("__tree"))
     pages = trees.select("__host", "__body").distinct().groupBy("__host").agg(F.count(F.lit(1)).alias("__all"))
     often = (
-        each.select("__host", "__tree", "__body").distinct().groupBy("__host", "__tree").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= min_pages)
+        each.select("__host", "__tree", "__body").distinct().groupBy("__host", "__tree").agg(F.count(F.lit(1)).alias("__n"))
+        .filter(F.col("__n") >= F.when(F.col("__tree").bitwiseAND(F.lit(1)) == 1, min_inner).otherwise(min_pages))
         .join(pages, "__host").filter(F.col("__n") >= F.col("__all") * min_share).select("__host", "__tree")
     )
     own = (
