@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.cutting import shared_dir, stage, staged_path
@@ -19,16 +18,15 @@ BATCH_ROWS = 1000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of a narrow table by a reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cuts the lineage of a narrow table; small ones are then known to be small, so that Spark may broadcast them."""
+    return stage(df, "cut")
 
 
-def release(spark: SparkSession) -> None:
-    """Lets the driver collect its garbage, upon which Spark deletes the shuffle files, broadcasts and checkpoints of tables
-    that are no longer used; loops call it once a round."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def counted(df: DataFrame, condition: str) -> tuple[DataFrame, int]:
+    """The table, cut, and the number of its rows that meet the condition, counted while they are written."""
+    seen = Observation()
+    found = cut(df.observe(seen, F.count_if(F.expr(condition)).alias("n")))
+    return found, seen.get["n"]
 
 
 def arrow_batches(spark: SparkSession) -> None:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import buffers, cut, map_arrow, parts, release, slabs, stage
+from .common import buffers, counted, cut, map_arrow, parts, slabs, stage
 from .tokens import LOWER, SPACED, doc_shingles, hashes, words
 
 #: Most members of a cell; most ids that are broadcast (8 MB) instead of joined by a shuffle; pivot rounds; how far under
@@ -138,15 +138,15 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = cut(links.select("__a", "__b").union(links.select(F.col("__b"), F.col("__a"))).distinct())
     labels = cut(edges.groupBy(F.col("__a").alias("__id")).agg(F.least(F.min("__b"), F.first("__a")).alias("__comp")))
-    while True:
+    moved = 1
+    while moved:
         near = edges.join(labels, edges["__b"] == labels["__id"]).groupBy("__a").agg(F.min("__comp").alias("__near"))
         own = labels.withColumnsRenamed({"__comp": "__was"})
         hooked = own.join(near, own["__id"] == near["__a"]).select("__id", "__was", F.least("__was", "__near").alias("__hook"))
         up = labels.select(F.col("__id").alias("__hook"), F.col("__comp").alias("__top"))
-        labels = cut(hooked.join(up, "__hook").select("__id", "__was", F.least("__hook", "__top").alias("__comp")))
-        if not labels.filter("__comp <> __was").limit(1).count():
-            return labels.select("__id", "__comp")
+        labels, moved = counted(hooked.join(up, "__hook").select("__id", "__was", F.least("__hook", "__top").alias("__comp")), "__comp <> __was")
         labels = labels.select("__id", "__comp")
+    return labels
 
 
 def _cells(size: int, num: int, den: int):
@@ -225,7 +225,6 @@ def near_duplicates(df: DataFrame, text: str = "text", doc: str = "doc_id", shin
     comps = components(links)
     members = members.filter("__size > 2")
     for round_ in range(ROUNDS + 1):
-        release(df.sparkSession)
         named = members.join(comps, members["__node"] == comps["__id"], "left").select("__band", "__node", "__pivot", "__size", F.coalesce("__comp", "__node").alias("__comp"))
         state = named.groupBy("__band").agg(
             F.min("__comp").alias("__low"), F.max("__comp").alias("__high"), F.min_by("__comp", F.xxhash64("__comp", F.col("__node"), F.lit(round_))).alias("__main"),
@@ -239,7 +238,6 @@ def near_duplicates(df: DataFrame, text: str = "text", doc: str = "doc_id", shin
         more = verify(cut(_ordered(large.filter("__comp <> __main").join(pivots, "__band").select(F.col("__node").alias("__x"), F.col("__new").alias("__y")))))
         links = links.union(more)
         comps = components(links)
-    release(df.sparkSession)
     outside = F.col("__comp") != F.col("__main")
     counts = cut(still.groupBy("__band").agg(F.count_if(outside).alias("__out")))
     grid = still.join(counts, "__band").withColumns({"__r": F.ceil(F.col("__out") / CELL).cast("int"), "__i": F.ceil(F.col("__size") / CELL).cast("int")})
