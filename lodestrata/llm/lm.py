@@ -6,18 +6,18 @@ class softmax has a bias, the classes' training shares, n-gram features (the cla
 last word and, as a skip feature, of the one before it. Within a class hashed by ending, P(word | class, history) is a
 product of logistic decisions down a binary tree of the class's words, so that it adds up to 1. A decision's bias is the
 discounted training shares of its two sides; its features, hashed with the node, are the last word and, as a skip feature,
-the one before it, in a table of at least as many weights as there are words seen twice. Words seen equally often are a run;
-the tree splits runs by mass, then a run's words by rank. An unseen word has UNSEEN of the mass of its class, all words
-seen once share the rest, whatever the history.
+the one before it, in a table that grows with the root of the vocabulary; the weights of a history for LEVELS levels of the
+tree lie side by side. Words seen equally often are a run; the tree splits runs by mass, then a run's words by rank. Unseen
+words and words seen once share the mass of their class by the Good-Turing estimate, whatever the history.
 
 Data flow. Documents are tokenised once, in chunks, to a staged table. Each chunk sends its distinct words' hashes and
 training counts, cut by hash range, to shards that add them up and send the totals back: every distinct word crosses the
 network once for each chunk, as packed arrays, and both messages and shards are bounded by the chunk size and the number
 of shards, with no word's rows ever meeting in one place but as two numbers for each chunk (total, and rank among the
 shard's words of its class and total; how many those are is broadcast). Training: in each of ROUNDS rounds, as many tasks as
-there are cores start from the broadcast weights, take AdaGrad steps over their chunks (a token trains in one round) and
-send changes, which are averaged by how often each class row was met, and by the root of the squared gradients of each word
-weight. Scoring reads the chunks again. The class weights' size is fixed by the parameters; word weights, counts, and what
+there are cores start from the broadcast weights, take steps over their chunks (a chunk trains in one round; AdaGrad for the class
+weights, diagonal Newton for the words') and send changes, which are averaged by how often each class row was met, and by the
+curvature that each word weight met. Scoring reads the chunks again. The class weights' size is fixed by the parameters; word weights, counts, and what
 is exchanged, grow with the corpus.
 
 Defined cases: a null or empty text is the end token alone; repeated rows count and are scored each; a null doc_id
@@ -27,6 +27,7 @@ are not read; an empty table gives an empty table, and without training texts N
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,9 +41,15 @@ from .langid import held_out
 from .tokens import LOWER, SPACED, hashes, mix, words
 
 CHUNK = 8 << 20
-CLASSES, TOP, ROUNDS, BATCH = 32, 10, 2, 8192
+CLASSES, TOP, ROUNDS, BATCH = 32, 10, 2, 1 << 14
 IDS = 1 << 12
-UNSEEN, DISCOUNT, RATE = 0.5, 0.5, 0.25
+#: Levels of a tree whose weights for one history lie side by side, in so many slots.
+LEVELS, LINE = 4, 16
+#: Word weights: SLOTS times the root of the vocabulary, so that they grow with it and can be broadcast.
+SLOTS = 1024
+DISCOUNT, RATE = 0.5, 0.25
+#: A step's share of Newton's, as two weights share a decision, and the curvature that a weight begins with.
+NEWTON, STIFF = 0.5, 2.0
 _ENDS = CLASSES - 2 - TOP
 _END = np.uint64(0x8000000000000001)
 _ROWS = (CLASSES * CLASSES, IDS, IDS)
@@ -50,7 +57,7 @@ _ROWS = (CLASSES * CLASSES, IDS, IDS)
 
 def _pack(x: np.ndarray) -> bytes:
     """Bytes of equal weight together, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
 
 
 def _unpack(z: bytes, kind) -> np.ndarray:
@@ -111,7 +118,7 @@ _CHUNK = "__docs array<bigint>, __len binary, __held binary, __ids binary, __wor
 
 def _few(df: DataFrame, fn, schema: str) -> DataFrame:
     """map_arrow over rows that are large: batches end by their bytes."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return map_arrow(df, fn, schema)
 
 
@@ -154,7 +161,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at += len(own)
         mass = np.bincount(tail[known], total[known] - DISCOUNT, _ENDS)
         best = np.flatnonzero(~end)[np.argsort(-total[~end], kind="stable")[: 4 * TOP]]
-        stats = [float(total.sum()), float((total > 0).sum()), float((rare & ~end).sum()), float(total[end].sum()), *mass.tolist()]
+        stats = [float(total.sum()), float((total > 0).sum()), float((rare & ~end).sum()), float(((total == 2) & ~end).sum()), float(total[end].sum()), *mass.tolist()]
         top = [x for i in best if total[i] > 1 for x in (float(unique[i] >> np.uint64(32)), float(unique[i] & np.uint64(0xFFFFFFFF)), float(total[i]), float(tail[i]))]
         rows.append((shard, -1, b"", b"", [*stats, *top], runs))
         kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.binary()))
@@ -234,16 +241,20 @@ class Tree:
             a, b = lo[active], hi[active]
             m = (a + b) // 2
             right = rank[active] >= m
-            levels.append((active, self.first[run[active]] + m, np.log((b - m) / (m - a)), right))
+            levels.append((active.astype(np.int32), (self.first[run[active]] + m).astype(np.uint32), np.log((b - m) / (m - a)).astype(np.float32), right))
             lo[active], hi[active] = np.where(right, m, a), np.where(right, b, m)
             depth[active] += 1
             active = active[hi[active] - lo[active] > 1]
         start = np.cumsum(depth) - depth
         out = _laid(start + upper, levels, int(depth.sum()))
-        to = np.repeat(start - (np.cumsum(upper) - upper), upper) + np.arange(int(upper.sum()))
-        of = np.repeat(self.start[run] - (np.cumsum(upper) - upper), upper) + np.arange(int(upper.sum()))
-        for x, y in zip(out, self.path, strict=True):
-            x[to] = y[of]
+        del levels
+        for k in range(0, len(w), 1 << 16):  # piece by piece, to save memory
+            at = slice(k, k + (1 << 16))
+            n = upper[at]
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            to, of = np.repeat(start[at], n) + step, np.repeat(self.start[run[at]], n) + step
+            for x, y in zip(out, self.path, strict=True):
+                x[to] = y[of]
         return start, depth, *out
 
 
@@ -256,12 +267,30 @@ def _laid(start: np.ndarray, levels: list[tuple], size: int) -> tuple[np.ndarray
     return node, bias, right
 
 
+def _blocked(node: np.ndarray, right: np.ndarray, start: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """Of each decision of paths: the hash of the first node of its block of LEVELS levels, its place in the block (as in a heap,
+    from 1), and in the last bit the side."""
+    if not len(node):
+        return node
+    order = np.argsort(start)
+    level = np.arange(len(node)) - np.repeat(start[order], depth[order])
+    within = level % LEVELS
+    root = node[np.arange(len(node)) - within]
+    place = np.ones(len(node), np.uint32)
+    for back in range(LEVELS - 1, 0, -1):  # the sides that were taken in the block before
+        has = within >= back
+        place[has] = 2 * place[has] + right[np.flatnonzero(has) - back]
+    return (root * np.uint32(0x9E3779B1) & np.uint32(0xFFFFFFFF ^ (2 * LINE - 1))) | (place << np.uint32(1)) | right
+
+
 class Stats:
     """Corpus totals and classes of words."""
 
     def __init__(self, total: np.ndarray, top: list[tuple[int, float, int]]) -> None:
-        self.n, self.v, self.once, self.ends = (int(x) for x in total[:4])
-        self.mass = total[4 : 4 + _ENDS].copy()
+        self.n, self.v, self.once, twice, self.ends = (int(x) for x in total[:5])
+        #: Good and Turing: of text that is not trained on, once / N is unseen, and twice * 2 / N are words that were seen once.
+        self.unseen = (self.once + 1) / (self.once + 2 * twice + 2) if self.once else 1.0
+        self.mass = total[5 : 5 + _ENDS].copy()
         top = self.best = sorted(top, key=lambda x: (-x[1], x[0]))[:TOP]
         for _, c, t in top:
             self.mass[t] -= c - DISCOUNT
@@ -281,8 +310,7 @@ class Stats:
             kind[is_top], inner[is_top] = 2 + k[is_top], 0.0
         rare = c <= 1
         kind[rare] = 0
-        unseen = UNSEEN if self.once else 1.0
-        inner[rare] = np.where(c[rare] == 0, np.log(unseen), np.log((1 - UNSEEN) / max(self.once, 1)))
+        inner[rare] = np.where(c[rare] == 0, np.log(self.unseen), np.log(max(1 - self.unseen, 1e-12) / max(self.once, 1)))
         end = w == _END
         kind[end], inner[end] = 1, 0.0
         return kind, inner
@@ -301,7 +329,8 @@ class Chunk:
         self.inner[tree_words] = 0.0
         self.start, self.depth = np.zeros(len(w), np.int64), np.zeros(len(w), np.int64)
         self.start[tree_words], self.depth[tree_words], self.node, self.bias, self.right = tree.paths(w[tree_words], tails[tree_words], self.totals[tree_words], _numbers(row["__replies"], 2)[tree_words])
-        self.shift = np.uint32(32 - (slots - 1).bit_length())
+        self.node = _blocked(self.node, self.right, self.start[tree_words], self.depth[tree_words])
+        self.shift = np.uint32(32 - (slots // LINE - 1).bit_length())
         self.kind = kind[self.ids]
         self.at = np.concatenate(([0], np.cumsum(self.len)))
         one, two = np.empty_like(self.ids), np.empty_like(self.ids)
@@ -315,45 +344,62 @@ class Chunk:
         self.features = (kind[two] * CLASSES + kind[one], names[one], skips[two])
         self.history = [(mix(w + np.uint64(k)) >> np.uint64(32)).astype(np.uint32)[x] for k, x in ((3, one), (4, two))]
 
-    def decisions(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Token (its place in `at`), bias, side and weight slots of each decision of the tokens `at`."""
+    def decisions(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Of the tokens `at`, where their decisions end and how many they are; of each decision, bias, side and weight slots."""
         ids = self.ids[at]
         n = self.depth[ids]
-        token = np.repeat(np.arange(len(at)), n)
-        spot = np.repeat(self.start[ids] - (np.cumsum(n) - n), n) + np.arange(len(token))
-        own = self.node[spot] * np.uint32(0x9E3779B1)
+        ends = np.cumsum(n)
+        spot = np.repeat(self.start[ids] - (ends - n), n)
+        spot += np.arange(len(spot))
+        own = self.node[spot]
+        right = (own & np.uint32(1)).astype(np.float32)
+        place = own >> np.uint32(1) & np.uint32(LINE - 1)
         slots = []
         for h in self.history:
-            x = own ^ h[at][token]
+            x = np.repeat(h[at], n)
+            x ^= own | np.uint32(2 * LINE - 1)
             x ^= x >> np.uint32(15)
             x *= np.uint32(0x85EBCA6B)
-            slots.append((x >> self.shift).astype(np.int64))
-        return token, self.bias[spot], self.right[spot], slots
+            x >>= self.shift
+            x *= np.uint32(LINE)
+            x += place
+            slots.append(x.astype(np.intp))
+        return ends, n, self.bias[spot], right, slots
 
 
 def _numbers(replies: list[tuple], i: int) -> np.ndarray:
     return np.concatenate([_unpack(x[i], np.int64) for x in sorted(replies, key=lambda x: x[0])])
 
 
-def _word_step(w: np.ndarray, squares: np.ndarray, sums: np.ndarray, chunk: Chunk, at: np.ndarray) -> None:
-    """One AdaGrad step on a batch's decisions within classes; sums: zeros."""
-    _, bias, right, slots = chunk.decisions(at)
-    z = bias + w[slots[0]] + w[slots[1]]
-    g = 1 / (1 + np.exp(-z)) - right
+def _word_step(w: np.ndarray, bent: np.ndarray, chunk: Chunk, at: np.ndarray) -> None:
+    """One diagonal Newton step on a batch's decisions within classes; bent: the curvature that each weight has met."""
+    _, _, bias, right, slots = chunk.decisions(at)
+    z = bias
     for x in slots:
-        np.add.at(sums, x, g)
+        z += w[x]
+    p = 1 / (1 + np.exp(-z))
+    curve = p - p * p
     for x in slots:
-        d = sums[x]
-        s = squares[x] + d * d
-        step = w[x] - RATE * d / np.sqrt(s)
-        squares[x], w[x], sums[x] = np.where(d != 0, s, squares[x]), np.where(d != 0, step, w[x]), 0
+        np.add.at(bent, x, curve)
+    p -= right
+    p *= np.float32(-NEWTON)
+    for x in slots:
+        np.add.at(w, x, p / bent[x])
 
 
 def _word_logs(w: np.ndarray, chunk: Chunk, at: np.ndarray) -> np.ndarray:
     """log P(word | class, history) by the tree, of each token."""
-    token, bias, right, slots = chunk.decisions(at)
-    z = (bias + w[slots[0]] + w[slots[1]]).astype(np.float64)
-    return np.bincount(token, -np.logaddexp(0, np.where(right, -z, z)), len(at))
+    ends, n, bias, right, slots = chunk.decisions(at)
+    z = bias
+    for x in slots:
+        z += w[x]
+    z *= 1 - 2 * right
+    out = np.zeros(len(at))
+    p = 1 / (1 + np.exp(np.clip(z, -30, 30)).astype(np.float64))
+    some = n > 0
+    if len(p):
+        out[some] = np.log(np.maximum(np.multiply.reduceat(p, (ends - n)[some]), 1e-300))
+    return out
 
 
 def _softmax(weights: list[np.ndarray], features: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
@@ -371,36 +417,39 @@ def _step(weights: list, squares: list, met: list, features: list[np.ndarray], k
     g = _softmax(weights, features, bias)
     g[np.arange(len(kind)), kind] -= 1
     for w, s, m, f in zip(weights, squares, met, features, strict=True):
+        f = f.astype(np.int16)
         order = np.argsort(f, kind="stable")
-        rows, first, many = np.unique(f[order], return_index=True, return_counts=True)
+        f = f[order]
+        first = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
+        rows, many = f[first], np.diff(np.append(first, len(f)))
         d = np.add.reduceat(g[order], first, axis=0) / np.sqrt(many)[:, None].astype(np.float32)
         s[rows] += d * d
         w[rows] -= RATE * d / np.sqrt(s[rows] + 1e-6)
         m[rows] += many
 
 
-def _train(weights, stats, round_: int, blocks: int):
+def _train(weights, stats, blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, own = weights.value, None
         for batch in batches:
             for row in batch.to_pylist():
                 c = Chunk(row, *stats.value, len(start[-1]))
                 if own is None:
-                    own = [w.copy() for w in start]
-                    squares, met = [np.ones_like(w) for w in start], [np.zeros(len(w), np.float64) for w in start[:-1]]
-                    sums = np.zeros_like(start[-1])
+                    # New arrays of the plain type: np.add.at is slow with the copied types that pickled arrays have.
+                    own = [np.add(w, 0, out=np.empty(w.shape, np.float32)) for w in start]
+                    squares, met = [np.ones(w.shape, np.float32) for w in start[:-1]], [np.zeros(len(w), np.float64) for w in start[:-1]]
+                    bent = np.full(len(start[-1]), STIFF, np.float32)
                 use = np.flatnonzero(np.repeat(c.train, c.len))
                 for k in range(0, len(use), BATCH):
-                    if (k // BATCH) % ROUNDS == round_:
-                        at = use[k : k + BATCH]
-                        _step(own[:-1], squares[:-1], met, [f[at] for f in c.features], c.kind[at], stats.value[0].bias)
-                        _word_step(own[-1], squares[-1], sums, c, at)
+                    at = use[k : k + BATCH]
+                    _step(own[:-1], squares, met, [f[at] for f in c.features], c.kind[at], stats.value[0].bias)
+                    _word_step(own[-1], bent, c, at)
+                del c, use  # before the next chunk is unpacked
         if own is not None:
-            del sums
             for i in range(blocks):
                 at = slice(i * len(own[-1]) // blocks, (i + 1) * len(own[-1]) // blocks)
-                change, root = (own[-1][at] - start[-1][at]).astype(np.float16), np.minimum(np.sqrt(squares[-1][at] - 1), 6e4).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([pa.array([blocks + i], pa.int32()), pa.array([_pack(change)], pa.binary()), pa.array([_pack(root)], pa.binary())], ["__block", "__change", "__met"])
+                change, curve = (own[-1][at] - start[-1][at]).astype(np.float16), np.minimum(bent[at] - STIFF, 6e4).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([pa.array([blocks + i], pa.int32()), pa.array([_pack(change)], pa.binary()), pa.array([_pack(curve)], pa.binary())], ["__block", "__change", "__met"])
             change = np.concatenate([(a - b) * m[:, None].astype(np.float32) for a, b, m in zip(own[:-1], start[:-1], met, strict=True)])
             many = np.concatenate(met)
             edge = np.linspace(0, len(many), blocks + 1).astype(int)
@@ -418,8 +467,8 @@ def _summed(blocks: int):
                 if block < blocks:
                     got = [_unpack(change, np.float32).astype(np.float64), _unpack(met, np.float64)]
                 else:
-                    root = _unpack(met, np.float16).astype(np.float32)
-                    got = [_unpack(change, np.float16).astype(np.float32) * root, root]
+                    curve = _unpack(met, np.float16).astype(np.float32)
+                    got = [_unpack(change, np.float16).astype(np.float32) * curve, curve]
                 total[block] = [a + b for a, b in zip(total[block], got, strict=True)] if block in total else got
         for block, (change, met) in total.items():
             mean = change.reshape(len(met), -1) / np.where(met > 0, met, 1)[:, None]
@@ -440,7 +489,7 @@ def _score(weights, stats):
                     p = _softmax(w[:-1], [f[at] for f in c.features], s.bias)
                     outer[at] = np.log(np.maximum(p[np.arange(len(p)), c.kind[at]], 1e-30)) + _word_logs(w[-1], c, np.arange(k, min(k + BATCH, len(c.ids))))
                 base = np.log10((c.totals + 1) / (s.n + s.v + 1))
-                add = lambda x: np.add.reduceat(x, c.at[:-1])  # noqa: B023, E731
+                add = lambda x, at=c.at[:-1]: np.add.reduceat(x, at)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row["__docs"], pa.int64()), pa.array(~c.train), pa.array(c.len), pa.array(add((c.totals > 0)[c.ids].astype(np.int64))),
                      pa.array(np.full(len(c.len), s.n)), pa.array(add(base[c.ids])), pa.array(add(outer + c.inner[c.ids]) / np.log(10))],
@@ -460,11 +509,11 @@ def score(df: DataFrame, train, text: str = "text", doc: str = "doc_id") -> Data
     asked = _few(chunks.select("__chunk", "__words", "__tails", "__counts"), _ask(bits), "__shard int, __chunk bigint, __words binary, __tails binary, __counts binary")
     replies = stage(_few(asked.repartition(n, "__shard").sortWithinPartitions("__shard"), _answer, "__shard int, __chunk bigint, __totals binary, __ranks binary, __stats array<double>, __runs array<binary>"), "replies")
     lines = replies.filter("__chunk = -1")
-    total = np.zeros(4 + _ENDS)
-    for r in lines.select(F.posexplode(F.slice("__stats", 1, 4 + _ENDS)).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect():
+    total = np.zeros(5 + _ENDS)
+    for r in lines.select(F.posexplode(F.slice("__stats", 1, 5 + _ENDS)).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect():
         total[r["i"]] = r["x"]
-    four = F.transform(F.sequence(F.lit(4 + _ENDS), F.size("__stats") - 4, F.lit(4)), lambda i: F.struct(*(F.get("__stats", i + k).alias(f"x{k}") for k in range(4))))
-    best = lines.filter(F.size("__stats") > 4 + _ENDS).select(F.inline(four)).orderBy(F.desc("x2"), "x0", "x1").limit(TOP).collect()
+    four = F.transform(F.sequence(F.lit(5 + _ENDS), F.size("__stats") - 4, F.lit(4)), lambda i: F.struct(*(F.get("__stats", i + k).alias(f"x{k}") for k in range(4))))
+    best = lines.filter(F.size("__stats") > 5 + _ENDS).select(F.inline(four)).orderBy(F.desc("x2"), "x0", "x1").limit(TOP).collect()
     stats = Stats(total, [((int(r["x0"]) << 32) | int(r["x1"]), r["x2"], int(r["x3"])) for r in best])
     runs = [(r["__shard"], _unpack(r["__runs"][0], np.uint8), *(_unpack(x, np.int64) for x in r["__runs"][1:])) for r in lines.select("__shard", "__runs").collect()]
     tree = Tree(runs, stats.best, bits)
@@ -480,13 +529,14 @@ def score(df: DataFrame, train, text: str = "text", doc: str = "doc_id") -> Data
 
         return run
 
-    slots = 1 << max(10, tree.size.bit_length())
+    slots = 1 << max(10, math.ceil(math.log2(SLOTS * math.sqrt(tree.size + 1))))
     weights = [*(np.zeros((k, CLASSES), np.float32) for k in _ROWS), np.zeros(slots, np.float32)]
     blocks = max(16, min(n, 512))
     shared_stats = spark.sparkContext.broadcast((stats, tree))
-    few = ready.coalesce(max(1, spark.sparkContext.defaultParallelism))  # each training task sends all weights once
     for round_ in range(ROUNDS):
-        sent = _few(few, rowed(_train(spark.sparkContext.broadcast(weights), shared_stats, round_, blocks)), "__block int, __change binary, __met binary")
+        mine = ready.filter(F.pmod(F.xxhash64("__chunk"), F.lit(ROUNDS)) == round_)
+        few = mine.coalesce(max(1, spark.sparkContext.defaultParallelism))  # each training task sends all weights once
+        sent = _few(few, rowed(_train(spark.sparkContext.broadcast(weights), shared_stats, blocks)), "__block int, __change binary, __met binary")
         parts_ = map_arrow(sent.repartition(blocks, "__block"), _summed(blocks), "__block int, __mean binary").collect()  # as large as the weights
         if parts_:
             mean = np.concatenate([np.frombuffer(r["__mean"], np.float32) for r in sorted(parts_, key=lambda r: r["__block"])])

@@ -423,7 +423,7 @@ def test_lm_is_a_distribution():
     tail, count = r.integers(0, lm._ENDS, len(w)).astype(np.uint8), r.integers(1, 9, len(w)).astype(np.int64)
     mass = np.bincount(tail[count > 1], count[count > 1] - lm.DISCOUNT, lm._ENDS)
     best = np.argsort(-count, kind="stable")[: lm.TOP]
-    stats = lm.Stats(np.array([count.sum(), len(w), (count == 1).sum(), 5, *mass]), [(int(w[i]), float(count[i]), int(tail[i])) for i in best])
+    stats = lm.Stats(np.array([count.sum(), len(w), (count == 1).sum(), (count == 2).sum(), 5, *mass]), [(int(w[i]), float(count[i]), int(tail[i])) for i in best])
     kind, inner = stats.classes(np.append(w, [np.uint64(5), lm._END]), np.append(tail, [0, 0]).astype(np.uint8), np.append(count, [0, 5]))
     per_class = np.bincount(kind, np.exp(inner), lm.CLASSES)
     used = np.bincount(kind, minlength=lm.CLASSES) > 0
