@@ -40,7 +40,7 @@ from .common import buffers, map_arrow, parts, stage
 from .langid import held_out
 from .tokens import LOWER, SPACED, hashes, mix, words
 
-CHUNK = 8 << 20
+CHUNK = 6 << 20
 CLASSES, TOP, ROUNDS, BATCH = 32, 10, 2, 1 << 14
 IDS = 1 << 12
 #: Levels of a tree whose weights for one history lie side by side, in so many slots.
