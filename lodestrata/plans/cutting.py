@@ -12,7 +12,7 @@ _staged: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a new temporary folder only where that is unset and all runs on this machine."""
+    """spark.checkpoint.dir, with its file system; a new temporary folder only where that is unset and all runs on this machine."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
@@ -22,7 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", found)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(found)
-    return found
+    at = sc._jvm.org.apache.hadoop.fs.Path(found)
+    return at.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
 
 def staged_path(spark: SparkSession, name: str) -> str:
