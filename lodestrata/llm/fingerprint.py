@@ -26,11 +26,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, parts, slabs, strings
+from .common import map_arrow, parts, slabs, stage, strings
 
 LEVEL = 6
-#: Most digests that are broadcast, about 10 MB.
-BROADCAST_DIGESTS = 100_000
 
 
 def canonical(text: str) -> bytes:
@@ -62,30 +60,23 @@ def _marks(with_bytes: bool):
         zip_ = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True)
         for batch in slabs(batches, "__text"):
             canons = [canonical(x) for x in strings(batch.column("__text"))]
-            columns = [pa.array([digest(x) for x in canons], pa.string()), pa.array([_second(x) for x in canons], pa.int64())]
-            if with_bytes:
-                columns += [batch.column("__doc"), pa.array([zip_.compress(x) for x in canons], pa.binary())]
+            columns = [pa.array([digest(x) for x in canons], pa.string()), pa.array([_second(x) for x in canons], pa.int64()), batch.column("__doc")]
+            columns += [pa.array([zip_.compress(x) for x in canons], pa.binary())] if with_bytes else []
             yield pa.RecordBatch.from_arrays(columns, ["fingerprint", "__check", "__doc", "__bytes"][: len(columns)])
 
     return run
 
 
-def exact_groups(df: DataFrame, text: str = "text", doc: str = "doc_id", copies_only: bool = False) -> DataFrame:
-    """A row for each distinct canonical text: fingerprint, __check, group_id (smallest doc), group_size.
-
-    For copies only, buckets of one text are told by a count of digests first, so that the bytes of few texts travel; where
-    there are too many buckets of several texts to broadcast, all texts do.
-    """
+def exact_groups(df: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
+    """A row for each distinct canonical text: fingerprint, __check, group_id (smallest doc), group_size."""
     rows = df.select(F.col(doc).alias("__doc"), F.col(text).cast("string").alias("__text"))
     kind = df.schema[doc].dataType.simpleString()
     canon = map_arrow(rows, _marks(True), f"fingerprint string, __check bigint, __doc {kind}, __bytes binary")
-    if copies_only:
-        marks = map_arrow(rows.select("__text"), _marks(False), "fingerprint string, __check bigint")
-        many = cut(marks.groupBy("fingerprint", "__check").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n"))
-        if many.count() <= BROADCAST_DIGESTS:
-            canon = canon.join(F.broadcast(many), ["fingerprint", "__check"], "left_semi")
-    groups = canon.groupBy("fingerprint", "__check", "__bytes").agg(F.min("__doc").alias("group_id"), F.count(F.lit(1)).alias("group_size")).drop("__bytes")
-    return groups.filter("group_size > 1") if copies_only else groups
+    return _groups(canon).drop("__bytes")
+
+
+def _groups(canon: DataFrame) -> DataFrame:
+    return canon.groupBy("fingerprint", "__check", "__bytes").agg(F.min("__doc").alias("group_id"), F.count(F.lit(1)).alias("group_size"))
 
 
 def _spread(bounds: np.ndarray, first: int | None):
@@ -112,32 +103,49 @@ def _spread(bounds: np.ndarray, first: int | None):
     return run
 
 
+def _ranged(bounds: np.ndarray):
+    """Doc_ids whose canonical bytes are asked for, dealt as their texts are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.searchsorted(bounds, batch.column("__doc").to_numpy(), "right").astype(np.int32)
+            none = pa.nulls(len(at), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.zeros(len(at), bool)), batch.column("__doc"), none], ["__at", "__tail", "__doc", "__z"])
+
+    return run
+
+
 def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unzip = zstandard.ZstdDecompressor()
-    held = None
+    zip_, unzip = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True), zstandard.ZstdDecompressor()
+    held = asked = None
     for batch in batches:
         out: list[tuple] = []
         for at, tail, doc, z in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if z is None:
+                asked = doc
+                continue
             text = unzip.decompress(z).decode("utf-8", "surrogatepass")
             canon = canonical(text)
             mark = digest(canon)
             if held is not None and held[0] == at:
-                _, doc0, text0, mark0, check0 = held
+                _, doc0, text0, mark0, check0, z0 = held
                 half = len(text0) // 2
                 edit = text0[: len(text0) - half] + text[:half]
                 mark1 = digest(canonical(edit))
                 sha = hashlib.sha256(edit.encode("utf-8", "surrogatepass")).hexdigest()
-                out.append((doc0, len(text0), sha, mark0, mark1, likeness(mark0, mark1), likeness(mark0, mark), check0))
-            held = None if tail else (at, doc, text, mark, _second(canon))
-        columns = list(zip(*out, strict=True)) if out else [[]] * 8
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "__check"])
+                out.append((doc0, len(text0), sha, mark0, mark1, likeness(mark0, mark1), likeness(mark0, mark), check0, z0))
+            held = None if tail else (at, doc, text, mark, _second(canon), zip_.compress(canon) if doc is None or doc == asked else None)
+        columns = list(zip(*out, strict=True)) if out else [[]] * 9
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.binary()]
+        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "__check", "__bytes"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
     if held is not None:
         raise ValueError("a range of documents has no end")
 
 
-def with_next(df: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
-    """Fingerprints of each text and of its edited text, whose latter half the next document's beginning replaces.
+def with_next(df: DataFrame, text: str = "text", doc: str = "doc_id", asked: DataFrame | None = None) -> DataFrame:
+    """Fingerprints of each text and of its edited text, whose latter half the next document's beginning replaces; __bytes (the
+    canonical text, compressed) of the documents that are asked for (__doc, distinct), which travel with the texts' shuffle.
 
     Documents follow each other by doc_id (rows of one doc_id by their compressed bytes); after the last comes the first.
     Texts are dealt once, compressed, by ranges of doc_id; the row that begins a range also closes the one before it.
@@ -150,21 +158,35 @@ def with_next(df: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFra
     ).first()
     bounds = np.unique(np.array(marks["b"] or [], np.int64))
     first = None if marks["nulls"] else marks["least"]
-    dealt = map_arrow(rows, _spread(bounds, first), "__at int, __tail boolean, __doc bigint, __z binary").repartition(parts(df), "__at")
+    schema = "__at int, __tail boolean, __doc bigint, __z binary"
+    dealt = map_arrow(rows, _spread(bounds, first), schema)
+    if asked is not None:
+        dealt = dealt.union(map_arrow(asked.filter("__doc IS NOT NULL").select(F.col("__doc").cast("long").alias("__doc")), _ranged(bounds), schema))
+    dealt = dealt.repartition(parts(df), "__at")
     ordered = dealt.sortWithinPartitions("__at", "__tail", F.col("__doc").asc_nulls_first(), "__z")
     return map_arrow(
         ordered, _edited,
-        "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, __check bigint",
+        "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, __check bigint, __bytes binary",
     )
 
 
+def fingerprints(df: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
+    """with_next, and group_id and group_size of the documents of equal canonical texts.
+
+    A count of narrow digests tells which documents may have copies; only their bytes are grouped, so that others' texts cross
+    the network once, with the shuffle that brings each document to its next.
+    """
+    rows = df.select(F.col(doc).cast("long").alias("__doc"), F.col(text).cast("string").alias("__text"))
+    marks = stage(map_arrow(rows, _marks(False), "fingerprint string, __check bigint, __doc bigint"), "marks")
+    many = marks.groupBy("fingerprint", "__check").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n")
+    found = stage(with_next(df, text, doc, marks.join(many, ["fingerprint", "__check"], "left_semi").select("__doc").distinct()), "edited")
+    copies = found.filter("__bytes IS NOT NULL")
+    groups = _groups(copies.select("fingerprint", "__check", "__bytes", F.col("doc_id").alias("__doc")))
+    named = copies.join(groups, ["fingerprint", "__check", "__bytes"]).select(*found.columns, "group_id", "group_size")
+    alone = found.filter("__bytes IS NULL").select("*", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"))
+    return named.unionByName(alone).drop("__bytes", "__check")
+
+
 def op1_fingerprints(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    copies = exact_groups(docs, copies_only=True)
-    return (
-        with_next(docs).join(copies, ["fingerprint", "__check"], "left")
-        .select(
-            "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next",
-            F.coalesce("group_id", "doc_id").alias("group_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"),
-        )
-    )
+    return fingerprints(docs).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "group_id", "group_size")
