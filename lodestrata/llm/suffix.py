@@ -10,7 +10,7 @@ its GRAM bytes of least hash, the same in equal strings. Chunks of documents sen
 that tell which occur again; the strings around each such anchor (those that it is the anchor of) meet by its hash, equal
 ones are put together, different ones are cut to what others share, and a suffix array of those finds all strings of LENGTH bytes that occur again, of
 which only the first place stays. Anchors with over HOT places are exchanged as packed hashes of the strings themselves,
-cut by hash range, so that no task holds them all. Whole texts that repeat are settled before, by digest.
+cut by hash range, so that no task holds them all. Whole texts that repeat are settled before: texts of one digest are grouped by their bytes.
 
 Defined cases: a null text has no bytes; texts under LENGTH bytes lose nothing; strings are judged on the input; rows
 with one doc_id count as one document, in which a string starts at its place in its row, so that repeated rows do not
@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 
 from .common import buffers, cut, map_arrow, parts, stage, text_or_empty
 from .lm import _few, _gathered
-from .neardup import BROADCAST_IDS
 from .tokens import mix
 
 LENGTH, GRAM = 100, 32
@@ -469,11 +468,12 @@ def remove_repeats(df: DataFrame, text: str = "text", doc: str = "doc_id") -> Da
     docs = df.select(F.col(doc).cast("long").alias("__doc"), text_or_empty(text).alias("__text")).withColumns(
         {"__k1": F.xxhash64("__text"), "__k2": F.xxhash64(F.lit("text"), F.length("__text"), "__text"), "__o": F.coalesce("__doc", F.lit(_FIRST))}
     )
-    keys = docs.select("__o", "__k1", "__k2")
-    many = cut(keys.groupBy("__k1", "__k2").agg(F.min("__o").alias("__lead"), F.max("__o").alias("__tail")).filter("__tail > __lead").drop("__tail"))
-    later = cut(keys.join(many, ["__k1", "__k2"]).filter("__o > __lead").select("__o", "__k1", "__k2").distinct())
-    listed = F.broadcast(later) if later.count() <= BROADCAST_IDS else later
-    firsts, copies = docs.join(listed, ["__o", "__k1", "__k2"], "left_anti"), docs.join(listed, ["__o", "__k1", "__k2"], "left_semi")
+    pair = ["__k1", "__k2"]
+    many = cut(docs.groupBy(*pair).agg(F.min("__o").alias("__lo"), F.max("__o").alias("__hi")).filter("__hi > __lo").select(*pair))
+    same = docs.join(many, pair, "left_semi").groupBy(*pair, "__text").agg(F.min("__o").alias("__lead"))  # the bytes decide
+    texts = cut(same.groupBy(*pair).agg(F.count(F.lit(1)).alias("__n"), F.min("__lead").alias("__lead")).filter("__n = 1").drop("__n"))
+    later = cut(docs.select("__o", *pair).join(texts, pair).filter("__o > __lead").select("__o", *pair).distinct())
+    firsts, copies = docs.join(later, ["__o", *pair], "left_anti"), docs.join(later, ["__o", *pair], "left_semi")
     chunks = stage(_few(firsts.select("__doc", "__text"), _chunks, "__docs array<bigint>, __at binary, __z binary").withColumn("__chunk", F.monotonically_increasing_id()), "texts")
     n = parts(df)
     bits = max(0, (n - 1).bit_length())
