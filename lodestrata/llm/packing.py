@@ -63,10 +63,11 @@ def _byte_characters() -> list[str]:
 
 
 class _Encoder:
-    """Ids of texts as bytes. The tokenizer never joins what a space or newline parts, so each such word is encoded once.
+    """Ids of texts as bytes. A tokenizer that cuts as _CUTS never joins what a space or newline parts, so each such word is
+    encoded once; for any other, whole texts take the tokenizer's own way.
 
     Words of characters up to U+024F have one normal form, so they are cut as the tokenizer cuts them and the parts go to
-    its model at once; all other words, and any tokenizer that cuts otherwise, take the tokenizer's whole way.
+    its model at once; all other words take the tokenizer's whole way.
     """
 
     def __init__(self, path: str) -> None:
@@ -86,7 +87,7 @@ class _Encoder:
     def _words(self, new: list[str]) -> None:
         known, part, hard = self.known, self._part, []
         for w in new:
-            if not self.plain or "<|" in w or not _SIMPLE(w):
+            if "<|" in w or not _SIMPLE(w):
                 hard.append(w)
                 continue
             low = w.lower()
@@ -101,6 +102,8 @@ class _Encoder:
                 known[w] = array("I", e.ids).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.plain:  # it may join what spaces part
+            return [array("I", e.ids).tobytes() for e in self.whole(texts, add_special_tokens=False)]
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > CACHE:
             self.known = {"": b""}
