@@ -30,10 +30,14 @@ def runs(flags: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def prefix_sum(df: DataFrame, order: str, value: str, bucket: int = 1 << 16) -> DataFrame:
-    """df with prefix_sum of value by an integer column: sums of ranges of the key, a running sum over the ranges, and a
-    window within each, so that no task has more than a range. Rows with one key are all in each other's sum."""
+    """df with prefix_sum of value by an integer column: a window within each range of the key, running sums over the ranges of
+    each block of ranges, and over the blocks, so that no task has more than a range or block; there is a block for each
+    bucket * bucket keys. Rows with one key are all in each other's sum."""
     rows = df.withColumn("__range", F.floor(F.col(order) / bucket))
-    sums = rows.groupBy("__range").agg(F.sum(value).alias("__sum"))
-    base = sums.withColumn("__base", F.coalesce(F.sum("__sum").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__sum")
+    sums = rows.groupBy("__range").agg(F.sum(value).alias("__sum")).withColumn("__block", F.floor(F.col("__range") / bucket))
+    before = lambda w: F.coalesce(F.sum("__sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inner = sums.withColumn("__in", before(Window.partitionBy("__block").orderBy("__range")))
+    blocks = sums.groupBy("__block").agg(F.sum("__sum").alias("__sum")).withColumn("__out", before(Window.orderBy("__block"))).drop("__sum")
+    base = inner.join(blocks, "__block").select("__range", (F.col("__in") + F.col("__out")).alias("__base"))
     own = Window.partitionBy("__range").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
     return rows.join(base, "__range").withColumn("prefix_sum", F.col("__base") + F.sum(value).over(own)).drop("__range", "__base")

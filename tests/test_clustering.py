@@ -137,7 +137,7 @@ def test_redundancy(spark):
 
 def test_prefix_sum(spark):
     df = spark.createDataFrame([(i * 7 - 50, i) for i in range(40)], "k long, v long")
-    got = {r["k"]: r["prefix_sum"] for r in grid.prefix_sum(df, "k", "v", 32).collect()}
+    got = {r["k"]: r["prefix_sum"] for r in grid.prefix_sum(df, "k", "v", 4).collect()}
     assert got == {i * 7 - 50: i * (i + 1) // 2 for i in range(40)}
 
 
