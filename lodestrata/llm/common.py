@@ -15,6 +15,8 @@ __all__ = ["shared_dir", "stage", "staged_path"]
 
 #: Rows of one Arrow batch on its way to Python; texts are long, and a batch must fit beside the heap.
 BATCH_ROWS = 1000
+#: Bits (as a power of two) of a sieve.
+SIEVE = 24
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -29,6 +31,17 @@ def counted(df: DataFrame, condition: str) -> tuple[DataFrame, int]:
     return found, seen.get["n"]
 
 
+def sieved(rows: DataFrame, keys: DataFrame, column: str, hit: bool = True) -> DataFrame:
+    """The rows whose bigint column falls on a bit that one of the keys (in a column of that name) sets, or the others. The bits
+    are a broadcast table of at most 2^(SIEVE - 6) rows, however many keys there are; more keys only let more rows through."""
+    at = F.col(column).bitwiseAND(F.lit((1 << SIEVE) - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    number = F.call_function("shiftright", at, F.lit(6))
+    words = keys.groupBy(number.alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    there = F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))
+    return rows.withColumn("__word", number).join(F.broadcast(words), "__word", "left").filter(there if hit else ~there).select(*rows.columns)
+
+
 def arrow_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches small unless the session already asks for small ones."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, parts, slabs, stage, strings
+from .common import map_arrow, parts, sieved, slabs, stage, strings
 
 LEVEL = 6
 
@@ -173,13 +173,13 @@ def with_next(df: DataFrame, text: str = "text", doc: str = "doc_id", asked: Dat
 def fingerprints(df: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
     """with_next, and group_id and group_size of the documents of equal canonical texts.
 
-    A count of narrow digests tells which documents may have copies; only their bytes are grouped, so that others' texts cross
-    the network once, with the shuffle that brings each document to its next.
+    A count of narrow digests, and a sieve of bounded size, tell which documents may have copies; only their bytes are grouped, so
+    that others' texts cross the network once, with the shuffle that brings each document to its next.
     """
     rows = df.select(F.col(doc).cast("long").alias("__doc"), F.col(text).cast("string").alias("__text"))
     marks = stage(map_arrow(rows, _marks(False), "fingerprint string, __check bigint, __doc bigint"), "marks")
     many = marks.groupBy("fingerprint", "__check").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n")
-    found = stage(with_next(df, text, doc, marks.join(many, ["fingerprint", "__check"], "left_semi").select("__doc").distinct()), "edited")
+    found = stage(with_next(df, text, doc, sieved(marks, many, "__check").select("__doc").distinct()), "edited")
     copies = found.filter("__bytes IS NOT NULL")
     groups = _groups(copies.select("fingerprint", "__check", "__bytes", F.col("doc_id").alias("__doc")))
     named = copies.join(groups, ["fingerprint", "__check", "__bytes"]).select(*found.columns, "group_id", "group_size")

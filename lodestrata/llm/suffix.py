@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, cut, map_arrow, parts, stage, text_or_empty
+from .common import buffers, cut, map_arrow, parts, sieved, stage, text_or_empty
 from .lm import _few, _gathered
 from .tokens import mix
 
@@ -37,8 +37,6 @@ HOT = 2000
 CHUNK = 4 << 20
 #: Starts that are hashed at a time; bits for a place among them.
 STRETCH, _PLACE = 1 << 19, 20
-#: Bits (as a power of two) of the sieve that tells which texts may have copies.
-SIEVE = 24
 _FIRST = -(1 << 63)
 
 
@@ -465,18 +463,6 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _OUT = "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string, kept binary"
 
 
-def _sieved(docs: DataFrame, many: DataFrame, hit: bool) -> DataFrame:
-    """The rows whose __k1 falls on a bit that one of `many` sets, or the others. The bits are a table of at most 2^(SIEVE - 6)
-    rows, however many keys there are; more keys let more rows through, which are then told by joins."""
-    at, word, mask = F.col("__k1").bitwiseAND(F.lit((1 << SIEVE) - 1)), "__word", F.lit(63)
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(mask).cast("int"))
-    number = F.call_function("shiftright", at, F.lit(6))
-    words = many.groupBy(number.alias(word)).agg(F.bit_or(bit).alias("__bits"))
-    rows = docs.withColumn(word, number).join(F.broadcast(words), word, "left")
-    there = F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))
-    return rows.filter(there if hit else ~there).select(*docs.columns)
-
-
 def remove_repeats(df: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes, n_removed, spans, kept_sha256 and kept (the remaining bytes)."""
     docs = df.select(F.col(doc).cast("long").alias("__doc"), text_or_empty(text).alias("__text")).withColumns(
@@ -484,12 +470,12 @@ def remove_repeats(df: DataFrame, text: str = "text", doc: str = "doc_id") -> Da
     )
     pair = ["__k1", "__k2"]
     many = cut(docs.groupBy(*pair).agg(F.min("__o").alias("__lo"), F.max("__o").alias("__hi")).filter("__hi > __lo").select(*pair))
-    doubtful = stage(_sieved(docs, many, True), "doubtful")
+    doubtful = stage(sieved(docs, many, "__k1"), "doubtful")
     same = doubtful.join(many, pair, "left_semi").groupBy(*pair, "__text").agg(F.min("__o").alias("__lead"))  # the bytes decide
     texts = cut(same.groupBy(*pair).agg(F.count(F.lit(1)).alias("__n"), F.min("__lead").alias("__lead")).filter("__n = 1").drop("__n"))
     later = cut(doubtful.select("__o", *pair).join(texts, pair).filter("__o > __lead").select("__o", *pair).distinct())
     copies = doubtful.join(later, ["__o", *pair], "left_semi")
-    firsts = _sieved(docs, many, False).unionByName(doubtful.join(later, ["__o", *pair], "left_anti").select(*docs.columns))
+    firsts = sieved(docs, many, "__k1", hit=False).unionByName(doubtful.join(later, ["__o", *pair], "left_anti").select(*docs.columns))
     chunks = stage(_few(firsts.select("__doc", "__text"), _chunks, "__docs array<bigint>, __at binary, __z binary").withColumn("__chunk", F.monotonically_increasing_id()), "texts")
     n = parts(df)
     bits = max(0, (n - 1).bit_length())

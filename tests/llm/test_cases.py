@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestrata.llm import fingerprint, neardup, packing, suffix, warc
+from lodestrata.llm import common, fingerprint, neardup, packing, suffix, warc
 
 
 def said(r: random.Random, n: int) -> str:
@@ -44,6 +44,18 @@ def test_digests_alone_do_not_make_copies(spark, monkeypatch):
     assert sorted((x["group_id"], x["group_size"]) for x in fingerprint._groups(rows).collect()) == [(0, 3), (1, 3), (2, 3)]
 
 
+@pytest.mark.parametrize("bits", [6, 24])
+def test_sieve_lets_all_copies_through(spark, monkeypatch, bits):
+    """A sieve of 64 bits lets nearly all rows through; results are the same."""
+    monkeypatch.setattr(common, "SIEVE", bits)
+    r = random.Random(8)
+    rows = [(i, said(r, 30) if i % 3 else "the same text for a third of all documents, and rather more than a hundred bytes of it, as is needed here") for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = Counter(x["group_size"] for x in fingerprint.fingerprints(df).collect())
+    assert sizes == {1: 60, 30: 30}
+    assert {x["doc_id"]: bytes(x["kept"]) for x in suffix.remove_repeats(df).collect()} == brute_removed(rows)
+
+
 def brute_removed(rows: list[tuple]) -> dict[int, bytes]:
     seen: dict[bytes, tuple] = {}
     for doc, text in rows:
