@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, parts, sieved, slabs, stage, strings
+from .common import cut, map_arrow, parts, sieved, slabs, stage, strings
 
 LEVEL = 6
 
@@ -181,8 +181,9 @@ def fingerprints(df: DataFrame, text: str = "text", doc: str = "doc_id") -> Data
     many = marks.groupBy("fingerprint", "__check").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n")
     found = stage(with_next(df, text, doc, sieved(marks, many, "__check").select("__doc").distinct()), "edited")
     copies = found.filter("__bytes IS NOT NULL")
-    groups = _groups(copies.select("fingerprint", "__check", "__bytes", F.col("doc_id").alias("__doc")))
-    named = copies.join(groups, ["fingerprint", "__check", "__bytes"]).select(*found.columns, "group_id", "group_size")
+    groups = cut(_groups(copies.select("fingerprint", "__check", "__bytes", F.col("doc_id").alias("__doc"))).filter("group_size > 1"))
+    both = copies.join(groups, ["fingerprint", "__check", "__bytes"], "left")  # groups are cut, so that a large one's rows can be split
+    named = both.select(*found.columns, F.coalesce("group_id", "doc_id").alias("group_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"))
     alone = found.filter("__bytes IS NULL").select("*", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"))
     return named.unionByName(alone).drop("__bytes", "__check")
 
