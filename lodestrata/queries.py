@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import subspaces, volumes
 from .operators import density, grid, neighbors, redundancy, scaling
 from .operators.components import connected_components
-from .plans.clustering import Clustering, bit, subspace_clusters
+from .plans.clustering import Clustering, bit, subspace_clusters, to_lists
 from .plans.cutting import stage, staged_path
 from .sources import generators, points
 
@@ -289,6 +289,13 @@ def cached_run(spark, sf_dir):
     return found
 
 
+def result_lists(spark, sf_dir):
+    """Subspaces in result order, each with a label for every point, -1 for none."""
+    spaces, labels = to_lists(_flagship(rectangular=True)(spark, sf_dir).withColumn("dims", F.split("dims", ",").cast("array<int>")), _count(spark, sf_dir))
+    rows = [(k + 1, ",".join(map(str, dims)), ",".join(map(str, own))) for k, (dims, own) in enumerate(zip(spaces, labels, strict=True))]
+    return spark.createDataFrame(rows, "place int, dims string, labels string")
+
+
 def _written(spark, sf_dir, columns, **options):
     """A delimited file with one line for each embedding, in order of vec_id."""
     path = staged_path(spark, "lines")
@@ -332,7 +339,7 @@ QUERIES = {
         column_bounds, normalize_minmax, normalize_lineitem, grid_cells, cell_counts, border_flags, merge_runs, prefix_sum, eps_join_1d, eps_join_nd, neighbor_counts,
         expected_density, phi_density, dense_points_rect, dense_points_kernel, weak_dense_points, core_components, refine_neighbors, restrict_regions, level2_regions,
         subset_pairs, subspace_order, cluster_sizes, min_size_filter, region_redundancy, cluster_redundancy, merge_result, planted_recovery, generate_uniform, generate_blobs,
-        generate_gaussian, generate_overlaid, label_histogram, region_calls, cached_run, load_glass, load_pendigits, load_vowel, load_iris, load_generated,
+        generate_gaussian, generate_overlaid, label_histogram, region_calls, cached_run, result_lists, load_glass, load_pendigits, load_vowel, load_iris, load_generated,
     )
 } | {
     "subspace_clusters": _flagship(rectangular=True),
@@ -553,6 +560,9 @@ ORACLE_SQL |= {
     "subspace_clusters_kernel": f"{_clusters_sql(_E, **_RUN, rectangular=False)} SELECT * FROM res",
     "label_histogram": _histogram_sql(_clusters_sql(_E, **_RUN, r=3.0), "length(dims) = 3"),
     "region_calls": f"{_FOUND} SELECT (1 + (SELECT count(*) FROM (" + " UNION ALL ".join(f"SELECT DISTINCT '{''.join(map(str, x))}', reg FROM m_{''.join(map(str, x))}" for k in range(1, DIMS + 1) for x in combinations(range(DIMS), k)) + ")))::BIGINT AS calls",
+    "result_lists": f"""{_FOUND}, every AS (SELECT dims, vec_id AS p FROM (SELECT DISTINCT dims FROM res), embeddings),
+told AS (SELECT dims, string_agg(coalesce(label, -1)::VARCHAR, ',' ORDER BY p) AS labels FROM every LEFT JOIN res USING (dims, p) GROUP BY dims)
+SELECT (row_number() OVER (ORDER BY list_reverse(string_split(dims, ',')::INT[])))::INT AS place, dims, labels FROM told""",
     "planted_recovery": _histogram_sql(_clusters_sql(f"{_planted_sql(PLANTED['n'], PLANTED['d'], _BLOBS, PLANTED['seed'])}, {_SCALE}", PLANTED["d"], **RECOVERY)),
     "generate_gaussian": _drawn_sql(PLANTED["n"], PLANTED["d"], _BLOBS, PLANTED["seed"]),
     "generate_uniform": _drawn_sql(1000, 5, generators.box_blobs(5, 1000, 2, 3, 0.99, 2.0, 5), 5),
