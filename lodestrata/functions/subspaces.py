@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,16 @@ def dims_within(sub: Column, sup: Column) -> Column:
     return F.size(F.array_except(sub, sup)) == 0
 
 
+def containments(subs: DataFrame, sups: DataFrame) -> DataFrame:
+    """subs.dims, sups.sup_dims of each subspace (a distinct array dims) within another, itself included: an inverted index of
+    the larger ones by column, met only in the rarest column of the smaller."""
+    index = sups.select(F.col("dims").alias("sup_dims"), F.explode("dims").alias("__column"))
+    often = index.groupBy("__column").agg(F.count(F.lit(1)).alias("__often"))
+    rare = subs.select("dims", F.explode("dims").alias("__column")).join(often, "__column").groupBy("dims").agg(F.min(F.struct("__often", "__column")).alias("__least"))
+    met = rare.select("dims", F.col("__least.__column").alias("__column")).join(index, "__column")
+    return met.filter(dims_within(F.col("dims"), F.col("sup_dims"))).select("dims", "sup_dims")
+
+
 def result_order(dims: Column) -> Column:
     """Sort key of subspaces: lexicographic from the last column, shorter first."""
     return F.reverse(dims)

@@ -1,9 +1,12 @@
-"""Expected densities of balls: numbers that the driver computes once for each subspace size."""
+"""Expected densities of balls: numbers that the driver computes once for each subspace size, and columns by row."""
 
 from __future__ import annotations
 
 import math
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 #: The value of pi that published results were computed with.
 PI = 3.14
 
@@ -37,3 +40,15 @@ def threshold(k: int, eps: float, n: int, factor: float, num_obj: float, rectang
     if rectangular:
         return max(factor * expected_density(k, eps, n, volume, pi), float(num_obj))
     return max(factor * expected_kernel_density(k, eps, n, volume, pi), num_obj * kernel_share(k))
+
+
+def threshold_of(k: int, eps: float, n: int, factor: float, num_obj: float, rectangular: bool, volume: Column, pi: float = PI) -> Column:
+    """The same by row, from a column of volumes; nothing is dense where the volume is 0."""
+    share = 1.0 if rectangular else kernel_share(k)
+    expected = F.try_divide(F.lit(factor * expected_density(k, eps, n, 1.0, pi) * share), F.pow(volume, F.lit(float(k))))
+    return F.greatest(F.coalesce(expected, F.lit(float("inf"))), F.lit(num_obj * share))
+
+
+def volume_of(dims: Column, ranges: Column) -> Column:
+    """Product of the ranges (an array by column) of the columns of a subspace."""
+    return F.aggregate(dims, F.lit(1.0), lambda v, i: v * F.get(ranges, i))

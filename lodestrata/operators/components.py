@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.cutting import stage
+from ..plans.cutting import counted, stage
 from . import forest
 
 #: Edges (24 bytes each) that one task may hold.
@@ -21,8 +21,8 @@ def connected_components(vertices: DataFrame, edges: DataFrame, key: str = "mask
     """key, p, label: the least p of its component. vertices(key, p), of bigints; edges(key, p, q) in one direction or both."""
     rows = edges.select(F.col(key).cast("long").alias(key), F.col("p").cast("long").alias("p"), F.col("q").cast("long").alias("q"))
     schema = f"`{key}` bigint, p bigint, q bigint"
-    found = stage(rows.mapInArrow(forest.contract, schema), "forest")
-    if found.count() <= few:
+    found, seen = counted(rows.mapInArrow(forest.contract, schema), "forest")
+    if seen["rows"] <= few:
         top = found.coalesce(1).mapInArrow(forest.contract, schema).select(key, F.col("q").alias("p"), F.col("p").alias("top"))
     else:
         top = _rounds(found, key)

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def cell_of(x: Column, c: int, eps: float, low: float = 0.0, wide: float = 1.0) -> tuple[Column, Column]:
+    """Cell, from 0 to c - 1, of a coordinate in a column from `low` that is `wide`, the last one closed; and whether it lies
+    within eps of the cell's upper edge. All of a constant column is in cell 0."""
+    width = wide / c
+    if not width:
+        return F.when(x.isNotNull(), F.lit(0)), x.isNotNull() & F.lit(eps >= 0)
+    off = x if not low else x - low
+    cell = F.least(F.floor(off / width), F.lit(c - 1)).cast("int")
+    return cell, off >= (cell + 1) * width - eps
+
+
 def cells(coords: DataFrame, c: int, eps: float) -> DataFrame:
-    """p, dim, x, cell, is_border of scaled coords: c cells a column, the last one closed; a border point lies within eps
-    of its cell's upper edge."""
-    width = 1.0 / c
-    cell = F.least(F.floor(F.col("x") / width), F.lit(c - 1)).cast("int")
-    with_cell = coords.withColumn("cell", cell)
-    return with_cell.withColumn("is_border", F.col("x") >= (F.col("cell") + 1) * width - eps)
+    """p, dim, x, cell, is_border of scaled coords."""
+    cell, border = cell_of(F.col("x"), c, eps)
+    return coords.withColumn("cell", cell).withColumn("is_border", border)
 
 
 def cell_flags(table: DataFrame, keys: list[str]) -> DataFrame:
@@ -29,6 +37,12 @@ def runs(flags: DataFrame, keys: list[str]) -> DataFrame:
     return begun.withColumn("run", F.max("__begin").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__begin")
 
 
+def large_runs(named: DataFrame, keys: list[str], min_size: int) -> DataFrame:
+    """The cells of runs of at least min_size points."""
+    total = F.sum("n_points").over(Window.partitionBy(*keys, "run"))
+    return named.withColumn("__n", total).filter(F.col("__n") >= min_size).drop("__n")
+
+
 def prefix_sum(df: DataFrame, order: str, value: str, bucket: int = 1 << 16) -> DataFrame:
     """df with prefix_sum of value by an integer column: a window within each range of the key, running sums over the ranges of
     each block of ranges, and over the blocks, so that no task has more than a range or block; there is a block for each

@@ -42,25 +42,20 @@ def eps_join(left: DataFrame, right: DataFrame, dims: list[int], eps: float) ->
     return both.withColumn("d2", d2).filter(close(F.col("d2"), eps)).select("p", "q", "d2")
 
 
-def within_columns(points: DataFrame, spaces: list[tuple[int, list[int]]]) -> DataFrame:
-    """mask, p, v: the coordinates of points(p, xs) in the columns of each of the subspaces (mask, ascending columns)."""
-    every = F.array(*(F.struct(F.lit(m).cast("long").alias("mask"), F.array(*(F.lit(i) for i in dims)).alias("dims")) for m, dims in spaces))
-    rows = points.select("p", "xs", F.explode(every).alias("__s"))
-    return rows.select("__s.mask", "p", F.transform("__s.dims", lambda i: F.get("xs", i)).alias("v"))
-
-
 def pairs(left: DataFrame, right: DataFrame, k: int, eps: float, keys: tuple[str, ...] = ("mask",), ordered: bool = False) -> DataFrame:
-    """The keys, p, q, d2 of pairs of left(*keys, p, v) and right(*keys, p, v), v of k columns, that are within eps: an equi-join
-    on the keys and the bucket of the first INDEXED columns, for all subspaces at once. ordered: only pairs p < q."""
+    """The keys, p, q, d2 of pairs of left(*keys, p, v) and right(*keys, p, v), v of at most k columns (0 in those that it lacks),
+    that are within eps: an equi-join on the keys and the bucket of the first INDEXED columns, for all subspaces at once.
+    ordered: only pairs p < q."""
     width = eps * WIDER
     used = range(min(k, INDEXED))
-    bucket = lambda i: F.floor(F.get("v", F.lit(i)) / width)
+    at = lambda v, i: F.coalesce(F.get(v, F.lit(i)), F.lit(0.0))
+    bucket = lambda i: F.floor(at("v", i) / width)
     probes = left.select(*keys, "p", F.col("v").alias("__l"), *(bucket(i).alias(f"__b{i}") for i in used))
     for i in used:
         probes = probes.withColumn(f"__b{i}", F.explode(F.array(*(F.col(f"__b{i}") + s for s in (-1, 0, 1)))))
     built = right.select(*keys, F.col("p").alias("q"), F.col("v").alias("__r"), *(bucket(i).alias(f"__b{i}") for i in used))
     both = probes.join(built, [*keys, *(f"__b{i}" for i in used)]).filter(F.col("p") < F.col("q") if ordered else F.col("p") != F.col("q"))
-    gap = lambda i: F.get("__l", F.lit(i)) - F.get("__r", F.lit(i))
+    gap = lambda i: at("__l", i) - at("__r", i)
     d2 = reduce(lambda a, b: a + b, (gap(i) * gap(i) for i in range(k)))
     return both.withColumn("d2", d2).filter(close(F.col("d2"), eps)).select(*keys, "p", "q", "d2")
 

@@ -15,9 +15,9 @@ def cluster_sizes(labels: DataFrame) -> DataFrame:
     return labels.groupBy("mask", "label").agg(F.count(F.lit(1)).alias("size"))
 
 
-def min_size_filter(labels: DataFrame, min_size: int) -> DataFrame:
-    """labels with size, of clusters with at least min_size points."""
-    return labels.join(cluster_sizes(labels).filter(F.col("size") >= min_size), ["mask", "label"]).select("mask", "p", "label", "size")
+def min_size_filter(labels: DataFrame, min_size: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """labels (with the columns `keep`) with size, of clusters with at least min_size points."""
+    return labels.join(cluster_sizes(labels).filter(F.col("size") >= min_size), ["mask", "label"]).select("mask", *keep, "p", "label", "size")
 
 
 def _overlap(points: DataFrame, result: DataFrame) -> DataFrame:

@@ -7,69 +7,108 @@ redundant clusters go, the rest joins the result. A level is one set of joins fo
 one region of a subspace, so that (mask, p) is the key of all tables. Densities are kept with the members, so that
 clustering meets dense points only.
 
-One column needs no pairs: densities come from sorted buckets, components from gaps. Pairs within eps in more columns are
-streamed from a join on the grid into densities and forests, and are not written, except by the strategy that refines them.
+Points of a region with one path of cells (and border flags) are told apart by nothing that restricts them: flags, runs and
+markers come from a table of paths with counts, one row a path, and members only follow their path to its children.
 
-Strategies: `recompute` joins each level on the grid anew; `incremental` keeps the pairs of two columns and refines them level
+One column needs no pairs: densities come from sorted buckets, components from gaps. In more columns densities and components
+come from pairs of boxes (operators/boxes.py); pairs of points are met where eps cuts boxes of few points, where all pairs that
+there can be are few, and by the strategy that refines pairs.
+
+Strategies: `recompute` takes each level's densities anew; `incremental` keeps the pairs of two columns and refines them level
 by level; `batched` is recompute with dim_step columns at a time in each expansion. All give the same result.
 """
 
 from __future__ import annotations
 
+import math
 import warnings
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.subspaces import dims_of, result_order
-from ..functions.volumes import PI, threshold
+from ..functions.volumes import PI, threshold_of
 from ..operators import density, grid, line, neighbors, redundancy
-from ..operators.components import connected_components
-from ..operators.scaling import normalize
-from .cutting import stage
+from ..operators.scaling import column_bounds, normalize
+from .cutting import counted, stage
 
 STRATEGIES = ("recompute", "incremental", "batched")
+#: Members of all levels up to which all levels' components are found at once, before redundancy tells which regions count.
+AT_ONCE = 1_000_000
 
 
 def bit(dim):
     return F.call_function("shiftleft", F.lit(1).cast("long"), dim)
 
 
+def has(mask, dim):
+    return mask.bitwiseAND(bit(dim)) != 0
+
+
 class Clustering:
-    """One run over coords(p, dim, x) with d columns numbered from 0; volume: of the region that expected densities are for."""
+    """One run over coords(p, dim, x) with d columns numbered from 0. Of rows with one p and dim the largest x counts; a point
+    without x in a column is in no region of that column.
+
+    Coordinates are scaled to [0, 1], unless scaled (they are, which is checked) or raw: then cells divide each column's own
+    range, and expected densities are those of the region's volume, the product of the ranges of its columns, carried by each
+    region; weighted densities are weak by the volume of all columns. volume: of the scaled space.
+    """
 
     def __init__(
         self, coords: DataFrame, d: int, eps: float, factor: float, num_obj: float, min_size: int, r: float = 1.0, cells: int = 3, rectangular: bool = False,
-        strategy: str = "recompute", dim_step: int = 2, ghost_markers: bool = True, scaled: bool = False, volume: float = 1.0, pi: float = PI,
+        strategy: str = "recompute", dim_step: int = 2, ghost_markers: bool = True, scaled: bool = False, raw: bool = False, volume: float = 1.0, pi: float = PI,
+        at_once: int = AT_ONCE, few_pairs: int = density.FEW_PAIRS,
     ) -> None:
         if strategy not in STRATEGIES:
             raise ValueError(strategy)
         if not 0 < d <= 63:
             raise ValueError("from 1 to 63 columns")
-        if eps > 1 / cells:
+        self.d, self.eps, self.rectangular, self.min_size, self.r, self.factor, self.num_obj, self.pi = d, eps, rectangular, min_size, r, factor, num_obj, pi
+        self.strategy, self.dim_step, self.ghosts, self.raw, self.volume, self.at_once, self.few_pairs = strategy, dim_step, ghost_markers, raw, volume, at_once, few_pairs
+        self.lows, self.ranges = [0.0] * d, [1.0] * d
+        if raw:
+            for row in column_bounds(coords.filter(F.col("dim") < d)).collect():  # a row a column
+                self.lows[row["dim"]], self.ranges[row["dim"]] = float(row["mn"]), float(row["mx"]) - float(row["mn"])
+        if eps > min((x for x in self.ranges if x > 0), default=1.0) / cells:
             warnings.warn("eps exceeds a cell: regions may split clusters", stacklevel=2)
-        self.d, self.eps, self.rectangular, self.min_size, self.r = d, eps, rectangular, min_size, r
-        self.strategy, self.dim_step, self.ghosts = strategy, dim_step, ghost_markers
-        self.cells = stage(grid.cells((coords if scaled else normalize(coords)).select("p", F.col("dim").cast("int").alias("dim"), "x"), cells, eps), "cells")
-        if scaled and not self.cells.filter("x < 0 OR x > 1").isEmpty():
+        used = coords if scaled or raw else normalize(coords)
+        x = lambda i: F.max(F.when(F.col("dim") == i, F.col("x").cast("double")))
+        wide = used.groupBy("p").agg(F.array(*(x(i) for i in range(d))).alias("xs"))
+        path, border = zip(*(grid.cell_of(F.get("xs", F.lit(i)), cells, eps, lo, wide_) for i, (lo, wide_) in enumerate(zip(self.lows, self.ranges, strict=True))), strict=True)
+        ends = F.array_min("xs") < 0, F.array_max("xs") > 1
+        self.points, seen = counted(wide.select("p", "xs", F.array(*path).alias("path"), F.array(*border).alias("border")), "points", out=ends[0] | ends[1])
+        if scaled and seen["out"]:
             raise ValueError("scaled coordinates lie in [0, 1]")
-        by_dim = lambda c: F.map_from_entries(F.collect_list(F.struct("dim", c)))
-        in_order = lambda m: F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.try_element_at(m, i))
-        wide = self.cells.groupBy("p").agg(by_dim(F.col("x").cast("double")).alias("__x"), by_dim("cell").alias("__c"))
-        self.points = stage(wide.select("p", in_order(F.col("__x")).alias("xs"), in_order(F.col("__c")).alias("path")), "points")
-        self.n = self.points.count()
-        self.least = {k: threshold(k, eps, self.n, factor, num_obj, rectangular, volume, pi) for k in range(1, d + 1)}
+        self.n = seen["rows"]
+        inner = F.arrays_zip("xs", "path", "border")
+        self.cells = self.points.select("p", F.posexplode(inner).alias("dim", "c")).filter("c.xs IS NOT NULL").select("p", "dim", F.col("c.xs").alias("x"), F.col("c.path").alias("cell"), F.col("c.border").alias("is_border"))
         self.levels: list[DataFrame] = []
-        self.calls = 1
+        self.sizes: list[int] = []
+
+    @property
+    def calls(self) -> int:
+        """Regions that the run visits, the whole table included."""
+        return 1 + sum(x.select("mask", "region").distinct().count() for x in self.levels)
+
+    def least(self, k: int, weak: bool = False) -> Column:
+        """Least density of rows with a volume in k columns; weak: of weakly dense ones, k being all columns."""
+        if not self.raw:
+            volume = F.lit(self.volume)
+        elif weak and not self.rectangular:
+            volume = F.lit(math.prod(self.ranges))
+        else:
+            volume = F.col("volume")
+        return threshold_of(k, self.eps, self.n, self.factor, self.num_obj, self.rectangular, volume, self.pi)
 
     def forward(self) -> None:
-        none = F.array().cast("array<double>").alias("v")
-        members = self.points.select(F.lit(0).cast("long").alias("mask"), F.lit(0).cast("long").alias("region"), "p", F.lit(-1).alias("last"), none)
+        base = self.points.filter(F.exists("xs", lambda x: x.isNotNull()))
+        none = [F.lit(0).cast("long").alias("mask"), F.lit(0).cast("long").alias("region"), F.lit(-1).alias("last"), F.lit(1.0).alias("volume")]
+        members = base.select(*none, "p", "xs", "path", "border")
         edges, markers = None, None
         if self.ghosts:
-            borders = self.cells.filter("is_border").select("p", F.col("dim").alias("j"), F.col("cell").alias("cell_j"))
-            markers = borders.select(F.lit(0).cast("long").alias("mask"), F.lit(0).cast("long").alias("region"), "p", F.lit(-1).alias("last"), "j", "cell_j")
+            held = members.select("mask", "region", "last", "path", F.posexplode("border").alias("j", "is_border"))
+            markers = held.filter("is_border").select("mask", "region", "last", "path", "j").distinct()
         for k in range(1, self.d + 1):
             steps = range(0, self.d, self.dim_step) if self.strategy == "batched" else [0]
             width = self.dim_step if self.strategy == "batched" else self.d
@@ -78,85 +117,108 @@ class Clustering:
                 return
             members = reduce(DataFrame.unionByName, [f[0] for f in found])
             edges = reduce(DataFrame.unionByName, [f[1] for f in found]) if self.strategy == "incremental" and k > 1 else None
-            markers = reduce(DataFrame.unionByName, [f[2] for f in found]) if self.ghosts else None
+            markers = reduce(DataFrame.unionByName, [f[2] for f in found]) if self.ghosts and k < self.d else None
             self.levels.append(members)
+            self.sizes.append(sum(f[3] for f in found))
 
     def _expand(self, k: int, members: DataFrame, edges: DataFrame | None, markers: DataFrame | None, lo: int, hi: int):
-        """Members (with density), pairs and markers of the regions that columns from lo to hi - 1 restrict."""
-        spread = members.drop("density").join(self.cells, "p").filter((F.col("dim") > F.col("last")) & (F.col("dim") >= lo) & (F.col("dim") < hi))
-        flags = grid.cell_flags(spread, ["region", "dim"])
+        """Members (with density), pairs and markers of the regions that columns from lo to hi - 1 restrict; number of members."""
+        paths = members.groupBy("mask", "region", "last", "path", "border").agg(F.count(F.lit(1)).alias("n"))
+        cells = F.posexplode(F.arrays_zip("path", "border")).alias("dim", "c")
+        spread = paths.select("region", "last", "path", "border", "n", cells).filter((F.col("dim") > F.col("last")) & (F.col("dim") >= lo) & (F.col("dim") < hi))
+        spread = spread.filter("c.path IS NOT NULL").select("region", "path", "border", "n", "dim", F.col("c.path").alias("cell"), F.col("c.border").alias("is_border"))
+        flags = spread.groupBy("region", "dim", "cell").agg(F.sum("n").alias("n_points"), F.max("is_border").alias("flag"))
         if markers is not None:
-            marked = markers.filter((F.col("j") >= lo) & (F.col("j") < hi)).select("region", F.col("j").alias("dim"), F.col("cell_j").alias("cell")).distinct()
+            marked = markers.select("region", F.col("j").alias("dim"), F.get("path", F.col("j")).alias("cell")).filter((F.col("dim") >= lo) & (F.col("dim") < hi)).distinct()
             flags = flags.join(marked.withColumn("marked", F.lit(True)), ["region", "dim", "cell"], "left")
             flags = flags.withColumn("flag", F.col("flag") | F.coalesce("marked", F.lit(False))).drop("marked")
-        named = stage(grid.runs(flags, ["region", "dim"]).select("region", "dim", "cell", "n_points", "run"), "runs")
-        large = named.groupBy("region", "dim", "run").agg(F.sum("n_points").alias("n")).filter(F.col("n") >= self.min_size)
-        named = named.join(large, ["region", "dim", "run"]).select("region", "dim", "cell", "run")
-        kids = stage(spread.join(named, ["region", "dim", "cell"]).select(
-            F.col("mask").bitwiseOR(bit(F.col("dim"))).alias("mask"), F.xxhash64("region", "dim", "run").alias("region"), "p", F.col("dim").alias("last"),
-            F.concat("v", F.array(F.col("x").cast("double"))).alias("v"), F.col("mask").alias("parent"), "dim", "x", F.col("region").alias("above"), "run",
-        ), "members")
-        if kids.isEmpty():
+        named = grid.large_runs(grid.runs(flags, ["region", "dim"]), ["region", "dim"], self.min_size).select("region", "dim", "cell", "run")
+        ways = spread.join(named, ["region", "dim", "cell"]).groupBy("region", "path", "border").agg(F.collect_list(F.struct("dim", "run")).alias("ways"))  # at most d
+        down = members.drop("density").join(ways, ["region", "path", "border"]).withColumn("way", F.explode("ways"))
+        ranges = F.array(*(F.lit(x) for x in self.ranges))
+        kids = down.select(
+            F.col("mask").bitwiseOR(bit(F.col("way.dim"))).alias("mask"), F.xxhash64("region", "way.dim", "way.run").alias("region"), "p", F.col("way.dim").alias("last"),
+            (F.col("volume") * F.get(ranges, F.col("way.dim"))).alias("volume"), "xs", "path", "border", F.col("region").alias("above"), F.col("mask").alias("parent"), F.col("way.run").alias("run"),
+        )
+        v = F.filter("xs", lambda x, i: has(F.col("mask"), i))
+        kids, seen = counted(kids.withColumn("v", v), "members")
+        if not seen["rows"]:
             return None
         near = None
         if k == 1:
-            held = line.with_line_density(kids, self.cells, self.eps, self.rectangular, self.n)
-        else:
+            x = kids.withColumns({"dim": F.col("last"), "x": F.get("v", F.lit(0))})
+            held = line.with_line_density(x, self.cells, self.eps, self.rectangular, self.n).drop("dim", "x")
+        elif self.strategy == "incremental":
             if edges is not None:
-                near = neighbors.refine(edges, kids, self.cells, self.eps)
+                near = neighbors.refine(edges, kids.select("mask", "parent", "p", F.col("last").alias("dim"), F.get("xs", F.col("last")).alias("x")), self.cells, self.eps)
             else:
-                near = neighbors.pairs(kids, self._all(kids), k, self.eps)
-            if self.strategy == "incremental":
-                near = stage(near, "pairs")
+                near = neighbors.pairs(kids, self._around(kids), k, self.eps)
+            near = stage(near, "pairs")
             held = kids.join(density.density(near, self.eps, self.rectangular), ["mask", "p"], "left").withColumn("density", F.coalesce("density", F.lit(0.0)))
-        alive = stage(self._sizable(held.filter(F.col("density") >= self.least[self.d])), "dense")
-        regions = alive.select("above", "dim", "run", "mask", "region", "last").distinct()
-        many = regions.count()
-        if not many:
+        else:
+            held = density.with_density(kids, self._around(kids), k, self.eps, self.rectangular, pairs=seen["rows"] * self.n, few=self.few_pairs).drop("n_near")
+        alive, seen = counted(self._sizable(held.filter(F.col("density") >= self.least(self.d, True))), "dense")
+        if not seen["rows"]:
             return None
-        self.calls += many
-        left = None
-        if markers is not None and k < self.d:
-            inside = markers.select(F.col("region").alias("above"), "p", "j", "cell_j").join(self.cells.select("p", "dim", "cell"), "p")
-            inside = inside.filter("j > dim").join(named.withColumnRenamed("region", "above"), ["above", "dim", "cell"])
-            inside = inside.join(regions, ["above", "dim", "run"]).select("mask", "region", "p", "last", "j", "cell_j")
-            free = lambda c, i: F.when(F.col("mask").bitwiseAND(bit(i)) == 0, c).otherwise(-1)
-            key = lambda: F.xxhash64(F.transform(F.slice("path", F.lit(1), F.col("j") + 1), free))
-            paths = self.points.select("p", "path")
-            there = alive.select("mask", "region", "p").join(paths, "p").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(self.d - 1))))
-            there = there.select("region", "j", key().alias("key")).distinct()
-            marked = inside.join(paths, "p").withColumn("key", key()).join(there, ["region", "j", "key"], "left_semi")
-            left = stage(marked.select("mask", "region", "p", "last", "j", "cell_j"), "markers")
-        elif markers is not None:
-            left = markers.limit(0)
-        return alive.select("mask", "region", "p", "last", "v", "density"), near, left
+        left = self._markers(markers, named, alive) if markers is not None and k < self.d else None
+        return alive.select("mask", "region", "p", "last", "volume", "xs", "path", "border", "v", "density"), near, left, seen["rows"]
+
+    def _markers(self, markers: DataFrame, named: DataFrame, alive: DataFrame) -> DataFrame:
+        """The markers that lie in a child region and go on to connect its cells: a point that is alive has, up to the marker's
+        column, the marker's cells in all columns that do not restrict the region."""
+        regions = alive.select("above", F.col("last").alias("dim"), "run", F.col("mask").alias("m"), F.col("region").alias("r")).distinct()
+        inside = markers.select(F.col("region").alias("above"), "path", "j", F.posexplode("path").alias("dim", "cell")).filter("j > dim")
+        inside = inside.join(named.withColumnRenamed("region", "above"), ["above", "dim", "cell"]).join(regions, ["above", "dim", "run"])
+        inside = inside.select(F.col("m").alias("mask"), F.col("r").alias("region"), F.col("dim").alias("last"), "path", "j")
+        free = lambda c, i: F.when(has(F.col("mask"), i), F.lit(-1)).otherwise(F.coalesce(c, F.lit(-2)))
+        key = F.xxhash64(F.transform(F.slice("path", F.lit(1), F.col("j") + 1), free))
+        there = alive.select("mask", "region", "path").distinct().withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(self.d - 1))))
+        there = there.select("region", "j", key.alias("key")).distinct()
+        return stage(inside.withColumn("key", key).join(there, ["region", "j", "key"], "left_semi").drop("key").distinct(), "markers")
 
     def _sizable(self, members: DataFrame) -> DataFrame:
-        enough = members.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= self.min_size)
+        enough = members.groupBy("region").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= self.min_size)
         return members.join(enough, "region", "left_semi")
 
-    def _all(self, kids: DataFrame) -> DataFrame:
-        """All points in the subspaces of the level."""
-        masks = sorted(r["mask"] for r in kids.select("mask").distinct().collect())  # subspaces, not points
-        return neighbors.within_columns(self.points, [(m, [i for i in range(self.d) if m >> i & 1]) for m in masks])
+    def _around(self, kids: DataFrame) -> DataFrame:
+        """mask, p, v of the points that members of the mask may have within eps: those of the buckets that members probe in the
+        last of its columns."""
+        bucket = lambda x: F.floor(x / (self.eps * neighbors.WIDER))
+        probes = kids.select("mask", F.col("last").alias("dim"), bucket(F.get("xs", F.col("last"))).alias("b")).distinct()
+        probes = probes.select("mask", "dim", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b")).distinct()
+        rows = self.points.select("p", "xs", F.posexplode("xs").alias("dim", "x")).withColumn("b", bucket(F.col("x")))
+        v = F.filter("xs", lambda x, i: has(F.col("mask"), i))
+        return rows.join(probes, ["dim", "b"]).select("mask", "p", v.alias("v")).filter(~F.exists("v", lambda x: x.isNull()))
+
+    def _labels(self, members: DataFrame, columns: range) -> DataFrame:
+        """mask, region, p, label, size of the clusters of the members' dense points, of subspaces of so many columns."""
+        core = lambda k: members.filter((F.bit_count("mask") == k) & (F.col("density") >= self.least(k)))
+        parts = []
+        if many := [k for k in columns if k > 1]:
+            found = reduce(DataFrame.unionByName, [core(k) for k in many]).select("mask", "region", "p", "v")
+            parts.append(density.components(found, max(many), self.eps, pairs=self.n * sum(self.sizes[k - 1] for k in many), few=self.few_pairs))
+        if 1 in columns:
+            x = core(1).select("mask", "region", "p", F.get("v", F.lit(0)).alias("x"))
+            parts.append(line.line_components(x, self.eps, ["mask", "region"]).select("mask", "region", "p", "label"))
+        return redundancy.min_size_filter(reduce(DataFrame.unionByName, parts), self.min_size, ("region",))
 
     def backward(self) -> DataFrame:
-        result = None
-        for k in range(len(self.levels), 0, -1):
-            members = self.levels[k - 1].select("mask", "region", "p", "v", "density")
-            if result is not None:
-                members = members.join(redundancy.region_redundancy(members, result, self.r), ["region", "mask"], "left_semi")
-            core = members.filter(F.col("density") >= self.least[k])
-            if k == 1:
-                x = core.select("mask", "region", "p", F.get("v", F.lit(0)).alias("x"))
-                labels = line.line_components(x, self.eps, ["mask", "region"]).select("mask", "p", "label")
+        result, top = None, len(self.levels)
+        columns = ["mask", "region", "p", "volume", "v", "density"]
+        once = sum(self.sizes) <= self.at_once and top
+        labels = stage(self._labels(reduce(DataFrame.unionByName, [x.select(*columns) for x in self.levels]), range(1, top + 1)), "labels") if once else None
+        for k in range(top, 0, -1):
+            members = self.levels[k - 1].select(*columns)
+            regions = None if result is None else redundancy.region_redundancy(members, result, self.r)
+            if labels is not None:
+                found = labels.filter(F.bit_count("mask") == k)
+                found = found if regions is None else found.join(regions, ["region", "mask"], "left_semi")
             else:
-                core = stage(core.select("mask", "region", "p", "v"), "core")
-                labels = connected_components(core, neighbors.pairs(core, core, k, self.eps, ("mask", "region"), ordered=True))
-            labels = redundancy.min_size_filter(labels, self.min_size)
+                found = stage(self._labels(members if regions is None else members.join(regions, ["region", "mask"], "left_semi"), range(k, k + 1)), "labels")
+            found = found.select("mask", "p", "label", "size")
             if result is not None:
-                labels = redundancy.cluster_redundancy(stage(labels, "labels"), result, self.r)
-            result = redundancy.merge_result(result, stage(labels, "result"))
+                found = redundancy.cluster_redundancy(found, result, self.r)
+            result = redundancy.merge_result(result, stage(found, "result") if 1 < k < top else found)
         return result if result is not None else self.points.sparkSession.createDataFrame([], "mask long, p long, label long, size long")
 
     def run(self) -> DataFrame:
@@ -169,6 +231,18 @@ def subspace_clusters(coords: DataFrame, d: int, eps: float, factor: float, num_
     return Clustering(coords, d, eps, factor, num_obj, min_size, **options).run()
 
 
+def to_table(result: DataFrame, points: DataFrame) -> DataFrame:
+    """place, dims, p, label: a row for each subspace of the result and each of points(p), label -1 for none. place: the
+    subspace's number, from 1, in result order. Only the list of subspaces is gathered."""
+    found = stage(result.select("dims", "p", "label"), "result")
+    spaces = found.select("dims").distinct().orderBy(result_order(F.col("dims"))).collect()
+    every = F.array(*(F.struct(F.lit(k + 1).alias("place"), F.array(*map(F.lit, r["dims"])).alias("dims")) for k, r in enumerate(spaces)))
+    if not spaces:
+        return found.select(F.lit(0).alias("place"), F.array_join("dims", ",").alias("dims"), "p", "label")
+    rows = points.select("p", F.inline(every)).join(found, ["dims", "p"], "left")
+    return rows.select("place", F.array_join("dims", ",").alias("dims"), "p", F.coalesce("label", F.lit(-1)).alias("label"))
+
+
 def to_lists(result: DataFrame, n: int) -> tuple[list[list[int]], list[list[int]]]:
     """Subspaces in result order and, for each, a label for each of n points, -1 for none: for small tables only."""
     rows = result.groupBy("dims").agg(F.collect_list(F.struct("p", "label")).alias("c")).orderBy(result_order(F.col("dims"))).collect()

@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _staged: list[tuple[SparkSession, str]] = []
 
@@ -53,3 +54,15 @@ def stage(df: DataFrame, name: str = "table") -> DataFrame:
     path = staged_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, name: str = "table", **conditions) -> tuple[DataFrame, dict[str, int]]:
+    """The table, staged, with its number of rows (`rows`) and of those that meet each condition, counted while they are written."""
+    seen = Observation()
+    found = stage(df.observe(seen, F.count(F.lit(1)).alias("rows"), *(F.count_if(c).alias(k) for k, c in conditions.items())), name)
+    return found, {k: observed(seen, k) for k in ("rows", *conditions)}
+
+
+def observed(seen: Observation, name: str) -> int:
+    """An observed count; 0 where Spark knew the table to be empty and left the count out."""
+    return seen.get[name] if seen._jo.getRow().length() else 0

@@ -6,15 +6,15 @@ and two columns over all columns of `embeddings` (WHOLE), or, where masks name s
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import subspaces, volumes
 from .operators import density, grid, neighbors, redundancy, scaling
-from .operators.components import connected_components
-from .plans.clustering import Clustering, bit, subspace_clusters, to_lists
+from .plans.clustering import Clustering, bit, subspace_clusters, to_table
 from .plans.cutting import stage, staged_path
 from .sources import generators, points
 
@@ -22,6 +22,8 @@ DIMS, EPS, CELLS, FACTOR, NUM_OBJ, MIN_SIZE = 4, 0.1, 4, 1.0, 4, 25
 WHOLE, MASKED = 64, 63
 FINE_CELLS, FINE_EPS = 8, 0.002
 LINE_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+LINE_EPS = 0.02
+RAW_EPS = 0.06
 
 
 def _coords(spark: SparkSession, sf_dir: str, dims: int = DIMS) -> DataFrame:
@@ -90,8 +92,30 @@ def _edges(spark, sf_dir, dims):
     return table.select(F.lit(mask).cast("long").alias("mask"), "p"), edges
 
 
-def neighbor_counts(spark, sf_dir):
-    return density.density(_edges(spark, sf_dir, (0, 1))[1], EPS, True).select("p", F.col("density").cast("long").alias("n_neigh"))
+def _placed(spark, sf_dir, dims):
+    """mask, p, v: all points in one subspace."""
+    coords = _scaled(spark, sf_dir)
+    v = neighbors.wide(coords, list(dims)).select("p", F.array(*(F.col(f"x_{i}") for i in dims)).alias("v"))
+    return v.select(F.lit(sum(1 << i for i in dims)).cast("long").alias("mask"), "p", "v")
+
+
+def _densities(spark, sf_dir, dims, rectangular, few=density.FEW_PAIRS):
+    """mask, p, v, n_near, density of all points in one subspace."""
+    rows = _placed(spark, sf_dir, dims)
+    return density.with_density(rows, rows, len(dims), EPS, rectangular, pairs=_count(spark, sf_dir) ** 2, few=few)
+
+
+def neighbor_counts(spark, sf_dir, dims=(0, 1)):
+    return _densities(spark, sf_dir, dims, True).filter("n_near > 0").select("p", F.col("n_near").alias("n_neigh"))
+
+
+def neighbor_counts_by_boxes(spark, sf_dir):
+    """Three columns, whatever the number of points from pairs of boxes."""
+    return _densities(spark, sf_dir, (0, 1, 2), True, 0).filter("n_near > 0").select("p", F.col("n_near").alias("n_neigh"))
+
+
+def phi_density_by_boxes(spark, sf_dir):
+    return _densities(spark, sf_dir, (0, 1, 2), False, 0).filter("n_near > 0").select("p", F.round("density", 5).alias("phi"))
 
 
 def expected_density(spark, sf_dir):
@@ -102,8 +126,8 @@ def expected_density(spark, sf_dir):
     return balls.join(n).select("k", F.round(den, 6).alias("exp_den"), F.round(den * F.col("omega"), 6).alias("alpha"), F.round("omega", 6).alias("omega"))
 
 
-def phi_density(spark, sf_dir):
-    return density.density(_edges(spark, sf_dir, (0, 1))[1], EPS, False).select("p", F.round("density", 5).alias("phi"))
+def phi_density(spark, sf_dir, dims=(0, 1)):
+    return _densities(spark, sf_dir, dims, False).filter("n_near > 0").select("p", F.round("density", 5).alias("phi"))
 
 
 def _count(spark, sf_dir):
@@ -111,30 +135,44 @@ def _count(spark, sf_dir):
 
 
 def _dense(spark, sf_dir, dims, rectangular, k):
-    members, edges = _edges(spark, sf_dir, dims)
     least = volumes.threshold(k, EPS, _count(spark, sf_dir), FACTOR, NUM_OBJ, rectangular)
-    return density.dense(members, edges, EPS, rectangular, F.lit(least)), edges
+    return _densities(spark, sf_dir, dims, rectangular).filter(F.col("density") >= least)
 
 
 def dense_points_rect(spark, sf_dir):
-    return _dense(spark, sf_dir, (0, 1), True, 2)[0].select("p")
+    return _dense(spark, sf_dir, (0, 1), True, 2).select("p")
 
 
 def dense_points_kernel(spark, sf_dir):
-    return _dense(spark, sf_dir, (0, 1), False, 2)[0].select("p")
+    return _dense(spark, sf_dir, (0, 1), False, 2).select("p")
 
 
 def weak_dense_points(spark, sf_dir):
     """Density in two columns against the threshold of all."""
-    return _dense(spark, sf_dir, (0, 1), True, DIMS)[0].select("p")
+    return _dense(spark, sf_dir, (0, 1), True, DIMS).select("p")
 
 
-def core_components(spark, sf_dir):
+def core_components(spark, sf_dir, few=density.FEW_PAIRS):
     """One subspace from end to end."""
-    core, edges = _dense(spark, sf_dir, (0, 1), True, 2)
-    core = stage(core, "core")
-    both = edges.join(core, ["mask", "p"]).join(core.select("mask", F.col("p").alias("q")), ["mask", "q"]).select("mask", "p", "q")
-    return connected_components(core, both).select("p", "label")
+    core = stage(_dense(spark, sf_dir, (0, 1), True, 2).select("mask", F.lit(0).cast("long").alias("region"), "p", "v"), "core")
+    return density.components(core, 2, EPS, pairs=_count(spark, sf_dir) ** 2, few=few).select("p", "label")
+
+
+def core_components_by_boxes(spark, sf_dir):
+    return core_components(spark, sf_dir, 0)
+
+
+def region_volumes(spark, sf_dir):
+    """Volume of each subspace of lineitem's numbers as they are, and the least densities that follow from it by row."""
+    bounds = scaling.column_bounds(_lines(spark, sf_dir)).withColumn("range", F.col("mx") - F.col("mn"))
+    ranges = bounds.agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "range"))), lambda x: x["range"]).alias("ranges"))
+    n = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    rows = ranges.select("ranges", F.explode(F.array(*(F.lit(m).cast("long") for m in range(1, 1 << len(LINE_COLUMNS))))).alias("mask"))
+    rows = rows.withColumn("dims", subspaces.dims_of(F.col("mask"), len(LINE_COLUMNS))).withColumn("volume", volumes.volume_of(F.col("dims"), F.col("ranges")))
+    least = lambda rectangular: reduce(
+        lambda a, k: F.when(F.size("dims") == k, volumes.threshold_of(k, LINE_EPS, n, FACTOR, NUM_OBJ, rectangular, F.col("volume"))).otherwise(a), range(1, len(LINE_COLUMNS) + 1), F.lit(0.0)
+    )
+    return rows.select("mask", F.round("volume", 6).alias("volume"), F.round(least(True), 6).alias("least_count"), F.round(least(False), 6).alias("least_weight"))
 
 
 def refine_neighbors(spark, sf_dir):
@@ -165,25 +203,32 @@ def level2_regions(spark, sf_dir, dims=DIMS):
     return table.groupBy("dim_a", "run_a", F.col("dim").alias("dim_b"), F.col("run").alias("run_b")).agg(F.count(F.lit(1)).alias("n_points")).filter(F.col("n_points") >= MIN_SIZE)
 
 
-def _all_masks(spark):
-    masks = spark.range(1, 1 << DIMS).select(F.col("id").alias("mask"))
-    return masks.withColumn("dims", subspaces.dims_of(F.col("mask"), DIMS))
+def _subspaces(spark, sf_dir, dims):
+    """dims: the distinct sets of columns in which some point lies in the highest quarter."""
+    high = _scaled(spark, sf_dir, dims).filter("x >= 0.75")
+    return high.groupBy("p").agg(F.array_sort(F.collect_list(F.col("dim").cast("int"))).alias("dims")).select("dims").distinct()
 
 
-def subset_pairs(spark, sf_dir):
-    one = _all_masks(spark)
-    two = one.select(F.col("mask").alias("sup"), F.col("dims").alias("sup_dims"))
-    return one.join(two, subspaces.within(F.col("mask"), F.col("sup"))).select(F.col("mask").alias("sub"), "sup", subspaces.dims_within(F.col("dims"), F.col("sup_dims")).alias("by_arrays"))
+def subset_pairs(spark, sf_dir, dims=WHOLE):
+    """Which of the subspaces lie within which, themselves included: any number of columns."""
+    found = _subspaces(spark, sf_dir, dims)
+    both = subspaces.containments(found, found)
+    return both.select(F.array_join("dims", ",").alias("sub"), F.array_join("sup_dims", ",").alias("sup"))
 
 
-def subspace_order(spark, sf_dir):
-    from pyspark.sql import Window
+def subset_masks(spark, sf_dir):
+    """The same of masks."""
+    found = _subspaces(spark, sf_dir, DIMS)
+    both = subspaces.containments(found, found).select(subspaces.mask_of(F.col("dims")).alias("sub"), subspaces.mask_of(F.col("sup_dims")).alias("sup"))
+    return both.select("sub", "sup", subspaces.within(F.col("sub"), F.col("sup")).alias("by_masks"))
 
-    every = _all_masks(spark)
-    return every.select(F.row_number().over(Window.orderBy(subspaces.result_order(F.col("dims")))).alias("place"), F.array_join(F.col("dims"), ",").alias("dims"), subspaces.mask_of(F.col("dims")).alias("mask"))
+
+def subspace_order(spark, sf_dir):
+    """The subspaces in result order."""
+    place = F.row_number().over(Window.orderBy(subspaces.result_order(F.col("dims"))))
+    return _subspaces(spark, sf_dir, WHOLE).select(place.alias("place"), F.array_join("dims", ",").alias("dims"))
 
 
-#: Small clusterings from event tables: label by user, one subspace for each event type.
 def _labels(spark, sf_dir, dims=DIMS):
     """labels(mask, p, label) that SQL can state: cells of columns as clusters of their subspaces."""
     cells = grid.cells(_scaled(spark, sf_dir, dims), CELLS, EPS)
@@ -220,50 +265,60 @@ def merge_result(spark, sf_dir):
     return redundancy.merge_result(result, redundancy.cluster_redundancy(redundancy.min_size_filter(ones, 1), result, 0.5))
 
 
-def _flagship(**options):
+def _flagship(eps=EPS, **options):
     def run(spark, sf_dir):
-        found = subspace_clusters(_coords(spark, sf_dir), DIMS, EPS, FACTOR, NUM_OBJ, MIN_SIZE, cells=CELLS, **options)
+        found = subspace_clusters(_coords(spark, sf_dir), DIMS, eps, FACTOR, NUM_OBJ, MIN_SIZE, cells=CELLS, **options)
         return found.select(F.array_join("dims", ",").alias("dims"), "p", "label", "size")
 
     return run
 
 
-PLANTED = {"d": 5, "n": 1200, "clusters": 2, "std": 0.5, "dims": 3, "noise": 0.01, "seed": 7}
+PLANTED = {"d": 5, "clusters": 2, "std": 0.5, "dims": 3, "noise": 0.01, "seed": 7}
 RECOVERY = {"eps": 0.02, "factor": 0.1, "num_obj": 4, "min_size": 100, "cells": 4}
+UNIFORM = {"d": 5, "clusters": 2, "dims": 3, "share": 0.99, "width": 2.0, "seed": 5}
+RANDOM = {"d": 5, "clusters": 3, "seed": 9}
+#: Share of the points, columns and spread of each blob.
+OVERLAID = {"d": 6, "sizes": [(0.4, 2, 1.0), (0.5, 3, 0.5), (0.3, 2, 0.3)], "seed": 3}
+
+
+def _customers(spark, sf_dir):
+    """p = 0, 1, ... for each customer, and their number: the points that generated coordinates are planted in."""
+    ids = spark.read.parquet(f"{sf_dir}/customer.parquet").select((F.col("c_custkey") - 1).alias("p"))
+    return ids, ids.count()
 
 
 def planted_recovery(spark, sf_dir):
     """Clusters found in generated data, by their columns and size: those that were planted."""
-    coords = generators.generate_gaussian(spark, **PLANTED).select("p", "dim", "x")
+    ids, n = _customers(spark, sf_dir)
+    coords = generators.generate_gaussian(spark, n=n, ids=ids, **PLANTED).select("p", "dim", "x")
     found = subspace_clusters(coords, PLANTED["d"], rectangular=True, **RECOVERY)
     return found.groupBy(F.array_join("dims", ",").alias("dims"), "label").agg(F.count(F.lit(1)).alias("n_points"))
 
 
-_UNIFORM = {"d": 5, "n": 1000, "clusters": 2, "dims": 3, "seed": 5}
-
-
 def _drawn(coords: DataFrame) -> DataFrame:
     return coords.select("p", "dim", F.round("x", 6).alias("x"), "cluster")
 
 
 def generate_uniform(spark, sf_dir):
-    return _drawn(generators.generate_uniform(spark, **_UNIFORM))
+    ids, n = _customers(spark, sf_dir)
+    return _drawn(generators.generate_uniform(spark, n=n, ids=ids, **UNIFORM))
 
 
 def generate_blobs(spark, sf_dir):
-    return _drawn(generators.planted(spark, 1000, 5, generators.random_blobs(1000, 5, 3, seed=9), seed=9))
+    ids, n = _customers(spark, sf_dir)
+    return _drawn(generators.planted(spark, n, RANDOM["d"], generators.random_blobs(n, **RANDOM), RANDOM["seed"], ids))
 
 
 def generate_gaussian(spark, sf_dir):
-    return _drawn(generators.generate_gaussian(spark, **PLANTED))
-
-
-_OVERLAID = (1000, 6, [(400, 2, 1.0), (500, 3, 0.5), (300, 2, 0.3)], 3)
+    ids, n = _customers(spark, sf_dir)
+    return _drawn(generators.generate_gaussian(spark, n=n, ids=ids, **PLANTED))
 
 
 def generate_overlaid(spark, sf_dir):
     """Blobs in leading columns, the last one over the points of the others."""
-    return _drawn(generators.planted(spark, 1000, 6, generators.leading_blobs(*_OVERLAID, overlay=True), seed=3))
+    ids, n = _customers(spark, sf_dir)
+    sizes = [(int(share * n), k, std) for share, k, std in OVERLAID["sizes"]]
+    return _drawn(generators.planted(spark, n, OVERLAID["d"], generators.leading_blobs(n, OVERLAID["d"], sizes, OVERLAID["seed"], overlay=True), OVERLAID["seed"], ids))
 
 
 def label_histogram(spark, sf_dir):
@@ -290,17 +345,16 @@ def cached_run(spark, sf_dir):
 
 
 def result_lists(spark, sf_dir):
-    """Subspaces in result order, each with a label for every point, -1 for none."""
-    spaces, labels = to_lists(_flagship(rectangular=True)(spark, sf_dir).withColumn("dims", F.split("dims", ",").cast("array<int>")), _count(spark, sf_dir))
-    rows = [(k + 1, ",".join(map(str, dims)), ",".join(map(str, own))) for k, (dims, own) in enumerate(zip(spaces, labels, strict=True))]
-    return spark.createDataFrame(rows, "place int, dims string, labels string")
+    """Subspaces in result order, each with a label for every point, -1 for none: a row for each label."""
+    points_ = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("p"))
+    return to_table(subspace_clusters(_coords(spark, sf_dir), DIMS, EPS, FACTOR, NUM_OBJ, MIN_SIZE, cells=CELLS, rectangular=True), points_)
 
 
 def _written(spark, sf_dir, columns, **options):
-    """A delimited file with one line for each embedding, in order of vec_id."""
+    """Delimited files with one line for each embedding, in order of vec_id from file to file."""
     path = staged_path(spark, "lines")
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", *columns)
-    table.repartition(1).sortWithinPartitions("vec_id").drop("vec_id").write.options(**options).csv(path)
+    table.repartitionByRange(4, "vec_id").sortWithinPartitions("vec_id").drop("vec_id").write.options(**options).csv(path)
     return path
 
 
@@ -336,15 +390,17 @@ def load_generated(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        column_bounds, normalize_minmax, normalize_lineitem, grid_cells, cell_counts, border_flags, merge_runs, prefix_sum, eps_join_1d, eps_join_nd, neighbor_counts,
-        expected_density, phi_density, dense_points_rect, dense_points_kernel, weak_dense_points, core_components, refine_neighbors, restrict_regions, level2_regions,
-        subset_pairs, subspace_order, cluster_sizes, min_size_filter, region_redundancy, cluster_redundancy, merge_result, planted_recovery, generate_uniform, generate_blobs,
+        column_bounds, normalize_minmax, normalize_lineitem, grid_cells, cell_counts, border_flags, merge_runs, prefix_sum, eps_join_1d, eps_join_nd, neighbor_counts, neighbor_counts_by_boxes, phi_density_by_boxes,
+        expected_density, region_volumes, phi_density, dense_points_rect, dense_points_kernel, weak_dense_points, core_components, core_components_by_boxes, refine_neighbors, restrict_regions, level2_regions,
+        subset_pairs, subset_masks, subspace_order, cluster_sizes, min_size_filter, region_redundancy, cluster_redundancy, merge_result, planted_recovery, generate_uniform, generate_blobs,
         generate_gaussian, generate_overlaid, label_histogram, region_calls, cached_run, result_lists, load_glass, load_pendigits, load_vowel, load_iris, load_generated,
     )
 } | {
     "subspace_clusters": _flagship(rectangular=True),
     "subspace_clusters_incremental": _flagship(rectangular=True, strategy="incremental"),
-    "subspace_clusters_recompute": _flagship(rectangular=True, strategy="recompute"),
+    "subspace_clusters_recompute": _flagship(rectangular=True, strategy="recompute", at_once=0, few_pairs=0),
+    "subspace_clusters_raw": _flagship(rectangular=True, raw=True, eps=RAW_EPS),
+    "subspace_clusters_raw_kernel": _flagship(raw=True, eps=RAW_EPS),
     "subspace_clusters_batched": _flagship(rectangular=True, strategy="batched"),
     "subspace_clusters_kernel": _flagship(),
     "subspace_clusters_keep_all": _flagship(rectangular=True, r=1e9),
@@ -375,6 +431,13 @@ def _cells_sql(c: int, eps: float, source: str = "s") -> str:
     return f"c AS (SELECT *, x >= (cell + 1) * {w}::DOUBLE - {eps!r}::DOUBLE AS is_border FROM (SELECT *, least(floor(x / {w}::DOUBLE), {c - 1})::INT AS cell FROM {source}))"
 
 
+def _raw_cells_sql(c: int, eps: float) -> str:
+    """Cells of unscaled coordinates, and the columns' bounds."""
+    return f"""bounds AS MATERIALIZED (SELECT dim, min(x) AS mn, max(x) - min(x) AS wide FROM s GROUP BY dim),
+c AS (SELECT p, dim, x, cell, x - mn >= (cell + 1) * (wide / {c}) - {eps!r}::DOUBLE AS is_border
+FROM (SELECT *, least(floor((x - mn) / (wide / {c})), {c - 1})::INT AS cell FROM s JOIN bounds USING (dim)))"""
+
+
 def _runs_sql(keys: str, source: str = "c", out: str = "r") -> str:
     return f"""{out}f AS (SELECT {keys}, cell, count(*) AS n_points, bool_or(is_border) AS flag FROM {source} GROUP BY {keys}, cell),
 {out}g AS (SELECT *, NOT coalesce(lag(cell) OVER w = cell - 1 AND lag(flag) OVER w, false) AS fresh FROM {out}f WINDOW w AS (PARTITION BY {keys} ORDER BY cell)),
@@ -395,8 +458,8 @@ def _ball_sql(k: str) -> str:
     return f"power(3.14, {k} / 2.0) / (gamma({k} / 2.0 + 1) * CASE WHEN {k} % 2 = 1 THEN sqrt(3.14 / pi()) ELSE 1 END)"
 
 
-def _threshold_sql(k: int, n: str, eps: float, factor: float, num_obj: float, rectangular: bool) -> str:
-    den = f"{factor!r}::DOUBLE * {n} * {_ball_sql(str(k))} * power({eps!r}::DOUBLE, {k})"
+def _threshold_sql(k: int, n: str, eps: float, factor: float, num_obj: float, rectangular: bool, volume: str | None = None) -> str:
+    den = f"{factor!r}::DOUBLE * {n} * {_ball_sql(str(k))} * power({eps!r}::DOUBLE, {k})" + (f" / power({volume}, {k})" if volume else "")
     return f"greatest({den}, {num_obj})" if rectangular else f"(greatest({den}, {num_obj}) * 2.0::DOUBLE / {k + 2})"
 
 
@@ -405,14 +468,30 @@ def _least_sql(k: int, rectangular: bool) -> str:
 
 
 _N2 = f"WITH {_E}, {_edges_sql((0, 1), EPS)}"
+_N3 = f"WITH {_E}, {_edges_sql((0, 1, 2), EPS)}"
 _D2 = f"{_N2}, d AS (SELECT p FROM n GROUP BY p HAVING count(*) >= {_least_sql(2, True)})"
+_CORE = f"{_D2.replace('WITH ', 'WITH RECURSIVE ', 1)}, g AS (SELECT n.p, n.q FROM n JOIN d a ON a.p = n.p JOIN d b ON b.p = n.q), reach AS (SELECT p, p AS c FROM d UNION SELECT g.q, r.c FROM reach r JOIN g ON g.p = r.p) SELECT p, min(c) AS label FROM reach GROUP BY p"
 _LABELS = f"""{_E}, {_cells_sql(CELLS, EPS)},
 ones AS (SELECT (1 << dim)::BIGINT AS mask, p, cell::BIGINT AS label FROM c),
 twos AS (SELECT ((1 << a.dim) | (1 << b.dim))::BIGINT AS mask, a.p, (a.cell * {CELLS} + b.cell)::BIGINT AS label FROM c a JOIN c b ON a.p = b.p AND a.dim < b.dim),
 res AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY mask, label) AS size FROM twos) WHERE size >= {MIN_SIZE}),
 own AS (SELECT *, count(*) OVER (PARTITION BY mask, label) AS size FROM ones),
 red AS (SELECT o.* FROM own o WHERE NOT EXISTS (SELECT 1 FROM own x JOIN res t ON t.p = x.p AND (x.mask & t.mask) = x.mask AND x.size * 0.5 < t.size WHERE x.mask = o.mask AND x.label = o.label))"""
-_BITS = f"b AS (SELECT m::BIGINT AS mask, list_filter(range({DIMS}), lambda i: (m >> i) & 1 = 1) AS dims FROM range(1, {1 << DIMS}) t(m))"
+
+
+def _subspaces_sql(dims: int) -> str:
+    """sets(dims): distinct sets of columns in which a point lies in the highest quarter."""
+    return f"{_e_sql(dims)}, sets AS (SELECT DISTINCT list(dim ORDER BY dim) AS dims FROM s WHERE x >= 0.75 GROUP BY p)"
+
+
+def _volumes_sql() -> str:
+    d = len(LINE_COLUMNS)
+    expected = f"{FACTOR!r}::DOUBLE * n * {_ball_sql('k')} * power({LINE_EPS!r}::DOUBLE, k) / power(volume, k)"
+    return f"""WITH {_L}, b AS (SELECT dim, max(x) - min(x) AS wide FROM l GROUP BY dim),
+sub AS (SELECT m::BIGINT AS mask, product(wide) AS volume, count(*) AS k, (SELECT count(*) FROM lineitem) AS n FROM range(1, {1 << d}) t(m) JOIN b ON (m >> dim) & 1 = 1 GROUP BY m)
+SELECT mask, round(volume, 6) AS volume, round(greatest({expected}, {NUM_OBJ}), 6) AS least_count, round(greatest({expected}, {NUM_OBJ}) * 2.0::DOUBLE / (k + 2), 6) AS least_weight FROM sub"""
+
+
 
 ORACLE_SQL = {
     "column_bounds": f"WITH {_L} SELECT dim, min(x) AS mn, max(x) AS mx FROM l GROUP BY dim",
@@ -427,16 +506,21 @@ ORACLE_SQL = {
     "eps_join_nd": f"WITH {_E}, {_edges_sql((0, 1, 2), EPS)} SELECT p, q FROM n",
     "neighbor_counts": f"{_N2} SELECT p, count(*) AS n_neigh FROM n GROUP BY p",
     "expected_density": f"WITH t AS (SELECT k::INT AS k, (SELECT count(*) FROM embeddings) * {_ball_sql('k')} * power({EPS!r}, k) AS den, 2.0::DOUBLE / (k + 2) AS w FROM range(1, 9) r(k)) SELECT k, round(den, 6) AS exp_den, round(den * w, 6) AS alpha, round(w, 6) AS omega FROM t",
+    "neighbor_counts_by_boxes": f"{_N3} SELECT p, count(*) AS n_neigh FROM n GROUP BY p",
+    "phi_density_by_boxes": f"{_N3} SELECT p, round(sum(1 - power(sqrt(d2) / {EPS!r}, 2)), 5) AS phi FROM n GROUP BY p",
     "phi_density": f"{_N2} SELECT p, round(sum(1 - power(sqrt(d2) / {EPS!r}, 2)), 5) AS phi FROM n GROUP BY p",
     "dense_points_rect": f"{_D2} SELECT p FROM d",
     "dense_points_kernel": f"{_N2} SELECT p FROM n GROUP BY p HAVING sum(1 - power(sqrt(d2) / {EPS!r}, 2)) >= {_least_sql(2, False)}",
     "weak_dense_points": f"{_N2} SELECT p FROM n GROUP BY p HAVING count(*) >= {_least_sql(DIMS, True)}",
-    "core_components": f"{_D2.replace('WITH ', 'WITH RECURSIVE ', 1)}, g AS (SELECT n.p, n.q FROM n JOIN d a ON a.p = n.p JOIN d b ON b.p = n.q), reach AS (SELECT p, p AS c FROM d UNION SELECT g.q, r.c FROM reach r JOIN g ON g.p = r.p) SELECT p, min(c) AS label FROM reach GROUP BY p",
+    "core_components_by_boxes": _CORE,
+    "core_components": _CORE,
     "refine_neighbors": f"{_N2} SELECT p, q FROM n",
     "restrict_regions": f"WITH {_E}, {_cells_sql(FINE_CELLS, FINE_EPS)}, {_runs_sql('dim')} SELECT dim, run, sum(n_points)::BIGINT AS n_points FROM r GROUP BY dim, run HAVING sum(n_points) >= {MIN_SIZE}",
     "level2_regions": f"WITH {_E}, {_cells_sql(FINE_CELLS, FINE_EPS)}, {_runs_sql('dim')}, m AS (SELECT c.p, c.dim AS dim_a, r.run AS run_a FROM c JOIN r ON r.dim = c.dim AND r.cell = c.cell), m2 AS (SELECT m.*, c.dim, c.cell, c.is_border FROM m JOIN c ON c.p = m.p AND c.dim > m.dim_a), {_runs_sql('dim_a, run_a, dim', 'm2', 't')} SELECT dim_a, run_a, dim AS dim_b, run AS run_b, sum(n_points)::BIGINT AS n_points FROM t GROUP BY dim_a, run_a, dim, run HAVING sum(n_points) >= {MIN_SIZE}",
-    "subset_pairs": f"WITH {_BITS} SELECT a.mask AS sub, b.mask AS sup, list_has_all(b.dims, a.dims) AS by_arrays FROM b a JOIN b ON (a.mask & b.mask) = a.mask",
-    "subspace_order": f"WITH {_BITS} SELECT (row_number() OVER (ORDER BY list_reverse(dims)))::INT AS place, array_to_string(dims, ',') AS dims, mask FROM b",
+    "subset_pairs": f"WITH {_subspaces_sql(WHOLE)} SELECT array_to_string(a.dims, ',') AS sub, array_to_string(b.dims, ',') AS sup FROM sets a JOIN sets b ON list_has_all(b.dims, a.dims)",
+    "subset_masks": f"WITH {_subspaces_sql(DIMS)}, m AS (SELECT list_sum(list_transform(dims, lambda i: 1 << i))::BIGINT AS mask FROM sets) SELECT a.mask AS sub, b.mask AS sup, true AS by_masks FROM m a JOIN m b ON (a.mask & b.mask) = a.mask",
+    "subspace_order": f"WITH {_subspaces_sql(WHOLE)} SELECT (row_number() OVER (ORDER BY list_reverse(dims)))::INT AS place, array_to_string(dims, ',') AS dims FROM sets",
+    "region_volumes": _volumes_sql(),
     "cluster_sizes": f"WITH {_LABELS} SELECT mask, label, count(*) AS size FROM (SELECT * FROM ones UNION ALL SELECT * FROM twos) GROUP BY mask, label",
     "min_size_filter": f"WITH {_LABELS} SELECT mask, p, label, size FROM (SELECT *, count(*) OVER (PARTITION BY mask, label) AS size FROM twos) WHERE size >= {2 * MIN_SIZE}",
     "region_redundancy": f"WITH {_LABELS}, t AS (SELECT o.mask, o.label, t.mask AS other, min(t.size) AS least FROM own o JOIN res t ON t.p = o.p AND (o.mask & t.mask) = o.mask GROUP BY o.mask, o.label, t.mask), z AS (SELECT mask, label, max(least) AS most FROM t GROUP BY mask, label) SELECT DISTINCT o.label AS region, o.mask FROM own o LEFT JOIN z USING (mask, label) WHERE most IS NULL OR o.size * 0.5 > most",
@@ -462,15 +546,21 @@ lab AS (SELECT dims, p, min(c) AS label FROM reach GROUP BY dims, p)
 SELECT * FROM (SELECT dims, p, label, count(*) OVER (PARTITION BY dims, label) AS size FROM lab) WHERE size >= {MIN_SIZE}"""
 
 
-def _clusters_sql(source: str, d: int, eps: float, factor: float, num_obj: int, min_size: int, cells: int, r: float = 1.0, rectangular: bool = True) -> str:
-    """The whole run, subspace by subspace, as CTEs: res(dims, p, label, size). source defines s(p, dim, x), scaled.
+def _clusters_sql(
+    source: str, d: int, eps: float, factor: float, num_obj: int, min_size: int, cells: int, r: float = 1.0, rectangular: bool = True, raw: bool = False
+) -> str:
+    """The whole run, subspace by subspace, as CTEs: res(dims, p, label, size). source defines s(p, dim, x), scaled unless raw.
 
     reg: the run of each column of a region. m_S: points of the regions of S; k_S: border points (p, column j, cell) that still
     connect cells of their regions; e_S: pairs within eps, of any point.
     """
     n = "(SELECT count(DISTINCT p) FROM s)"
-    least = lambda k: _threshold_sql(k, n, eps, factor, num_obj, rectangular)
-    out = [source, _cells_sql(cells, eps), _wide_sql(tuple(range(d))), "pc AS MATERIALIZED (SELECT p, " + ", ".join(f"max(CASE WHEN dim = {i} THEN cell END) AS c{i}" for i in range(d)) + " FROM c GROUP BY p)"]
+
+    def least(k: int, dims: tuple[int, ...], weak: bool = False) -> str:
+        volume = f"(SELECT product(wide) FROM bounds{'' if weak and not rectangular else ' WHERE dim IN (' + ', '.join(map(str, dims)) + ')'})"
+        return _threshold_sql(k, n, eps, factor, num_obj, rectangular, volume if raw else None)
+
+    out = [source, _raw_cells_sql(cells, eps) if raw else _cells_sql(cells, eps), _wide_sql(tuple(range(d))), "pc AS MATERIALIZED (SELECT p, " + ", ".join(f"max(CASE WHEN dim = {i} THEN cell END) AS c{i}" for i in range(d)) + " FROM c GROUP BY p)"]
     out += ["m_ AS (SELECT p, '' AS reg FROM w)", "k_ AS (SELECT p, '' AS reg, dim AS j, cell FROM c WHERE is_border)"]
     spaces = [x for k in range(1, d + 1) for x in combinations(range(d), k)]
     name = lambda x: "".join(map(str, x))
@@ -489,7 +579,7 @@ FROM g_{me} g GROUP BY reg, cell)""",
             f"""e_{me} AS MATERIALIZED (SELECT a.p, b.p AS q, {d2} AS d2 FROM w a JOIN w b ON a.p <> b.p AND abs(a.x{x[0]} - b.x{x[0]}) <= {eps * 1.001!r} AND abs(a.x{j} - b.x{j}) <= {eps * 1.001!r}
 WHERE sqrt({d2}) <= {eps!r}::DOUBLE)""",
             f"h_{me} AS MATERIALIZED (SELECT b.p, reg, coalesce(den, 0) AS den FROM b_{me} b LEFT JOIN (SELECT p, {value} AS den FROM e_{me} GROUP BY p) USING (p))",
-            f"m_{me} AS MATERIALIZED (SELECT p, reg, den FROM (SELECT *, count(*) OVER (PARTITION BY reg) AS n FROM h_{me} WHERE den >= {least(d)}) WHERE n >= {min_size})",
+            f"m_{me} AS MATERIALIZED (SELECT p, reg, den FROM (SELECT *, count(*) OVER (PARTITION BY reg) AS n FROM h_{me} WHERE den >= {least(d, x, True)}) WHERE n >= {min_size})",
         ]
         if j < d - 1:
             there = []
@@ -504,10 +594,10 @@ WHERE sqrt({d2}) <= {eps!r}::DOUBLE)""",
         bits = lambda x: sum(1 << i for i in x)
         out += [
             f"res{k} AS MATERIALIZED ({done})",
-            f"all{k} AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {bits(x)}::BIGINT AS mask, p, reg, den FROM m_{name(x)}" for x in mine) + ")",
+            f"all{k} AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {bits(x)}::BIGINT AS mask, p, reg, den, {least(k, x)} AS lim FROM m_{name(x)}" for x in mine) + ")",
             f"""skip{k} AS (SELECT mask, reg FROM (SELECT a.mask, a.reg, t.mask AS other, min(t.size) AS least FROM all{k} a JOIN res{k} t ON t.p = a.p AND (a.mask & t.mask) = a.mask GROUP BY ALL)
 JOIN (SELECT mask, reg, count(*) AS n FROM all{k} GROUP BY mask, reg) USING (mask, reg) GROUP BY mask, reg, n HAVING n * {r!r}::DOUBLE <= max(least))""",
-            f"core{k} AS MATERIALIZED (SELECT mask, p, reg FROM all{k} ANTI JOIN skip{k} USING (mask, reg) WHERE den >= {least(k)})",
+            f"core{k} AS MATERIALIZED (SELECT mask, p, reg FROM all{k} ANTI JOIN skip{k} USING (mask, reg) WHERE den >= lim)",
             f"""link{k} AS MATERIALIZED (SELECT e.mask, e.p, e.q FROM (""" + " UNION ALL ".join(f"SELECT {bits(x)}::BIGINT AS mask, p, q FROM e_{name(x)}" for x in mine) + f""") e
 JOIN core{k} a ON a.mask = e.mask AND a.p = e.p JOIN core{k} b ON b.mask = e.mask AND b.p = e.q WHERE a.reg = b.reg)""",
             f"reach{k} AS (SELECT mask, p, p AS c FROM core{k} UNION SELECT l.mask, l.q, t.c FROM reach{k} t JOIN link{k} l ON l.mask = t.mask AND l.p = t.p AND t.c < l.q)",
@@ -524,20 +614,34 @@ def _uniform_sql(seed: int, stream: str) -> str:
     return f"((('0x' || substr(md5('{seed}:{stream}:' || p || ':' || dim), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496)"
 
 
-def _planted_sql(n: int, d: int, blobs: list, seed: int) -> str:
-    """drawn(p, dim, x, cluster)."""
+def _spans_sql(blobs: list, sizes: list[str], starts: list[str] | None = None) -> list[tuple]:
+    """(first point, end, cluster, dim, centre, std, width) of each column of each blob; sizes and starts in SQL, by default one
+    blob behind the other."""
+    starts = starts or [" + ".join(["0", *sizes[:k]]) for k in range(len(sizes))]
+    return [
+        (starts[k], f"least({starts[k]} + {sizes[k]}, n)", k + 1, dim, centre, b.std, b.width) for k, b in enumerate(blobs) for dim, centre in zip(b.dims, b.centre, strict=True)
+    ]
+
+
+def _planted_sql(d: int, spans: list[tuple], seed: int) -> str:
+    """drawn(p, dim, x, cluster): a point for each customer."""
     normal = f"(sqrt(-2 * ln({_uniform_sql(seed, 'r')})) * cos(2 * pi() * {_uniform_sql(seed, 'a')}))"
     x, cluster = "", ""
-    for lo, hi, k, dim, centre, std, width in reversed(generators.spans(blobs, n)):
+    for lo, hi, k, dim, centre, std, width in reversed(spans):
         near = f"{centre!r}::DOUBLE + {normal} * {std!r}::DOUBLE" if width is None else f"{centre!r}::DOUBLE + ({_uniform_sql(seed, 'w')} - 0.5) * {width!r}::DOUBLE"
         here = f"WHEN dim = {dim} AND p >= {lo} AND p < {hi}"
         x, cluster = f"{x}{here} THEN {near} ", f"{cluster}{here} THEN {k} "
     return f"""drawn AS MATERIALIZED (SELECT p, dim, CASE {x}ELSE {_uniform_sql(seed, 'u')} * 200 - 100 END AS x, (CASE {cluster}ELSE 0 END)::INT AS cluster
-FROM (SELECT a::BIGINT AS p, b::INT AS dim FROM range({n}) u(a), range({d}) v(b)))"""
+FROM (SELECT (c_custkey - 1)::BIGINT AS p, b::INT AS dim, (SELECT count(*) FROM customer) AS n FROM customer, range({d}) v(b)))"""
+
+
+def _drawn_sql(d: int, spans: list[tuple], seed: int) -> str:
+    return f"WITH {_planted_sql(d, spans, seed)} SELECT p, dim, round(x, 6) AS x, cluster FROM drawn"
 
 
-def _drawn_sql(n: int, d: int, blobs: list, seed: int) -> str:
-    return f"WITH {_planted_sql(n, d, blobs, seed)} SELECT p, dim, round(x, 6) AS x, cluster FROM drawn"
+def _equal_sql(share: float, blobs: list) -> list[tuple]:
+    """Spans of blobs of equal sizes that hold a share of the points."""
+    return _spans_sql(blobs, [f"floor({share!r}::DOUBLE * n / {len(blobs)})::BIGINT"] * len(blobs))
 
 
 def _histogram_sql(clusters: str, where: str = "true") -> str:
@@ -552,22 +656,32 @@ FROM (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS p FROM embeddings)"""
 
 ORACLE_SQL["subspace_clusters_keep_all"] = _plain_sql()
 _RUN = {"d": DIMS, "eps": EPS, "factor": FACTOR, "num_obj": NUM_OBJ, "min_size": MIN_SIZE, "cells": CELLS}
-_BLOBS = generators.gaussian_blobs(PLANTED["d"], PLANTED["n"], PLANTED["clusters"], PLANTED["std"], PLANTED["dims"], PLANTED["noise"], PLANTED["seed"])
+_N = 1000  # any number: only columns, centres and spreads are taken from blobs of so many points
+_GAUSSIAN = _equal_sql(1 - PLANTED["noise"], generators.gaussian_blobs(PLANTED["d"], _N, PLANTED["clusters"], PLANTED["std"], PLANTED["dims"], PLANTED["noise"], PLANTED["seed"]))
+_BOXES = _equal_sql(1 - (1 - UNIFORM["share"]), generators.box_blobs(UNIFORM["d"], _N, UNIFORM["clusters"], UNIFORM["dims"], UNIFORM["share"], UNIFORM["width"], UNIFORM["seed"]))
+_SHAPES = generators.random_shapes(**RANDOM)
+_RANDOM = _spans_sql(generators.random_blobs(_N, **RANDOM), [f"(1 + floor({x[0]!r}::DOUBLE * greatest(0, n // {RANDOM['clusters']} - 1))::BIGINT)" for x in _SHAPES])
+_SHARES = [f"floor({share!r}::DOUBLE * n)::BIGINT" for share, _, _ in OVERLAID["sizes"]]
+_LAID = _spans_sql(
+    generators.leading_blobs(_N, OVERLAID["d"], [(int(share * _N), k, std) for share, k, std in OVERLAID["sizes"]], OVERLAID["seed"], overlay=True), _SHARES, ["0", _SHARES[0], "0"]
+)
 _SCALE = "s AS MATERIALIZED (SELECT p, dim, (x - mn) / (mx - mn) AS x FROM drawn JOIN (SELECT dim, min(x) AS mn, max(x) AS mx FROM drawn GROUP BY dim) USING (dim))"
 _FOUND = _clusters_sql(_E, **_RUN)
+_RAW = _E[: _E.index("s AS")] + "s AS (SELECT * FROM e)"
 ORACLE_SQL |= {name: f"{_FOUND} SELECT * FROM res" for name in ("subspace_clusters", "subspace_clusters_incremental", "subspace_clusters_recompute", "subspace_clusters_batched", "cached_run")}
 ORACLE_SQL |= {
     "subspace_clusters_kernel": f"{_clusters_sql(_E, **_RUN, rectangular=False)} SELECT * FROM res",
     "label_histogram": _histogram_sql(_clusters_sql(_E, **_RUN, r=3.0), "length(dims) = 3"),
     "region_calls": f"{_FOUND} SELECT (1 + (SELECT count(*) FROM (" + " UNION ALL ".join(f"SELECT DISTINCT '{''.join(map(str, x))}', reg FROM m_{''.join(map(str, x))}" for k in range(1, DIMS + 1) for x in combinations(range(DIMS), k)) + ")))::BIGINT AS calls",
-    "result_lists": f"""{_FOUND}, every AS (SELECT dims, vec_id AS p FROM (SELECT DISTINCT dims FROM res), embeddings),
-told AS (SELECT dims, string_agg(coalesce(label, -1)::VARCHAR, ',' ORDER BY p) AS labels FROM every LEFT JOIN res USING (dims, p) GROUP BY dims)
-SELECT (row_number() OVER (ORDER BY list_reverse(string_split(dims, ',')::INT[])))::INT AS place, dims, labels FROM told""",
-    "planted_recovery": _histogram_sql(_clusters_sql(f"{_planted_sql(PLANTED['n'], PLANTED['d'], _BLOBS, PLANTED['seed'])}, {_SCALE}", PLANTED["d"], **RECOVERY)),
-    "generate_gaussian": _drawn_sql(PLANTED["n"], PLANTED["d"], _BLOBS, PLANTED["seed"]),
-    "generate_uniform": _drawn_sql(1000, 5, generators.box_blobs(5, 1000, 2, 3, 0.99, 2.0, 5), 5),
-    "generate_blobs": _drawn_sql(1000, 5, generators.random_blobs(1000, 5, 3, seed=9), 9),
-    "generate_overlaid": _drawn_sql(1000, 6, generators.leading_blobs(*_OVERLAID, overlay=True), 3),
+    "subspace_clusters_raw": f"{_clusters_sql(_RAW, **_RUN | {'eps': RAW_EPS}, raw=True)} SELECT * FROM res",
+    "subspace_clusters_raw_kernel": f"{_clusters_sql(_RAW, **_RUN | {'eps': RAW_EPS}, raw=True, rectangular=False)} SELECT * FROM res",
+    "result_lists": f"""{_FOUND}, places AS (SELECT dims, (row_number() OVER (ORDER BY list_reverse(string_split(dims, ',')::INT[])))::INT AS place FROM (SELECT DISTINCT dims FROM res))
+SELECT place, dims, p, coalesce(label, -1)::BIGINT AS label FROM (SELECT place, dims, vec_id AS p FROM places, embeddings) LEFT JOIN res USING (dims, p)""",
+    "planted_recovery": _histogram_sql(_clusters_sql(f"{_planted_sql(PLANTED['d'], _GAUSSIAN, PLANTED['seed'])}, {_SCALE}", PLANTED["d"], **RECOVERY)),
+    "generate_gaussian": _drawn_sql(PLANTED["d"], _GAUSSIAN, PLANTED["seed"]),
+    "generate_uniform": _drawn_sql(UNIFORM["d"], _BOXES, UNIFORM["seed"]),
+    "generate_blobs": _drawn_sql(RANDOM["d"], _RANDOM, RANDOM["seed"]),
+    "generate_overlaid": _drawn_sql(OVERLAID["d"], _LAID, OVERLAID["seed"]),
     "load_glass": _lines_sql([f"embedding[{i}]" for i in range(1, 10)]),
     "load_pendigits": _lines_sql([f"floor((embedding[{i}] + 1) * 50)" for i in range(1, 17)]),
     "load_vowel": _lines_sql([f"embedding[{i}]" for i in range(1, 11)]),

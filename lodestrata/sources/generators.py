@@ -35,11 +35,12 @@ def uniform(seed: int, stream: str):
     return (F.conv(F.substring(h, 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
 
 
-def planted(spark: SparkSession, n: int, d: int, blobs: list[Blob], seed: int) -> DataFrame:
-    """Points 0 to n - 1, with the blobs that have no start one after the other; the rest is noise. Of blobs that meet in a
-    coordinate, the last holds it."""
+def planted(spark: SparkSession, n: int, d: int, blobs: list[Blob], seed: int, ids: DataFrame | None = None) -> DataFrame:
+    """Points 0 to n - 1 (or those of ids(p), of such numbers), with the blobs that have no start one after the other; the rest
+    is noise. Of blobs that meet in a coordinate, the last holds it."""
     rows = spans(blobs, n)
-    cells = spark.range(n).select(F.col("id").alias("p"), F.explode(F.array(*(F.lit(i) for i in range(d)))).alias("dim"))
+    ids = spark.range(n).select(F.col("id").alias("p")) if ids is None else ids.select("p")
+    cells = ids.select("p", F.explode(F.array(*(F.lit(i) for i in range(d)))).alias("dim"))
     normal = F.sqrt(-2 * F.log(uniform(seed, "r"))) * F.cos(2 * math.pi * uniform(seed, "a"))
     x, cluster = uniform(seed, "u") * (HIGH - LOW) + LOW, F.lit(0)
     for lo, hi, k, dim, centre, std, width in rows:
@@ -66,44 +67,53 @@ def gaussian_blobs(d: int, n: int, clusters: int, std: float, dims: int, noise:
     return [Blob(size, tuple(sorted(draw.sample(range(d), dims))), tuple(draw.uniform(LOW, HIGH) for _ in range(dims)), std) for _ in range(clusters)]
 
 
-def generate_gaussian(spark: SparkSession, d: int, n: int, clusters: int, std: float, dims: int, noise: float = 0.01, seed: int = 0) -> DataFrame:
-    return planted(spark, n, d, gaussian_blobs(d, n, clusters, std, dims, noise, seed), seed)
+def generate_gaussian(spark: SparkSession, d: int, n: int, clusters: int, std: float, dims: int, noise: float = 0.01, seed: int = 0, ids: DataFrame | None = None) -> DataFrame:
+    return planted(spark, n, d, gaussian_blobs(d, n, clusters, std, dims, noise, seed), seed, ids)
 
 
 def leading_blobs(n: int, d: int, sizes: list[tuple[int, int, float]], seed: int, overlay: bool = False) -> list[Blob]:
     """Blobs of (points, dims, std) in the leading columns, one behind the other. A blob of more points than are left has no
-    place, unless overlay: then the first points hold it too, in the columns behind those that any point with room uses, if
-    enough points have room."""
+    place, unless overlay: then it lies over the first points, in the first columns that no blob has there, if enough points
+    have room in so many columns."""
     draw = random.Random(seed)
-    used, out = [], []
+    out: list[Blob] = []
+    taken: list[tuple[int, int]] = []  # points and columns of the blobs that lie behind each other
     for points, k, std in sizes:
+        left = n - sum(m for m, _ in taken)
         centre = tuple(draw.uniform(LOW, HIGH) for _ in range(k))
         if k > d:
             continue
-        if points <= n - len(used):
-            out.append(Blob(points, tuple(range(k)), centre, std, start=len(used)))
-            used += [k] * points
+        if points <= left:
+            out.append(Blob(points, tuple(range(k)), centre, std, start=n - left))
+            taken.append((points, k))
         elif overlay:
-            room = [u for u in used + [0] * (n - len(used)) if d - u >= k]
-            if len(room) >= points:
-                out.append(Blob(points, tuple(range(max(room), max(room) + k)), centre, std, start=0))
+            room = [(m, columns) for m, columns in taken if d - columns >= k]
+            if sum(m for m, _ in room) + left >= points:
+                first = max((columns for _, columns in room), default=0)
+                out.append(Blob(points, tuple(range(first, first + k)), centre, std, start=0))
     return out
 
 
-def random_blobs(n: int, d: int, clusters: int, seed: int) -> list[Blob]:
-    """Blobs of random sizes, columns and spreads."""
+def random_shapes(d: int, clusters: int, seed: int) -> list[tuple[float, tuple[int, ...], tuple[float, ...], float]]:
+    """A share of the largest size, columns, centre and spread of each of the blobs."""
     draw = random.Random(seed)
     out = []
     for _ in range(clusters):
         k = draw.randint(1, d)
-        points, dims = draw.randint(1, max(1, n // clusters)), tuple(sorted(draw.sample(range(d), k)))
-        out.append(Blob(points, dims, tuple(draw.uniform(LOW, HIGH) for _ in range(k)), draw.uniform(0.1, 5)))
+        out.append((draw.random(), tuple(sorted(draw.sample(range(d), k))), tuple(draw.uniform(LOW, HIGH) for _ in range(k)), draw.uniform(0.1, 5)))
     return out
 
 
-def generate_uniform(spark: SparkSession, d: int, n: int, clusters: int, dims: int, share: float = 0.99, width: float = 2.0, seed: int = 0) -> DataFrame:
+def random_blobs(n: int, d: int, clusters: int, seed: int) -> list[Blob]:
+    """Blobs of random sizes, columns and spreads."""
+    return [Blob(1 + int(share * max(0, n // clusters - 1)), dims, centre, std) for share, dims, centre, std in random_shapes(d, clusters, seed)]
+
+
+def generate_uniform(
+    spark: SparkSession, d: int, n: int, clusters: int, dims: int, share: float = 0.99, width: float = 2.0, seed: int = 0, ids: DataFrame | None = None
+) -> DataFrame:
     """Box clusters: uniform within `width` in their columns."""
-    return planted(spark, n, d, box_blobs(d, n, clusters, dims, share, width, seed), seed)
+    return planted(spark, n, d, box_blobs(d, n, clusters, dims, share, width, seed), seed, ids)
 
 
 def box_blobs(d: int, n: int, clusters: int, dims: int, share: float, width: float, seed: int) -> list[Blob]:

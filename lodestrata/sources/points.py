@@ -5,7 +5,7 @@ Rows are points with a bigint id p; columns are numbered from 0. Null coordinate
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -33,15 +33,14 @@ def read_numbers(spark: SparkSession, path: str, columns: int, drop: tuple[int,
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """df with p = 0, 1, ... in the order of its partitions: counts by partition, a running sum, the place within."""
-    rows = df.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()})
-    counts = {r["__part"]: r["n"] for r in rows.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total, before = 0, []
-    for part in sorted(counts):
-        before += [F.lit(part), F.lit(total)]
-        total += counts[part]
-    start = F.element_at(F.create_map(*before), F.col("__part")) if before else F.lit(0)
-    return rows.withColumn("p", start.cast("long") + (F.col("__at") - F.call_function("shiftleft", F.col("__part").cast("long"), F.lit(33)))).drop("__part", "__at")
+    """A table of files with p = 0, 1, ... in the order of its files' paths, blocks and lines: a running sum over the counts of
+    blocks (a row a block), and the place within the block. Which task reads a block, and when, does not matter."""
+    place = {"__file": F.col("_metadata.file_path"), "__block": F.col("_metadata.file_block_start"), "__at": F.monotonically_increasing_id()}
+    rows = df.withColumns(place)
+    blocks = rows.groupBy("__file", "__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.withColumn("__start", before).select("__file", "__block", "__first", "__start")
+    return rows.join(starts, ["__file", "__block"]).withColumn("p", F.col("__start") + F.col("__at") - F.col("__first")).drop("__file", "__block", "__at", "__first", "__start")
 
 
 def read_glass(spark: SparkSession, path: str) -> DataFrame:

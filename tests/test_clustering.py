@@ -13,7 +13,7 @@ from lodestrata.functions import subspaces, volumes
 from lodestrata.operators import grid, line, neighbors, redundancy, scaling
 from lodestrata.operators.components import connected_components
 from lodestrata.plans import cutting
-from lodestrata.plans.clustering import Clustering, subspace_clusters, to_lists
+from lodestrata.plans.clustering import Clustering, subspace_clusters, to_lists, to_table
 from lodestrata.sources import generators, points
 
 
@@ -240,6 +240,9 @@ def test_against_depth_first(spark, seed, options):
 def test_lists_and_limits(spark):
     found = spark.createDataFrame([([1], 0, 0, 2), ([1], 2, 0, 2), ([0], 1, 1, 1)], "dims array<int>, p long, label long, size long")
     assert to_lists(found, 3) == ([[0], [1]], [[-1, 1, -1], [0, -1, 0]])
+    long = to_table(found, spark.range(3).withColumnRenamed("id", "p"))
+    assert sorted((r["place"], r["dims"], r["p"], r["label"]) for r in long.collect()) == [(1, "0", 0, -1), (1, "0", 1, 1), (1, "0", 2, -1), (2, "1", 0, 0), (2, "1", 1, -1), (2, "1", 2, 0)]
+    assert to_table(found.limit(0), spark.range(3).withColumnRenamed("id", "p")).count() == 0
     with pytest.raises(ValueError):
         Clustering(table(spark, [(0.0,)]), 64, 0.1, 1, 1, 1)
     with pytest.warns(UserWarning):
@@ -262,9 +265,77 @@ def test_sources(spark, tmp_path):
 
 
 def test_planted_clusters_are_found(spark):
-    blobs = generators.gaussian_blobs(*(queries.PLANTED[k] for k in ("d", "n", "clusters", "std", "dims", "noise", "seed")))
-    found = {r["dims"]: r["n_points"] for r in queries.planted_recovery(spark, "").collect()}
-    assert all(found.get(",".join(map(str, b.dims)), 0) > 0.9 * b.points for b in blobs)
+    blobs = generators.gaussian_blobs(n=1200, **queries.PLANTED)
+    coords = generators.generate_gaussian(spark, n=1200, **queries.PLANTED).select("p", "dim", "x")
+    result = subspace_clusters(coords, queries.PLANTED["d"], rectangular=True, **queries.RECOVERY)
+    found = {tuple(r["dims"]): r["n"] for r in result.groupBy("dims", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert all(found.get(b.dims, 0) > 0.9 * b.points for b in blobs)
+
+
+def test_blobs_in_given_points(spark):
+    """Coordinates depend on seed, point and column, so that given ids have those of the points of the same numbers."""
+    ids = spark.range(0, 200, 3).withColumnRenamed("id", "p")
+    some = generators.generate_gaussian(spark, 4, 200, 2, 0.5, 2, seed=1, ids=ids)
+    every = generators.generate_gaussian(spark, 4, 200, 2, 0.5, 2, seed=1)
+    assert some.exceptAll(every).isEmpty() and some.count() == 4 * ids.count()
+
+
+def test_file_order(spark, tmp_path):
+    """Lines are numbered by file and place, however many files and blocks there are and whichever is the largest."""
+    want, at = [], 0
+    for name, lines in (("a", 5), ("b", 300), ("c", 0), ("d", 40)):
+        (tmp_path / f"{name}.csv").write_text("".join(f"{at + i},7\n" for i in range(lines)))
+        want += range(at, at + lines)
+        at += lines
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 128)
+    try:
+        rows = points.read_numbers(spark, str(tmp_path), 2).filter("dim = 0").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r["p"], int(r["x"])) for r in rows) == [(k, k) for k in want]
+
+
+def test_repeated_points_and_missing_coordinates(spark):
+    """Of rows with one point and column the largest counts; a point without a coordinate is in no region of that column."""
+    rows = [(p, i, 0.5 + 0.01 * (p % 3)) for p in range(30) for i in range(2)]
+    df = spark.createDataFrame([*rows, (0, 0, 0.4), (0, 1, 0.4), *rows[:6], (50, 0, 0.5), (60, 1, 0.0), (61, 1, 1.0)], "p long, dim int, x double")
+    got = Clustering(df, 2, 0.05, 0.0, 1, 5, cells=4, scaled=True, rectangular=True, r=1e9).run()
+    found = {(tuple(r["dims"]), r["p"]) for r in got.collect()}
+    assert {p for s, p in found if s == (0,)} == {*range(30), 50} and {p for s, p in found if s == (0, 1)} == set(range(30))
+
+
+def test_containments(spark):
+    """All pairs of subspaces of which one is within the other, beyond 63 columns too."""
+    r = random.Random(9)
+    sets = list({tuple(sorted(r.sample(range(70), r.randint(1, 6)))) for _ in range(80)} | {tuple(sorted(r.sample(range(6), r.randint(1, 4)))) for _ in range(30)})
+    df = spark.createDataFrame([(list(x),) for x in sets], "dims array<int>")
+    got = {(tuple(x["dims"]), tuple(x["sup_dims"])) for x in subspaces.containments(df, df).collect()}
+    assert got == {(a, b) for a in sets for b in sets if set(a) <= set(b)}
+
+
+def test_volumes_by_row(spark):
+    """Thresholds of rows are those of their volumes; nothing is dense where there is none."""
+    df = spark.createDataFrame([(v,) for v in (1.0, 0.5, 30.0, 0.0)], "volume double")
+    for rectangular in (True, False):
+        got = [r[0] for r in df.select(volumes.threshold_of(3, 0.1, 500, 2.0, 4, rectangular, F.col("volume"))).collect()]
+        want = [volumes.threshold(3, 0.1, 500, 2.0, 4, rectangular, volume=v) for v in (1.0, 0.5, 30.0)] + [math.inf]
+        assert all(math.isclose(a, b) for a, b in zip(got, want, strict=True))
+
+
+@pytest.mark.parametrize("rectangular", [True, False])
+def test_raw_coordinates(spark, rectangular):
+    """Raw columns of range 1 give what scaled ones give, wherever they begin; other ranges, volumes."""
+    rows = blobs(4, 60, 2)
+    moved = [(x + 5, y - 3) for x, y in rows]
+    options = {"cells": 4, "rectangular": rectangular}
+    want = subspace_clusters(table(spark, rows), 2, 0.08, 0.5, 3, 8, scaled=True, **options)
+    got = subspace_clusters(table(spark, moved), 2, 0.08, 0.5, 3, 8, raw=True, **options)
+    key = lambda df: sorted((r["dims"], r["p"], r["label"], r["size"]) for r in df.collect())
+    assert key(got) == key(want) and key(want)
+    run = Clustering(table(spark, [(2 * x, 3 * y) for x, y in rows]), 2, 0.08, 0.5, 3, 8, raw=True, **options)
+    run.forward()
+    volumes_ = {r["mask"]: r["volume"] for level in run.levels for r in level.select("mask", "volume").distinct().collect()}
+    assert all(math.isclose(v, {1: 2.0, 2: 3.0, 3: 6.0}[m]) for m, v in volumes_.items()) and volumes_
 
 
 def test_shared_folder_is_required(monkeypatch):
