@@ -2,13 +2,15 @@
 
 P(word | history) = P(class | history) P(word | class). Classes: one for words that training has not seen or seen once,
 one for the end of a text, one for each of the TOP most frequent words, and the rest by a hash of how words end. The
-class softmax has a bias, the classes' training shares, n-gram features (the classes of the last two words, together and each), and hashed identities of the
-last word and, as a skip feature, of the one before it. Within a class hashed by ending, P(word | class, history) is a
+class softmax has a bias, the classes' training shares, an n-gram feature (the pair of the last two words' classes), and hashed
+identities of the last word and, as a skip feature, of the one before it. Within a class hashed by ending, P(word | class, history) is a
 product of logistic decisions down a binary tree of the class's words, so that it adds up to 1. A decision's bias is the
 discounted training shares of its two sides; its features, hashed with the node, are the last word and, as a skip feature,
 the one before it, in a table that grows with the root of the vocabulary; the weights of a history for LEVELS levels of the
 tree lie side by side. Words seen equally often are a run; the tree splits runs by mass, then a run's words by rank. Unseen
-words and words seen once share the mass of their class by the Good-Turing estimate, whatever the history.
+words and words seen once share the mass of their class by the Good-Turing estimate, whatever the history: words seen once
+evenly, an unseen word by the probability of its spelling, byte after byte, each from the one before it, as in training texts.
+So a text of unknown words has the probability of its letters, not of an event that all unknown words share.
 
 Data flow. Documents are tokenised once, in chunks, to a staged table. Each chunk sends its distinct words' hashes and
 training counts, cut by hash range, to shards that add them up and send the totals back: every distinct word crosses the
@@ -36,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, map_arrow, parts, stage
+from .common import buffers, map_arrow, parts, slabs, stage
 from .langid import held_out
 from .tokens import LOWER, SPACED, hashes, mix, words
 
@@ -52,6 +54,8 @@ DISCOUNT, RATE = 0.5, 0.25
 NEWTON, STIFF = 0.5, 2.0
 _ENDS = CLASSES - 2 - TOP
 _END = np.uint64(0x8000000000000001)
+#: What stands before and behind a word's bytes.
+_EDGE = 256
 _ROWS = (CLASSES * CLASSES, IDS, IDS)
 
 
@@ -86,7 +90,54 @@ def _gathered(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iter
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _letters(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Lower-case bytes of words, _EDGE for those between, and an _EDGE before each row and behind the last."""
+    code = np.where(SPACED[data], LOWER[data].astype(np.int32), _EDGE)
+    return np.append(np.insert(code, offsets[:-1], _EDGE), _EDGE).astype(np.int32)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each byte of a word, or its end, stands behind each other, or its beginning."""
+    total = np.zeros((_EDGE + 1) ** 2, np.int64)
+    for batch in slabs(batches, "__text"):
+        code = _letters(*buffers(batch.column("__text")))
+        total += np.bincount(code[:-1] * (_EDGE + 1) + code[1:], minlength=len(total))
+    total[-1] = 0  # between words
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["pair", "n"])
+
+
+def spelling(rows: DataFrame) -> np.ndarray:
+    """log P(byte or end | byte or beginning) of the words of rows(__text), each pair being seen half a time more."""
+    counts = np.zeros((_EDGE + 1) ** 2)
+    for r in map_arrow(rows.select("__text"), _pairs, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # at most as many as pairs of bytes
+        counts[r["pair"]] = r["n"]
+    counts = counts.reshape(_EDGE + 1, _EDGE + 1) + 0.5
+    counts[_EDGE, _EDGE] = 0  # words are not empty
+    with np.errstate(divide="ignore"):
+        return np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
+
+
+def spelled(table: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """log P(spelling) of each of the words."""
+    n = ends - starts
+    at = np.cumsum(n) - n
+    code = LOWER[data[np.repeat(starts - at, n) + np.arange(int(n.sum()))]].astype(np.int64)
+    before = np.empty_like(code)
+    before[1:] = code[:-1]
+    before[at] = _EDGE
+    inner = np.add.reduceat(table[before, code], at) if len(n) else np.zeros(0)
+    return inner + table[code[at + n - 1], _EDGE]
+
+
+def _chunks(table):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _chunked(batches, table.value)
+
+    return run
+
+
+def _chunked(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in _gathered(batches, "__text", CHUNK):
         data, offsets = buffers(batch.column("__text"))
         starts, ends, first = words(data, offsets, SPACED)
@@ -105,15 +156,19 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unique, index, inverse = np.unique(h, return_index=True, return_inverse=True)
         train = batch.column("__train").to_numpy(zero_copy_only=False)
         counts = np.bincount(inverse, np.repeat(train, n), len(unique)).astype(np.int64)
+        place = np.cumsum(~is_end)[index] - 1  # of each distinct word among the words
+        real = unique != _END
+        spell = np.zeros(len(unique), np.float32)
+        spell[real] = spelled(table, data, starts[place[real]], ends[place[real]])
         one = [
             pa.array([batch.column("__doc").to_pylist()], pa.list_(pa.int64())),
             pa.array([_pack(n.astype(np.int64))]), pa.array([train.astype(np.uint8).tobytes()]), pa.array([_pack(inverse.astype(np.int32))]),
-            pa.array([unique.tobytes()]), pa.array([tail[index].tobytes()]), pa.array([_pack(counts)]),
+            pa.array([unique.tobytes()]), pa.array([tail[index].tobytes()]), pa.array([_pack(counts)]), pa.array([_pack(spell)]),
         ]
-        yield pa.RecordBatch.from_arrays(one, ["__docs", "__len", "__held", "__ids", "__words", "__tails", "__counts"])
+        yield pa.RecordBatch.from_arrays(one, ["__docs", "__len", "__held", "__ids", "__words", "__tails", "__counts", "__spell"])
 
 
-_CHUNK = "__docs array<bigint>, __len binary, __held binary, __ids binary, __words binary, __tails binary, __counts binary"
+_CHUNK = "__docs array<bigint>, __len binary, __held binary, __ids binary, __words binary, __tails binary, __counts binary, __spell binary"
 
 
 def _few(df: DataFrame, fn, schema: str) -> DataFrame:
@@ -300,8 +355,8 @@ class Stats:
         share = np.maximum(share, DISCOUNT)
         self.bias = np.log(share / share.sum()).astype(np.float32)
 
-    def classes(self, w: np.ndarray, tails: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The class of each word, and log P(word | class)."""
+    def classes(self, w: np.ndarray, tails: np.ndarray, c: np.ndarray, spell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The class of each word, and log P(word | class); spell: log P(spelling), for unseen words."""
         kind = (2 + TOP + tails).astype(np.int32)
         inner = np.log(np.maximum(c - DISCOUNT, DISCOUNT) / np.maximum(self.mass[tails], DISCOUNT))
         if len(self.top):
@@ -310,7 +365,7 @@ class Stats:
             kind[is_top], inner[is_top] = 2 + k[is_top], 0.0
         rare = c <= 1
         kind[rare] = 0
-        inner[rare] = np.where(c[rare] == 0, np.log(self.unseen), np.log(max(1 - self.unseen, 1e-12) / max(self.once, 1)))
+        inner[rare] = np.where(c[rare] == 0, np.log(self.unseen) + spell[rare], np.log(max(1 - self.unseen, 1e-12) / max(self.once, 1)))
         end = w == _END
         kind[end], inner[end] = 1, 0.0
         return kind, inner
@@ -324,7 +379,7 @@ class Chunk:
         self.train = np.frombuffer(row["__held"], np.uint8).astype(bool)
         w, self.totals = np.frombuffer(row["__words"], np.uint64), _numbers(row["__replies"], 1)
         tails = np.frombuffer(row["__tails"], np.uint8)
-        kind, self.inner = stats.classes(w, tails, self.totals)
+        kind, self.inner = stats.classes(w, tails, self.totals, _unpack(row["__spell"], np.float32))
         tree_words = np.flatnonzero(kind >= 2 + TOP)
         self.inner[tree_words] = 0.0
         self.start, self.depth = np.zeros(len(w), np.int64), np.zeros(len(w), np.int64)
@@ -503,7 +558,8 @@ def score(df: DataFrame, train, text: str = "text", doc: str = "doc_id") -> Data
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; train: the column that says what to learn from."""
     spark = df.sparkSession
     rows = df.select(F.col(doc).cast("long").alias("__doc"), F.coalesce(train, F.lit(True)).alias("__train"), F.col(text).cast("string").alias("__text"))
-    chunks = stage(_few(rows, _chunks, _CHUNK).withColumn("__chunk", F.monotonically_increasing_id()), "chunks")
+    table = spark.sparkContext.broadcast(spelling(rows.filter("__train")))
+    chunks = stage(_few(rows, _chunks(table), _CHUNK).withColumn("__chunk", F.monotonically_increasing_id()), "chunks")
     n = parts(df)
     bits = max(0, (n - 1).bit_length())
     asked = _few(chunks.select("__chunk", "__words", "__tails", "__counts"), _ask(bits), "__shard int, __chunk bigint, __words binary, __tails binary, __counts binary")

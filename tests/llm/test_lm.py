@@ -41,6 +41,9 @@ def test_unseen_words_have_the_estimated_mass():
     stats = lm.Stats(np.array([count.sum(), len(count), 30, 5, 4, *np.zeros(lm._ENDS)]), [])
     assert math.isclose(stats.unseen, 31 / 42)
     assert lm.Stats(np.array([9, 1, 0, 0, 4, *np.zeros(lm._ENDS)]), []).unseen == 1.0
+    w, spell = np.array([5, 6], np.uint64), np.array([-20.0, -9.0], np.float32)
+    _, inner = stats.classes(w, np.zeros(2, np.uint8), np.array([0, 1]), spell)
+    assert math.isclose(inner[0], math.log(31 / 42) - 20) and math.isclose(inner[1], math.log(11 / 42 / 30))
 
 
 def test_blocks_name_decisions():
@@ -67,3 +70,44 @@ def test_lm_cases(spark):
     assert got == [(0, False, 3, 3), (1, False, 4, 4), (1, False, 4, 4), (3, False, 1, 1), (4, False, 120_001, 120_001), (5, True, 3, 2)]
     none = lm.score(df, F.lit(False)).collect()
     assert len(none) == 6 and all(r["train_tokens"] == 0 and r["n_known"] == 0 and math.isclose(r["base_score"], 0) and math.isfinite(r["score"]) for r in none)
+
+
+def test_spelling_is_a_distribution():
+    """The probabilities of all words of up to some length, and of longer ones by what is left, are 1."""
+    r = np.random.default_rng(3)
+    counts = r.integers(0, 5, (lm._EDGE + 1, lm._EDGE + 1)) + 0.5
+    counts[lm._EDGE, lm._EDGE] = 0
+    with np.errstate(divide="ignore"):
+        table = np.log(counts / counts.sum(1, keepdims=True))
+    one = np.array([[b] for b in range(256) if not 65 <= b <= 90], np.uint8)
+    data = one.ravel()
+    at = np.arange(len(data))
+    singles = np.exp(lm.spelled(table, data, at, at + 1))
+    want = np.exp(table[lm._EDGE, data] + table[data, lm._EDGE])
+    assert np.allclose(singles, want)
+    words = [b"ab", b"Ba", b"a", b"\xc3\xa9x"]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    starts = np.array([0, 3, 6, 8])
+    got = lm.spelled(table, data, starts, starts + [2, 2, 1, 3])
+    for w, x in zip(words, got, strict=True):
+        path = [lm._EDGE, *w.lower(), lm._EDGE]
+        assert math.isclose(x, sum(table[a, b] for a, b in zip(path, path[1:])), rel_tol=1e-5)  # noqa: B905
+
+
+def test_unknown_words_cost_their_letters(spark):
+    """Log probabilities a token fall with the share of unknown words; random letters are below every real text, and unknown
+    words that are spelled like known ones above them."""
+    texts = corpus(800, 4)
+    r = random.Random(5)
+    noise = lambda n: " ".join("".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(r.randint(4, 9))) for _ in range(n))
+    like = lambda n: " ".join(r.choice(("kalo", "mipe", "rinu")) + r.choice(("sta", "ven", "dor")) + r.choice(("lin", "gra")) for _ in range(n))
+    held = [(10_000 + i, t) for i, t in enumerate(texts[:20])] + [(20_000 + i, noise(40)) for i in range(10)] + [(30_000 + i, like(40)) for i in range(10)]
+    held += [(40_000 + 10 * k + i, " ".join(texts[i].split()[: 40 - 4 * k] + noise(4 * k).split())) for k in range(10) for i in range(5)]
+    df = spark.createDataFrame([*enumerate(texts[20:]), *held], "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x["score"] / x["n_tokens"] for x in lm.score(df, F.col("doc_id") < 10_000).collect()}
+    real, junk, alike = ([got[i] for i in range(lo, lo + n)] for lo, n in ((10_000, 20), (20_000, 10), (30_000, 10)))
+    assert max(junk) < min(real) - 1 and max(junk) < min(alike) and max(alike) < min(real)
+    for i in range(5):
+        falls = [got[40_000 + 10 * k + i] for k in range(10)]
+        assert all(a > b for a, b in zip(falls, falls[1:]))  # noqa: B905
+    assert math.isfinite(sum(got.values()))
