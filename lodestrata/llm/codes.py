@@ -53,8 +53,8 @@ def kd_tree(book: np.ndarray, leaf: int = LEAF) -> _Node:
     def grow(at: np.ndarray) -> _Node:
         low, high = book[at].min(0), book[at].max(0)
         node = _Node(low, high, at)
-        axis = int(np.argmax(high - low))
-        if len(at) <= leaf or low[axis] == high[axis]:
+        axis = int(np.argmax(high - low)) if len(low) else 0
+        if len(at) <= leaf or not len(low) or low[axis] == high[axis]:
             return node
         x = book[at, axis]
         middle = np.sort(x)[(len(x) - 1) // 2]
@@ -97,7 +97,8 @@ def nearest(tree: _Node, book: np.ndarray, points: np.ndarray) -> tuple[np.ndarr
 
 def _matrix(array: pa.Array) -> np.ndarray:
     """A column of integer lists of one length, as rows."""
-    return array.flatten().to_numpy(zero_copy_only=False).reshape(len(array), -1)
+    flat = array.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(array), len(flat) // max(1, len(array)))
 
 
 def _edges(width: int, parts: int) -> list[int]:
@@ -115,7 +116,8 @@ def _integers(df: DataFrame, vector: str, scale: int) -> DataFrame:
 def _first(rows: DataFrame, ident: str, entries: int) -> np.ndarray:
     found = rows.select(F.col(f"`{ident}`").alias("__id"), "__v").orderBy(F.col("__id").asc_nulls_last(), "__v").limit(entries).collect()
     width = len(found[0]["__v"]) if found else 0
-    return np.array([r["__v"] for r in found if len(r["__v"]) == width], np.int64).reshape(-1, width)
+    kept = [r["__v"] for r in found if len(r["__v"]) == width]
+    return np.array(kept, np.int64).reshape(len(kept), width)
 
 
 def _search(trees: list, books: list[np.ndarray], edges: list[int], v: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -164,7 +166,7 @@ def compress(
     books = [first[:, lo:hi] for lo, hi in zip(edges, edges[1:], strict=False)]
     for _ in range(rounds if len(first) and width else 0):
         books = _sums(rows, books, edges)
-    shared = df.sparkSession.sparkContext.broadcast([(kd_tree(b) if b.size else None, b) for b in books])
+    shared = df.sparkSession.sparkContext.broadcast([(kd_tree(b) if len(b) else None, b) for b in books])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees, books = zip(*shared.value, strict=True)
