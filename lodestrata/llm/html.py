@@ -3,10 +3,12 @@
 Pages are parsed into element trees, once to count and once to extract. The hash of each container's subtree is counted for
 each host in Spark, over pages of different bodies, so that copies of a page count once; subtrees that recur across pages of
 a host are its template and go: containers outside of articles on MIN_PAGES pages, paragraphs there and containers within
-articles on MIN_INNER. Counting is by (host, subtree), never by host, and each page meets only the template subtrees that it
-holds itself. Then, as a second line, elements go whose tag, role, class or id says that they are no article. What is left of
-the `article` is the text: of all of them in page order, if there are several, but for those that are mostly links; else
-`main`, else the body.
+articles on MIN_INNER, and in any case on MIN_SHARE of the host's pages. Counting is by (host, subtree), never by host, and each
+page meets only the template subtrees that it holds itself. A story that a host has at several addresses is no template: what
+holds half of a page's running text (outside of links) stays, and where template in parts would leave less than a fifth of it,
+only parts of links and small ones go. Then, as a second line, elements go whose tag, role, class or id says that they are no
+article. What is left of the `article` is the text: of all of them in page order, if there are several; else `main`, else the
+body.
 
 Within an article, paragraphs, headings and list items never count as template: a passage that many articles quote stays.
 
@@ -32,7 +34,9 @@ from .common import map_arrow, slabs, stage, strings
 
 #: A subtree is template on at least so many different pages of a host (outside of articles; paragraphs, or within), and this
 #: share of them.
-MIN_PAGES, MIN_INNER, MIN_SHARE = 3, 8, 0.02
+MIN_PAGES, MIN_INNER, MIN_SHARE = 3, 8, 0.05
+#: Template takes at most this share of a page's running text, but for subtrees with less than SMALL of it.
+MOST, SMALL = 0.8, 0.05
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|([^<]+|<)", re.S)
 _BROKEN = re.compile(r"/?[a-zA-Z]")
@@ -60,14 +64,15 @@ _HIDDEN = re.compile(r"(display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 
 
 class Node:
-    """holds: an article, main or first heading is below it; frames: an article or main is; inside: it or an element above is one."""
+    """holds: an article, main or first heading is below it; frames: an article or main is; inside: it or an element above is one.
+    size: characters that are not white space; running: those outside of links."""
 
-    __slots__ = ("attrs", "children", "frames", "hash", "holds", "inside", "size", "tag")
+    __slots__ = ("attrs", "children", "frames", "hash", "holds", "inside", "running", "size", "tag")
 
     def __init__(self, tag: str, attrs: str = "") -> None:
         self.tag, self.attrs, self.children, self.hash = tag, attrs, [], None
         self.holds = self.frames = self.inside = False
-        self.size = 0
+        self.size = self.running = 0
 
     def walk(self) -> Iterator[Node]:
         stack = [self]
@@ -229,9 +234,30 @@ def _boilerplate(node: Node) -> bool:
 
 
 def _sizes(top: Node) -> None:
-    """Sets each element's number of characters that are not white space."""
+    """Sets each element's number of characters that are not white space, and of those outside of links."""
     for node in reversed(list(top.walk())):
-        node.size = sum(sum(map(len, x.split())) if type(x) is str else x.size for x in node.children)
+        node.size = node.running = 0
+        for x in node.children:
+            if type(x) is str:
+                n = sum(map(len, x.split()))
+                node.size += n
+                node.running += n
+            else:
+                node.size += x.size
+                node.running += x.running
+        if node.tag == "a":
+            node.running = 0
+
+
+def _template(top: Node, template: frozenset[int]) -> set[int]:
+    """ids of the elements that go: those of the template, but for a page's main running text."""
+    _hashes(top)
+    _sizes(top)
+    found = {id(x): x for x, k in _candidates(top) if k in template and 2 * x.running < max(1, top.running)}
+    taken = sum(x.running for x in _outermost(top, lambda x: id(x) in found))
+    if taken > MOST * top.running:
+        found = {k: x for k, x in found.items() if x.running < SMALL * top.running or 2 * x.running <= x.size}
+    return set(found)
 
 
 def _outermost(top: Node, wanted) -> list[Node]:
@@ -250,18 +276,14 @@ def _roots(top: Node) -> list[Node]:
     _sizes(top)
     articles = [x for x in _outermost(top, lambda x: x.tag == "article") if x.size]
     if articles:
-        linked = [sum(a.size for a in _outermost(x, lambda y: y.tag == "a")) for x in articles]
-        return [x for x, n in zip(articles, linked, strict=True) if 2 * n <= x.size] or articles
+        return articles
     return [x for x in _outermost(top, lambda x: x.tag == "main" or x.get().get("role") == "main") if x.size] or _outermost(top, lambda x: x.tag == "body") or [top]
 
 
 def extract(html: str, template: frozenset[int] = frozenset()) -> str:
     """The article's blocks, joined by an empty line."""
     top = parse(html)
-    gone: set[int] = set()
-    if template:
-        _hashes(top)
-        gone = {id(x) for x, k in _candidates(top) if k in template}
+    gone = _template(top, template) if template else set()
     stack = [top]
     while stack:
         node = stack.pop()

@@ -64,7 +64,7 @@ def test_template_by_brute_force(spark):
 
 def test_all_parts_of_an_article_stay():
     two = "<main><article><h1>One</h1><p>first part</p></article><article><p>second part</p></article><article><a href=x>See also this</a></article></main>"
-    assert html.extract(two) == "One\n\nfirst part\n\nsecond part"
+    assert html.extract(two) == "One\n\nfirst part\n\nsecond part\n\nSee also this"
     assert html.extract("<article><a href=x>only a link</a></article>") == "only a link"
     assert html.extract("<main><p>a</p></main><p>b</p><main><p>c</p></main>") == "a\n\nc"
     assert html.extract("<article><p>a</p><article class=comment><p>b</p></article></article>") == "a"
@@ -87,3 +87,23 @@ def test_html_cases(spark):
     rows = [(1, "http://x.example", long, "t", 1)] * 3 + [(None, None, None, None, None), (2, None, "<p>&eacute;&#x41;&nbsp;b</p>", "t", 2)]
     got = sorted(((r["page_id"] or 0, r["text"], r["__main"]) for r in html.extract_main_text(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
     assert got == sorted([(1, "t", "\n\n".join(["word"] * 30_000))] * 3 + [(0, None, ""), (2, "t", "éA b")], key=str)
+
+
+def test_syndicated_story():
+    """One story at three addresses, in a container or in parts, with different boxes beside it and no article element: it stays."""
+    story = [f"<div>Paragraph {k} of a story that three addresses of one host share, long enough to be its running text.</div>" for k in range(6)]
+    nav = "<div><a href='/'>home</a> <a href='/x'>all the other pages of this host</a></div>"
+    for body in ("<div>" + "".join(story) + "</div>", "".join(story)):
+        pages = [f"<html><body>{nav}<div><a href='/{k}'>related {k}</a></div>{body}<p>see {k}</p></body></html>" for k in range(3)]
+        keys = [html.subtrees(x)[1] for x in pages]
+        template = frozenset(set(keys[0]) & set(keys[1]) & set(keys[2]))
+        for k, page in enumerate(pages):
+            text = html.extract(page, template)
+            assert all(f"Paragraph {i} of a story" in text for i in range(6)) and f"see {k}" in text
+            assert "all the other pages" not in text
+
+
+def test_all_articles_stay():
+    """An article that is mostly links is one too."""
+    page = "<body><article><p>The first of two articles.</p></article><article><p><a href='/'>A list of links</a> more</p></article></body>"
+    assert html.extract(page) == "The first of two articles.\n\nA list of links more"
