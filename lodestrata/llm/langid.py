@@ -230,7 +230,7 @@ def sample(df: DataFrame, text: str, lang: str, docs: int = SAMPLE_DOCS) -> dict
     rows = df.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     rows = rows.select(F.col(lang).cast("string").alias("__lang"), F.xxhash64(F.col(text).cast("string")).alias("__h"), start.alias("__text"))
     first = Window.partitionBy("__lang").orderBy("__h")
-    few = rows.select("__lang", "__h").withColumn("__r", F.dense_rank().over(first)).filter(F.col("__r") <= docs).select("__lang", "__h").distinct().collect()
+    few = rows.select("__lang", "__h").distinct().withColumn("__r", F.row_number().over(first)).filter(F.col("__r") <= docs).select("__lang", "__h").collect()
     if not few:
         return {}
     out: dict[str, dict[int, str]] = {}
