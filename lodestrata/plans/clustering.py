@@ -7,6 +7,9 @@ redundant clusters go, the rest joins the result. A level is one set of joins fo
 one region of a subspace, so that (mask, p) is the key of all tables. Densities are kept with the members, so that
 clustering meets dense points only.
 
+A subspace is an ascending array of columns, of any number of them; its mask (beyond 63 columns a hash) is its key. Which
+subspaces lie within which is found once, by an inverted index (functions/subspaces.py), so that redundancy is equi-joins.
+
 Points of a region with one path of cells (and border flags) are told apart by nothing that restricts them: flags, runs and
 markers come from a table of paths with counts, one row a path, and members only follow their path to its children.
 
@@ -27,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.subspaces import dims_of, result_order
+from ..functions.subspaces import containments, mask_of, result_order
 from ..functions.volumes import PI, threshold_of
 from ..operators import density, grid, line, neighbors, redundancy
 from ..operators.scaling import column_bounds, normalize
@@ -42,10 +45,6 @@ def bit(dim):
     return F.call_function("shiftleft", F.lit(1).cast("long"), dim)
 
 
-def has(mask, dim):
-    return mask.bitwiseAND(bit(dim)) != 0
-
-
 class Clustering:
     """One run over coords(p, dim, x) with d columns numbered from 0. Of rows with one p and dim the largest x counts; a point
     without x in a column is in no region of that column.
@@ -62,8 +61,8 @@ class Clustering:
     ) -> None:
         if strategy not in STRATEGIES:
             raise ValueError(strategy)
-        if not 0 < d <= 63:
-            raise ValueError("from 1 to 63 columns")
+        if d < 1:
+            raise ValueError("at least one column")
         self.d, self.eps, self.rectangular, self.min_size, self.r, self.factor, self.num_obj, self.pi = d, eps, rectangular, min_size, r, factor, num_obj, pi
         self.strategy, self.dim_step, self.ghosts, self.raw, self.volume, self.at_once, self.few_pairs = strategy, dim_step, ghost_markers, raw, volume, at_once, few_pairs
         self.lows, self.ranges = [0.0] * d, [1.0] * d
@@ -86,6 +85,10 @@ class Clustering:
         self.levels: list[DataFrame] = []
         self.sizes: list[int] = []
 
+    def key_of(self, dims: Column) -> Column:
+        """The mask of a subspace; beyond 63 columns, which a mask does not hold, a hash of its columns."""
+        return mask_of(dims) if self.d <= 63 else F.xxhash64(dims)
+
     @property
     def calls(self) -> int:
         """Regions that the run visits, the whole table included."""
@@ -103,12 +106,12 @@ class Clustering:
 
     def forward(self) -> None:
         base = self.points.filter(F.exists("xs", lambda x: x.isNotNull()))
-        none = [F.lit(0).cast("long").alias("mask"), F.lit(0).cast("long").alias("region"), F.lit(-1).alias("last"), F.lit(1.0).alias("volume")]
+        none = [F.lit(0).cast("long").alias("mask"), F.array().cast("array<int>").alias("dims"), F.lit(0).cast("long").alias("region"), F.lit(-1).alias("last"), F.lit(1.0).alias("volume")]
         members = base.select(*none, "p", "xs", "path", "border")
         edges, markers = None, None
         if self.ghosts:
             held = members.select("mask", "region", "last", "path", F.posexplode("border").alias("j", "is_border"))
-            markers = held.filter("is_border").select("mask", "region", "last", "path", "j").distinct()
+            markers = held.filter("is_border").select("region", "path", "j").distinct()
         for k in range(1, self.d + 1):
             steps = range(0, self.d, self.dim_step) if self.strategy == "batched" else [0]
             width = self.dim_step if self.strategy == "batched" else self.d
@@ -123,7 +126,7 @@ class Clustering:
 
     def _expand(self, k: int, members: DataFrame, edges: DataFrame | None, markers: DataFrame | None, lo: int, hi: int):
         """Members (with density), pairs and markers of the regions that columns from lo to hi - 1 restrict; number of members."""
-        paths = members.groupBy("mask", "region", "last", "path", "border").agg(F.count(F.lit(1)).alias("n"))
+        paths = members.groupBy("region", "last", "path", "border").agg(F.count(F.lit(1)).alias("n"))
         cells = F.posexplode(F.arrays_zip("path", "border")).alias("dim", "c")
         spread = paths.select("region", "last", "path", "border", "n", cells).filter((F.col("dim") > F.col("last")) & (F.col("dim") >= lo) & (F.col("dim") < hi))
         spread = spread.filter("c.path IS NOT NULL").select("region", "path", "border", "n", "dim", F.col("c.path").alias("cell"), F.col("c.border").alias("is_border"))
@@ -136,12 +139,12 @@ class Clustering:
         ways = spread.join(named, ["region", "dim", "cell"]).groupBy("region", "path", "border").agg(F.collect_list(F.struct("dim", "run")).alias("ways"))  # at most d
         down = members.drop("density").join(ways, ["region", "path", "border"]).withColumn("way", F.explode("ways"))
         ranges = F.array(*(F.lit(x) for x in self.ranges))
+        dims = F.concat("dims", F.array("way.dim"))
         kids = down.select(
-            F.col("mask").bitwiseOR(bit(F.col("way.dim"))).alias("mask"), F.xxhash64("region", "way.dim", "way.run").alias("region"), "p", F.col("way.dim").alias("last"),
+            self.key_of(dims).alias("mask"), dims.alias("dims"), F.xxhash64("region", "way.dim", "way.run").alias("region"), "p", F.col("way.dim").alias("last"),
             (F.col("volume") * F.get(ranges, F.col("way.dim"))).alias("volume"), "xs", "path", "border", F.col("region").alias("above"), F.col("mask").alias("parent"), F.col("way.run").alias("run"),
         )
-        v = F.filter("xs", lambda x, i: has(F.col("mask"), i))
-        kids, seen = counted(kids.withColumn("v", v), "members")
+        kids, seen = counted(kids.withColumn("v", F.transform("dims", lambda i: F.get("xs", i))), "members")
         if not seen["rows"]:
             return None
         near = None
@@ -161,20 +164,20 @@ class Clustering:
         if not seen["rows"]:
             return None
         left = self._markers(markers, named, alive) if markers is not None and k < self.d else None
-        return alive.select("mask", "region", "p", "last", "volume", "xs", "path", "border", "v", "density"), near, left, seen["rows"]
+        return alive.select("mask", "dims", "region", "p", "last", "volume", "xs", "path", "border", "v", "density"), near, left, seen["rows"]
 
     def _markers(self, markers: DataFrame, named: DataFrame, alive: DataFrame) -> DataFrame:
         """The markers that lie in a child region and go on to connect its cells: a point that is alive has, up to the marker's
         column, the marker's cells in all columns that do not restrict the region."""
-        regions = alive.select("above", F.col("last").alias("dim"), "run", F.col("mask").alias("m"), F.col("region").alias("r")).distinct()
+        regions = alive.select("above", F.col("last").alias("dim"), "run", "dims", F.col("region").alias("r")).distinct()
         inside = markers.select(F.col("region").alias("above"), "path", "j", F.posexplode("path").alias("dim", "cell")).filter("j > dim")
         inside = inside.join(named.withColumnRenamed("region", "above"), ["above", "dim", "cell"]).join(regions, ["above", "dim", "run"])
-        inside = inside.select(F.col("m").alias("mask"), F.col("r").alias("region"), F.col("dim").alias("last"), "path", "j")
-        free = lambda c, i: F.when(has(F.col("mask"), i), F.lit(-1)).otherwise(F.coalesce(c, F.lit(-2)))
+        inside = inside.select(F.col("r").alias("region"), "dims", "path", "j")
+        free = lambda c, i: F.when(F.array_contains("dims", i), F.lit(-1)).otherwise(F.coalesce(c, F.lit(-2)))
         key = F.xxhash64(F.transform(F.slice("path", F.lit(1), F.col("j") + 1), free))
-        there = alive.select("mask", "region", "path").distinct().withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(self.d - 1))))
+        there = alive.select("dims", "region", "path").distinct().withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(self.d - 1))))
         there = there.select("region", "j", key.alias("key")).distinct()
-        return stage(inside.withColumn("key", key).join(there, ["region", "j", "key"], "left_semi").drop("key").distinct(), "markers")
+        return stage(inside.withColumn("key", key).join(there, ["region", "j", "key"], "left_semi").select("region", "path", "j").distinct(), "markers")
 
     def _sizable(self, members: DataFrame) -> DataFrame:
         enough = members.groupBy("region").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= self.min_size)
@@ -184,15 +187,15 @@ class Clustering:
         """mask, p, v of the points that members of the mask may have within eps: those of the buckets that members probe in the
         last of its columns."""
         bucket = lambda x: F.floor(x / (self.eps * neighbors.WIDER))
-        probes = kids.select("mask", F.col("last").alias("dim"), bucket(F.get("xs", F.col("last"))).alias("b")).distinct()
-        probes = probes.select("mask", "dim", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b")).distinct()
+        probes = kids.select("mask", "dims", F.col("last").alias("dim"), bucket(F.get("xs", F.col("last"))).alias("b")).distinct()
+        probes = probes.select("mask", "dims", "dim", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b")).distinct()
         rows = self.points.select("p", "xs", F.posexplode("xs").alias("dim", "x")).withColumn("b", bucket(F.col("x")))
-        v = F.filter("xs", lambda x, i: has(F.col("mask"), i))
+        v = F.transform("dims", lambda i: F.get("xs", i))
         return rows.join(probes, ["dim", "b"]).select("mask", "p", v.alias("v")).filter(~F.exists("v", lambda x: x.isNull()))
 
     def _labels(self, members: DataFrame, columns: range) -> DataFrame:
         """mask, region, p, label, size of the clusters of the members' dense points, of subspaces of so many columns."""
-        core = lambda k: members.filter((F.bit_count("mask") == k) & (F.col("density") >= self.least(k)))
+        core = lambda k: members.filter((F.size("v") == k) & (F.col("density") >= self.least(k)))
         parts = []
         if many := [k for k in columns if k > 1]:
             found = reduce(DataFrame.unionByName, [core(k) for k in many]).select("mask", "region", "p", "v")
@@ -206,25 +209,37 @@ class Clustering:
         result, top = None, len(self.levels)
         columns = ["mask", "region", "p", "volume", "v", "density"]
         once = sum(self.sizes) <= self.at_once and top
-        labels = stage(self._labels(reduce(DataFrame.unionByName, [x.select(*columns) for x in self.levels]), range(1, top + 1)), "labels") if once else None
+        self.spaces = spaces = self._spaces()
+        labels = None
+        if once:
+            every = self._labels(reduce(DataFrame.unionByName, [x.select(*columns) for x in self.levels]), range(1, top + 1))
+            labels = stage(every.join(spaces.select("mask", F.size("dims").alias("columns")), "mask"), "labels")
+        pairs = containments(spaces.select("dims"), spaces.select("dims")).filter(F.col("dims") != F.col("sup_dims"))
+        pairs = stage(pairs.select(self.key_of(F.col("dims")).alias("mask"), self.key_of(F.col("sup_dims")).alias("other_mask")), "pairs") if top > 1 else None
         for k in range(top, 0, -1):
             members = self.levels[k - 1].select(*columns)
-            regions = None if result is None else redundancy.region_redundancy(members, result, self.r)
+            regions = None if result is None else redundancy.region_redundancy(members, result, self.r, pairs)
             if labels is not None:
-                found = labels.filter(F.bit_count("mask") == k)
+                found = labels.filter(F.col("columns") == k)
                 found = found if regions is None else found.join(regions, ["region", "mask"], "left_semi")
             else:
                 found = stage(self._labels(members if regions is None else members.join(regions, ["region", "mask"], "left_semi"), range(k, k + 1)), "labels")
             found = found.select("mask", "p", "label", "size")
             if result is not None:
-                found = redundancy.cluster_redundancy(found, result, self.r)
+                found = redundancy.cluster_redundancy(found, result, self.r, pairs)
             result = redundancy.merge_result(result, stage(found, "result") if 1 < k < top else found)
         return result if result is not None else self.points.sparkSession.createDataFrame([], "mask long, p long, label long, size long")
 
+    def _spaces(self) -> DataFrame:
+        """mask and dims of each subspace that has members."""
+        if not self.levels:
+            return self.points.sparkSession.createDataFrame([], "mask long, dims array<int>")
+        return stage(reduce(DataFrame.unionByName, [x.select("mask", "dims") for x in self.levels]).distinct(), "spaces")
+
     def run(self) -> DataFrame:
         """dims, p, label, size: a row for each point of each cluster."""
         self.forward()
-        return self.backward().select(dims_of(F.col("mask"), self.d).alias("dims"), "p", "label", "size")
+        return self.backward().join(self.spaces, "mask").select("dims", "p", "label", "size")
 
 
 def subspace_clusters(coords: DataFrame, d: int, eps: float, factor: float, num_obj: float, min_size: int, **options) -> DataFrame:

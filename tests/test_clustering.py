@@ -244,7 +244,7 @@ def test_lists_and_limits(spark):
     assert sorted((r["place"], r["dims"], r["p"], r["label"]) for r in long.collect()) == [(1, "0", 0, -1), (1, "0", 1, 1), (1, "0", 2, -1), (2, "1", 0, 0), (2, "1", 1, -1), (2, "1", 2, 0)]
     assert to_table(found.limit(0), spark.range(3).withColumnRenamed("id", "p")).count() == 0
     with pytest.raises(ValueError):
-        Clustering(table(spark, [(0.0,)]), 64, 0.1, 1, 1, 1)
+        Clustering(table(spark, [(0.0,)]), 0, 0.1, 1, 1, 1)
     with pytest.warns(UserWarning):
         Clustering(table(spark, [(0.0,), (1.0,)]), 1, 0.5, 1, 1, 1, cells=4)
 
@@ -322,6 +322,18 @@ def test_volumes_by_row(spark):
         assert all(math.isclose(a, b) for a, b in zip(got, want, strict=True))
 
 
+def test_more_columns_than_a_mask_has(spark):
+    """A cluster in three of 70 columns, in all others of which points lie too far apart, is found as it is in the three alone."""
+    own = (2, 66, 69)
+    at = lambda p, i: 0.5 + 0.0004 * ((p * (own.index(i) + 2)) % 15) if i in own and p < 15 else ((p * 37 + i * 11) % 50) / 49
+    wide = [tuple(at(p, i) for i in range(70)) for p in range(50)]
+    rows = [tuple(row[i] for i in own) for row in wide]
+    options = {"eps": 0.012, "factor": 0.0, "num_obj": 2, "min_size": 4, "cells": 4, "scaled": True, "rectangular": True}
+    want = {(tuple(own[i] for i in r["dims"]), r["p"], r["label"], r["size"]) for r in subspace_clusters(table(spark, rows), 3, **options).collect()}
+    got = {(tuple(r["dims"]), r["p"], r["label"], r["size"]) for r in subspace_clusters(table(spark, wide), 70, **options).collect()}
+    assert got == want and own in {s for s, *_ in got}
+
+
 @pytest.mark.parametrize("rectangular", [True, False])
 def test_raw_coordinates(spark, rectangular):
     """Raw columns of range 1 give what scaled ones give, wherever they begin; other ranges, volumes."""
