@@ -157,7 +157,7 @@ def _chunked(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[p
         train = batch.column("__train").to_numpy(zero_copy_only=False)
         counts = np.bincount(inverse, np.repeat(train, n), len(unique)).astype(np.int64)
         place = np.cumsum(~is_end)[index] - 1  # of each distinct word among the words
-        real = unique != _END
+        real = (unique != _END) & (counts == 0)  # what the chunk learns from is not unseen
         spell = np.zeros(len(unique), np.float32)
         spell[real] = spelled(table, data, starts[place[real]], ends[place[real]])
         one = [
