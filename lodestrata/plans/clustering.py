@@ -52,12 +52,15 @@ class Clustering:
     Coordinates are scaled to [0, 1], unless scaled (they are, which is checked) or raw: then cells divide each column's own
     range, and expected densities are those of the region's volume, the product of the ranges of its columns, carried by each
     region; weighted densities are weak by the volume of all columns. volume: of the scaled space.
+
+    folder: where each finished level is kept, so that a run with the same table and settings that was broken off goes on behind
+    the last of them; a folder of other settings is an error. Not with the strategy that refines pairs.
     """
 
     def __init__(
         self, coords: DataFrame, d: int, eps: float, factor: float, num_obj: float, min_size: int, r: float = 1.0, cells: int = 3, rectangular: bool = False,
         strategy: str = "recompute", dim_step: int = 2, ghost_markers: bool = True, scaled: bool = False, raw: bool = False, volume: float = 1.0, pi: float = PI,
-        at_once: int = AT_ONCE, few_pairs: int = density.FEW_PAIRS,
+        at_once: int = AT_ONCE, few_pairs: int = density.FEW_PAIRS, folder: str | None = None,
     ) -> None:
         if strategy not in STRATEGIES:
             raise ValueError(strategy)
@@ -65,6 +68,14 @@ class Clustering:
             raise ValueError("at least one column")
         self.d, self.eps, self.rectangular, self.min_size, self.r, self.factor, self.num_obj, self.pi = d, eps, rectangular, min_size, r, factor, num_obj, pi
         self.strategy, self.dim_step, self.ghosts, self.raw, self.volume, self.at_once, self.few_pairs = strategy, dim_step, ghost_markers, raw, volume, at_once, few_pairs
+        if folder and strategy == "incremental":
+            raise ValueError("pairs are not kept from run to run")
+        self.folder = folder
+        if folder:
+            told = {k: v for k, v in locals().items() if k not in ("self", "coords", "folder")}
+            kept = cached_run(coords.sparkSession, f"{folder}/settings", lambda: coords.sparkSession.createDataFrame([(repr(sorted(told.items())),)], "settings string"))
+            if kept.first()["settings"] != repr(sorted(told.items())):
+                raise ValueError(f"{folder} has levels of other settings")
         self.lows, self.ranges = [0.0] * d, [1.0] * d
         if raw:
             for row in column_bounds(coords.filter(F.col("dim") < d)).collect():  # a row a column
@@ -124,8 +135,24 @@ class Clustering:
             self.levels.append(members)
             self.sizes.append(sum(f[3] for f in found))
 
+    def _kept(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """The table, staged or in the run's folder, and its number of rows."""
+        if not self.folder:
+            found, seen = counted(df, name)
+            return found, seen["rows"]
+        found = cached_run(df.sparkSession, f"{self.folder}/{name}", lambda: df)
+        return found, found.count()
+
     def _expand(self, k: int, members: DataFrame, edges: DataFrame | None, markers: DataFrame | None, lo: int, hi: int):
         """Members (with density), pairs and markers of the regions that columns from lo to hi - 1 restrict; number of members."""
+        columns = ["mask", "dims", "region", "p", "last", "volume", "xs", "path", "border", "v", "density"]
+        names = f"dense-{k}-{lo}", f"markers-{k}-{lo}"
+        marking = markers is not None and k < self.d
+        spark = members.sparkSession
+        if self.folder and written(spark, f"{self.folder}/{names[0]}") and (not marking or written(spark, f"{self.folder}/{names[1]}")):
+            alive = spark.read.parquet(f"{self.folder}/{names[0]}")
+            rows = alive.count()
+            return (alive.select(*columns), None, spark.read.parquet(f"{self.folder}/{names[1]}") if marking else None, rows) if rows else None
         paths = members.groupBy("region", "last", "path", "border").agg(F.count(F.lit(1)).alias("n"))
         cells = F.posexplode(F.arrays_zip("path", "border")).alias("dim", "c")
         spread = paths.select("region", "last", "path", "border", "n", cells).filter((F.col("dim") > F.col("last")) & (F.col("dim") >= lo) & (F.col("dim") < hi))
@@ -160,13 +187,13 @@ class Clustering:
             held = kids.join(density.density(near, self.eps, self.rectangular), ["mask", "p"], "left").withColumn("density", F.coalesce("density", F.lit(0.0)))
         else:
             held = density.with_density(kids, self._around(kids), k, self.eps, self.rectangular, pairs=seen["rows"] * self.n, few=self.few_pairs).drop("n_near")
-        alive, seen = counted(self._sizable(held.filter(F.col("density") >= self.least(self.d, True))), "dense")
-        if not seen["rows"]:
+        alive, rows = self._kept(self._sizable(held.filter(F.col("density") >= self.least(self.d, True))), names[0])
+        if not rows:
             return None
-        left = self._markers(markers, named, alive) if markers is not None and k < self.d else None
-        return alive.select("mask", "dims", "region", "p", "last", "volume", "xs", "path", "border", "v", "density"), near, left, seen["rows"]
+        left = self._markers(markers, named, alive, names[1]) if marking else None
+        return alive.select(*columns), near, left, rows
 
-    def _markers(self, markers: DataFrame, named: DataFrame, alive: DataFrame) -> DataFrame:
+    def _markers(self, markers: DataFrame, named: DataFrame, alive: DataFrame, name: str) -> DataFrame:
         """The markers that lie in a child region and go on to connect its cells: a point that is alive has, up to the marker's
         column, the marker's cells in all columns that do not restrict the region."""
         regions = alive.select("above", F.col("last").alias("dim"), "run", "dims", F.col("region").alias("r")).distinct()
@@ -177,7 +204,7 @@ class Clustering:
         key = F.xxhash64(F.transform(F.slice("path", F.lit(1), F.col("j") + 1), free))
         there = alive.select("dims", "region", "path").distinct().withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(self.d - 1))))
         there = there.select("region", "j", key.alias("key")).distinct()
-        return stage(inside.withColumn("key", key).join(there, ["region", "j", "key"], "left_semi").select("region", "path", "j").distinct(), "markers")
+        return self._kept(inside.withColumn("key", key).join(there, ["region", "j", "key"], "left_semi").select("region", "path", "j").distinct(), name)[0]
 
     def _sizable(self, members: DataFrame) -> DataFrame:
         enough = members.groupBy("region").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= self.min_size)
@@ -213,7 +240,7 @@ class Clustering:
         labels = None
         if once:
             every = self._labels(reduce(DataFrame.unionByName, [x.select(*columns) for x in self.levels]), range(1, top + 1))
-            labels = stage(every.join(spaces.select("mask", F.size("dims").alias("columns")), "mask"), "labels")
+            labels = self._kept(every.join(spaces.select("mask", F.size("dims").alias("columns")), "mask"), "labels")[0]
         pairs = containments(spaces.select("dims"), spaces.select("dims")).filter(F.col("dims") != F.col("sup_dims"))
         pairs = stage(pairs.select(self.key_of(F.col("dims")).alias("mask"), self.key_of(F.col("sup_dims")).alias("other_mask")), "pairs") if top > 1 else None
         for k in range(top, 0, -1):
@@ -271,9 +298,14 @@ def to_lists(result: DataFrame, n: int) -> tuple[list[list[int]], list[list[int]
     return spaces, labels
 
 
+def written(spark, path: str) -> bool:
+    """Whether the table at path is there, to its end."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def cached_run(spark, path: str, compute) -> DataFrame:
     """The table at path; computed and written first if it is not there."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    if not written(spark, path):
         compute().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
