@@ -58,23 +58,26 @@ class Clustering:
     """
 
     def __init__(
-        self, coords: DataFrame, d: int, eps: float, factor: float, num_obj: float, min_size: int, r: float = 1.0, cells: int = 3, rectangular: bool = False,
-        strategy: str = "recompute", dim_step: int = 2, ghost_markers: bool = True, scaled: bool = False, raw: bool = False, volume: float = 1.0, pi: float = PI,
-        at_once: int = AT_ONCE, few_pairs: int = density.FEW_PAIRS, folder: str | None = None,
+        self, coords: DataFrame, d: int, eps: float, factor: float, num_obj: float, min_size: int, r: float = 1.0, cells: int = 3,
+        rectangular: bool = False, strategy: str = "recompute", dim_step: int = 2, ghost_markers: bool = True, scaled: bool = False,
+        raw: bool = False, volume: float = 1.0, pi: float = PI, at_once: int = AT_ONCE, few_pairs: int = density.FEW_PAIRS,
+        folder: str | None = None,
     ) -> None:
         if strategy not in STRATEGIES:
             raise ValueError(strategy)
         if d < 1:
             raise ValueError("at least one column")
-        self.d, self.eps, self.rectangular, self.min_size, self.r, self.factor, self.num_obj, self.pi = d, eps, rectangular, min_size, r, factor, num_obj, pi
-        self.strategy, self.dim_step, self.ghosts, self.raw, self.volume, self.at_once, self.few_pairs = strategy, dim_step, ghost_markers, raw, volume, at_once, few_pairs
+        self.d, self.eps, self.rectangular, self.min_size, self.r = d, eps, rectangular, min_size, r
+        self.factor, self.num_obj, self.raw, self.volume, self.pi = factor, num_obj, raw, volume, pi
+        self.strategy, self.dim_step, self.ghosts, self.at_once, self.few_pairs = strategy, dim_step, ghost_markers, at_once, few_pairs
         if folder and strategy == "incremental":
             raise ValueError("pairs are not kept from run to run")
         self.folder = folder
         if folder:
-            told = {k: v for k, v in locals().items() if k not in ("self", "coords", "folder")}
-            kept = cached_run(coords.sparkSession, f"{folder}/settings", lambda: coords.sparkSession.createDataFrame([(repr(sorted(told.items())),)], "settings string"))
-            if kept.first()["settings"] != repr(sorted(told.items())):
+            told = repr(sorted((k, v) for k, v in locals().items() if k not in ("self", "coords", "folder")))
+            spark = coords.sparkSession
+            kept = cached_run(spark, f"{folder}/settings", lambda: spark.createDataFrame([(told,)], "settings string"))
+            if kept.first()["settings"] != told:
                 raise ValueError(f"{folder} has levels of other settings")
         self.lows, self.ranges = [0.0] * d, [1.0] * d
         if raw:
@@ -85,14 +88,16 @@ class Clustering:
         used = coords if scaled or raw else normalize(coords)
         x = lambda i: F.max(F.when(F.col("dim") == i, F.col("x").cast("double")))
         wide = used.groupBy("p").agg(F.array(*(x(i) for i in range(d))).alias("xs"))
-        path, border = zip(*(grid.cell_of(F.get("xs", F.lit(i)), cells, eps, lo, wide_) for i, (lo, wide_) in enumerate(zip(self.lows, self.ranges, strict=True))), strict=True)
-        ends = F.array_min("xs") < 0, F.array_max("xs") > 1
-        self.points, seen = counted(wide.select("p", "xs", F.array(*path).alias("path"), F.array(*border).alias("border")), "points", out=ends[0] | ends[1])
+        columns = enumerate(zip(self.lows, self.ranges, strict=True))
+        path, border = zip(*(grid.cell_of(F.get("xs", F.lit(i)), cells, eps, low, range_) for i, (low, range_) in columns), strict=True)
+        out = (F.array_min("xs") < 0) | (F.array_max("xs") > 1)
+        self.points, seen = counted(wide.select("p", "xs", F.array(*path).alias("path"), F.array(*border).alias("border")), "points", out=out)
         if scaled and seen["out"]:
             raise ValueError("scaled coordinates lie in [0, 1]")
         self.n = seen["rows"]
         inner = F.arrays_zip("xs", "path", "border")
-        self.cells = self.points.select("p", F.posexplode(inner).alias("dim", "c")).filter("c.xs IS NOT NULL").select("p", "dim", F.col("c.xs").alias("x"), F.col("c.path").alias("cell"), F.col("c.border").alias("is_border"))
+        each = self.points.select("p", F.posexplode(inner).alias("dim", "c")).filter("c.xs IS NOT NULL")
+        self.cells = each.select("p", "dim", F.col("c.xs").alias("x"), F.col("c.path").alias("cell"), F.col("c.border").alias("is_border"))
         self.levels: list[DataFrame] = []
         self.sizes: list[int] = []
 
@@ -117,8 +122,9 @@ class Clustering:
 
     def forward(self) -> None:
         base = self.points.filter(F.exists("xs", lambda x: x.isNotNull()))
-        none = [F.lit(0).cast("long").alias("mask"), F.array().cast("array<int>").alias("dims"), F.lit(0).cast("long").alias("region"), F.lit(-1).alias("last"), F.lit(1.0).alias("volume")]
-        members = base.select(*none, "p", "xs", "path", "border")
+        zero = lambda name: F.lit(0).cast("long").alias(name)
+        whole = [zero("mask"), F.array().cast("array<int>").alias("dims"), zero("region"), F.lit(-1).alias("last"), F.lit(1.0).alias("volume")]
+        members = base.select(*whole, "p", "xs", "path", "border")
         edges, markers = None, None
         if self.ghosts:
             held = members.select("mask", "region", "last", "path", F.posexplode("border").alias("j", "is_border"))
@@ -149,27 +155,32 @@ class Clustering:
         names = f"dense-{k}-{lo}", f"markers-{k}-{lo}"
         marking = markers is not None and k < self.d
         spark = members.sparkSession
-        if self.folder and written(spark, f"{self.folder}/{names[0]}") and (not marking or written(spark, f"{self.folder}/{names[1]}")):
+        if self.folder and all(written(spark, f"{self.folder}/{x}") for x in names[: 1 + marking]):
             alive = spark.read.parquet(f"{self.folder}/{names[0]}")
             rows = alive.count()
-            return (alive.select(*columns), None, spark.read.parquet(f"{self.folder}/{names[1]}") if marking else None, rows) if rows else None
+            left = spark.read.parquet(f"{self.folder}/{names[1]}") if marking else None
+            return (alive.select(*columns), None, left, rows) if rows else None
         paths = members.groupBy("region", "last", "path", "border").agg(F.count(F.lit(1)).alias("n"))
         cells = F.posexplode(F.arrays_zip("path", "border")).alias("dim", "c")
-        spread = paths.select("region", "last", "path", "border", "n", cells).filter((F.col("dim") > F.col("last")) & (F.col("dim") >= lo) & (F.col("dim") < hi))
-        spread = spread.filter("c.path IS NOT NULL").select("region", "path", "border", "n", "dim", F.col("c.path").alias("cell"), F.col("c.border").alias("is_border"))
+        later = (F.col("dim") > F.col("last")) & (F.col("dim") >= lo) & (F.col("dim") < hi)
+        spread = paths.select("region", "last", "path", "border", "n", cells).filter(later & F.col("c.path").isNotNull())
+        spread = spread.select("region", "path", "border", "n", "dim", F.col("c.path").alias("cell"), F.col("c.border").alias("is_border"))
         flags = spread.groupBy("region", "dim", "cell").agg(F.sum("n").alias("n_points"), F.max("is_border").alias("flag"))
         if markers is not None:
-            marked = markers.select("region", F.col("j").alias("dim"), F.get("path", F.col("j")).alias("cell")).filter((F.col("dim") >= lo) & (F.col("dim") < hi)).distinct()
+            marked = markers.select("region", F.col("j").alias("dim"), F.get("path", F.col("j")).alias("cell"))
+            marked = marked.filter((F.col("dim") >= lo) & (F.col("dim") < hi)).distinct()
             flags = flags.join(marked.withColumn("marked", F.lit(True)), ["region", "dim", "cell"], "left")
             flags = flags.withColumn("flag", F.col("flag") | F.coalesce("marked", F.lit(False))).drop("marked")
         named = grid.large_runs(grid.runs(flags, ["region", "dim"]), ["region", "dim"], self.min_size).select("region", "dim", "cell", "run")
-        ways = spread.join(named, ["region", "dim", "cell"]).groupBy("region", "path", "border").agg(F.collect_list(F.struct("dim", "run")).alias("ways"))  # at most d
+        ways = spread.join(named, ["region", "dim", "cell"]).groupBy("region", "path", "border")
+        ways = ways.agg(F.collect_list(F.struct("dim", "run")).alias("ways"))  # at most d
         down = members.drop("density").join(ways, ["region", "path", "border"]).withColumn("way", F.explode("ways"))
         ranges = F.array(*(F.lit(x) for x in self.ranges))
         dims = F.concat("dims", F.array("way.dim"))
         kids = down.select(
-            self.key_of(dims).alias("mask"), dims.alias("dims"), F.xxhash64("region", "way.dim", "way.run").alias("region"), "p", F.col("way.dim").alias("last"),
-            (F.col("volume") * F.get(ranges, F.col("way.dim"))).alias("volume"), "xs", "path", "border", F.col("region").alias("above"), F.col("mask").alias("parent"), F.col("way.run").alias("run"),
+            self.key_of(dims).alias("mask"), dims.alias("dims"), F.xxhash64("region", "way.dim", "way.run").alias("region"), "p",
+            F.col("way.dim").alias("last"), (F.col("volume") * F.get(ranges, F.col("way.dim"))).alias("volume"), "xs", "path", "border",
+            F.col("region").alias("above"), F.col("mask").alias("parent"), F.col("way.run").alias("run"),
         )
         kids, seen = counted(kids.withColumn("v", F.transform("dims", lambda i: F.get("xs", i))), "members")
         if not seen["rows"]:
@@ -180,13 +191,15 @@ class Clustering:
             held = line.with_line_density(x, self.cells, self.eps, self.rectangular, self.n).drop("dim", "x")
         elif self.strategy == "incremental":
             if edges is not None:
-                near = neighbors.refine(edges, kids.select("mask", "parent", "p", F.col("last").alias("dim"), F.get("xs", F.col("last")).alias("x")), self.cells, self.eps)
+                new = kids.select("mask", "parent", "p", F.col("last").alias("dim"), F.get("xs", F.col("last")).alias("x"))
+                near = neighbors.refine(edges, new, self.cells, self.eps)
             else:
                 near = neighbors.pairs(kids, self._around(kids), k, self.eps)
             near = stage(near, "pairs")
             held = kids.join(density.density(near, self.eps, self.rectangular), ["mask", "p"], "left").withColumn("density", F.coalesce("density", F.lit(0.0)))
         else:
-            held = density.with_density(kids, self._around(kids), k, self.eps, self.rectangular, pairs=seen["rows"] * self.n, few=self.few_pairs).drop("n_near")
+            pairs = seen["rows"] * self.n
+            held = density.with_density(kids, self._around(kids), k, self.eps, self.rectangular, pairs=pairs, few=self.few_pairs).drop("n_near")
         alive, rows = self._kept(self._sizable(held.filter(F.col("density") >= self.least(self.d, True))), names[0])
         if not rows:
             return None
@@ -204,7 +217,8 @@ class Clustering:
         key = F.xxhash64(F.transform(F.slice("path", F.lit(1), F.col("j") + 1), free))
         there = alive.select("dims", "region", "path").distinct().withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(self.d - 1))))
         there = there.select("region", "j", key.alias("key")).distinct()
-        return self._kept(inside.withColumn("key", key).join(there, ["region", "j", "key"], "left_semi").select("region", "path", "j").distinct(), name)[0]
+        left = inside.withColumn("key", key).join(there, ["region", "j", "key"], "left_semi")
+        return self._kept(left.select("region", "path", "j").distinct(), name)[0]
 
     def _sizable(self, members: DataFrame) -> DataFrame:
         enough = members.groupBy("region").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= self.min_size)
