@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import map_arrow, parts, slabs, stage, strings
 
 CAPACITY = 2048
-#: Entries of a worker's cache of words.
-CACHE = 300_000
+#: Entries of each of a worker's two caches of words: the words met last, and those before them, which come back when met again.
+CACHE = 200_000
 # How word_bpe_49k.json cuts words.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _CUTS = {
@@ -74,29 +74,33 @@ class _Encoder:
         tokenizer = _tokenizer(path)
         self.whole, self.model = tokenizer.encode_batch_fast, tokenizer.model
         self.known, self.parts = {"": b""}, {}
+        self.old, self.old_parts = {}, {}
         self.chars = _byte_characters()
         self.plain = json.loads(tokenizer.to_str())["pre_tokenizer"] == _CUTS
 
     def _part(self, part: str) -> bytes:
-        got = self.parts.get(part)
+        got = self.old_parts.get(part)
         if got is None:
             marks = part if part.isascii() else "".join(map(self.chars.__getitem__, part.encode()))
-            got = self.parts[part] = array("I", [x.id for x in self.model.tokenize(marks)]).tobytes()
+            got = array("I", [x.id for x in self.model.tokenize(marks)]).tobytes()
+        self.parts[part] = got
         return got
 
     def _words(self, new: list[str]) -> None:
-        known, part, hard = self.known, self._part, []
+        known, old, parts, part, hard = self.known, self.old, self.parts, self._part, []
         for w in new:
-            if "<|" in w or not _SIMPLE(w):
+            if w in old:
+                known[w] = old[w]
+                continue
+            if "<|" in w or not (_SIMPLE(w) if not w.isascii() else w.isprintable()):
                 hard.append(w)
                 continue
             low = w.lower()
             if low.isalpha():
-                known[w] = part(low)
-            elif low[:-1].isalpha() and low[-1] in ".,;:!?":
-                known[w] = part(low[:-1]) + part(low[-1])
-            else:
-                known[w] = b"".join(map(part, _PARTS(low)))
+                known[w] = parts[low] if low in parts else part(low)
+                continue
+            many = (low[:-1], low[-1]) if low[:-1].isalpha() and low[-1] in ".,;:!?" else _PARTS(low)
+            known[w] = b"".join([parts[x] if x in parts else part(x) for x in many])
         if hard:
             for w, e in zip(hard, self.whole(hard, add_special_tokens=False), strict=True):
                 known[w] = array("I", e.ids).tobytes()
@@ -106,9 +110,9 @@ class _Encoder:
             return [array("I", e.ids).tobytes() for e in self.whole(texts, add_special_tokens=False)]
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > CACHE:
-            self.known = {"": b""}
+            self.old, self.known = self.known, {"": b""}
         if len(self.parts) > CACHE:
-            self.parts = {}
+            self.old_parts, self.parts = self.parts, {}
         new: set[str] = set()
         for ws in split:
             new.update(ws)
@@ -117,11 +121,17 @@ class _Encoder:
         return [b"".join(map(get, ws)) for ws in split]
 
 
+@cache
+def _encoder(path: str) -> _Encoder:
+    """One for each worker, whose next tasks find the words of the last ones."""
+    return _Encoder(path)
+
+
 def tokenise(df: DataFrame, path: str, text: str = "text", doc: str = "doc_id", capacity: int = CAPACITY, end: int = 0, with_ids: bool = False) -> DataFrame:
     """A row for each piece: __doc, piece, start, length, ids_crc32 and, if asked for, ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, stop, width = _Encoder(path), np.array([end], "<u4").tobytes(), 4 * capacity
+        encode, stop, width = _encoder(path), np.array([end], "<u4").tobytes(), 4 * capacity
         for batch in slabs(batches, "__text"):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, blob in enumerate(encode(strings(batch.column("__text")))):
