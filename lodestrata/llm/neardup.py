@@ -34,8 +34,9 @@ from .common import buffers, counted, cut, map_arrow, parts, slabs, stage
 from .tokens import LOWER, SPACED, doc_shingles, hashes, words
 
 #: Most members of a cell; most ids that are broadcast (8 MB) instead of joined by a shuffle; pivot rounds; how far under
-#: the threshold an estimate may be (about six standard errors) for a pair to be verified.
-CELL, BROADCAST_IDS, ROUNDS, SLACK = 256, 250_000, 1, 0.20
+#: the threshold an estimate may be (about six standard errors) for a pair to be verified; tasks a core, and at least, of tables
+#: of ids.
+CELL, BROADCAST_IDS, ROUNDS, SLACK, WAVES, TASKS = 256, 250_000, 1, 0.20, 4, 32
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -98,7 +99,7 @@ def _confirmed(size: int, num: int, den: int):
 
         for batch in batches:
             na, nb = batch.column("__na").to_numpy(), batch.column("__nb").to_numpy()
-            good = sketch.jaccard(_registers(batch.column("__sa")), _registers(batch.column("__sb")), na, nb) >= num / den - SLACK
+            good = sketch.likely(_registers(batch.column("__sa")), _registers(batch.column("__sb")), na, nb, num / den - SLACK)
             batch = batch.filter(pa.array(good, pa.bool_()))
             linked = []
             for za, zb in zip(batch.column("__za").to_pylist(), batch.column("__zb").to_pylist(), strict=True):
@@ -110,6 +111,11 @@ def _confirmed(size: int, num: int, den: int):
     return run
 
 
+def _narrow(ids: DataFrame) -> DataFrame:
+    """Rows of a few ids each, behind a shuffle, in a few tasks a core: a file a partition costs more than such rows."""
+    return ids.coalesce(max(TASKS, WAVES * ids.sparkSession.sparkContext.defaultParallelism))
+
+
 def _only(table: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """Rows of table whose key is in ids (__id, distinct, cut); few ids are broadcast, more are joined by a shuffle."""
     if ids.count() <= BROADCAST_IDS:
@@ -123,12 +129,12 @@ class _Verifier:
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         """The links among distinct pairs (__a < __b, cut)."""
-        ids = cut(pairs.select(F.explode(F.array("__a", "__b")).alias("__id")).distinct())
+        ids = cut(_narrow(pairs.select(F.explode(F.array("__a", "__b")).alias("__id")).distinct()))
         few = stage(_only(self.reps.select("__doc", "__n", "__sketch", "__z"), "__doc", ids), "texts")
         left, right = (few.select(F.col("__doc").alias(f"__{x}"), F.col("__n").alias(f"__n{x}"), F.col("__sketch").alias(f"__s{x}"), F.col("__z").alias(f"__z{x}")) for x in "ab")
         fits = self.den * F.least("__na", "__nb") >= self.num * F.greatest("__na", "__nb")
         both = pairs.join(left, "__a").join(right, "__b").filter(fits)
-        return cut(map_arrow(both, _confirmed(self.size, self.num, self.den), "__a bigint, __b bigint").distinct())
+        return cut(_narrow(map_arrow(both, _confirmed(self.size, self.num, self.den), "__a bigint, __b bigint").distinct()))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -136,15 +142,15 @@ def components(links: DataFrame) -> DataFrame:
 
     Labels go to neighbours and then to the label's own label, until nothing changes: about log(n) rounds.
     """
-    edges = cut(links.select("__a", "__b").union(links.select(F.col("__b"), F.col("__a"))).distinct())
-    labels = cut(edges.groupBy(F.col("__a").alias("__id")).agg(F.least(F.min("__b"), F.first("__a")).alias("__comp")))
+    edges = cut(_narrow(links.select("__a", "__b").union(links.select(F.col("__b"), F.col("__a"))).distinct()))
+    labels = cut(_narrow(edges.groupBy(F.col("__a").alias("__id")).agg(F.least(F.min("__b"), F.first("__a")).alias("__comp"))))
     moved = 1
     while moved:
         near = edges.join(labels, edges["__b"] == labels["__id"]).groupBy("__a").agg(F.min("__comp").alias("__near"))
         own = labels.withColumnsRenamed({"__comp": "__was"})
         hooked = own.join(near, own["__id"] == near["__a"]).select("__id", "__was", F.least("__was", "__near").alias("__hook"))
         up = labels.select(F.col("__id").alias("__hook"), F.col("__comp").alias("__top"))
-        labels, moved = counted(hooked.join(up, "__hook").select("__id", "__was", F.least("__hook", "__top").alias("__comp")), "__comp <> __was")
+        labels, moved = counted(_narrow(hooked.join(up, "__hook").select("__id", "__was", F.least("__hook", "__top").alias("__comp"))), "__comp <> __was")
         labels = labels.select("__id", "__comp")
     return labels
 
@@ -160,26 +166,38 @@ def _cells(size: int, num: int, den: int):
         unzip = zstandard.ZstdDecompressor()
         side, doc, comp, n = (np.array([r[i] for r in rows], np.int64) for i in range(1, 5))
         k = np.frombuffer(b"".join(r[5] for r in rows), np.int16).reshape(-1, sketch.M)
-        sets: dict[int, np.ndarray] = {}
         top = np.unique(comp, return_inverse=True)[1]
+        every, near = np.flatnonzero(side == 1), []
+        for i in np.flatnonzero(side == 0).tolist():
+            ok = every[(top[every] != top[i]) & (den * np.minimum(n[every], n[i]) >= num * np.maximum(n[every], n[i]))]
+            ok = ok[sketch.likely(k[i], k[ok], n[i], n[ok], num / den - SLACK)]
+            if len(ok):
+                near.append((i, ok))
+        if not near:
+            return []
 
         def of(i: int) -> np.ndarray:
-            if i not in sets:
-                data = np.frombuffer(unzip.decompress(rows[i][6]), np.uint8)
-                sets[i] = _sets(data, np.array([0, len(data)]), size)[0]
-            return sets[i]
-
+            data = np.frombuffer(unzip.decompress(rows[i][6]), np.uint8)
+            return _sets(data, np.array([0, len(data)]), size)[0]
+
+        # shingles of side 0 by number: those of one set are marked, and the marks of another's counted
+        own = {i: of(i) for i, _ in near}
+        all_ = np.unique(np.concatenate(list(own.values())))
+        numbers = {i: np.searchsorted(all_, x).astype(np.int32) for i, x in own.items()}
+        own.clear()
+        for j in np.unique(np.concatenate([ok for _, ok in near])).tolist():
+            x = of(j)
+            at = np.minimum(np.searchsorted(all_, x), len(all_) - 1)
+            numbers[j] = at[all_[at] == x].astype(np.int32)
+        marked = np.zeros(len(all_), bool)
         out: list[tuple[int, int]] = []
-        every = np.flatnonzero(side == 1)
-        for i in np.flatnonzero(side == 0).tolist():
-            ok = every[(top[every] != top[i]) & (den * np.minimum(n[every], n[i]) >= num * np.maximum(n[every], n[i]))]
-            ok = ok[sketch.jaccard(np.broadcast_to(k[i], (len(ok), sketch.M)), k[ok], np.full(len(ok), n[i]), n[ok]) >= num / den - SLACK]
-            for j in ok.tolist():
-                if top[i] == top[j]:
-                    continue
-                a, b = of(i), of(j)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                if both > 0 and den * both >= num * (len(a) + len(b) - both):
+        for i, ok in near:
+            ok = ok[top[ok] != top[i]]
+            marked[numbers[i]] = True
+            both = np.array([np.count_nonzero(marked[numbers[j]]) for j in ok.tolist()], np.int64)
+            marked[numbers[i]] = False
+            for j in ok[(both > 0) & (den * both >= num * (n[i] + n[ok] - both))].tolist():
+                if top[i] != top[j]:
                     out.append((int(min(doc[i], doc[j])), int(max(doc[i], doc[j]))))
                     top[top == top[j]] = top[i]
         return out
@@ -211,17 +229,17 @@ def near_duplicates(df: DataFrame, text: str = "text", doc: str = "doc_id", shin
     """doc_id, n_shingles, component_id, kept for each row; documents are linked if den * intersection >= num * union."""
     every = stage(sketches(df, text, doc, shingle), "sketches")
     full = every.filter("__n > 0 AND __doc IS NOT NULL")
-    classes = cut(full.groupBy("__k1", "__k2").agg(F.min("__doc").alias("__node")))
+    classes = cut(_narrow(full.groupBy("__k1", "__k2").agg(F.min("__doc").alias("__node"))))
     reps = full.join(classes.select(F.col("__k1").alias("__c1"), F.col("__k2").alias("__c2"), "__node"), (F.col("__doc") == F.col("__node")) & (F.col("__k1") == F.col("__c1")) & (F.col("__k2") == F.col("__c2")))
     rows = reps.select("__node", F.explode("__bands").alias("__band"))
     buckets = cut(rows.groupBy("__band").agg(F.min("__node").alias("__pivot"), F.count(F.lit(1)).alias("__size")).filter("__size > 1"))
     members = cut(rows.join(buckets, "__band").select("__band", "__node", "__pivot", "__size"))
     verify = _Verifier(full, shingle, num, den)
-    links = verify(cut(_ordered(members.select(F.col("__node").alias("__x"), F.col("__pivot").alias("__y")))))
+    links = verify(cut(_narrow(_ordered(members.select(F.col("__node").alias("__x"), F.col("__pivot").alias("__y"))))))
     again = full.groupBy("__doc").count().filter("count > 1").select(F.col("__doc").alias("__id"))
-    texts = _only(full.select("__doc", "__k1", "__k2"), "__doc", cut(again)).join(classes, ["__k1", "__k2"])
+    texts = _only(full.select("__doc", "__k1", "__k2"), "__doc", cut(_narrow(again))).join(classes, ["__k1", "__k2"])
     firsts = texts.groupBy("__doc").agg(F.collect_set("__node").alias("__nodes")).select(F.array_min("__nodes").alias("__x"), F.explode("__nodes").alias("__y"))
-    links = cut(links.union(_ordered(firsts)).distinct())  # the classes of one doc_id are one document
+    links = cut(_narrow(links.union(_ordered(firsts)).distinct()))  # the classes of one doc_id are one document
     comps = components(links)
     members = members.filter("__size > 2")
     for round_ in range(ROUNDS + 1):
@@ -229,28 +247,28 @@ def near_duplicates(df: DataFrame, text: str = "text", doc: str = "doc_id", shin
         state = named.groupBy("__band").agg(
             F.min("__comp").alias("__low"), F.max("__comp").alias("__high"), F.min_by("__comp", F.xxhash64("__comp", F.col("__node"), F.lit(round_))).alias("__main"),
         ).filter("__low <> __high").select("__band", "__main")
-        still = cut(named.join(cut(state), "__band"))
+        still = cut(named.join(cut(_narrow(state)), "__band"))
         if round_ == ROUNDS or not still.filter(f"__size > {CELL}").limit(1).count():
             break
         large = still.filter(f"__size > {CELL}")
         inner = large.filter("__comp = __main").groupBy("__band").agg(*(F.min_by("__node", F.xxhash64("__node", F.lit(12 * round_ + i + 1))).alias(f"__p{i}") for i in range(12)))
-        pivots = cut(inner.select("__band", F.explode(F.array_distinct(F.array(*(f"__p{i}" for i in range(12))))).alias("__new")))
-        more = verify(cut(_ordered(large.filter("__comp <> __main").join(pivots, "__band").select(F.col("__node").alias("__x"), F.col("__new").alias("__y")))))
+        pivots = cut(_narrow(inner.select("__band", F.explode(F.array_distinct(F.array(*(f"__p{i}" for i in range(12))))).alias("__new"))))
+        more = verify(cut(_narrow(_ordered(large.filter("__comp <> __main").join(pivots, "__band").select(F.col("__node").alias("__x"), F.col("__new").alias("__y"))))))
         links = links.union(more)
         comps = components(links)
     outside = F.col("__comp") != F.col("__main")
-    counts = cut(still.groupBy("__band").agg(F.count_if(outside).alias("__out")))
+    counts = cut(_narrow(still.groupBy("__band").agg(F.count_if(outside).alias("__out"))))
     grid = still.join(counts, "__band").withColumns({"__r": F.ceil(F.col("__out") / CELL).cast("int"), "__i": F.ceil(F.col("__size") / CELL).cast("int")})
     spot = lambda n: F.pmod(F.xxhash64("__node"), F.col(n)).cast("int")
     one = grid.filter(outside).select("*", F.lit(0).alias("__side"), spot("__r").alias("__row"), F.explode(F.sequence(F.lit(0), F.col("__i") - 1)).alias("__col"))
     two = grid.select("*", F.lit(1).alias("__side"), F.explode(F.sequence(F.lit(0), F.col("__r") - 1)).alias("__row"), spot("__i").alias("__col"))
     cells = cut(one.unionByName(two.select(*one.columns)).select(F.xxhash64("__band", "__row", "__col").alias("__cell"), "__side", "__node", "__comp"))
-    few = _only(full.select("__doc", "__n", "__sketch", "__z"), "__doc", cut(cells.select(F.col("__node").alias("__id")).distinct())).dropDuplicates(["__doc", "__sketch", "__n"])
+    few = _only(full.select("__doc", "__n", "__sketch", "__z"), "__doc", cut(_narrow(cells.select(F.col("__node").alias("__id")).distinct()))).dropDuplicates(["__doc", "__sketch", "__n"])
     dealt = (
         cells.join(few, cells["__node"] == few["__doc"]).select("__cell", "__side", "__node", "__comp", "__n", "__sketch", "__z")
         .repartition(parts(df), "__cell").sortWithinPartitions("__cell", "__side")
     )
-    rest = cut(map_arrow(dealt, _cells(shingle, num, den), "__a bigint, __b bigint").distinct())
+    rest = cut(_narrow(map_arrow(dealt, _cells(shingle, num, den), "__a bigint, __b bigint").distinct()))
     if rest.limit(1).count():
         comps = components(links.union(rest))
     nodes = every.select("__doc", "__k1", "__k2", "__n").join(classes, ["__k1", "__k2"], "left")

@@ -64,13 +64,28 @@ def jaccard(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.
     """Joint maximum-likelihood estimates of the Jaccard similarity of pairs with known sizes, on a grid of hundredths."""
     if not len(a):
         return np.zeros(0)
+    return _GRID[_scores(a, b, na, nb, _GRID).argmax(1)]
+
+
+def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float) -> np.ndarray:
+    """jaccard(a, b, na, nb) >= least, from two points of the grid: p and q are convex and their logarithms concave in the
+    similarity, so that the likelihood is concave, and its first maximum lies at a point or behind if that is above the one before."""
+    at = int(np.searchsorted(_GRID, least))
+    if not 0 < at < len(_GRID) or not len(a):
+        return np.full(len(a), at == 0)
+    before, here = _scores(a, b, na, nb, _GRID[at - 1 : at + 1]).T
+    return here > before
+
+
+def _scores(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """Log-likelihoods of the similarities of the grid, a row a pair."""
     up, down = (a > b).sum(1), (a < b).sum(1)
     u, v = (na / (na + nb))[:, None], (nb / (na + nb))[:, None]
-    p, q = _p(u - v * _GRID), _p(v - u * _GRID)
+    p, q = _p(u - v * grid), _p(v - u * grid)
     with np.errstate(divide="ignore", invalid="ignore"):
         score = _log(up, p) + _log(down, q) + _log(M - up - down, 1 - p - q)
-    score[_GRID > np.minimum(u / v, v / u) + 0.005] = -np.inf
-    return _GRID[score.argmax(1)]
+    score[grid > np.minimum(u / v, v / u) + 0.005] = -np.inf
+    return score
 
 
 def _log(n: np.ndarray, p: np.ndarray) -> np.ndarray:
